@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_store
+from . import common, packing, simhash, token_store
 from .tokens import default_path
 
 
@@ -20,5 +20,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(common.read(spark, sf_dir, "documents"), default_path()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op4_packing)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and their components at two or fewer differing bits."""
+    return simhash.named(simhash.groups(common.read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op4_packing, op8_simhash)}
 SQL: dict[str, str] = {}
