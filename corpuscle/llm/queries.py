@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, simhash, token_store
+from . import common, packing, simhash, sketches, token_store
 from .tokens import default_path
 
 
@@ -25,5 +25,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.named(simhash.groups(common.read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op4_packing, op8_simhash)}
+def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled sketches of all documents and of their edited texts."""
+    return sketches.compare_with_edits(common.read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op4_packing, op8_simhash, op9_sketches)}
 SQL: dict[str, str] = {}
