@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, packing, simhash, sketches, token_store
+from . import common, line_dedup, packing, simhash, sketches, token_store, toxicity
 from .tokens import default_path
 
 
@@ -15,11 +16,23 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, common.read(spark, sf_dir, "documents"), default_path())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.digests(packing.pack(common.read(spark, sf_dir, "documents"), default_path()))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of lines that repeat earlier ones."""
+    found = line_dedup.dedup(common.read(spark, sf_dir, "documents").withColumn("before", F.col("text")), report="deleted")
+    gone = F.coalesce(F.aggregate("deleted", F.lit(0), lambda n, r: n + r["last"] - r["at"] + 1), F.lit(0))
+    return found.select("doc_id", F.size(F.split("before", "\n")).cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"), "text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and their components at two or fewer differing bits."""
     return simhash.named(simhash.groups(common.read(spark, sf_dir, "documents")))
@@ -30,5 +43,5 @@ def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_with_edits(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op4_packing, op8_simhash, op9_sketches)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op3_toxicity, op4_packing, op6_line_dedup, op8_simhash, op9_sketches)}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
