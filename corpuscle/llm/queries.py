@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_dedup, packing, simhash, sketches, token_store, toxicity
+from . import chat, common, decontaminate, html_text, line_dedup, packing, simhash, sketches, token_store, toxicity, warc_zip
 from .tokens import default_path
 
 
@@ -16,6 +16,11 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, common.read(spark, sf_dir, "documents"), default_path())
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with repaired roles, rendered."""
+    return chat.repair(common.read(spark, sf_dir, "conversations"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
@@ -26,6 +31,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(common.read(spark, sf_dir, "documents"), default_path()))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.search(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the runs of lines that repeat earlier ones."""
     found = line_dedup.dedup(common.read(spark, sf_dir, "documents").withColumn("before", F.col("text")), report="deleted")
@@ -33,6 +43,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(F.split("before", "\n")).cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"), "text")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(common.read(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and their components at two or fewer differing bits."""
     return simhash.named(simhash.groups(common.read(spark, sf_dir, "documents")))
@@ -43,5 +58,11 @@ def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_with_edits(common.read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_orc, op3_toxicity, op4_packing, op6_line_dedup, op8_simhash, op9_sketches)}
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC records in ZIP packages and back."""
+    return warc_zip.round_trip(spark, common.read(spark, sf_dir, "pages"))
+
+
+OPERATORS = (op1_token_orc, op2_chat, op3_toxicity, op4_packing, op5_decontamination, op6_line_dedup, op7_html_text, op8_simhash, op9_sketches, op10_warc_zip)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
