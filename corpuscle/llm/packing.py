@@ -27,6 +27,8 @@ from .tokens import encoder
 SEQUENCE, END_ID, SEED = 2048, 1, 20
 #: Leftovers packed together: enough for a tight fit, and 32 MB of ids at most.
 GROUP_PIECES = 4096
+#: Pieces that are taken from a batch at a time.
+SLICE = 1024
 PIECE_TYPE = "doc_id {kind}, start long, length long, doc_tokens long, ids array<int>"
 
 
@@ -98,10 +100,11 @@ def cut(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     return rows.mapInArrow(run, f"spread long, {PIECE_TYPE.format(kind=kind)}")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, seed: int = SEED, groups: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, seed: int = SEED, groups: int | None = None, digest: bool = False) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids, sequence_id, offset: one row for each piece.
 
-    ``groups`` defaults to one for each ``GROUP_PIECES`` documents, by the table's row count.
+    ``groups`` defaults to one for each ``GROUP_PIECES`` documents, by the table's row count. With ``digest`` the packed
+    pieces' ids are replaced by their checksums, ids_crc32, in the worker that packed them.
     """
     if groups is None:
         groups = max(1, -(-docs.count() // GROUP_PIECES))
@@ -125,7 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
                 used += max(b for b, _ in got) + 1
                 held = []
 
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, len(whole), SLICE)):
             of = batch.column("group").to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             for a, b in zip(edges, edges[1:]):
@@ -152,20 +155,24 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     pieces = cut(docs, tokenizer_path, sequence, end_id, seed)
     pieces = pieces.withColumn("group", F.pmod("spread", F.lit(groups)))
     dealt = pieces.repartition("group").sortWithinPartitions("group", "spread", "start")
-    return dealt.mapInArrow(run, f"{PIECE_TYPE.format(kind=kind)}, sequence_id long, offset long")
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """The packed pieces with a checksum in place of their ids."""
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            cuts = ids.offsets.to_numpy()
-            data = memoryview(ids.values.to_numpy().astype("<i4", copy=False)).cast("B")
-            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sums, pa.int64())], [*keep, "ids_crc32"])
-
-    return pieces.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    schema = f"{PIECE_TYPE.format(kind=kind)}, sequence_id long, offset long"
+    if digest:
+        return dealt.mapInArrow(lambda batches: checksummed(run(batches)), schema.replace("ids array<int>", "ids_crc32 long"))
+    return dealt.mapInArrow(run, schema)
+
+
+def checksummed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed pieces with the unsigned CRC-32 of their little-endian ids in place of the ids."""
+    for batch in batches:
+        ids = batch.column("ids")
+        cuts = ids.offsets.to_numpy()
+        data = memoryview(ids.values.to_numpy().astype("<i4", copy=False)).cast("B")
+        sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        names = batch.schema.names
+        columns = [pa.array(sums, pa.int64()) if c == "ids" else batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays(columns, ["ids_crc32" if c == "ids" else c for c in names])
+
+
+def digests(docs: DataFrame, tokenizer_path: str, **parameters) -> DataFrame:
+    """The packed pieces of ``docs`` with a checksum in place of their ids."""
+    return pack(docs, tokenizer_path, digest=True, **parameters).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

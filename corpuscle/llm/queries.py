@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return packing.digests(packing.pack(common.read(spark, sf_dir, "documents"), default_path()))
+    return packing.digests(common.read(spark, sf_dir, "documents"), default_path())
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _spelling() -> list[str]:
 SPELLING = _spelling()
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Memo entries kept by each Python worker; a full memo is emptied, which costs time and never changes an id.
-MEMO_PIECES, MEMO_WORDS = 700_000, 700_000
+MEMO_PIECES, MEMO_WORDS = 300_000, 300_000
 
 
 def default_path() -> str:
