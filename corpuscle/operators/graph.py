@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-ORD = F.col("chunk_ord") * 1_000_000 + F.col("pos")
+ORD = "chunk_ord * 1000000 + pos"
 
 
 def _texts(rows: DataFrame, keys: list[str], text: str = "description") -> DataFrame:
@@ -21,7 +21,7 @@ def _texts(rows: DataFrame, keys: list[str], text: str = "description") -> DataF
 
 def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: int = 1) -> DataFrame:
     """One row for each normalised name: longest name, commonest type, descriptions, chunks, mentions, claims."""
-    rows = entities.withColumn("node_id", tx.node_id("name")).where("node_id <> ''").withColumn("ord", ORD)
+    rows = entities.withColumn("node_id", tx.node_id("name")).where("node_id <> ''").withColumn("ord", F.expr(ORD))
     kinds = rows.groupBy("node_id", "entity_type").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     kind = kinds.groupBy("node_id").agg(F.max_by("entity_type", F.struct("n", -F.col("ord"))).alias("entity_type"))
     main = rows.groupBy("node_id").agg(
@@ -31,7 +31,7 @@ def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: in
     out = main.join(kind, "node_id").join(_texts(rows, ["node_id"]), "node_id", "left")
     out = out.withColumn("description", F.coalesce("description", F.concat(F.lit("Entity: "), "name")))
     if claims is not None:
-        found = claims.withColumn("node_id", tx.node_id("subject_entity")).withColumn("ord", ORD)
+        found = claims.withColumn("node_id", tx.node_id("subject_entity")).withColumn("ord", F.expr(ORD))
         found = found.join(main.select("node_id", "first_chunk"), "node_id").where("first_chunk <= chunk_ord")
         found = found.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "claim_description"))), lambda x: x["claim_description"]).alias("claims"))
         out = out.join(found, "node_id", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<string>")))
@@ -43,7 +43,7 @@ def edges(relationships: DataFrame, node_table: DataFrame) -> DataFrame:
     rows = relationships.withColumn("a", tx.node_id("source_entity")).withColumn("b", tx.node_id("target_entity")).where("a <> b and a <> '' and b <> ''")
     ids = node_table.select("node_id")
     rows = rows.join(ids.withColumnRenamed("node_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("node_id", "b"), "b", "left_semi")
-    rows = rows.withColumn("src", F.least("a", "b")).withColumn("dst", F.greatest("a", "b")).withColumn("ord", ORD)
+    rows = rows.withColumn("src", F.least("a", "b")).withColumn("dst", F.greatest("a", "b")).withColumn("ord", F.expr(ORD))
     main = rows.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"), F.round(F.avg("strength"), 2).alias("avg_strength"), F.array_sort(F.collect_set("chunk_ord")).alias("chunks"), F.min("ord").alias("first_ord"))
     return main.join(_texts(rows, ["src", "dst"]), ["src", "dst"], "left").withColumn("edge_id", F.concat_ws("__", "src", "dst"))
 

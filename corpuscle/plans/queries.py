@@ -29,7 +29,10 @@ def query(sql: str | None = None):
 
 
 read = tables.table
-STEM = F.format_string("doc_%d", "doc_id")
+
+def stem() -> Column:
+    return F.format_string("doc_%d", "doc_id")
+
 
 
 def listed(column: Column | str, separator: str = "|") -> Column:
@@ -50,7 +53,7 @@ chunks as (
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk(read(spark, sf, "documents"), STEM)
+    return chunking.chunk(read(spark, sf, "documents"), stem())
 
 
 @query(CHUNKS + "select *, start_char + length(text) as end_char from chunks")
@@ -61,7 +64,7 @@ def chunk_documents(spark, sf):
 @query(CHUNKS + "select * exclude (text), start_char + length(text) as end_char from chunks order by doc_id, chunk_index limit 50")
 def chunk_corpus_limit(spark, sf):
     """The corpus's first windows, where a limit is the feature."""
-    return chunking.chunk(read(spark, sf, "documents"), STEM, limit=50).drop("text")
+    return chunking.chunk(read(spark, sf, "documents"), stem(), limit=50).drop("text")
 
 
 @query(CHUNKS + "select count(*) as chunks, count(distinct doc_id) as documents, sum(token_count)::bigint as total_tokens, round_even(avg(token_count), 1) as avg_tokens, min(token_count) as min_tokens, max(token_count) as max_tokens from chunks")
@@ -765,5 +768,5 @@ def stream_chunk_ingest(spark, sf):
     # a table is one file among others, or a folder of its own
     source, pattern = (sf, "documents.parquet") if docs.inputFiles()[0].endswith("documents.parquet") else (f"{sf}/documents.parquet", None)
     schema = T.StructType([f for f in docs.schema if f.name in ("doc_id", "text")])
-    ingest.chunk_stream(spark, source, schema, STEM, f"{work}/chunks", f"{work}/checkpoint", pattern=pattern)
+    ingest.chunk_stream(spark, source, schema, stem(), f"{work}/chunks", f"{work}/checkpoint", pattern=pattern)
     return spark.read.parquet(f"{work}/chunks")
