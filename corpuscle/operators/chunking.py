@@ -36,17 +36,31 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def fill(rows: DataFrame, cost: Column, budget: int, order: list, by: list[str] | None = None, separator: int = 0) -> DataFrame:
+#: Parts that a group is dealt into before its window is filled.
+SPREAD = 32
+
+
+def fill(rows: DataFrame, cost: Column, budget: int, order: list, by: list[str] | None = None, separator: int = 0, spread: int = SPREAD) -> DataFrame:
     """The first rows whose costs fit the budget, with ``rank`` and ``used``; a separator costs from the second row on.
 
     Costs are not negative, so the running sum rises, and filtering by it is the same as stopping at the first overflow.
+    For the same reason a row that overflows among some of its group's rows overflows among all of them. So groups are
+    first dealt into ``spread`` parts and cut there; only what is left of a group, about ``spread`` budgets, comes together
+    in one task, however large the group is.
     """
-    window = Window.partitionBy(*(by or [])).orderBy(*order)
-    rows = rows.withColumn("rank", F.row_number().over(window))
-    spent = cost + F.when(F.col("rank") > 1, separator).otherwise(0)
-    rows = rows.withColumn("_spent", spent)
-    rows = rows.withColumn("used", F.sum("_spent").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_spent")
-    return rows.where(F.col("used") <= budget)
+    groups = by or []
+
+    def cut(rows: DataFrame, keys: list, rank: str, used: str) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumn(rank, F.row_number().over(window))
+        rows = rows.withColumn("_spent", cost + F.when(F.col(rank) > 1, separator).otherwise(0))
+        rows = rows.withColumn(used, F.sum("_spent").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_spent")
+        return rows.where(F.col(used) <= budget)
+
+    if spread > 1:
+        rows = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(spread)))
+        rows = cut(rows, [*groups, "_part"], "_rank", "_used").drop("_part", "_rank", "_used")
+    return cut(rows, groups, "rank", "used")
 
 
 def pack(items: DataFrame, budget: int, by: str, order: list, separator: str = "\n\n") -> DataFrame:

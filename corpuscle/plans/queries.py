@@ -212,7 +212,7 @@ u as (select *, row_number() over (order by score desc, vec_id) as rank, sum(spe
 select rank, vec_id, used::bigint as used from u where used <= 8000""")
 def search_fill_context(spark, sf):
     rows = _hits(spark, sf).withColumn("token_count", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(tx.count_tokens("text")))
-    return chunking.fill(rows, vector.stored_cost(), 8000, [F.desc("score"), "vec_id"]).select("rank", "vec_id", F.col("used").cast("long").alias("used"))
+    return chunking.fill(rows, vector.stored_cost(), 8000, [F.desc("score"), "vec_id"], spread=1).select("rank", "vec_id", F.col("used").cast("long").alias("used"))
 
 
 @query(f"""

@@ -43,7 +43,7 @@ def test_fill_stops_at_first_overflow(spark):
     rng = random.Random(0)
     rows = [(g, k, rng.randint(0, 9)) for g in range(5) for k in range(20)]
     df = spark.createDataFrame(rows, "g int, k int, c int")
-    got = {(r.g, r.k) for r in chunking.fill(df, F.col("c"), 40, ["k"], ["g"], 1).collect()}
+    got, alone = ({(r.g, r.k) for r in chunking.fill(df, F.col("c"), 40, ["k"], ["g"], 1, spread).collect()} for spread in (3, 1))
     want = set()
     for g in range(5):
         used = 0
@@ -52,7 +52,7 @@ def test_fill_stops_at_first_overflow(spark):
             if used > 40:
                 break
             want.add((g, k))
-    assert got == want
+    assert got == alone == want
 
 
 def test_pack(spark):
