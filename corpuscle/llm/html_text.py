@@ -33,6 +33,8 @@ SKIPPED = frozenset("nav footer aside form script style noscript template iframe
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words in a class or id that mark what isn't main text (fixed values).
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu submenu sidebar sidebars rail widget widgets footer header masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert comment comments disqus reply replies respond reader share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall pagination pager toolbar search copyright legal skip".split())
+#: Words before a mark that say something of the page and not of the element (fixed values).
+NOT_ITSELF = frozenset(("has", "with", "no", "without", "hide"))
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MAIN = frozenset(("article", "main"))
 #: An open element that a new one of the same kind ends, and what bounds the search for it.
@@ -40,6 +42,13 @@ ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "opt
 BOUNDS = frozenset("ul ol dl table select article main section div body html".split())
 
 
+def marking(value: str) -> bool:
+    """Whether a class or id marks what isn't main text: by a word of it or two that follow each other, but not as "with sidebar"."""
+    found = [t.lower() for t in TOKEN.findall(value)]
+    pairs = [a + b for a, b in zip(found, found[1:])]
+    return any(t in MARKS and not (k and found[k - 1] in NOT_ITSELF) for k, t in enumerate(found)) or any(t in MARKS for t in pairs)
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, linked characters, marked, containers) for each line."""
 
@@ -67,7 +76,7 @@ class Lines(HTMLParser):
             if value:
                 if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
                     return True
-                if name in ("class", "id") and any(t.lower() in MARKS for t in TOKEN.findall(value)) and tag not in ("html", "body"):
+                if name in ("class", "id") and tag not in ("html", "body") and marking(value):
                     return True
             elif name == "hidden":
                 return True
