@@ -46,8 +46,8 @@ CHUNKS = f"""
 with t as (select doc_id, {TOK.format("text")} as tok from documents),
 c as (select doc_id, tok, unnest(range(0, greatest(len(tok) - 101, 0) + 1, 500)) as s, len(range(0, greatest(len(tok) - 101, 0) + 1, 500)) as total_chunks from t where len(tok) > 0),
 chunks as (
-  select doc_id, printf('doc_%d_%04d', doc_id, s // 500) as chunk_id, s // 500 as chunk_index, total_chunks, least(600, len(tok) - s) as token_count,
-    length(array_to_string(tok[1:s], ' ')) + (s > 0)::int as start_char, array_to_string(tok[s + 1:s + 600], ' ') as text
+  select doc_id, printf('doc_%d_%04d', doc_id, s // 500) as chunk_id, (s // 500)::int as chunk_index, total_chunks::int as total_chunks, least(600, len(tok) - s)::int as token_count,
+    (length(array_to_string(tok[1:s], ' ')) + (s > 0)::int)::int as start_char, array_to_string(tok[s + 1:s + 600], ' ') as text
   from c)
 """
 
@@ -56,12 +56,12 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk(read(spark, sf, "documents"), stem())
 
 
-@query(CHUNKS + "select *, start_char + length(text) as end_char from chunks")
+@query(CHUNKS + "select *, (start_char + length(text))::int as end_char from chunks")
 def chunk_documents(spark, sf):
     return _chunks(spark, sf)
 
 
-@query(CHUNKS + "select * exclude (text), start_char + length(text) as end_char from chunks order by doc_id, chunk_index limit 50")
+@query(CHUNKS + "select * exclude (text), (start_char + length(text))::int as end_char from chunks order by doc_id, chunk_index limit 50")
 def chunk_corpus_limit(spark, sf):
     """The corpus's first windows, where a limit is the feature."""
     return chunking.chunk(read(spark, sf, "documents"), stem(), limit=50).drop("text")
@@ -87,7 +87,7 @@ def approx_tokens(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.approx_tokens("text").alias("approx"), tx.approx_fits("text", 8000).alias("fits"))
 
 
-@query(f"select doc_id, len({TOK.format('text')}) as tokens, len({TOK.format('text')}) <= 600 as fits, 600 - len({TOK.format('text')}) as remaining from documents")
+@query(f"select doc_id, len({TOK.format('text')})::int as tokens, len({TOK.format('text')}) <= 600 as fits, (600 - len({TOK.format('text')}))::int as remaining from documents")
 def token_counts(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", tx.count_tokens("text").alias("tokens"))
     return rows.select("doc_id", "tokens", (F.col("tokens") <= 600).alias("fits"), (600 - F.col("tokens")).alias("remaining"))
@@ -146,19 +146,19 @@ def _first(spark: SparkSession, sf: str) -> list[float]:
 SCORED = "select vec_id, round(list_dot_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 4) as score from embeddings"
 
 
-@query(f"select row_number() over (order by score desc, vec_id) as rank, vec_id, score from ({SCORED}) order by score desc, vec_id limit 10")
+@query(f"select cast(row_number() over (order by score desc, vec_id) as int) as rank, vec_id, score from ({SCORED}) order by score desc, vec_id limit 10")
 def vector_topk(spark, sf):
     return vector.top_k(read(spark, sf, "embeddings"), _first(spark, sf), 10)
 
 
-@query(f"select * from (select row_number() over (order by score desc, vec_id) as rank, vec_id, score from ({SCORED}) order by score desc, vec_id limit 50) where score >= 0.2")
+@query(f"select * from (select cast(row_number() over (order by score desc, vec_id) as int) as rank, vec_id, score from ({SCORED}) order by score desc, vec_id limit 50) where score >= 0.2")
 def vector_topk_threshold(spark, sf):
     return vector.top_k(read(spark, sf, "embeddings"), _first(spark, sf), 50, threshold=0.2)
 
 
 @query("""
 with s as (select q.vec_id as query_id, e.vec_id, round(list_dot_product(e.embedding::double[], q.embedding::double[]), 4) as score from embeddings e, embeddings q where q.vec_id % 100 = 0)
-select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""")
+select * from (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s) where rank <= 10""")
 def vector_topk_batch(spark, sf):
     e = read(spark, sf, "embeddings")
     return vector.top_k_batch(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
@@ -166,7 +166,7 @@ def vector_topk_batch(spark, sf):
 
 @query("""
 with n as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)
-select vec_id, round(list_sum(list_transform(e, lambda x: x / (case when n = 0 then 1 else n end))), 4) as total, round(e[1] / (case when n = 0 then 1 else n end), 4) as first, len(e) as dim from n""")
+select vec_id, round(list_sum(list_transform(e, lambda x: x / (case when n = 0 then 1 else n end))), 4) as total, round(e[1] / (case when n = 0 then 1 else n end), 4) as first, len(e)::int as dim from n""")
 def vector_normalize(spark, sf):
     rows = vector.checked(read(spark, sf, "embeddings"), 64).select("vec_id", tx.normalised("embedding").alias("v"))
     return rows.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.get("v", F.lit(0)), 4).alias("first"), F.size("v").alias("dim"))
@@ -199,7 +199,7 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(HITS + """
-u as (select *, row_number() over (order by score desc, vec_id) as rank, sum(cost) over (order by score desc, vec_id rows unbounded preceding) as used from h)
+u as (select *, cast(row_number() over (order by score desc, vec_id) as int) as rank, sum(cost) over (order by score desc, vec_id rows unbounded preceding) as used from h)
 select rank, vec_id, score, used::bigint as used, printf('[Source: %s, Score: %.3f]', source, score) || chr(10) || text as cited from u where used <= 8000""")
 def retrieval_window_fill(spark, sf):
     kept = vector.cited_context(_hits(spark, sf), 8000, [F.desc("score"), "vec_id"])
@@ -208,7 +208,7 @@ def retrieval_window_fill(spark, sf):
 
 @query(HITS + """
 c as (select *, coalesce(nullif(case when vec_id % 3 = 0 then 0 else cost end, 0), length(text) // 4) as spent from h),
-u as (select *, row_number() over (order by score desc, vec_id) as rank, sum(spent) over (order by score desc, vec_id rows unbounded preceding) as used from c)
+u as (select *, cast(row_number() over (order by score desc, vec_id) as int) as rank, sum(spent) over (order by score desc, vec_id rows unbounded preceding) as used from c)
 select rank, vec_id, used::bigint as used from u where used <= 8000""")
 def search_fill_context(spark, sf):
     rows = _hits(spark, sf).withColumn("token_count", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(tx.count_tokens("text")))
@@ -485,7 +485,7 @@ def map_metrics(spark, sf):
     return reports.map_metrics(rows, reports.map_points(rows))
 
 
-@query(POINTS + f""", s as (select *, row_number() over (order by score desc, community_id, pos) as rank from points where score > 0),
+@query(POINTS + f""", s as (select *, cast(row_number() over (order by score desc, community_id, pos) as int) as rank from points where score > 0),
 l as (select *, rank || '. [Score: ' || score || '] ' || description as line from s), u as (select rank, line, sum(len({TOK.format("line")})) over (order by rank) as used from l)
 select rank, line, used::bigint as used from u where used <= 600""")
 def reduce_context(spark, sf):
@@ -589,7 +589,7 @@ def overall_win_rate(spark, sf):
 
 @query("""
 with t as (select n, k from (select p_size as n, unnest(range(0, p_size + 1)) as k from (select distinct p_size from part)))
-select n, k, round(least(1.0, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) + 1e-10, 6) as p_value from t""")
+select n, k::int as k, round(least(1.0, list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) + 1e-10, 6) as p_value from t""")
 def binomial_pvalue(spark, sf):
     rows = read(spark, sf, "part").select(F.col("p_size").alias("n")).distinct().withColumn("k", F.explode(F.expr("sequence(0, n)")))
     return rows.select("n", "k", F.round(evaluate.binomial_tail("k", "n") + 1e-10, 6).alias("p_value"))
