@@ -206,5 +206,6 @@ def search(docs: DataFrame, benchmark: DataFrame, seeds: int = SEEDS, score: flo
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents in which no test item is found."""
-    found = common.stored(search(docs, benchmark, **parameters).select("doc_id").distinct(), "contaminated").withColumnRenamed("doc_id", "_found")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_found"]), "left_anti")
+    name = common.free_name(docs, "found")
+    found = common.stored(search(docs, benchmark, **parameters).select("doc_id").distinct(), "contaminated").withColumnRenamed("doc_id", name)
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

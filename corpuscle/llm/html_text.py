@@ -42,11 +42,12 @@ ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "opt
 BOUNDS = frozenset("ul ol dl table select article main section div body html".split())
 
 
-def marking(value: str) -> bool:
-    """Whether a class or id marks what isn't main text: by a word of it or two that follow each other, but not as "with sidebar"."""
+def marking(value: str, inside_main: bool = False) -> bool:
+    """Whether a class or id marks what isn't main text: by a word of it or two that follow each other, but not as "with sidebar"; an article's own header stays."""
     found = [t.lower() for t in TOKEN.findall(value)]
     pairs = [a + b for a, b in zip(found, found[1:])]
-    return any(t in MARKS and not (k and found[k - 1] in NOT_ITSELF) for k, t in enumerate(found)) or any(t in MARKS for t in pairs)
+    marks = MARKS - {"header"} if inside_main else MARKS
+    return any(t in marks and not (k and found[k - 1] in NOT_ITSELF) for k, t in enumerate(found)) or any(t in marks for t in pairs)
 
 
 class Lines(HTMLParser):
@@ -76,7 +77,7 @@ class Lines(HTMLParser):
             if value:
                 if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
                     return True
-                if name in ("class", "id") and tag not in ("html", "body") and marking(value):
+                if name in ("class", "id") and tag not in ("html", "body") and marking(value, inside_main):
                     return True
             elif name == "hidden":
                 return True

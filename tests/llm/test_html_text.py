@@ -42,6 +42,7 @@ def test_blocks():
     assert main_text(None) == main_text("") == main_text("<p> \n </p>") == ""
     assert main_text("<article><p>" + "x " * 200_000 + "</p></article>") == ("x " * 200_000).strip()
     assert main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
+    assert main_text("<body><div class='page-header'>site</div><article><header class='entry-header'><h1>t</h1></header><p>one</p></article>") == "t\none"
     assert main_text("</p></div><article><p>one</p></b></article><p>&am") == "one"
 
 
