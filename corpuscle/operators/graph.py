@@ -38,6 +38,12 @@ def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: in
     return out.where(F.col("mention_count") >= min_mentions) if min_mentions > 1 else out
 
 
+def node_ids(entities: DataFrame, min_mentions: int = 1) -> DataFrame:
+    """(node_id) of the nodes alone, for what only asks whether they exist."""
+    rows = entities.select(tx.node_id("name").alias("node_id")).where("node_id <> ''").groupBy("node_id").agg(F.count("*").alias("n"))
+    return rows.where(F.col("n") >= min_mentions).select("node_id")
+
+
 def edges(relationships: DataFrame, node_table: DataFrame) -> DataFrame:
     """One row for each unordered pair of nodes: occurrences, mean strength, descriptions, chunks; no loops."""
     rows = relationships.withColumn("a", tx.node_id("source_entity")).withColumn("b", tx.node_id("target_entity")).where("a <> b and a <> '' and b <> ''")

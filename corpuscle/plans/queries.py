@@ -316,7 +316,7 @@ def _nodes(found: DataFrame) -> DataFrame:
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     found = _mentions(spark, sf)
     nodes = _nodes(found)
-    return nodes, graph.edges(extract.adjacent(found), graph.nodes(found))
+    return nodes, graph.edges(extract.adjacent(found), graph.node_ids(found))
 
 
 def _strong(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -347,18 +347,24 @@ def relationship_edges(spark, sf):
 
 @query(GRAPH + "select * from deg")
 def node_degree(spark, sf):
-    return graph.degrees(*_graph(spark, sf))
+    found = _mentions(spark, sf)
+    ids = graph.node_ids(found)
+    return graph.degrees(ids, graph.edges(extract.adjacent(found), ids))
 
 
 @query(GRAPH + "select src, dst, combined_degree from cedges")
 def combined_degree(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    return graph.combined_degrees(edges, graph.degrees(nodes, edges)).select("src", "dst", "combined_degree")
+    found = _mentions(spark, sf)
+    ids = graph.node_ids(found)
+    edges = graph.edges(extract.adjacent(found), ids)
+    return graph.combined_degrees(edges, graph.degrees(ids, edges)).select("src", "dst", "combined_degree")
 
 
 @query(GRAPH + "select (select count(*) from deg) as nodes, (select round(avg(degree), 2) from deg) as avg_degree, (select max(degree) from deg) as max_degree, (select count(*) from edges) as edges, (select round(avg(weight), 2) from edges) as avg_weight")
 def graph_stats(spark, sf):
-    return graph.stats(*_graph(spark, sf))
+    found = _mentions(spark, sf)
+    ids = graph.node_ids(found)
+    return graph.stats(ids, graph.edges(extract.adjacent(found), ids))
 
 
 @query(GRAPH + "select entity_type, count(*) as n from nodes group by entity_type")
