@@ -97,7 +97,7 @@ def cluster_counts(claims: DataFrame, by: list[str], thresholds: tuple[float, ..
     return best.groupBy(*by, "threshold").agg(F.count_if(opens).alias("clusters"))
 
 
-def comparison(counts: DataFrame, first: str = "graphrag", second: str = "vectorrag") -> DataFrame:
+def comparison(counts: DataFrame, first: str = "global", second: str = "local") -> DataFrame:
     """(question_id, system, claims, clusters) to a row for each question: both counts, difference, winner in claims and clusters."""
     pick = lambda c, s: F.coalesce(F.max(F.when(F.col("system") == s, F.col(c))), F.lit(0))
     rows = counts.groupBy("question_id").agg(pick("claims", first).alias("claims_first"), pick("claims", second).alias("claims_second"), pick("clusters", first).alias("clusters_first"), pick("clusters", second).alias("clusters_second"))
@@ -105,7 +105,7 @@ def comparison(counts: DataFrame, first: str = "graphrag", second: str = "vector
     return rows.withColumns({"delta": F.col("claims_first") - F.col("claims_second"), "winner": winner("claims_first", "claims_second"), "diversity_winner": winner("clusters_first", "clusters_second")})
 
 
-def batch(rows: DataFrame, first: str = "graphrag") -> DataFrame:
+def batch(rows: DataFrame, first: str = "global") -> DataFrame:
     """One row over all questions: mean claims and clusters, and the share of questions that ``first`` wins; null without questions."""
     mean = lambda c: F.round(F.avg(c), 2)
     return rows.agg(F.count("*").alias("questions"), mean("claims_first").alias("avg_claims_first"), mean("claims_second").alias("avg_claims_second"), mean("clusters_first").alias("avg_clusters_first"), mean("clusters_second").alias("avg_clusters_second"), F.round(F.try_divide(F.count_if(F.col("winner") == first), F.count("*")), 4).alias("claim_win_rate"), F.round(F.try_divide(F.count_if(F.col("diversity_winner") == first), F.count("*")), 4).alias("cluster_win_rate"))

@@ -32,7 +32,7 @@ def parsed_judgments(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"winner_letter": F.when(letter.isin("A", "B"), letter).otherwise("TIE"), "score_a": score("$.score_a"), "score_b": score("$.score_b")}).drop("_v")
 
 
-def unswapped(rows: DataFrame, first: str = "graphrag", second: str = "vectorrag") -> DataFrame:
+def unswapped(rows: DataFrame, first: str = "global", second: str = "local") -> DataFrame:
     """Adds system_a, system_b and winner from a coin (1: ``first`` was shown as A) and the winner's letter; scores 0..100."""
     a = F.when(F.col("coin") == 1, first).otherwise(second)
     b = F.when(F.col("coin") == 1, second).otherwise(first)
@@ -41,7 +41,7 @@ def unswapped(rows: DataFrame, first: str = "graphrag", second: str = "vectorrag
     return rows.withColumns({"system_a": a, "system_b": b, "winner": winner, "score_a": clamp("score_a"), "score_b": clamp("score_b")})
 
 
-def criterion_results(rows: DataFrame, first: str = "graphrag", second: str = "vectorrag", by: tuple[str, ...] = ("question_id", "criterion")) -> DataFrame:
+def criterion_results(rows: DataFrame, first: str = "global", second: str = "local", by: tuple[str, ...] = ("question_id", "criterion")) -> DataFrame:
     """Wins, ties, win rate (half if none is decisive), mean scores by system, and the majority's winner."""
     score = lambda s: F.avg(F.when(F.col("system_a") == s, F.col("score_a")).otherwise(F.col("score_b")))
     out = rows.groupBy(*by).agg(

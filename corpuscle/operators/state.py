@@ -36,7 +36,7 @@ def next_stage(stages: DataFrame) -> DataFrame:
 
 def ready(chunks: Column, graph: Column, communities: Column, reports: Column, vectors: Column) -> dict[str, Column]:
     """Which kinds of questions stored artifacts can answer."""
-    return {"is_fully_indexed": chunks & graph & communities & reports & vectors, "graphrag_ready": graph & communities & reports, "vectorrag_ready": chunks & vectors}
+    return {"is_fully_indexed": chunks & graph & communities & reports & vectors, "global_ready": graph & communities & reports, "local_ready": chunks & vectors}
 
 
 def pages(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:

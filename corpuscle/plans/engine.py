@@ -165,10 +165,10 @@ class Engine:
     # ---- evaluation ----
 
     def judge(self, answers: DataFrame, criteria: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(question_id, question, graphrag, vectorrag) to results by question and criterion, and by criterion."""
+        """(question_id, question, global, local) to results by question and criterion, and by criterion."""
         rows = evaluate.grid(answers, checked_criteria(criteria), self.config.eval_runs).withColumn("coin", evaluate.coin("question_id", "criterion", "run_index", seed=self.config.seed))
         shown = lambda c: tx.truncated(F.col(c), tx.tokens(c), 1500)
-        first, second = shown("graphrag"), shown("vectorrag")
+        first, second = shown("global"), shown("local")
         rows = rows.withColumn("prompt", task("judge", question="question", criterion="criterion", a=F.when(F.col("coin") == 1, first).otherwise(second), b=F.when(F.col("coin") == 1, second).otherwise(first)))
         rows = tables.cut_lineage(evaluate.unswapped(evaluate.parsed_judgments(self.ask(rows))))
         results = evaluate.criterion_results(rows)
@@ -176,7 +176,7 @@ class Engine:
 
     def compare_claims(self, answers: DataFrame, distance: float = 0.7) -> tuple[DataFrame, DataFrame]:
         """The same answers compared by their claims: a row for each question, and one over all."""
-        long = answers.select("question_id", "question", F.explode(F.create_map(F.lit("graphrag"), "graphrag", F.lit("vectorrag"), "vectorrag")).alias("system", "answer"))
+        long = answers.select("question_id", "question", F.explode(F.create_map(F.lit("global"), "global", F.lit("local"), "local")).alias("system", "answer"))
         long = long.withColumn("key", F.struct("question_id", "system")).withColumn("prompt", task("claims", question="question", answer=tx.truncated(F.col("answer"), tx.tokens("answer"), 3000)))
         found = claims.parsed(self.ask(long), "key").select("key.question_id", "key.system", "pos", "claim")
         kept = tables.cut_lineage(claims.deduplicated(found, ["question_id", "system"]))

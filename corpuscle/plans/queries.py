@@ -554,11 +554,11 @@ def paginate_reports(spark, sf):
 JUDGED = """
 with g as (select doc_id as question_id, quality, toxic, c.i as ci, c.criterion, r.run_index from labels, (values (0, 'comprehensiveness'), (1, 'diversity'), (2, 'empowerment'), (3, 'directness')) c(i, criterion), (values (0), (1), (2), (3), (4)) r(run_index)),
 k as (select *, (question_id * 7 + ci * 3 + run_index) % 2 as coin, case (question_id + ci + run_index * (1 + quality)) % 4 when 0 then 'A' when 1 then 'B' when 2 then 'A' else 'TIE' end as letter, (question_id * 13 + run_index * 7) % 120 - 10 as a, (question_id * 11 + ci * 5) % 120 - 10 as b from g),
-judged as (select question_id, criterion, run_index, case when coin = 1 then 'graphrag' else 'vectorrag' end as system_a, case when coin = 1 then 'vectorrag' else 'graphrag' end as system_b,
-  case when letter = 'TIE' then 'tie' when (letter = 'A') = (coin = 1) then 'graphrag' else 'vectorrag' end as winner, greatest(0, least(100, a))::int as score_a, greatest(0, least(100, b))::int as score_b from k),
-res as (select question_id, criterion, count(*) filter (winner = 'graphrag') as wins_first, count(*) filter (winner = 'vectorrag') as wins_second, count(*) filter (winner = 'tie') as ties,
-  round(avg(case when system_a = 'graphrag' then score_a else score_b end), 1) as avg_first, round(avg(case when system_a = 'vectorrag' then score_a else score_b end), 1) as avg_second from judged group by all),
-results as (select *, case when wins_first + wins_second = 0 then 0.5 else wins_first / (wins_first + wins_second) end as win_rate, case when wins_first > wins_second then 'graphrag' when wins_first < wins_second then 'vectorrag' else 'tie' end as majority from res),
+judged as (select question_id, criterion, run_index, case when coin = 1 then 'global' else 'local' end as system_a, case when coin = 1 then 'local' else 'global' end as system_b,
+  case when letter = 'TIE' then 'tie' when (letter = 'A') = (coin = 1) then 'global' else 'local' end as winner, greatest(0, least(100, a))::int as score_a, greatest(0, least(100, b))::int as score_b from k),
+res as (select question_id, criterion, count(*) filter (winner = 'global') as wins_first, count(*) filter (winner = 'local') as wins_second, count(*) filter (winner = 'tie') as ties,
+  round(avg(case when system_a = 'global' then score_a else score_b end), 1) as avg_first, round(avg(case when system_a = 'local' then score_a else score_b end), 1) as avg_second from judged group by all),
+results as (select *, case when wins_first + wins_second = 0 then 0.5 else wins_first / (wins_first + wins_second) end as win_rate, case when wins_first > wins_second then 'global' when wins_first < wins_second then 'local' else 'tie' end as majority from res),
 summed as (select criterion, count(*) as questions, round(avg(win_rate), 4) as mean_win_rate, round(stddev_pop(win_rate), 4) as std_win_rate, sum(wins_first)::bigint as wins_first, sum(wins_second)::bigint as wins_second, sum(ties)::bigint as ties from results group by criterion),
 tails as (select *, round(least(1.0, list_sum(list_transform(range(wins_first, wins_first + wins_second + 1), lambda i: exp(lgamma(wins_first + wins_second + 1) - lgamma(i + 1) - lgamma(wins_first + wins_second - i + 1) - (wins_first + wins_second) * ln(2))))), 6) as p_value from summed)
 """
@@ -588,9 +588,9 @@ def eval_summary(spark, sf):
     return evaluate.summary(evaluate.criterion_results(_judgments(spark, sf)))
 
 
-@query(JUDGED + """select round(count(*) filter (winner = 'graphrag') / count(*), 4) as win_rate_with_ties, count(*) as judgments from judged""")
+@query(JUDGED + """select round(count(*) filter (winner = 'global') / count(*), 4) as win_rate_with_ties, count(*) as judgments from judged""")
 def overall_win_rate(spark, sf):
-    return _judgments(spark, sf).agg(F.round(F.try_divide(F.count_if(F.col("winner") == "graphrag"), F.count("*")), 4).alias("win_rate_with_ties"), F.count("*").alias("judgments"))
+    return _judgments(spark, sf).agg(F.round(F.try_divide(F.count_if(F.col("winner") == "global"), F.count("*")), 4).alias("win_rate_with_ties"), F.count("*").alias("judgments"))
 
 
 @query("""
@@ -636,7 +636,7 @@ def rouge_pairs(spark, sf):
 
 CLAIMS = f"""
 with c as (select item_id, unnest(string_split(text, '.')) as claim, unnest(range(0, len(string_split(text, '.')))) as pos from benchmark),
-cl as (select item_id as question_id, case when pos % 2 = 0 then 'graphrag' else 'vectorrag' end as system, pos::int as pos, trim(regexp_replace(claim, '\\s+', ' ', 'g')) as claim from c where length(trim(regexp_replace(claim, '\\s+', ' ', 'g'))) > 10),
+cl as (select item_id as question_id, case when pos % 2 = 0 then 'global' else 'local' end as system, pos::int as pos, trim(regexp_replace(claim, '\\s+', ' ', 'g')) as claim from c where length(trim(regexp_replace(claim, '\\s+', ' ', 'g'))) > 10),
 w as (select *, {WORDS.format("claim")} as w from cl),
 p as (select a.question_id, a.system, a.pos, {LCS.format(a="a.w", b="b.w")} as lcs, len(a.w) + len(b.w) as n from w a join w b on a.question_id = b.question_id and a.system = b.system and b.pos < a.pos),
 best as (select w.question_id, w.system, w.pos, max(2.0::double * lcs / n) as best from w left join p using (question_id, system, pos) group by all),
@@ -648,7 +648,7 @@ def _claims(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.transform(F.split("text", r"\."), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.to_json(F.struct(parts.alias("claims"))).alias("response"))
     rows = claims.parsed(rows, "question_id")
-    return rows.select("question_id", F.when(F.col("pos") % 2 == 0, "graphrag").otherwise("vectorrag").alias("system"), "pos", "claim")
+    return rows.select("question_id", F.when(F.col("pos") % 2 == 0, "global").otherwise("local").alias("system"), "pos", "claim")
 
 
 @query(CLAIMS + "select * from counts")
@@ -669,8 +669,8 @@ def claim_dedup(spark, sf):
 
 
 COMPARED = CLAIMS + """, k as (select question_id, system, count(*) as claims from w group by all), j as (select * from k join counts using (question_id, system) where threshold = 0.7),
-m as (select question_id, coalesce(max(claims) filter (system = 'graphrag'), 0) as claims_first, coalesce(max(claims) filter (system = 'vectorrag'), 0) as claims_second, coalesce(max(clusters) filter (system = 'graphrag'), 0) as clusters_first, coalesce(max(clusters) filter (system = 'vectorrag'), 0) as clusters_second from j group by question_id),
-compared as (select *, claims_first - claims_second as delta, case when claims_first > claims_second then 'graphrag' when claims_first < claims_second then 'vectorrag' else 'tie' end as winner, case when clusters_first > clusters_second then 'graphrag' when clusters_first < clusters_second then 'vectorrag' else 'tie' end as diversity_winner from m)
+m as (select question_id, coalesce(max(claims) filter (system = 'global'), 0) as claims_first, coalesce(max(claims) filter (system = 'local'), 0) as claims_second, coalesce(max(clusters) filter (system = 'global'), 0) as clusters_first, coalesce(max(clusters) filter (system = 'local'), 0) as clusters_second from j group by question_id),
+compared as (select *, claims_first - claims_second as delta, case when claims_first > claims_second then 'global' when claims_first < claims_second then 'local' else 'tie' end as winner, case when clusters_first > clusters_second then 'global' when clusters_first < clusters_second then 'local' else 'tie' end as diversity_winner from m)
 """
 
 
@@ -686,7 +686,7 @@ def claim_comparison(spark, sf):
     return _compared(spark, sf)
 
 
-@query(COMPARED + "select count(*) as questions, round(avg(claims_first), 2) as avg_claims_first, round(avg(claims_second), 2) as avg_claims_second, round(avg(clusters_first), 2) as avg_clusters_first, round(avg(clusters_second), 2) as avg_clusters_second, round(count(*) filter (winner = 'graphrag') / count(*), 4) as claim_win_rate, round(count(*) filter (diversity_winner = 'graphrag') / count(*), 4) as cluster_win_rate from compared")
+@query(COMPARED + "select count(*) as questions, round(avg(claims_first), 2) as avg_claims_first, round(avg(claims_second), 2) as avg_claims_second, round(avg(clusters_first), 2) as avg_clusters_first, round(avg(clusters_second), 2) as avg_clusters_second, round(count(*) filter (winner = 'global') / count(*), 4) as claim_win_rate, round(count(*) filter (diversity_winner = 'global') / count(*), 4) as cluster_win_rate from compared")
 def claim_batch(spark, sf):
     return claims.batch(_compared(spark, sf))
 

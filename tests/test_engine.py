@@ -46,13 +46,13 @@ def test_questions(engine):
 
 
 def test_evaluation(engine, spark):
-    answers = spark.createDataFrame([(1, "q one", "a long answer with many words. And a second claim.", "short answer here"), (2, "q two", "same words", "same words")], "question_id int, question string, graphrag string, vectorrag string")
+    answers = spark.createDataFrame([(1, "q one", "a long answer with many words. And a second claim.", "short answer here"), (2, "q two", "same words", "same words")], "question_id int, question string, global string, local string")
     results, summary = engine.judge(answers, ["Diversity"])
     r = {x.question_id: x for x in results.collect()}
-    assert (r[1].win_rate, r[1].majority, r[2].win_rate, r[2].ties) == (1.0, "graphrag", 0.5, 3)
+    assert (r[1].win_rate, r[1].majority, r[2].win_rate, r[2].ties) == (1.0, "global", 0.5, 3)
     assert summary.head().p_value == 0.125
     rows, batch = engine.compare_claims(answers)
-    assert {x.question_id: x.winner for x in rows.collect()}[1] == "graphrag" and batch.head().questions == 1
+    assert {x.question_id: x.winner for x in rows.collect()}[1] == "global" and batch.head().questions == 1
 
 
 def test_provider_failures(spark):

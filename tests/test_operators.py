@@ -215,10 +215,10 @@ def test_report_parser(spark):
 
 def test_judgments(spark):
     def rate(winners):
-        rows = [(1, "c", k, "graphrag", "vectorrag", w, 80, 50) for k, w in enumerate(winners)]
+        rows = [(1, "c", k, "global", "local", w, 80, 50) for k, w in enumerate(winners)]
         return evaluate.criterion_results(spark.createDataFrame(rows, "question_id int, criterion string, run_index int, system_a string, system_b string, winner string, score_a int, score_b int")).head()
 
-    g, v, t = "graphrag", "vectorrag", "tie"
+    g, v, t = "global", "local", "tie"
     for winners, want, majority in (([g] * 5, 1.0, g), ([v] * 5, 0.0, v), ([t] * 5, 0.5, t), ([g, g, g, v, v], 0.6, g)):
         r = rate(winners)
         assert (r.win_rate, r.majority, r.avg_first, r.avg_second) == (want, majority, 80.0, 50.0)
