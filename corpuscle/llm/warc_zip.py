@@ -34,6 +34,8 @@ from .components import lookup
 REVISIT_BYTES = 100
 #: Bytes of records after which a package's WARC file is ended, and the records of one.
 MEMBER_BYTES = 64 << 20
+#: Bytes of records that one task reads, roughly.
+READ_BYTES = 64 << 20
 INDEX, ARCHIVE = "indexes/", "archive/"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -290,7 +292,10 @@ def write(pages: DataFrame, path: str) -> DataFrame:
 def read(packages: DataFrame) -> DataFrame:
     """All records of the packages; the places of records are dealt out evenly before they are read."""
     places = common.stored(index(packages), "places")
-    return records(places.repartitionByRange("package", "offset").sortWithinPartitions("package", "offset"))
+    size = places.agg(F.sum("length")).head()[0] or 0
+    # by the bytes that will be read, not by those of the places
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    return records(places.repartitionByRange(tasks, "package", "offset").sortWithinPartitions("package", "offset"))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
