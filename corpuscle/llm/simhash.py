@@ -195,7 +195,12 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
     """The documents that stay: of each group the one with the smallest id (the first of equal rows; all null ids stay)."""
-    found = groups(docs, **parameters).where("doc_id = component_id").select("doc_id")
+    return first_of(docs, groups(docs, **parameters))
+
+
+def first_of(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The documents whose id is their group's ``component_id``."""
+    found = grouped.where("doc_id = component_id").select("doc_id")
     first = common.stored(found.distinct(), "kept")
     kept = docs.join(first, "doc_id", "left_semi")
     if found.count() > first.count():
