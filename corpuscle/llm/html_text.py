@@ -4,8 +4,8 @@ Each page runs once through the standard library's streaming parser. Its events
 a line has text, tags, and the text inside links. Lines inside navigation, headers, footers, sidebars, forms, adverts,
 notices, comments and the like (by element, role, class or id) are marked. The text-to-tag ratio of each line (zero where it is
 marked), smoothed by a Gaussian over neighbouring lines, is cut at a threshold; what is above it forms clusters of
-content. The content region is the ``article`` or ``main`` element that holds such clusters or, where there is none, the
-innermost element that holds most of their text; its lines that aren't marked are the page's text, short ones
+content. The content region is all ``article`` and ``main`` elements that hold such clusters or, where there is none, the
+innermost element that holds all clusters; its lines that aren't marked are the page's text, short ones
 included, so that a short paragraph between long ones stays.
 
 White space inside a line becomes one space, lines are trimmed, empty ones dropped, the others joined by a line feed;
@@ -108,7 +108,7 @@ class Lines(HTMLParser):
         self.serial += 1
         self.stack.append((tag, marked or own, (*path, self.serial) if tag not in ENDS else path))
         if tag in MAIN and not (marked or own):
-            self.mains[self.serial] = tag
+            self.mains.add(self.serial)
 
     def close_open(self, tags, bounds):
         for k in range(len(self.stack) - 1, -1, -1):
@@ -148,7 +148,7 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
     def run(self, html: str) -> "Lines":
-        self.mains: dict[int, str] = {}
+        self.mains: set[int] = set()
         self.feed(html)
         self.close()
         self.flush()
@@ -182,21 +182,15 @@ def main_text(html: str | None) -> str:
     content = [k for k, r in enumerate(ratio) if r > 0 and r >= threshold and not lines[k][3]]
     if not content:
         return "\n".join(x[0] for x in lines if not x[3])
-    size: dict[int, int] = {}
+    held: dict[int, int] = {}
     for k in content:
         for c in lines[k][4]:
-            size[c] = size.get(c, 0) + len(lines[k][0])
-    mains = {c: tag for c, tag in page.mains.items() if c in size}
-    articles = {c for c, tag in mains.items() if tag == "article"} or set(mains)
-    if articles:
-        region = articles
-    else:
-        total = sum(len(lines[k][0]) for k in content)
-        holders = [c for c, n in size.items() if n >= 0.8 * total]
-        if not holders:
-            region = None
-        else:
-            region = {max(holders)}
+            held[c] = held.get(c, 0) + 1
+    region = {c for c in page.mains if c in held}
+    if not region:
+        # containers are numbered as they open, so of those that hold all clusters the largest number is the innermost
+        whole = [c for c, n in held.items() if n == len(content)]
+        region = {max(whole)} if whole else None
     return "\n".join(x[0] for x in lines if not x[3] and (region is None or any(c in region for c in x[4])))
 
 

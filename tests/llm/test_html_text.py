@@ -46,6 +46,22 @@ def test_blocks():
     assert main_text("</p></div><article><p>one</p></b></article><p>&am") == "one"
 
 
+LONG = "This is the greater part of the page's text, and it goes on for a good while. " * 12
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><p>An introduction of some words.</p><blockquote>{LONG}</blockquote><p>An end of some words.</p></body>", ["An introduction of some words.", LONG.strip(), "An end of some words."]),
+        (f"<body><h1>A title</h1><div>{LONG}</div></body>", ["A title", LONG.strip()]),
+        (f"<body><div>{LONG}</div><div>{LONG[:158]}</div></body>", [LONG.strip(), LONG[:158].strip()]),
+        (f"<main><h1>A title</h1><article><p>{LONG}</p></article><p>{LONG[:158]}</p></main>", ["A title", LONG.strip(), LONG[:158].strip()]),
+    ],
+)
+def test_all_main_text_stays(page, want):
+    assert main_text(page) == "\n".join(want)
+
+
 def test_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in extract(pages).collect()}
