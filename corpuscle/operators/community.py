@@ -105,8 +105,21 @@ def _louvain(nodes: list[str], links: list[tuple[str, str, float]], rounds: int
     return out
 
 
+def _moved_again(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Communities of more than ``SPLIT_NODES`` members moved in rounds over their own edges, from single nodes; others as they are."""
+    huge = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_NODES).select("label")
+    members = cut_lineage(labels.join(huge, "label", "left_semi").select("node_id", "label"))
+    if members.isEmpty():
+        return labels
+    a, b = (members.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
+    inside = cut_lineage(edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "weight"))
+    moved = local_moving(inside, members.select("node_id", F.concat_ws("/", "label", "node_id").alias("label")))
+    return cut_lineage(labels.join(huge, "label", "left_anti").select("node_id", "label").unionByName(moved.select("node_id", "label")))
+
+
 def split(edges: DataFrame, labels: DataFrame, max_size: int) -> DataFrame:
     """Communities of more than ``max_size`` members cut into smaller ones where their links allow; others as they are."""
+    labels = _moved_again(edges, labels)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     large = labels.join(sizes.where((F.col("n") > max_size) & (F.col("n") <= SPLIT_NODES)), "label").drop("n")
     rest = labels.join(sizes.where((F.col("n") <= max_size) | (F.col("n") > SPLIT_NODES)).select("label"), "label", "left_semi")

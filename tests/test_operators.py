@@ -276,3 +276,14 @@ def test_prices(spark):
     assert [r.cost_usd for r in costs.priced(calls).collect()] == [2.5, 0.15, 40.0]
     assert [r.cost_usd for r in costs.priced(calls, longest=False).collect()] == [2.5, 2.5, 40.0]
     assert costs.pricing(spark).count() == len(costs.PRICES)
+
+
+def test_communities_beyond_one_task_are_moved_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(community, "SPLIT_NODES", 8)
+    cliques = [(f"{c}{i}", f"{c}{k}", 1.0) for c in "ab" for i in range(6) for k in range(i + 1, 6)]
+    edges = spark.createDataFrame([*cliques, ("a0", "b0", 1.0), ("c0", "c1", 1.0)], "src string, dst string, weight double")
+    names = [f"{c}{i}" for c in "ab" for i in range(6)]
+    labels = spark.createDataFrame([(n, "x") for n in names] + [("c0", "y"), ("c1", "y")], "node_id string, label string")
+    got = {r.node_id: r.label for r in community.split(edges, labels, 7).collect()}
+    assert set(got) == {*names, "c0", "c1"} and got["c0"] == got["c1"] == "y"
+    assert len({got[n] for n in names}) > 1 and all(got[n].startswith("x/") for n in names)
