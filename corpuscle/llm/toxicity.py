@@ -294,14 +294,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
     # an order that depends on ids and features only; sorting here keeps the features from being measured twice
     table = table.iloc[sorted(range(len(table)), key=lambda i: (zlib.crc32(str(table["doc_id"].iat[i]).encode()), tuple(table["x"].iat[i])))]
     x, y = np.array(table["x"].tolist()), table["toxic"].to_numpy(float)
-    # every fourth row calibrates trees that have not seen it; small samples calibrate on folds of four
+    # every row calibrates trees that have not seen it, on folds of four; the final trees learn from all rows
     fold, margin = np.arange(len(y)) % 4, np.zeros(len(y))
-    folds = range(4) if len(y) < 8000 else range(1)
-    for k in folds:
+    for k in range(4):
         margin[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    seen = np.isin(fold, list(folds))
-    trees = Trees().fit(x, y) if len(folds) > 1 else Trees().fit(x[fold != 0], y[fold != 0])
-    return Model(book, trees, Isotonic().fit(margin[seen], y[seen]), share)
+    return Model(book, Trees().fit(x, y), Isotonic().fit(margin, y), share)
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -83,3 +83,13 @@ def test_features():
     f = dict(zip(tox.FEATURES, book.features("You DOLT!! d0lt and d o l t soooo 5 calm")))
     assert len(f) == len(tox.FEATURES) and f["strong_hits"] >= 1 and f["near_you"] >= 1 and f["disguised_hits"] == 1 and f["spelt_hits"] == 1 and f["stretched"] > 0 and f["exclamations"] > 0
     assert book.without("a dolt", 1).weights["dolt"] < book.weights["dolt"]
+
+
+def test_large_samples_are_learned_whole(spark, monkeypatch):
+    sizes, fit = [], tox.Trees.fit
+    monkeypatch.setattr(tox.Trees, "fit", lambda self, x, y: sizes.append(len(x)) or fit(self, x, y))
+    docs = spark.range(11_000).selectExpr("id as doc_id", "if(id % 5 = 0, 'you dolt vermin', 'calm words here') as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 = 0 as int) as toxic")
+    tox.fit(docs, labels)
+    n = labels.where(tox.train_rows(F.col("doc_id"))).count()
+    assert n >= 8000 and len(sizes) == 5 and sizes[-1] == n and sum(n - s for s in sizes[:4]) == n
