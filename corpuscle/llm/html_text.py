@@ -1,16 +1,24 @@
-"""Main text of web pages: parser events, text-to-tag ratio, smoothing, and thresholds.
+"""Main text of web pages: parser events, text-to-tag ratio, smoothing, and threshold clusters.
 
 Each page runs once through the standard library's streaming parser. Its events are cut into lines at block elements;
-a line has text, tags, and the text inside links. Lines inside navigation, headers, footers, sidebars, forms, adverts,
-notices, comments and the like (by element, role, class or id) are marked. The text-to-tag ratio of each line (zero where it is
-marked), smoothed by a Gaussian over neighbouring lines, is cut at a threshold; what is above it forms clusters of
-content. The content region is all ``article`` and ``main`` elements that hold such clusters or, where there is none, the
-innermost element that holds all clusters; its lines that aren't marked are the page's text, short ones
-included, so that a short paragraph between long ones stays.
+a line has text, tags, and the text inside links. The text-to-tag ratio of each line, smoothed by a Gaussian over
+neighbouring lines, is cut at a threshold. Lines that pass it by their own ratio and by the smoothed one are the cores of
+content clusters; the smallest container that holds all cores is the content region. Lines beside it that the smoothed
+ratio still counts to its cluster come along if they are a heading, a paragraph, or dense enough themselves. All lines in the
+region stay, short ones included, so that a short paragraph between long ones stays.
+
+Names of elements and of classes are evidence only. Lines inside navigation, headers, footers, sidebars, forms,
+adverts, notices, comments and the like (by element, role, class or id) have ratio zero and are left out; but a class or
+id that only has such a word among others ("search-history") counts for nothing on an element that holds half of
+the page's text outside links, or half of the article's, and on ``article`` and ``main`` themselves. A page without any
+other content is read as if elements and classes said nothing. ``article`` and ``main`` that hold half of the cores'
+text are the region as a whole; of several, those that hold less than a quarter of the largest one's are teasers and go.
+Scripts, styles, controls and hidden elements (``hidden``, ``display:none``, ``aria-hidden``) never count.
 
 White space inside a line becomes one space, lines are trimmed, empty ones dropped, the others joined by a line feed;
-character references are decoded. Null and empty pages have an empty text; text without any markup is one line. Null
-and repeated ids are pages of their own. Other columns are not read.
+character references are decoded. Null and empty pages have an empty text; text without any markup is one line. Pages
+of any depth and length take time in proportion to their size. Null and repeated ids are pages of their own. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,63 +33,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, REACH, SHARE = 1.0, 2, 0.5
+#: Shares of text by which an element holds the page, a second article is none, and a neighbouring line is dense.
+HOLDS, TEASER, DENSE = 0.5, 0.25, 0.25
 #: Elements that stand in a line of text and don't end it (fixed values); br becomes white space.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never main text (fixed values).
-SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas object audio video button select option textarea head title menu dialog map datalist".split())
+#: Elements that show no text of their own or only controls (fixed values).
+UNSEEN = frozenset("script style noscript template iframe svg canvas object audio video button select option textarea head title map datalist".split())
+#: Elements that usually aren't main text (fixed values).
+ASIDE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words in a class or id that mark what isn't main text (fixed values).
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu submenu sidebar sidebars rail widget widgets footer header masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert comment comments disqus reply replies respond reader share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall pagination pager toolbar search copyright legal skip".split())
 #: Words before a mark that say something of the page and not of the element (fixed values).
 NOT_ITSELF = frozenset(("has", "with", "no", "without", "hide"))
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+UNSHOWN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are part of a text and not what holds it (fixed values).
+TEXTUAL = HEADINGS | INLINE | frozenset("p li dt dd ul ol dl blockquote pre figure figcaption table tbody thead tfoot tr td th caption".split())
 #: An open element that a new one of the same kind ends, and what bounds the search for it.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
-BOUNDS = frozenset("ul ol dl table select article main section div body html".split())
+BOUNDS = tuple("ul ol dl table select article main section div body html".split())
+#: How much an element says of its text: nothing, a class's word among others, a class or an element's name, or that it isn't seen.
+NOTHING, WEAK, STRONG, HARD = range(4)
+
 
+def marking(value: str, inside_main: bool = False) -> int:
+    """What a class or id says: STRONG if one of its names consists of marking words, WEAK if one has such a word.
 
-def marking(value: str, inside_main: bool = False) -> bool:
-    """Whether a class or id marks what isn't main text: by a word of it or two that follow each other, but not as "with sidebar"; an article's own header stays."""
-    found = [t.lower() for t in TOKEN.findall(value)]
-    pairs = [a + b for a, b in zip(found, found[1:])]
-    marks = MARKS - {"header"} if inside_main else MARKS
-    return any(t in marks and not (k and found[k - 1] in NOT_ITSELF) for k, t in enumerate(found)) or any(t in marks for t in pairs)
+    Two words that follow each other may make a mark; "with sidebar" is none, and an article's own header stays.
+    """
+    marks, found = MARKS - {"header"} if inside_main else MARKS, NOTHING
+    for name in value.split():
+        words = [t.lower() for t in TOKEN.findall(name)]
+        hits = [t in marks and not (k and words[k - 1] in NOT_ITSELF) for k, t in enumerate(words)]
+        if words and all(hits) or "".join(words) in marks:
+            return STRONG
+        if any(hits) or any(a + b in marks for a, b in zip(words, words[1:])):
+            found = WEAK
+    return found
 
 
-class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, marked, containers) for each line."""
+class Page(HTMLParser):
+    """A page's elements in the order in which they open, by arrays with each one's parent, and its lines.
+
+    A line is (text, tags, linked characters, element). Element 0 stands for the whole page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.tag, self.parent, self.mark, self.by_name = [""], [0], [NOTHING], [False]
+        self.lines: list[tuple[str, int, int, int]] = []
+        #: Open elements, and for each name their places among those.
+        self.stack, self.open = [0], {}
+        self.blocks: list[int] = [0]
         self.parts: list[str] = []
-        self.tags = self.linked = self.serial = self.links = 0
+        self.tags = self.linked = self.links = self.mains = 0
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, marked, path = self.stack[-1] if self.stack else ("", False, ())
-                self.lines.append((text, self.tags, self.linked, marked, path))
+                self.lines.append((text, self.tags, self.linked, self.stack[-1]))
             self.parts = []
         self.tags = self.linked = 0
 
-    @staticmethod
-    def marks(tag: str, attrs, inside_main: bool) -> bool:
-        if tag in SKIPPED or tag == "header" and not inside_main:
-            return True
+    def says(self, tag: str, attrs) -> tuple[int, bool]:
+        """What the element says of its text, and whether it says so by its name or role."""
+        inside = self.mains > 0
+        if tag in UNSEEN:
+            return HARD, True
+        found, by_name = NOTHING, False
+        if tag in ASIDE or tag == "header" and not inside:
+            found, by_name = STRONG, True
         for name, value in attrs:
-            if value:
-                if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-                    return True
-                if name in ("class", "id") and tag not in ("html", "body") and marking(value, inside_main):
-                    return True
-            elif name == "hidden":
-                return True
-        return False
+            if name == "hidden" or value and (name == "style" and UNSHOWN.search(value) or name == "aria-hidden" and value.lower() == "true"):
+                return HARD, True
+            if value and name == "role" and value.lower() in ROLES:
+                found, by_name = STRONG, True
+            if value and name in ("class", "id") and tag not in ("html", "body"):
+                said = marking(value, inside or tag in INLINE)
+                found = max(found, NOTHING if said == WEAK and (tag in MAIN or tag in INLINE) else said)
+        return found, by_name
+
+    def push(self, tag: str, attrs, found: int, by_name: bool):
+        self.tag.append(tag)
+        self.parent.append(self.stack[-1])
+        self.mark.append(found)
+        self.by_name.append(by_name)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.mains += tag in MAIN
+        self.stack.append(len(self.tag) - 1)
+
+    def pop_to(self, place: int):
+        """Closes the open elements from ``place`` on."""
+        while len(self.stack) > place:
+            tag = self.tag[self.stack.pop()]
+            self.open[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.mains -= tag in MAIN
+
+    def last_open(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -91,32 +149,19 @@ class Lines(HTMLParser):
             elif tag == "a":
                 self.links += 1
             if tag not in VOID and (attrs or tag == "a"):
-                marked = (self.stack[-1][1] if self.stack else False) or tag != "a" and self.marks(tag, attrs, True)
-                if marked and not (self.stack and self.stack[-1][1]):
+                found, by_name = self.says(tag, attrs) if attrs else (NOTHING, False)
+                if found:
                     self.flush()
-                self.stack.append((tag, marked, self.stack[-1][2] if self.stack else ()))
+                self.push(tag, attrs, found, by_name)
             return
         self.flush()
         if tag in VOID:
             return
         if tag in ENDS:
-            self.close_open(ENDS[tag], BOUNDS)
-        _, marked, path = self.stack[-1] if self.stack else ("", False, ())
-        own = self.marks(tag, attrs, any(t in MAIN for t, _, _ in self.stack))
-        if tag in MAIN and not own:
-            marked = any(m for t, m, _ in self.stack if t in SKIPPED)
-        self.serial += 1
-        self.stack.append((tag, marked or own, (*path, self.serial) if tag not in ENDS else path))
-        if tag in MAIN and not (marked or own):
-            self.mains.add(self.serial)
-
-    def close_open(self, tags, bounds):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in bounds:
-                return
+            place = self.last_open(ENDS[tag])
+            if place > self.last_open(BOUNDS):
+                self.pop_to(place)
+        self.push(tag, attrs, *self.says(tag, attrs))
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -131,33 +176,64 @@ class Lines(HTMLParser):
             self.links = max(0, self.links - 1)
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if self.stack[k][1] and not (k and self.stack[k - 1][1]):
-                    self.flush()
-                del self.stack[k:]
-                return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
-                return
+        places = self.open.get(tag)
+        if not places or tag in INLINE and places[-1] < self.blocks[-1]:
+            return
+        if self.mark[self.stack[places[-1]]]:
+            self.flush()
+        self.pop_to(places[-1])
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][0] in ("script", "style"):
+        if self.tag[self.stack[-1]] in ("script", "style"):
             return
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
 
-    def run(self, html: str) -> "Lines":
-        self.mains: set[int] = set()
+    def run(self, html: str) -> "Page":
         self.feed(html)
         self.close()
         self.flush()
+        #: The last element inside each one; elements are numbered as they open, so an element holds a range of numbers.
+        self.last = list(range(len(self.tag)))
+        for k in range(len(self.tag) - 1, 0, -1):
+            self.last[self.parent[k]] = max(self.last[self.parent[k]], self.last[k])
         return self
 
+    def out(self, least: int, overruled: frozenset = frozenset()) -> list[bool]:
+        """For each element whether its text is left out: it or one that holds it says ``least`` or more.
+
+        What classes say outside of an ``article`` or ``main`` doesn't reach into it.
+        """
+        out, named = [False] * len(self.tag), [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            up, own = self.parent[k], self.mark[k] >= least and k not in overruled
+            named[k] = named[up] or own and self.by_name[k]
+            out[k] = own or (named[up] if self.tag[k] in MAIN else out[up])
+        return out
+
+    def mass(self, out: list[bool]) -> list[int]:
+        """Characters outside links that each element holds."""
+        found = [0] * len(self.tag)
+        for text, _, linked, at in self.lines:
+            if not out[at]:
+                found[at] += max(0, len(text) - linked)
+        for k in range(len(self.tag) - 1, 0, -1):
+            found[self.parent[k]] += found[k]
+        return found
+
+    def outer_mains(self, out: list[bool]) -> list[int]:
+        found, end = [], -1
+        for k, tag in enumerate(self.tag):
+            if k > end and tag in MAIN and not out[k]:
+                found.append(k)
+                end = self.last[k]
+        return found
 
-def ratios(lines) -> list[float]:
-    """Text outside links for each tag, nothing where a line is marked."""
-    return [0.0 if marked else max(0, len(text) - linked) / max(1, tags) for text, tags, linked, marked, _ in lines]
+
+def ratios(lines, out: list[bool]) -> list[float]:
+    """Text outside links for each tag, nothing where a line is left out."""
+    return [0.0 if out[at] else max(0, len(text) - linked) / max(1, tags) for text, tags, linked, at in lines]
 
 
 def smoothed(values: list[float], sigma: float = SIGMA, reach: int = REACH) -> list[float]:
@@ -169,29 +245,76 @@ def smoothed(values: list[float], sigma: float = SIGMA, reach: int = REACH) -> l
     return out
 
 
+def left_out(page: Page) -> list[bool]:
+    """For each element whether it is marked as something else than content, once marks that hold the content are overruled."""
+    out = page.out(STRONG)
+    mass = page.mass(out)
+    mains = [m for m in page.outer_mains(out) if mass[m]]
+    wholes = [(m, page.last[m], mass[m]) for m in mains] or [(0, page.last[0], mass[0])]
+    weak = [k for k, m in enumerate(page.mark) if m == WEAK]
+    overruled = frozenset(k for a, b, whole in wholes for k in weak if a <= k <= b and mass[k] >= HOLDS * whole)
+    out = page.out(WEAK, overruled)
+    mains = page.outer_mains(out)
+    if len(mains) > 1:
+        mass = page.mass(out)
+        most = max(mass[m] for m in mains)
+        for m in mains:
+            if mass[m] < TEASER * most:
+                out[m : page.last[m] + 1] = [True] * (page.last[m] + 1 - m)
+    return out
+
+
+def region(page: Page, out: list[bool]) -> list[int]:
+    """Places of the lines that are the page's text."""
+    lines = page.lines
+    shown = [k for k, x in enumerate(lines) if not out[x[3]]]
+    ratio = ratios(lines, out)
+    smooth = smoothed(ratio)
+    mean = sum(smooth) / len(smooth)
+    threshold = min(math.sqrt(sum((r - mean) ** 2 for r in smooth) / len(smooth)), SHARE * mean)
+    cluster = [r > 0 and s >= threshold for r, s in zip(ratio, smooth)]
+    core = [k for k in shown if cluster[k] and ratio[k] >= threshold]
+    inside = lambda k, a: a <= lines[k][3] <= page.last[a]
+    mains = [m for m in page.outer_mains(out) if any(inside(k, m) for k in shown)]
+    if not core:
+        return [k for k in shown if any(inside(k, m) for m in mains)] or shown
+    mass = lambda ks: sum(len(lines[k][0]) - lines[k][2] for k in ks)
+    if mains and mass(k for k in core if any(inside(k, m) for m in mains)) >= HOLDS * mass(core):
+        return [k for k in shown if any(inside(k, m) for m in mains)]
+    # elements are numbered as they open: what holds the first and the last one holds all between
+    at, last = min(lines[k][3] for k in core), max(lines[k][3] for k in core)
+    while at and (page.last[at] < last or page.tag[at] in TEXTUAL):
+        at = page.parent[at]
+    held = [k for k in shown if inside(k, at)]
+
+    def joins(k: int, above: bool) -> bool:
+        kind = next_tag(page, lines[k][3])
+        return cluster[k] and (kind == "p" or above and kind in HEADINGS or ratio[k] >= DENSE * threshold)
+
+    first, end = shown.index(held[0]), shown.index(held[-1])
+    while first and joins(shown[first - 1], True):
+        first -= 1
+    while end + 1 < len(shown) and joins(shown[end + 1], False):
+        end += 1
+    return shown[first : end + 1]
+
+
+def next_tag(page: Page, at: int) -> str:
+    """The name of the nearest element that isn't inline."""
+    while page.tag[at] in INLINE:
+        at = page.parent[at]
+    return page.tag[at]
+
+
 def main_text(html: str | None) -> str:
     """The page's main text."""
-    page = Lines().run(html or "")
-    lines = page.lines
-    if not lines:
+    page = Page().run(html or "")
+    if not page.lines:
         return ""
-    ratio = smoothed(ratios(lines))
-    mean = sum(ratio) / len(ratio)
-    spread = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    threshold = min(spread, SHARE * mean)
-    content = [k for k, r in enumerate(ratio) if r > 0 and r >= threshold and not lines[k][3]]
-    if not content:
-        return "\n".join(x[0] for x in lines if not x[3])
-    held: dict[int, int] = {}
-    for k in content:
-        for c in lines[k][4]:
-            held[c] = held.get(c, 0) + 1
-    region = {c for c in page.mains if c in held}
-    if not region:
-        # containers are numbered as they open, so of those that hold all clusters the largest number is the innermost
-        whole = [c for c, n in held.items() if n == len(content)]
-        region = {max(whole)} if whole else None
-    return "\n".join(x[0] for x in lines if not x[3] and (region is None or any(c in region for c in x[4])))
+    out = left_out(page)
+    if not any(not out[x[3]] for x in page.lines) and not any(t in MAIN for t in page.tag):
+        out = page.out(HARD)
+    return "\n".join(page.lines[k][0] for k in region(page, out))
 
 
 def extract(pages: DataFrame) -> DataFrame:

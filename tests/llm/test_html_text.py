@@ -2,9 +2,11 @@
 
 import html
 import re
+import time
 
 import pytest
 
+from corpuscle.llm import html_text
 from corpuscle.llm.html_text import extract, main_text
 
 PARAS = [f"This is paragraph number {k} of the article and it says a thing or two at some length." for k in range(4)]
@@ -76,3 +78,43 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>one</p>", "y"), (1, "u", "", "z")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in extract(pages).collect()) == [("1", "", 0), ("1", "", 0), ("None", "one", 3)]
     assert extract(pages.where("false")).count() == 0
+
+
+#: Pages without article, main or telling names: only ratios can tell text from the rest.
+PLAIN_PAGES = [
+    ("<body><div class='x1'><a href=1>Home of all</a><a href=2>Other places</a><a href=3>Third one of them</a></div><div class='q'><h1>A title</h1>{}<p>Short.</p></div><div class='z9'><span>2020</span><span>City</span><span>Town</span></div></body>", True),
+    ("<table><tr><td><a href=1>One</a></td><td><a href=2>Two</a></td></tr><tr><td><div><h2>A title</h2>{}<p>Short.</p></div></td></tr><tr><td><i>x</i><i>y</i></td></tr></table>", True),
+    ("<div><ul><li><b>1</b><li><b>2</b><li><b>3</b></ul></div><div><div><h1>A title</h1></div>{}<p>Short.</p></div><div><em>a</em> <em>b</em> <em>c</em></div>", True),
+]
+
+
+@pytest.mark.parametrize("page, _", PLAIN_PAGES)
+def test_ratios_decide(page, _, monkeypatch):
+    want = "\n".join(["A title", *PARAS, "Short."])
+    assert main_text(page.format(BODY)) == want
+    for constant in (0.0, 1.0):
+        monkeypatch.setattr(html_text, "ratios", lambda lines, out, c=constant: [c] * len(lines))
+        assert main_text(page.format(BODY)) != want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<nav>menu of it</nav><article class='legal-analysis'><h1>A title</h1>{}</article><footer>foot</footer>", ["A title", *PARAS]),
+        ("<nav>menu of it</nav><div id='search-history'><h1>A title</h1>{}</div><footer>foot</footer>", ["A title", *PARAS]),
+        ("<article><h1>A title</h1><div id='search-history'>{}</div><div class='share-buttons'>Send it on</div></article>", ["A title", *PARAS]),
+        ("<form id='page'><div>{}</div></form>", PARAS),
+        ("<main>{}<div hidden='hidden'>never seen at all by anyone</div><p style='color: red; display: none'>nor this one</p></main>", PARAS),
+        ("<article>{}</article><article><h3><a href='/2'>Another article to read</a></h3><p>It has a line too.</p></article>", PARAS),
+        ("<article></article><div class='ad'>Only an advert is on this page, nothing else.</div>{}".replace("{}", ""), []),
+    ],
+)
+def test_names_are_evidence_only(page, want):
+    assert main_text(page.format(BODY)) == "\n".join(want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "deep text", "<div><i class=k>" * 20_000 + "deep text", "<b id=x>" * 20_000 + "deep text" + "</p></i></a>" * 20_000, "<p>deep text" + "<ul><li>" * 20_000])
+def test_deep_pages_take_linear_time(page):
+    began = time.perf_counter()
+    assert main_text(page) == "deep text"
+    assert time.perf_counter() - began < 3
