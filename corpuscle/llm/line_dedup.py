@@ -1,20 +1,22 @@
 """Repeated runs of lines, by prefix doubling over line-ID sequences, in DataFrame functions only.
 
-Every document is a sequence of line ids (hashes of its lines; blank lines have none). Prefix doubling gives each
-position an id of the 1, 2, 4, … lines that begin there: the id of a window of 2h lines is the pair of the ids of its
-two halves. Positions with equal ids are the intervals of the suffix array in which the longest common prefix reaches
-that depth; an interval is named by its first position, in ascending order of document ids and lines, which is all that is
-asked of the suffixes' order, so suffixes are not sorted any further. Positions whose window occurs once leave at each
-step, as nothing that begins there is repeated at a greater depth.
-
-A window of at least ``min_words`` words whose interval has an earlier position is a later copy, and its lines are
-deleted. Doubling ends at the first depth of ``min_words`` lines: every repeated window that is longer consists of
-repeated windows of that depth. Windows with copies that follow each other are joined to maximal runs (``runs``).
-The first copy of a line always stays, and so does a line that is repeated alone but has fewer words.
+Every document is a sequence of line ids (hashes of its lines; blank lines have none), and every position begins a
+suffix of its document's sequence. Prefix doubling ranks suffixes by their first 1, 2, 4, … lines: the rank of 2h lines is
+that of the pair of ranks of the two halves. Ranks ascend as suffixes do, so suffixes of equal rank are an interval of
+the suffix array, in which the longest common prefix reaches that depth. Suffixes that are alone at a depth leave, as
+nothing that begins there is repeated at a greater one. A depth between two powers is ranked by the power below it and what
+is left. ``suffix_array`` gives the order and, for each suffix, the longest common prefix with the one before it.
+
+In an interval all suffixes but the first by document and line begin a later copy. A window of at least ``min_words``
+words that is a later copy is deleted. Ranking ends at the depth of ``min_words`` lines: a line has a word at least, so
+a longer window consists of windows of that depth that are later copies themselves, with words enough. All depths up to
+there are looked at, so a run of any length goes if it has the words. Windows with copies that follow each other are
+joined to maximal runs (``runs``). The first copy of a line always stays, and so does a line that is repeated
+alone but has fewer words.
 
 A document all of whose lines are later copies stays, with an empty text. Lines are compared without the blanks around
-them. Null texts stay null; null ids come first, and rows with the same id follow each other by their texts' hashes.
-Other columns are kept as they are, whatever their names. An empty table stays empty.
+them. Null texts stay null; ids are of any type, null ids come first, and rows with the same id follow each other by their
+texts' hashes. Other columns are kept as they are, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,17 +29,19 @@ from . import common
 from .components import lookup
 
 MIN_WORDS = 5
-#: Columns of a window: document and dense position, lines in the text that it spans, words, and its interval's first position.
-WINDOW = ["d", "pos", "at", "last", "words", "fd", "fpos"]
+#: Columns of a window: document and dense position, lines in the text that it spans, words, its interval's rank and first position.
+WINDOW = ["d", "pos", "at", "last", "words", "rank", "fd", "fpos"]
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """Adds a unique long integer that ascends with ids: the id itself where ids are unique, else one that is stored."""
+    """Adds a unique long integer that ascends with ids: the id itself where ids are unique integers, else one that is stored."""
     rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).head()
-    if rows == ids:
+    if rows == ids and docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         return docs.withColumn(name, F.col("doc_id").cast("long"))
-    spread = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return common.stored(spread.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    tie = common.free_name(docs, "tie")
+    hashed = docs.withColumn(tie, F.xxhash64("text"))
+    spread = hashed.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    return common.stored(spread.drop(tie).withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def lines(docs: DataFrame, key: str) -> DataFrame:
@@ -49,33 +53,37 @@ def lines(docs: DataFrame, key: str) -> DataFrame:
     return rows.select("d", "pos", F.col("item.at").alias("at"), words.alias("words"), F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
 
 
-def _intervals(rows: DataFrame, of: list[str], total: int, name: str) -> DataFrame:
-    """The rows whose ``of`` occurs more than once, with the first position that has it."""
-    found = rows.groupBy(*of).agg(F.count("*").alias("n"))
-    repeated = common.stored(lookup(rows, found.where("n > 1"), of, "n", total, "inner"), name + "-repeated")
-    first = repeated.groupBy(*of).agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n"))
-    first = first.select(*of, F.col("first.d").alias("_fd"), F.col("first.pos").alias("_fpos"), "n")
-    out = lookup(repeated, first, of, "n", total, "inner").drop("fd", "fpos")
-    return common.stored(out.withColumnsRenamed({"_fd": "fd", "_fpos": "fpos"}).select(*WINDOW), name)
+def _ranked(rows: DataFrame, of: list[str], total: int, name: str) -> DataFrame:
+    """The rows whose ``of`` occurs more than once, with its rank and the first position that has it.
 
+    Distinct values alone are sorted, so a value that very many rows have is one row of the sort.
+    """
+    place = F.min(F.struct("d", "pos"))
+    found = rows.groupBy(*of).agg(F.count("*").alias("n"), place.alias("first")).where("n > 1")
+    found = found.repartitionByRange(*of).sortWithinPartitions(*of).withColumn("_rank", F.monotonically_increasing_id())
+    found = common.stored(found.select(*of, "_rank", F.col("first.d").alias("_fd"), F.col("first.pos").alias("_fpos"), "n"), name + "-ranks")
+    out = lookup(rows, found, of, "n", total, "inner").drop("rank", "fd", "fpos")
+    return common.stored(out.withColumnsRenamed({"_rank": "rank", "_fd": "fd", "_fpos": "fpos"}).select(*WINDOW), name)
 
-def windows(docs: DataFrame, key: str, min_words: int = MIN_WORDS) -> list[DataFrame]:
-    """Repeated windows of 1, 2, 4, … lines, up to the first power of two that is ``min_words`` or more."""
+
+def windows(docs: DataFrame, key: str, min_words: int = MIN_WORDS) -> dict[int, DataFrame]:
+    """For each number of lines up to ``min_words``, the windows of so many that are repeated."""
     rows = common.stored(lines(docs, key).withColumn("last", F.col("at")), "lines")
     total = rows.count()
-    levels, size = [_intervals(rows, ["h1", "h2"], total, "windows-1")], 1
-    while size < min_words:
-        now = levels[-1]
-        right = now.select("d", (F.col("pos") - size).alias("pos"), F.col("last").alias("_last"), F.col("words").alias("_words"), F.col("fd").alias("gd"), F.col("fpos").alias("gpos"))
-        pairs = now.join(right, ["d", "pos"]).withColumn("last", F.col("_last")).withColumn("words", F.col("words") + F.col("_words")).drop("_last", "_words")
-        size *= 2
-        levels.append(_intervals(common.stored(pairs, f"pairs-{size}"), ["fd", "fpos", "gd", "gpos"], total, f"windows-{size}"))
-    return levels
-
-
-def _later(levels: list[DataFrame], min_words: int) -> DataFrame:
+    found = {1: _ranked(rows, ["h1", "h2"], total, "windows-1")}
+    # two lines at least, for the blank lines between them
+    for size in range(2, max(2, min_words) + 1):
+        half = 1 << (size - 1).bit_length() - 1
+        rest = found[size - half].select("d", (F.col("pos") - half).alias("pos"), F.col("last").alias("_last"), F.col("words").alias("_words"), F.col("rank").alias("rank_2"))
+        pairs = found[half].withColumnRenamed("rank", "rank_1").join(rest, ["d", "pos"])
+        pairs = pairs.withColumn("last", F.col("_last")).withColumn("words", F.col("words") + F.col("_words")).drop("_last", "_words")
+        found[size] = _ranked(common.stored(pairs, f"pairs-{size}"), ["rank_1", "rank_2"], total, f"windows-{size}")
+    return found
+
+
+def _later(levels: dict[int, DataFrame], min_words: int) -> DataFrame:
     """(d, at, last, fd, shift) of the windows that are later copies; shift is how far the first copy is from them."""
-    later = [x.where((F.col("words") >= min_words) & ((F.col("fd") != F.col("d")) | (F.col("fpos") != F.col("pos")))) for x in levels]
+    later = [x.where((F.col("words") >= min_words) & ((F.col("fd") != F.col("d")) | (F.col("fpos") != F.col("pos")))) for x in levels.values()]
     out = later[0]
     for x in later[1:]:
         out = out.unionByName(x)
@@ -98,6 +106,26 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.select(F.col("d").alias("document"), F.col("at").alias("first_line"), F.col("last").alias("last_line"), F.col("fd").alias("copied_from"))
 
 
+def suffix_array(docs: DataFrame, depth: int = MIN_WORDS) -> DataFrame:
+    """(document, line, rank, lcp) of all suffixes whose first line is repeated, to a depth of ``depth`` lines.
+
+    ``rank`` sorts them by their first lines, as far as those are repeated, and then by document and line; ``lcp`` is how
+    many first lines a suffix shares with the one before it. Both count to ``depth`` at most.
+    """
+    docs = numbered(docs, key := common.free_name(docs, "number"))
+    levels = windows(docs, key, depth)
+    rows = levels[1].select("d", "pos", "at", F.col("rank").alias("rank_1"))
+    for size in range(2, depth + 1):
+        rows = rows.join(levels[size].select("d", "pos", F.col("rank").alias(f"rank_{size}")), ["d", "pos"], "left")
+    ranks = [f"rank_{size}" for size in range(1, depth + 1)]
+    # suffixes share no line with those of another first line, so each first line's may be sorted by itself
+    order = W.partitionBy("rank_1").orderBy(*(F.col(r).asc_nulls_first() for r in ranks[1:]), "d", "pos")
+    lcp = F.lit(0)
+    for r in reversed(ranks):
+        lcp = F.when(F.lag(r).over(order) == F.col(r), 1 + lcp).otherwise(0)
+    return rows.select(F.col("d").alias("document"), F.col("at").alias("line"), F.struct(*ranks, "d", "pos").alias("rank"), lcp.alias("lcp"))
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: str | None = None) -> DataFrame:
     """``docs`` without the lines that are later copies; ``report`` names a column for the ranges of lines deleted."""
     columns = docs.columns
@@ -124,23 +152,16 @@ with numbered as (
   select *, row_number() over (partition by doc_id order by ln) as pos, length(line) - length(replace(line, ' ', '')) + 1 as words
   from numbered where line <> ''
 ), spans as (
-  select size, doc_id, ln, list(line) over w as run, sum(words) over w as words, last(ln) over w as last_ln, count(*) over w as n
-  from sequences, (values (1), (2), (4), (8)) sizes(size)
-  window w as (partition by size, doc_id order by pos rows between current row and 7 following)
+  select doc_id, ln, list(line) over w as run, list(words) over w as words, list(ln) over w as lns
+  from sequences window w as (partition by doc_id order by pos rows between current row and 7 following)
 ), cut as (
-  select size, doc_id, ln, list_slice(run, 1, size) as run, n from spans where n >= size
+  -- every number of lines up to 8; five lines have the five words that a longer run's windows need
+  select size, doc_id, ln, list_slice(run, 1, size) as run, list_sum(list_slice(words, 1, size)) as words, lns[size] as last_ln
+  from spans, range(1, 9) sizes(size) where len(run) >= size
 ), placed as (
-  select c.size, c.doc_id, c.ln, c.run, row_number() over (partition by c.size, c.run order by c.doc_id, c.ln) as copy,
-    list_sum(list_transform(c.run, lambda x: length(x) - length(replace(x, ' ', '')) + 1)) as words
-  from cut c
-), ends as (
-  select p.doc_id, p.ln, s2.ln as last_ln
-  from placed p
-  join sequences s1 on s1.doc_id = p.doc_id and s1.ln = p.ln
-  join sequences s2 on s2.doc_id = p.doc_id and s2.pos = s1.pos + p.size - 1
-  where p.copy > 1 and p.words >= 5
+  select *, row_number() over (partition by size, run order by doc_id, ln) as copy from cut
 ), gone as (
-  select distinct doc_id, unnest(range(ln, last_ln + 1)) as ln from ends
+  select distinct doc_id, unnest(range(ln, last_ln + 1)) as ln from placed where copy > 1 and words >= 5
 )
 select d.doc_id, count(*) as n_lines, count(g.ln) as n_deleted,
   coalesce(string_agg(l.raw, chr(10) order by l.ln) filter (where g.ln is null), '') as text
