@@ -14,27 +14,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage
+from . import connect
 
 #: Members of the largest community that one task splits.
 SPLIT_NODES = 50_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node_id, component): the smallest node that each node of ``edges`` (src, dst) reaches, by large-star and small-star."""
-    both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now = cut_lineage(both(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).where("u > v").distinct())
-    state = None
-    while True:
-        near = both(now)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if seen == state:
-            return now.select(F.col("u").alias("node_id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node_id"), F.col("v").alias("component")).distinct())
-        state = seen
+    """(node_id, component): the smallest node that each node of ``edges`` (src, dst) reaches."""
+    return connect.components(edges, "src", "dst").select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 
 def local_moving(edges: DataFrame, labels: DataFrame, rounds: int = 10, seed: int = 42, resolution: float = 1.0) -> DataFrame:

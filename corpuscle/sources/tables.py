@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,55 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the folder of checkpoints, which all executors share."""
-    context = df.sparkSession.sparkContext
+#: Folders under the shared one into which ``fresh_dir`` puts new paths, the innermost last.
+_SCRATCH: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own on a single machine, as in tests.
+
+    A cluster without that setting is refused: each executor would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
     if not context.getCheckpointDir():
-        set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(set_to or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; whoever writes to it makes it."""
+    return "/".join([shared_dir(spark), *_SCRATCH, f"{name}-{uuid.uuid4().hex}"])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: its lineage is cut and survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside goes to one folder, which is deleted at the end; results must be written elsewhere before."""
+    base = shared_dir(spark)
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}")
+    path = "/".join([base, *_SCRATCH])
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        delete(spark, path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the folder that all executors share."""
+    return stored(df, "cut")
 
 
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
