@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import delete, fresh_dir, scratch, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        # an unset folder means a single machine, as in tests
-        base = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; whoever writes to it makes it."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: its lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["delete", "fresh_dir", "free_name", "read", "scratch", "shared_dir", "stored", "text_or_empty"]
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -1,53 +1,5 @@
-"""Connected components by alternating large-star and small-star steps, and lookups that stand hot keys."""
+"""Connected components and lookups of hot keys, as the core has them."""
 
-from __future__ import annotations
+from ..operators.connect import HOT_SHARE, components, lookup
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import common
-
-#: A key with at least this share of all rows is hot; there are at most as many hot keys as one over it.
-HOT_SHARE = 10_000
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int, how: str = "left") -> DataFrame:
-    """Join of ``rows`` and ``table`` on ``key``, without ``weight``; ``table`` has each key once.
-
-    ``weight`` is the number of ``rows`` that have the key, and ``total`` the number of all. Keys with 1/10,000 of all
-    rows (1,000 at least) are broadcast: they are 10,000 at most, whatever the size of the data. Others are joined by a
-    shuffle in which no key has more rows than that. ``rows`` is read twice and should be a stored table.
-    """
-    keys, heavy = [key] if isinstance(key, str) else key, max(1000, total // HOT_SHARE)
-    hot, cold = (table.where(c).drop(weight) for c in (F.col(weight) >= heavy, F.col(weight) < heavy))
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): for each node of ``edges``, the smallest node that it reaches. Nodes are long integers.
-
-    Each round writes its edges to the shared folder, so that lineage stays short and a lost executor costs one round.
-    """
-    now = common.stored(_both(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))).where("u > v").distinct(), "edges")
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    state = None
-    while True:
-        # large star: every larger neighbour of u to the smallest of u and its neighbours
-        near = _both(now)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = common.stored(large, "large-star")
-        # small star: u and its smaller neighbours to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = common.stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = seen
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+__all__ = ["HOT_SHARE", "components", "lookup"]

@@ -19,13 +19,15 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components, lookup
@@ -193,19 +195,43 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int
     return lookup(rows, named, "fp", "copies", rows.count())
 
 
-def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest id (the first of equal rows; all null ids stay)."""
-    return first_of(docs, groups(docs, **parameters))
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
+    """The rows that stay: of each group the one with the smallest id; see ``first_of``."""
+    found = groups(docs, shingle, seed, bits).withColumnRenamed("fp", "key")
+    return first_of(docs, found, lambda texts: fingerprint(texts, shingle, seed).view(np.int64).tolist())
 
 
-def first_of(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The documents whose id is their group's ``component_id``."""
-    found = grouped.where("doc_id = component_id").select("doc_id")
-    first = common.stored(found.distinct(), "kept")
-    kept = docs.join(first, "doc_id", "left_semi")
-    if found.count() > first.count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+def first_of(docs: DataFrame, grouped: DataFrame, keys: Callable[[list[str | None]], list[int]]) -> DataFrame:
+    """One row of each group: the one with its smallest id, which is its ``component_id``. Rows with null ids all stay.
+
+    ``grouped`` is (doc_id, key, component_id), with the number that ``keys`` gives a text. Where rows share an id,
+    each is judged by its own text: of those in a group whose smallest id it is, one row stays, that of the smallest
+    key and hash of the row.
+    """
+    first = common.stored(grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    named = docs.where("doc_id is not null")
+    repeated = common.stored(grouped.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    kept = named.join(first.select("doc_id").join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(_first_rows(named.join(repeated, "doc_id", "left_semi"), grouped.join(repeated, "doc_id", "left_semi"), keys))
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _first_rows(rows: DataFrame, grouped: DataFrame, keys) -> DataFrame:
+    """``first_of`` for rows that share ids."""
+
+    @F.pandas_udf("long")
+    def key_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(keys(texts.tolist()), dtype="int64")
+
+    key, print_, to = (common.free_name(rows, x) for x in ("key", "row_hash", "component"))
+    hashed = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, T.MapType)]
+    rows = common.stored(rows.withColumn(key, key_of(F.col("text").cast("string"))).withColumn(print_, F.xxhash64(*hashed)), "rows-of-repeated-ids")
+    group = grouped.select("doc_id", F.col("key").alias(key), F.col("component_id").alias(to)).distinct().where(F.col("doc_id") == F.col(to)).drop(to)
+    mine = rows.join(group, ["doc_id", key])
+    least = mine.groupBy("doc_id").agg(F.min(F.struct(key, print_)).alias("_least")).select("doc_id", F.col(f"_least.{key}").alias(key), F.col(f"_least.{print_}").alias(print_))
+    return mine.join(least, ["doc_id", key, print_], "left_semi").dropDuplicates(["doc_id"]).drop(key, print_)
 
 
 def named(found: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Document fingerprints as threshold-scaled sketches, in DataFrame functions only.
 
-A text's sketch is the set of all hashes of its word shingles that lie below a fixed fraction of the hash range, and
-its smallest hash in any case, so that no text with words has an empty sketch. Unlike a sketch of fixed size it grows
-with the text: sketches of very unequal documents stay comparable, the sketch of a union is the union of sketches
-(``merge``), and the share of one sketch found in another estimates how much of one text the other contains.
+A text's sketch is the set of all hashes of its word shingles that lie below a fixed fraction of the hash range. Unlike
+a sketch of fixed size it grows with the text: sketches of very unequal documents stay comparable, and the share of one
+sketch found in another estimates how much of one text the other contains. A text none of whose hashes is that small
+has its smallest one as a stand-in, so that no text with words has an empty sketch. ``merge`` drops a stand-in
+once it isn't needed, so the merged sketches of any texts are the sketch of all their shingles. With stand-ins, which only
+texts of few shingles have, likeness is 1 or 0: whether the smallest hashes are equal.
 
 Words are what white space separates, in lower case; a text of fewer words than a shingle is one shingle. Null and
 empty texts have no shingles and the fingerprint "". Two texts without shingles have likeness 1, one with and one
@@ -21,7 +23,7 @@ SHINGLE = 5
 #: One in so many hashes is kept, a power of two.
 SCALE = 8
 #: Documents that one bucket of neighbouring ids holds, roughly.
-BUCKET_ROWS, BUCKETS = 2000, 20_000
+BUCKET_ROWS, BUCKETS = 2000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -46,9 +48,11 @@ def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, sca
     return df.drop(w, f"{name}_all")
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of all shingles of two texts, from their sketches."""
+    both = F.array_sort(F.array_union(a, b))
+    kept = F.filter(both, lambda h: h < F.lit(1 << (48 - (scale.bit_length() - 1))))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(both, 1, 1))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -70,13 +74,29 @@ def spelt(sketch: Column) -> Column:
 
 
 def _edges(docs: DataFrame) -> list[int]:
-    """First ids of the buckets: some of the table's ids, the smallest among them, in ascending order."""
-    rows = docs.agg(F.count("doc_id")).head()[0]
+    """First ids of the buckets: some of the table's ids, the smallest among them, in ascending order.
+
+    Quantiles are floating-point numbers, which do for cutting; each part's smallest id is then read as it is.
+    """
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"))
+    rows = ids.count()
     if not rows:
         return []
     n = max(1, min(BUCKETS, rows // BUCKET_ROWS))
-    inner = docs.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (5 * n)) if n > 1 else []
-    return sorted({int(docs.agg(F.min("doc_id")).head()[0]), *(int(x) for x in inner)})
+    inner = sorted(set(ids.stat.approxQuantile("id", [k / n for k in range(1, n)], 1 / (5 * n)))) if n > 1 else []
+    cuts = F.split(F.lit(",".join(map(repr, inner))), ",").cast("array<double>") if inner else F.array().cast("array<double>")
+    rows = _placed(ids.select("id", cuts.alias("cuts")), "cuts", F.col("id").cast("double"), len(inner), "part")
+    # as many rows as buckets
+    return sorted(r["first"] for r in rows.groupBy("part").agg(F.min("id").alias("first")).collect())
+
+
+def _placed(rows: DataFrame, edges: str, key: Column, n: int, name: str) -> DataFrame:
+    """Adds how many of the ``n`` ascending values in column ``edges`` are up to ``key``, by binary search."""
+    # a column for each step keeps the plan's expressions small
+    rows, at = rows.withColumn(name, F.lit(0)), F.col(name)
+    for k in reversed(range(max(1, n.bit_length()))):
+        rows = rows.withColumn(name, F.when((at + (1 << k) <= n) & (F.get(edges, at + ((1 << k) - 1)) <= key), at + (1 << k)).otherwise(at))
+    return rows
 
 
 def with_next(docs: DataFrame, keep: list[str], ahead: dict[str, str]) -> DataFrame:
@@ -86,29 +106,22 @@ def with_next(docs: DataFrame, keep: list[str], ahead: dict[str, str]) -> DataFr
     table id, so a row can tell by its own id that it must also stand, as a guest, at the end of the bucket before.
     """
     edges = _edges(docs)
-    bucket, ghost, tie = (common.free_name(docs, x) for x in ("bucket", "guest", "tie"))
-    null_first = docs.where("doc_id is null").select(F.lit(1)).limit(1).count() > 0
-    if null_first or not edges:
+    if not edges or not docs.where("doc_id is null").isEmpty():
         edges = [-(2**63), *edges]
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    tie, place, starts, own, bucket = (common.free_name(docs, x) for x in ("tie", "place", "edges", "own_key", "bucket"))
     rows = docs.select("doc_id", *[c for c in dict.fromkeys([*keep, *ahead]) if c != "doc_id"])
-    rows = rows.withColumn("edges", F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>"))
-    rows = rows.withColumn("own_key", key)
-    # binary search over the edges: the number of edges up to the key
-    steps = max(1, len(edges).bit_length())
-    found = F.lit(0)
-    rows = rows.withColumn(bucket, found)
-    for k in reversed(range(steps)):
-        step = 1 << k
-        rows = rows.withColumn(bucket, F.when((F.col(bucket) + step <= len(edges)) & (F.get("edges", F.col(bucket) + (step - 1)) <= F.col("own_key")), F.col(bucket) + step).otherwise(F.col(bucket)))
+    rows = rows.withColumn(starts, F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>"))
+    rows = rows.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    rows = _placed(rows, starts, F.col(own), len(edges), bucket)
     rows = rows.withColumn(bucket, F.col(bucket) - 1)
-    first = F.get("edges", F.col(bucket)) == F.col("own_key")
+    first = F.get(starts, F.col(bucket)) == F.col(own)
     before = F.pmod(F.col(bucket) - 1, F.lit(len(edges)))
-    places = F.when(first, F.array(F.struct(F.col(bucket).alias("b"), F.lit(0).alias("g")), F.struct(before.alias("b"), F.lit(1).alias("g")))).otherwise(F.array(F.struct(F.col(bucket).alias("b"), F.lit(0).alias("g"))))
-    rows = rows.withColumn(tie, F.xxhash64("text") if "text" in rows.columns else F.lit(0)).withColumn("place", F.explode(places)).drop("edges", "own_key", bucket)
-    order = Window.partitionBy("place.b").orderBy("place.g", F.col("doc_id").asc_nulls_first(), tie)
+    at = F.struct(F.col(bucket).alias("b"), F.lit(0).alias("g"))
+    places = F.when(first, F.array(at, F.struct(before.alias("b"), F.lit(1).alias("g")))).otherwise(F.array(at))
+    rows = rows.withColumn(tie, F.xxhash64("text") if "text" in rows.columns else F.lit(0)).withColumn(place, F.explode(places)).drop(starts, own, bucket)
+    order = Window.partitionBy(f"{place}.b").orderBy(f"{place}.g", F.col("doc_id").asc_nulls_first(), tie)
     rows = rows.select("*", *(F.lead(c).over(order).alias(name) for c, name in ahead.items()))
-    return rows.where("place.g = 0").select(*keep, *ahead.values())
+    return rows.where(F.col(f"{place}.g") == 0).select(*keep, *ahead.values())
 
 
 def edited(text: Column, following: Column, n_chars: Column) -> Column:

@@ -12,7 +12,7 @@ smallest hash of their id); that bounds what reaches the driver: a row of featur
 Labels, language, source and id are no inputs of a score. Scoring reads every whole text.
 
 Null and empty texts get the score of a document without words. Null ids are not held out, and have no label. With
-repeated ids each row is scored by its text, and training takes the id's label for each. Ties in hash or score change
+repeated ids each row is scored by its text, and training takes the one text of the id that has the smallest hash. Ties in hash or score change
 nothing but which documents the bounded sample takes. Without labels of both kinds, the score is the share of toxic
 labels (0 without any). Other columns are not read.
 """
@@ -264,7 +264,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int =
     chosen = common.stored(_sample(labels, sample), "label-sample")
     texts = docs.select("doc_id", common.text_or_empty(F.col("text")).alias("text"))
     # the sample has at most ``sample`` rows of two numbers
-    rows = common.stored(texts.join(F.broadcast(chosen), "doc_id"), "labelled-texts")
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    # one text of each id, so that rows are as bounded as ids
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    rows = common.stored(rows.select("doc_id", "first.text", "toxic"), "labelled-texts")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

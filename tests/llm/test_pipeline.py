@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 from test_line_dedup import slow
-from test_simhash import slow_components, slow_fingerprint
+from test_near_copies import slow_groups
 
 from corpuscle.llm import common, decontaminate
 from corpuscle.llm.tokens import default_path, encoder
@@ -38,12 +38,9 @@ def test_lines(stages):
 
 
 def test_near_copies(stages):
-    fps = {r.doc_id: slow_fingerprint(r.text) for r in stages[2]}
-    root = slow_components(sorted(set(fps.values())))
-    first = {}
-    for d, f in sorted(fps.items()):
-        first.setdefault(root[f], d)
-    assert [r.doc_id for r in stages[3]] == sorted(first.values())
+    rows = sorted(stages[2], key=lambda r: r.doc_id)
+    root = slow_groups([r.text for r in rows])
+    assert [r.doc_id for r in stages[3]] == [r.doc_id for k, r in enumerate(rows) if root[k] == k]
 
 
 def test_benchmark(spark, sf, stages):

@@ -6,7 +6,7 @@ import re
 import pytest
 import xxhash
 
-from corpuscle.llm import simhash
+from corpuscle.llm import near_copies, simhash
 from corpuscle.llm.components import components, lookup
 
 
@@ -81,6 +81,18 @@ def test_groups_of_documents(spark, sf):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "one text of some words here", "quite another one with other words", "a third text that is like no other"
+    rows = [(1, a), (5, a), (5, b), (6, b), (6, b), (7, c), (7, c), (None, a), (8, c), (5, b)]
+    docs = spark.createDataFrame([(*r, "k", "m") for r in rows], "doc_id long, text string, key string, component string")
+    want = sorted([(1, a), (5, b), (7, c)])
+    for keep in (simhash.keep_first, near_copies.keep_first):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == want
+        assert kept.where("doc_id is null").count() == 1
+
+
 def test_long_chain_and_star(spark):
     chain = [(k, k + 1) for k in range(0, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

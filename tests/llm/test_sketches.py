@@ -1,8 +1,10 @@
 """Sketches and neighbours against plain Python."""
 
 import hashlib
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpuscle.llm import sketches
@@ -29,6 +31,57 @@ def check(spark, rows):
     return got
 
 
+def slow_sketch(text, shingle=5, scale=8):
+    """Hashes of shingles, each word's with the one before as its seed, below the threshold, or else the smallest."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    found = set()
+    for k in range(max(1, len(words) - shingle + 1) if words else 0):
+        h = 42
+        for w in words[k : k + shingle]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        found.add(h >> 16)
+    return sorted(h for h in found if h < (1 << 48) // scale) or sorted(found)[:1]
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10_000 + k, t) for k, (_, t) in enumerate(ODD)]
+    got = {r.doc_id: r for r in sketches.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spelt = lambda sketch: "".join(f"{h:012x}" for h in sketch)
+
+    def share(a, b):
+        n = min(len(a), len(b))
+        return len(set(a) & set(b)) / n if n else float(len(a) == len(b))
+
+    for (d, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        t, after = t or "", after or ""
+        edit = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed = slow_sketch(t), slow_sketch(edit)
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (spelt(own), spelt(changed))
+        assert got[d].near_edited == pytest.approx(share(own, changed)) and got[d].near_next == pytest.approx(share(own, slow_sketch(after)))
+
+
+def test_merged_sketches_are_those_of_all_shingles(spark):
+    texts = ["a", "a b", "one two three", " ".join(f"w{k}" for k in range(9)), " ".join(f"w{k}" for k in range(300)), ""]
+    rows = [(i, x, y) for i, x in enumerate(texts) for y in texts]
+    df = sketches.with_sketch(sketches.with_sketch(spark.createDataFrame(rows, "i int, x string, y string"), "x", "a"), "y", "b")
+    full = lambda t: set(slow_sketch(t, scale=1))
+    for r in df.select("x", "y", sketches.merge(F.col("a"), F.col("b")).alias("m")).collect():
+        both = full(r.x) | full(r.y)
+        assert r.m == (sorted(h for h in both if h < (1 << 48) // 8) or sorted(both)[:1])
+
+
+@pytest.mark.parametrize("low", [2**60, -(2**63), 2**63 - 60])
+def test_large_ids(spark, monkeypatch, low):
+    monkeypatch.setattr(sketches, "BUCKET_ROWS", 5)
+    check(spark, [(low + k, f"text number {k} of the table and more words") for k in range(60)])
+
+
+def test_columns_of_the_caller(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", k, k, k) for k in range(9)], "doc_id long, text string, edges int, own_key int, place int")
+    got = sketches.with_next(docs, ["doc_id", "edges", "own_key", "place"], {"edges": "e", "place": "p"})
+    assert sorted(map(tuple, got.collect())) == [(k, k, k, k, (k + 1) % 9, (k + 1) % 9) for k in range(9)]
+
+
 def test_odd_rows(spark):
     got = check(spark, ODD)
     assert {r.fingerprint for r in got if r.doc_id in (5, 6, 7)} == {""}

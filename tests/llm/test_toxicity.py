@@ -68,6 +68,42 @@ def test_odd_tables(spark, corpus):
     assert {r.score for r in tox.classify(docs, labels.where("toxic = 1")).collect()} == {1.0}
 
 
+def test_repeated_ids_are_learned_once(spark, monkeypatch):
+    sizes, fit = [], tox.Trees.fit
+    monkeypatch.setattr(tox.Trees, "fit", lambda self, x, y: sizes.append(len(x)) or fit(self, x, y))
+    docs = spark.range(400).selectExpr("id % 40 as doc_id", "concat('calm words ', id, if(id % 5 = 0, ' you dolt vermin', '')) as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 5 = 0 as int) as toxic")
+    tox.fit(docs, labels)
+    assert sizes[-1] == labels.where(tox.train_rows(F.col("doc_id"))).count()
+
+
+def test_trees_equal_plain_search():
+    """The first split of a tree is the best of all cuts of all features."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x, y = np.round(rng.normal(size=(60, 3)), 1), rng.integers(0, 2, 60).astype(float)
+        tree = tox.Trees(rounds=1, depth=1, bins=64)
+        tree.fit(x, y)
+        g, h = y - y.mean(), np.full(60, y.mean() * (1 - y.mean()))
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)  # noqa: B023, E731
+        best = max((gain(x[:, j] <= v) + gain(x[:, j] > v) for j in range(3) for v in np.unique(x[:, j]) if 3 <= (x[:, j] <= v).sum() <= 57), default=0)
+        feature, cut, _ = tree.trees[0]
+        got = x[:, feature[1]] <= tree.edges[feature[1]][cut[1]]
+        assert gain(got) + gain(~got) == pytest.approx(best)
+
+
+def test_isotonic_equals_plain_fit():
+    rng = random.Random(3)
+    for _ in range(30):
+        n = rng.randint(1, 12)
+        y = [float(rng.random() < 0.5) for _ in range(n)]
+        # least squares among ascending sequences: the min-max formula
+        want = [max(min(sum(y[a : b + 1]) / (b + 1 - a) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        fit = tox.Isotonic().fit(np.arange(n, dtype=float), np.array(y))
+        sizes = [want.count(w) for w in want]
+        assert fit.of(np.arange(n, dtype=float)) == pytest.approx([(w * k + 0.05) / (k + 0.1) for w, k in zip(want, sizes)], abs=0.06)
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
