@@ -1,35 +1,44 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman alignment.
 
-One pass over the documents cuts whole texts into words (letters, digits and underscores, in lower case), looks up the
-test items' 3-word grams, and sends on each passage in which an item has ``seeds`` different grams close together,
-with the item it may come from. The same pass counts the benchmark's words over all documents. Of the
-passages those stay that have a rare gram, one that chance would give less than ``RARE`` times a word by the counts
-of its words. Those are aligned with their items word by word (match 2, mismatch and gap -1); an item whose
-alignment reaches ``score`` of what a perfect copy has is found in the document, be it copied, edited or shortened.
+Whole texts are cut into words (letters, digits and underscores, in lower case). A test item's seeds are its 3-word
+grams; an item of one or two words is a seed as a whole. One pass over the documents, whatever the size of the benchmark,
+gives the places of grams that the benchmark has, and counts its words over all documents. A seed is rare if
+chance would give it less than ``RARE`` times a word by those counts (an item of one word, if less than ``RARE_WORD``
+of all words are that word). Rare seeds join documents to items by a shuffle; for the pairs that this finds, the
+items' other seeds are looked up in the same places. A passage in which an item has ``seeds`` different seeds close
+together, one of them rare, is cut out of its document and aligned with the item word by word (match 2, mismatch and
+gap -1); an item whose alignment reaches ``score`` of what a perfect copy has is found, be it copied, edited or shortened.
+
+What is broadcast tells which words and grams are worth a row: all hashes as they are up to ``EXACT`` of them (16 MB),
+beyond that one bit for each in ``1 << BITS`` bits (16 MB); what chance lets through then falls out in the join. Items
+without rare seeds are never found, such as those of common words alone; items without words aren't either.
 
-The benchmark is taken in blocks of about ``BLOCK_WORDS`` words, each broadcast for a pass of its own, so what is
-broadcast stays bounded however large the benchmark grows. Items of fewer words than a gram are never found.
 Null and empty texts hold nothing. Null and repeated ids are documents like any other in the search; results name
-documents by id, so rows with one id (null among them) share their finds. Ties go to the first passage and the smallest
-item id. Other columns are not read. Empty tables give no rows.
+documents by id, so rows with one id (null among them) share their finds. So do test items: each row is an item of its
+own, and results name it by its id. Ties go to the first passage. Other columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .components import lookup
 
-GRAM, SEEDS, SCORE, RARE, BLOCK_WORDS = 3, 2, 0.5, 1e-6, 300_000
+GRAM, SEEDS, SCORE, RARE, RARE_WORD = 3, 2, 0.5, 1e-6, 1e-4
+#: Hashes that are broadcast as they are, and the logarithm of the number of bits that stand for more.
+EXACT, BITS = 2_000_000, 27
+#: Words whose hashes, and words whose counts, a worker remembers; a full memo is emptied, which costs time only.
+MEMO = 400_000
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -67,141 +76,221 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return best / (MATCH * len(a)), end_b - back, end_b + 1
 
 
-class Index:
-    """The grams of a block of test items."""
-
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM):
-        self.gram = gram
-        self.items = {i: words(t) for i, t in items}
-        self.vocabulary: dict[str, int] = {}
-        places = defaultdict(list)
-        for item, ws in sorted(self.items.items()):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws]
-            for k in range(len(ids) - gram + 1):
-                places[tuple(ids[k : k + gram])].append((item, k))
-        self.base = len(self.vocabulary) + 1
-        self.places = {self._code(g): p for g, p in places.items()}
-        self.codes = np.array(sorted(self.places), np.int64)
-
-    def _code(self, ids) -> int:
-        code = 0
-        for x in ids:  # wraps as 64-bit numbers do; equality of grams is checked where it counts, in the alignment
-            code = (code * self.base + int(x)) & 0xFFFFFFFFFFFFFFFF
-        return code - (1 << 64) if code >> 63 else code
-
-    def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Places in a text's word ids (0: no word of the benchmark) at which a gram of the index begins."""
-        n = len(ids) - self.gram + 1
-        if n <= 0 or not len(self.codes):
-            return np.zeros(0, np.int64)
-        known = ids > 0
-        full = known[:n].copy()
-        for k in range(1, self.gram):
-            full &= known[k : k + n]
-        at = np.flatnonzero(full)
-        code = np.zeros(len(at), np.int64)
-        with np.errstate(over="ignore"):
-            for k in range(self.gram):
-                code = code * self.base + ids[at + k]
-        where = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        same = self.codes[where] == code
-        return np.stack([at[same], code[same]])
-
-    def passages(self, ids: np.ndarray, seeds: int) -> list[tuple[int, int, int, list[int]]]:
-        """(item, first word, word after the last, grams found) of the passages that may hold an item."""
-        found = self.hits(ids)
-        if not found.size:
-            return []
-        by_item = defaultdict(list)
-        for at, code in found.T.tolist():
-            for item, k in self.places[code]:
-                by_item[item].append((at, k, code))
-        out = []
-        for item, hits in by_item.items():
-            size = len(self.items[item])
-            need = min(seeds, max(1, size - self.gram + 1))
-            start = 0
-            for k in range(1, len(hits) + 1):
-                if k == len(hits) or hits[k][0] - hits[k - 1][0] > size:
-                    part = hits[start:k]
-                    start = k
-                    if len({c for _, _, c in part}) >= need:
-                        first = max(0, min(a - p for a, p, _ in part) - size // 4 - 2)
-                        last = max(a - p for a, p, _ in part) + size + size // 4 + 2
-                        out.append((item, first, min(len(ids), last), sorted({c for _, _, c in part})))
-        return out
-
-
-def _search(docs: DataFrame, items: list[tuple[int, str]], seeds: int, score: float, rare: float) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word, passage) of one block of items."""
-    spark = docs.sparkSession
+def code_of(word: str) -> int:
+    """A word's hash, which is never 0."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+
+
+def gram_codes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all ``size`` words that follow each other, as signed numbers; 0 where one of them is 0."""
+    n = len(ids) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    code, known = np.full(n, size, np.uint64), np.ones(n, bool)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            part = ids[k : k + n]
+            known &= part != 0
+            code = (code ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+    return np.where(known, code | np.uint64(1), np.uint64(0)).view(np.int64)
+
+
+class Filter:
+    """Tells which hashes are in a set: for sure up to ``exact`` of them, beyond that with some that aren't."""
+
+    def __init__(self, codes: DataFrame, exact: int, bits: int):
+        """``codes`` has one column, code, of distinct values."""
+        self.codes, self.bits = None, None
+        if codes.count() <= exact:
+            self.codes = np.sort(codes.toPandas()["code"].to_numpy(np.int64))
+        else:
+            slot, bit = F.col("code").bitwiseAND((1 << bits) - 1), F.col("code").bitwiseAND(63).cast("int")
+            words = codes.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 as int))")).alias("mask")).toPandas()
+            self.bits = np.zeros(1 << max(0, bits - 6), np.uint64)
+            self.bits[words["at"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        """Which of ``codes`` may be in the set; 0 isn't."""
+        if self.codes is not None:
+            if not len(self.codes):
+                return np.zeros(len(codes), bool)
+            return self.codes[np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)] == codes
+        got = self.bits[(codes & (64 * len(self.bits) - 1)) >> 6] >> (codes & 63).astype(np.uint64)
+        return ((got & np.uint64(1)) == 1) & (codes != 0)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_no, item_id, words): test items that have words, numbered."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["item_id", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_or_empty(F.col("text")).alias("text"))
+    rows = rows.mapInArrow(cut, "item_id long, words array<string>").where("size(words) > 0")
+    return common.stored(rows.select(F.monotonically_increasing_id().alias("item_no"), "item_id", "words"), "items")
+
+
+def _seeds(items: DataFrame, gram: int) -> DataFrame:
+    """(code, item_no, place, size, words): the items' seeds, with the hashes of their words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.array([code_of(w) for w in ws], np.uint64)
+                size = min(gram, len(ids))
+                signed = ids.view(np.int64).tolist()
+                rows += [(c, item, k, len(ids), signed[k : k + size]) for k, c in enumerate(gram_codes(ids, size).tolist())]
+            columns = list(zip(*rows)) or [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["code", "item_no", "place", "size", "words"])
+
+    rows = items.select("item_no", "words").mapInArrow(cut, "code long, item_no long, place long, size long, words array<long>")
+    return common.stored(rows, "seeds")
+
+
+def _hits(docs: DataFrame, vocabulary: Filter, grams: Filter, sizes: list[int]) -> DataFrame:
+    """(doc_id, hash, at, code) of the benchmark's grams in documents, and (word, n) with the counts of its words; word 0 counts all."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    index = Index(items)
-    shared = spark.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, grams))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts, total = shared.value, Counter(), 0
-        known = index.vocabulary.get
-        names = ["doc_id", "item_id", "first", "passage", "grams", "word", "n"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-        key_type = None
+        (vocabulary, grams), counts, memo, total = shared.value, Counter(), {}, 0
+        names, key_type = ["doc_id", "hash", "at", "code", "word", "n"], None
+
+        def counted():
+            found = pa.array(list(counts), pa.uint64()).cast(pa.int64(), safe=False)
+            nothing = pa.nulls(len(found), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(found), key_type), nothing, nothing, nothing, found, pa.array(list(counts.values()), pa.int64())], names)
+
+        def learn(fresh: list[str]):
+            if len(memo) > MEMO:
+                memo.clear()
+            codes = np.array([code_of(w) for w in fresh], np.uint64)
+            for w, c, known in zip(fresh, codes.tolist(), vocabulary.has(codes.view(np.int64)).tolist()):
+                memo[w] = c if known else 0
+
         for batch in batches:
-            key_type, rows = batch.column(0).type, []
-            for row, text in enumerate(batch.column(1)):
+            key_type, rows, at, code = batch.column(0).type, [], [], []
+            for row, text in enumerate(batch.column(2)):
                 ws = words(text.as_py())
                 total += len(ws)
-                ids = [known(w, 0) for w in ws]
+                ids = list(map(memo.get, ws))
+                if None in ids:
+                    fresh = list({w for w, c in zip(ws, ids) if c is None})
+                    learn(fresh)
+                    ids = [memo[w] if c is None else c for w, c in zip(ws, ids)]
                 counts.update(ids)
-                for item, first, last, grams in index.passages(np.array(ids, np.int64), seeds):
-                    rows.append((row, item, first, " ".join(ws[first:last]), grams))
-            if rows:
-                keys = batch.column(0).take(pa.array([r[0] for r in rows]))
-                columns = [[r[k] for r in rows] for k in range(1, 5)] + [[None] * len(rows)] * 2
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(columns, types))], names)
+                ids = np.array(ids, np.uint64)
+                for size in sizes:
+                    codes = gram_codes(ids, size)
+                    where = np.flatnonzero(codes)
+                    where = where[grams.has(codes[where])]
+                    rows.append(np.full(len(where), row))
+                    at.append(where)
+                    code.append(codes[where])
+            found = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+            if len(found):
+                nothing = pa.nulls(len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(found), batch.column(1).take(found), pa.array(np.concatenate(at)), pa.array(np.concatenate(code)), nothing, nothing], names)
+            if len(counts) > MEMO:
+                counts.pop(0, None)
+                yield counted()
+                counts.clear()
         if key_type is not None:
             counts[0] = total
-            many = len(counts)
-            columns = [[None] * many] * 4 + [list(counts), list(counts.values())]
-            yield pa.RecordBatch.from_arrays([pa.nulls(many, key_type), *(pa.array(c, t) for c, t in zip(columns, types))], names)
-
-    rows = docs.select("doc_id", common.text_or_empty(F.col("text")).alias("text"))
-    found = rows.mapInArrow(scan, f"doc_id {kind}, item_id long, first long, passage string, grams array<long>, word long, n long")
-    found = common.stored(found, "passages")
-    # one number for each word of the block
-    counts = {r["word"]: r["n"] for r in found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    total = max(1, counts.pop(0, 0))
-    chance = {w: math.log(max(1, counts.get(i, 0)) / total) for w, i in index.vocabulary.items()}
-    rare_grams = set()
-    for ws in index.items.values():
-        for k in range(len(ws) - index.gram + 1):
-            if sum(chance[w] for w in ws[k : k + index.gram]) <= math.log(rare):
-                rare_grams.add(index._code([index.vocabulary[w] for w in ws[k : k + index.gram]]))
-    kept = spark.sparkContext.broadcast(rare_grams)
+            yield counted()
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return common.stored(rows.mapInArrow(scan, f"doc_id {kind}, hash long, at long, code long, word long, n long"), "hits")
+
+
+def _rare(seeds: DataFrame, found: DataFrame, rare: float, rare_word: float) -> DataFrame:
+    """(code, rare) of each seed, by the counts of its words over all documents."""
+    counts = common.stored(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = max(1, (counts.where("word = 0").head() or {"n": 1})["n"])
+    distinct = seeds.select("code", "words").dropDuplicates(["code"])
+    spread = distinct.select("code", F.posexplode("words").alias("k", "word")).join(counts, "word", "left")
+    chance = spread.groupBy("code").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.lit(total))).alias("chance"), F.count("*").alias("words"))
+    limit = F.when(F.col("words") == 1, math.log(rare_word)).otherwise(math.log(rare))
+    return common.stored(chance.select("code", (F.col("chance") <= limit).alias("rare")), "rare-seeds")
+
+
+def _passages(found: DataFrame, seeds: DataFrame, rare: DataFrame, least: int) -> DataFrame:
+    """(doc_id, hash, item_no, first, last): places of words that may hold an item."""
+    hits = common.stored(found.where("code is not null").select("doc_id", "hash", "at", "code").distinct(), "places")
+    total = hits.count()
+    often = hits.groupBy("code").agg(F.count("*").alias("n"))
+    places = seeds.select("code", "item_no", "place", "size").join(rare, "code")
+    # a rare seed is in few items, but may be in very many documents
+    table = places.where("rare").groupBy("code").agg(F.collect_set("item_no").alias("items")).join(often, "code")
+    pairs = lookup(hits, table, "code", "n", total, "inner").select("doc_id", "hash", F.explode("items").alias("item_no")).distinct()
+    pairs = common.stored(pairs, "document-items")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    of = pairs.select(key, "hash", F.col("doc_id").alias("_doc"), "item_no")
+    rows = hits.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(of, ["_key", "hash"]).where(F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_key", "_doc")
+    rows = rows.join(places, ["item_no", "code"])
+    by = ["doc_id", "hash", "item_no"]
+    order = Window.partitionBy(*by).orderBy("at", "place")
+    rows = rows.withColumn("opens", F.coalesce(F.col("at") - F.lag("at").over(order) > F.col("size"), F.lit(True)).cast("int"))
+    rows = rows.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.col("at") - F.col("place")
+    parts = rows.groupBy(*by, "part").agg(F.countDistinct("code").alias("seeds"), F.max("rare").alias("rare"), F.min(start).alias("low"), F.max(start).alias("high"), F.first("size").alias("size"))
+    parts = parts.where(F.col("rare") & (F.col("seeds") >= F.least(F.lit(least), F.greatest(F.lit(1), F.col("size") - (GRAM - 1)))))
+    room = F.floor(F.col("size") / 4) + 2
+    return common.stored(parts.select(*by, F.greatest(F.lit(0), F.col("low") - room).cast("long").alias("first"), (F.col("high") + F.col("size") + room).cast("long").alias("last")), "passages")
+
+
+def _cut_out(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_no, first, passage): the passages' words, from one reading of the documents that have any."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = F.struct("item_no", "first", "last")
+    wanted = passages.groupBy("doc_id", "hash").agg(F.collect_list(one).alias("wanted")).withColumnRenamed("doc_id", "_doc")
+    ids = wanted.select("_doc").distinct()
+    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").withColumn("hash", F.xxhash64("text"))
+    # rows of one id and one text are one document here
+    rows = rows.groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
+    rows = rows.join(wanted, (rows["doc_id"].eqNullSafe(F.col("_doc"))) & (rows["hash"] == wanted["hash"])).select("doc_id", "text", "wanted")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch[[any(g in kept.value for g in grams) for grams in batch["grams"]]]
-            got = [align(shared.value.items[i], p.split(" ")) for i, p in zip(batch["item_id"], batch["passage"])]
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "item_id": batch["item_id"], "score": [g[0] for g in got], "first_word": [f + g[1] for f, g in zip(batch["first"], got)], "last_word": [f + g[2] - 1 for f, g in zip(batch["first"], got)], "passage": [" ".join(p.split(" ")[g[1] : g[2]]) for p, g in zip(batch["passage"], got)]})
-            yield out[out["score"] >= score]
+            for row in range(len(batch)):
+                ws = words(batch.column(1)[row].as_py())
+                got = [(w["item_no"], w["first"], " ".join(ws[w["first"] : w["last"]])) for w in batch.column(2)[row].as_py()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * len(got))), *columns], ["doc_id", "item_no", "first", "passage"])
 
-    passages = found.where("item_id is not null").select("doc_id", "item_id", "first", "passage", "grams").repartition(F.xxhash64("doc_id", "item_id", "first"))
-    return passages.mapInPandas(compare, f"doc_id {kind}, item_id long, score double, first_word long, last_word long, passage string")
+    return common.stored(rows.mapInArrow(cut, f"doc_id {kind}, item_no long, first long, passage string"), "cut-out")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, seeds: int = SEEDS, score: float = SCORE, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, seeds: int = SEEDS, score: float = SCORE, rare: float = RARE, rare_word: float = RARE_WORD, exact: int = EXACT, bits: int = BITS) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, passage): the best passage of each item in each document."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_or_empty(F.col("text")).alias("text")).where("item_id is not null")
-    size = items.agg(F.sum(F.size(F.split("text", " ")))).head()[0] or 0
-    blocks = max(1, math.ceil(size / block_words))
-    out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        # a block has about ``block_words`` words
-        found = _search(docs, [(r["item_id"], r["text"]) for r in block.orderBy("item_id").collect()], seeds, score, rare)
-        out = found if out is None else out.unionByName(found)
+    docs = docs.select("doc_id", common.text_or_empty(F.col("text")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    items = _items(benchmark)
+    seed_rows = _seeds(items, GRAM)
+    vocabulary = Filter(seed_rows.select(F.explode("words").alias("code")).distinct(), exact, bits)
+    sizes = sorted(r["n"] for r in seed_rows.select(F.size("words").alias("n")).distinct().collect())  # three at most
+    found = _hits(docs, vocabulary, Filter(seed_rows.select("code").distinct(), exact, bits), sizes)
+    passages = _passages(found, seed_rows, _rare(seed_rows, found, rare, rare_word), seeds)
+    texts = _cut_out(docs, passages)
+    often = texts.groupBy("item_no").agg(F.count("*").alias("n")).join(items, "item_no")
+    rows = lookup(texts, often, "item_no", "n", texts.count(), "inner").select("doc_id", "item_id", "first", "passage", "words")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [align(list(w), p.split(" ")) for w, p in zip(batch["words"], batch["passage"])]
+            out = pd.DataFrame({"doc_id": batch["doc_id"], "item_id": batch["item_id"], "score": [g[0] for g in got], "first_word": [f + g[1] for f, g in zip(batch["first"], got)], "last_word": [f + g[2] - 1 for f, g in zip(batch["first"], got)], "passage": [" ".join(p.split(" ")[g[1] : g[2]]) for p, g in zip(batch["passage"], got)]})
+            yield out[out["score"] >= score]
+
+    spread = rows.repartition(F.xxhash64("doc_id", "item_id", "first"))
+    aligned = spread.mapInPandas(compare, f"doc_id {kind}, item_id long, score double, first_word long, last_word long, passage string")
     best = F.max_by(F.struct("score", "first_word", "last_word", "passage"), F.struct("score", -F.col("first_word"))).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return aligned.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -53,10 +53,10 @@ def planted(spark):
     return frame, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(99, None), (None, "a b c d")], "item_id long, text string"), want
 
 
-@pytest.mark.parametrize("block", [300_000, 100])
-def test_finds_copies_and_nothing_else(planted, block):
+@pytest.mark.parametrize("exact, bits", [(dc.EXACT, dc.BITS), (0, 27), (0, 8)])
+def test_finds_copies_and_nothing_else(planted, exact, bits):
     docs, items, want = planted
-    found = dc.search(docs, items, block_words=block).collect()
+    found = dc.search(docs, items, exact=exact, bits=bits).collect()
     assert sorted((str(r.doc_id), r.item_id) for r in found) == sorted((str(d), i) for d, i in want)
     assert all(0.5 <= r.score <= 1 for r in found)
     texts = {}
@@ -72,6 +72,35 @@ def test_keeps_clean_documents(planted):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id not in {d for d, _ in want})
 
 
+@pytest.mark.parametrize("edits", [0.05, 0.15, 0.25])
+def test_recall_against_plain_alignment(spark, edits):
+    """Every item aligned with every whole document finds hardly more than what the seeds lead to."""
+    rng = random.Random(int(edits * 100))
+    item = [[rng.choice(VOCABULARY) for _ in range(rng.randint(3, 50))] for _ in range(25)]
+    docs = []
+    for _ in range(60):
+        ws = [rng.choice(VOCABULARY) for _ in range(rng.randint(0, 120))]
+        copy = list(rng.choice(item))
+        for k in range(len(copy) - 1, -1, -1):
+            if rng.random() < edits:
+                copy[k : k + 1] = rng.choice([[], ["edited"], [copy[k], "more"], [rng.choice(VOCABULARY)]])
+        at = rng.randint(0, len(ws))
+        ws[at:at] = copy
+        docs.append(ws)
+    want = {(d, i) for d, ws in enumerate(docs) for i, x in enumerate(item) if dc.align(x, ws)[0] >= dc.SCORE}
+    frames = [spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (item, "item_id"))]
+    got = {(r.doc_id, r.item_id) for r in dc.search(*frames).collect()}
+    assert got <= want and len(got) >= (0.9 if edits < 0.2 else 0.8) * len(want) and len(want) >= 40
+
+
+def test_short_and_repeated_items(spark):
+    common = "some words that fill the text of this document up "
+    docs = spark.createDataFrame([(k, common * 200) for k in range(6)] + [(10, common + "Xylophone " + common), (11, common + "red zebra, " + common), (12, common + "zebra red"), (13, "this document")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "xylophone"), (2, "Red zebra"), (2, "of this document up xylophone"), (None, "red zebra some words"), (4, "words"), (5, "")], "item_id long, text string")
+    got = sorted((r.doc_id, str(r.item_id), r.passage) for r in dc.search(docs, items, rare=1e-5).collect())
+    assert got == [(10, "1", "xylophone"), (10, "2", "of this document up xylophone"), (11, "2", "red zebra"), (11, "None", "red zebra some words"), *[x for x in got if x[1] == "None" and x[0] != 11]] and ("4" not in {g[1] for g in got})
+
+
 def test_empty(spark, planted):
     docs, items, _ = planted
     assert dc.search(docs.where("false"), items).count() == 0
