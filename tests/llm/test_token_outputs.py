@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.llm import packing, token_store
 from corpuscle.llm.tokens import default_path, encoder
@@ -94,11 +95,27 @@ def test_packing_whole_and_tight(spark, sf):
 def test_packing_odd_rows(spark, docs, monkeypatch):
     rows = packing.pack(docs, default_path()).collect()
     check_packing(rows, docs.collect())
-    copies = docs.where("doc_id = 6").crossJoin(spark.range(50))
+    copies = docs.where("doc_id = 6").crossJoin(spark.range(50)).repartition(3)
     monkeypatch.setattr(packing, "GROUP_PIECES", 8)
     check_packing(packing.pack(copies, default_path()).collect(), copies.collect())
 
 
+def test_equal_rows_go_to_many_groups(spark):
+    rows = spark.range(0, 8000, 1, 4).selectExpr("7 as doc_id", "'the same text of some words' as text")
+    got = packing.pack(rows, default_path(), groups=16, digest=True)
+    assert got.select(F.shiftright("sequence_id", 36).alias("g")).groupBy("g").count().where("count > 1500").count() == 0
+    assert got.count() == 8000
+
+
+def test_full_pieces_are_not_shuffled(spark, tmp_path):
+    rows = spark.createDataFrame([(k, " ".join(f"w{j}x{k}" for j in range(9000))) for k in range(6)], "doc_id long, text string")
+    plain_rows = packing.pack(rows, default_path())
+    got, digests = plain_rows.collect(), {(r.doc_id, r.start): r for r in packing.digests(rows, default_path()).collect()}
+    assert sum(r.length == 2048 for r in got) > 10 and all((r.sequence_id < 0) == (r.length == 2048) for r in got)
+    assert len({r.sequence_id for r in got if r.sequence_id < 0}) == sum(r.length == 2048 for r in got)
+    assert all(digests[r.doc_id, r.start].ids_crc32 == crc(r.ids) and digests[r.doc_id, r.start].sequence_id == r.sequence_id for r in got)
+
+
 def test_empty(spark, docs):
     none = docs.where("false")
     assert token_store.digests(spark, none, default_path()).count() == 0
