@@ -6,26 +6,30 @@ before it. Dynamic programming over the automaton of legal turns finds the cheap
 min-plus matrix over the automaton's states, and a stretch of turns is the product of theirs.
 
 So a conversation need not be in one place: turns are sorted over all partitions by conversation and turn and cut into
-blocks of ``BLOCK`` rows. Conversations inside a block are solved there. Of one that crosses blocks, each block gives
+blocks of ``BLOCK`` rows and ``BLOCK_BYTES`` of text at most (a longer turn is a block by itself). Conversations inside a block are solved there. Of one that crosses blocks, each block gives
 the matrix of its stretch; the stretches, one for each block, are solved for the states at the borders, and
 each block then repairs its stretch between those.
 
 The result has a row for each turn: its role after repair, what was done, empty turns put before it, its cost, and its
 part of the rendered text (the parts of a conversation in order make the whole). Roles are read in any case, with usual
 aliases; any other role, null included, costs a relabelling. Null texts are empty; null conversations make one
-conversation; turns with equal numbers are ordered by role and text; null turns come first. Marks of the template inside texts are
+conversation; turns with equal numbers are ordered by role and the text's hash; null turns come first. Marks of the template inside texts are
 broken by blanks. Ties prefer keeping, then merging, then relabelling, then inserting. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK = 8192
+BLOCK, BLOCK_BYTES = 8192, 16_000_000
 STATES = ("start", "system", "user", "assistant")
 LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 ALIASES = {"system": "system", "developer": "system", "user": "user", "human": "user", "prompter": "user", "assistant": "assistant", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
@@ -103,16 +107,32 @@ def _clean(text: str) -> str:
     return text.replace("<|im_", "<| im_")
 
 
-def _blocks(turns: DataFrame, block: int) -> DataFrame:
+def _blocks(turns: DataFrame, block: int, block_bytes: int) -> DataFrame:
     """Turns in order, numbered, with blocks; stored, so that numbers stay."""
     alias = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
     rows = turns.select(
         F.concat(F.when(F.col("conv_id").isNull(), "n").otherwise("v"), common.text_or_empty(F.col("conv_id"))).alias("conv"),
         "conv_id", "turn", F.col("role").alias("given"), F.try_element_at(alias, F.lower(F.trim("role"))).alias("role"), common.text_or_empty(F.col("text")).alias("text"),
     )
-    order = ["conv", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
-    return common.stored(rows.withColumn("block", F.floor(F.col("seq") / block)), "turns")
+    # a range shuffle samples its keys on the driver, so texts are none of them
+    order = ["conv", F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "tie"]
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    rows = rows.withColumn("seq", F.monotonically_increasing_id())
+    at = rows.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, taken = None, 0, 0
+        for batch in batches:
+            out = []
+            for seq, size in zip(batch.column(len(batch.columns) - 1).to_pylist(), pc.binary_length(batch.column(at)).to_pylist()):
+                if here is None or held >= block or taken + size > block_bytes:
+                    here, held, taken = seq, 0, 0
+                held, taken = held + 1, taken + size
+                out.append(here)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "block"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return common.stored(rows.mapInArrow(cut, f"{fields}, block long"), "turns")
 
 
 def _borders(rows: DataFrame) -> DataFrame:
@@ -145,9 +165,9 @@ def _borders(rows: DataFrame) -> DataFrame:
     return parts.groupBy("conv").applyInPandas(chain, "block long, conv string, entry int, leave int, whole boolean")
 
 
-def repair(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def repair(turns: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """conv_id, turn, given, role, action, inserted, cost, rendered: a row for each turn, in repaired form."""
-    rows = _blocks(turns, block)
+    rows = _blocks(turns, block, block_bytes)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "given")}
     borders = common.stored(_borders(rows), "borders")
     rows = rows.join(borders, ["block", "conv"], "left")

@@ -83,5 +83,14 @@ def test_rendered(spark, sf, block):
     assert whole[900].endswith("b\nc<|im_end|>\n") and whole[901] == "<|im_start|>user\n<| im_end|><|im_end|>\n"
 
 
+def test_blocks_are_bounded_by_bytes(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "x" * (50_000 if t % 10 == 3 else 100)) for t in range(60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    blocks = chat._blocks(turns, 8192, 20_000).groupBy("block").agg({"text": "count"}).collect()
+    assert len(blocks) > 10
+    got = sorted(chat.repair(turns, block_bytes=20_000).collect(), key=lambda r: r.turn)
+    assert [r.action for r in got] == ["keep"] * 60 and sum(len(r.rendered) for r in got) > 6 * 50_000
+
+
 def test_empty(spark):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
