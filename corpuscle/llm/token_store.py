@@ -27,6 +27,8 @@ from .tokens import encoder
 END_ID = 2
 #: Rows of a row group, for each of which the writer keeps statistics and a Bloom filter.
 ROW_GROUP = 1000
+#: Bytes that a stripe's columns take in memory before it is written.
+STRIPE_BYTES = 64 << 20
 #: Ids that a batch of the encoder's output holds at most, unless one document alone has more.
 BATCH_IDS = 2_000_000
 
@@ -52,17 +54,20 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Writes (position, doc_id, ids) to ORC files; ``position`` ascends with the ids of documents over all files."""
     text = common.text_or_empty(F.col("text"))
-    ordered = docs.select("doc_id", text.alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges cut by the text's hash too, so that many rows of one id are several files
+    ordered = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows = encode(ordered, tokenizer_path, end_id).select(F.monotonically_increasing_id().alias("position"), "doc_id", "ids")
     (
         rows.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROW_GROUP))
+        .option("orc.stripe.size", str(stripe_bytes))
+        .option("orc.rows.between.memory.checks", str(ROW_GROUP))
         .option("orc.encoding.strategy", "SPEED")
         .option("compression", "zstd")
         .orc(path)

@@ -52,6 +52,43 @@ def test_store_prunes_by_id(spark, docs, tmp_path):
     assert found.head().ids == plain(ODD[4], 2)
 
 
+def scanned(df):
+    """Rows that the scan of ``df`` gives once it has skipped stripes and row groups."""
+    rows = df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return rows, sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_stripes_and_row_groups_are_skipped(spark, tmp_path):
+    from pyarrow import orc
+
+    path = f"file://{tmp_path}/store"
+    rows = spark.range(0, 12_000, 2, 1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), i -> concat('w', hash(id, i)))) as text")
+    token_store.write(rows.coalesce(1), path, default_path(), stripe_bytes=100_000)
+    files = sorted(tmp_path.glob("store/*.orc"))
+    stripes = [orc.ORCFile(str(f)).nstripes for f in files]
+    assert max(stripes) > 1
+    store = token_store.read(spark, path)
+    got, n = scanned(store.where("doc_id = 5000"))
+    assert [r.doc_id for r in got] == [5000] and n <= token_store.ROW_GROUP
+    # an odd id is inside a row group's range, but not in its Bloom filter
+    assert sum(scanned(store.where(f"doc_id = {k}"))[1] for k in range(5001, 5041, 2)) <= 2 * token_store.ROW_GROUP
+    first = store.agg(F.min("position")).head()[0]
+    assert scanned(store.where(f"position = {first}"))[1] <= token_store.ROW_GROUP
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    path = f"file://{tmp_path}/store"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the test's partitions are tiny
+    try:
+        token_store.write(rows, path, default_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in token_store.read(spark, path).groupBy(F.shiftright("position", 33).alias("file")).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+
+
 def test_first_fit_decreasing_equals_plain():
     rng = random.Random(1)
     for n in (1, 2, 5, 300):
