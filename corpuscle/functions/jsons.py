@@ -6,11 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What opens and closes a block of code in a text (a fixed value), and the language that may follow it.
+FENCE, LANGUAGE = "```", "json"
+
+
+def fenced(text: Column) -> Column:
+    """What the first block of code in ``text`` holds, without blanks around it; null without a closed block."""
+    inside = F.split_part(text, F.lit(FENCE), F.lit(2))
+    closed = F.length(text) - F.length(F.replace(text, F.lit(FENCE), F.lit(""))) >= 2 * len(FENCE)
+    bare = F.when(F.startswith(inside, F.lit(LANGUAGE)), F.substr(inside, F.lit(len(LANGUAGE) + 1))).otherwise(inside)
+    return F.when(closed, F.regexp_replace(bare, r"^\s+|\s+$", ""))
+
+
 def parsed(text: Column | str) -> Column:
     """The object in ``text`` as a variant: of a fenced block if there is one, else the whole, else its outermost braces; null without any."""
     raw = F.trim(F.col(text) if isinstance(text, str) else text)
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    body = F.when(fenced == "", raw).otherwise(fenced)
+    body = F.coalesce(F.nullif(fenced(raw), F.lit("")), raw)
     braces = F.regexp_extract(body, r"(?s)\{.*\}", 0)
     # an empty string is no JSON, so a text without braces gives null
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(braces))

@@ -6,6 +6,9 @@ it more than once then read the column and don't split the text again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """How texts become tokens, and what stands between tokens when they become a text again.
+
+    ``split`` gives an array of strings without empty ones; it may be a built-in expression or a pandas UDF.
+    """
+
+    split: Callable[[Column], Column]
+    joiner: str = " "
+
+    def tokens(self, text: Column | str) -> Column:
+        return self.split(_col(text))
+
+    def count(self, text: Column | str) -> Column:
+        return F.coalesce(F.size(self.tokens(text)), F.lit(0))
+
+
 def tokens(text: Column | str) -> Column:
     return F.filter(F.split(_col(text), r"\s+"), lambda x: x != "")
 
@@ -24,14 +44,18 @@ def count_tokens(text: Column | str) -> Column:
     return F.coalesce(F.size(tokens(text)), F.lit(0))
 
 
-def joined(toks: Column, first: Column | int, n: Column | int) -> Column:
-    return F.array_join(F.slice(toks, first, n), " ")
+#: Tokens are what white space separates.
+WHITE_SPACE = Tokenizer(tokens)
+
+
+def joined(toks: Column, first: Column | int, n: Column | int, joiner: str = " ") -> Column:
+    return F.array_join(F.slice(toks, first, n), joiner)
 
 
-def truncated(text: Column, toks: Column, limit: int, marker: str = MARKER) -> Column:
+def truncated(text: Column, toks: Column, limit: int, marker: str = MARKER, joiner: str = " ") -> Column:
     """At most ``limit`` tokens with the marker's among them; a text that fits stays as it is."""
     room = limit - len(marker.split())
-    cut = F.lit(marker.strip()) if room <= 0 else F.concat(joined(toks, 1, room), F.lit(marker))
+    cut = F.lit(marker.strip()) if room <= 0 else F.concat(joined(toks, 1, room, joiner), F.lit(marker))
     return F.when(F.size(toks) <= limit, text).otherwise(cut)
 
 

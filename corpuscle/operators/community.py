@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut_lineage
+from ..sources.tables import cut_lineage, numbered
 from . import connect
 
 #: Members of the largest community that one task splits.
@@ -140,7 +140,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, max_size: int = 10, max_levels
 def _named(labels: DataFrame, level: str) -> DataFrame:
     """Community ids in the order of their smallest members."""
     first = labels.groupBy("label").agg(F.min("node_id").alias("first"))
-    index = first.withColumn("index", F.row_number().over(Window.orderBy("first")) - 1)
+    index = numbered(first, ["first"], "index")
     return labels.join(index, "label").select("node_id", F.lit(level).alias("level"), F.format_string("comm_%s_%04d", F.lit(level), "index").alias("community_id"))
 
 

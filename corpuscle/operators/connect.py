@@ -15,10 +15,10 @@ def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str,
     """Join of ``rows`` and ``table`` on ``key``, without ``weight``; ``table`` has each key once.
 
     ``weight`` is the number of ``rows`` that have the key, and ``total`` the number of all. Keys with 1/10,000 of all
-    rows (1,000 at least) are broadcast: they are 10,000 at most, whatever the size of the data. Others are joined by a
+    rows (100 at least) are broadcast: they are 10,000 at most, whatever the size of the data. Others are joined by a
     shuffle in which no key has more rows than that. ``rows`` is read twice and should be a stored table.
     """
-    keys, heavy = [key] if isinstance(key, str) else key, max(1000, total // HOT_SHARE)
+    keys, heavy = [key] if isinstance(key, str) else key, max(100, total // HOT_SHARE)
     hot, cold = (table.where(c).drop(weight) for c in (F.col(weight) >= heavy, F.col(weight) < heavy))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +56,21 @@ def criterion_results(rows: DataFrame, first: str = "global", second: str = "loc
 
 
 def binomial_tail(k: Column | str, n: Column | str) -> Column:
-    """Chance of k or more heads in n tosses of a fair coin, by sums of logarithms of factorials; null without tosses."""
+    """Chance of k or more heads in n tosses of a fair coin; null without tosses. One pass over 0…n with two numbers of state."""
     k, n = (F.col(c) if isinstance(c, str) else c for c in (k, n))
-    table = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(F.lit(0.0)), lambda s, i: F.concat(s, F.array(F.element_at(s, -1) + F.log(i.cast("double")))))
-    rows = F.transform(F.array(F.struct(table.alias("f"), k.cast("int").alias("k"), n.cast("int").alias("n"))), lambda t: F.aggregate(F.sequence(t["k"], t["n"]), F.lit(0.0), lambda s, i: s + F.exp(F.get(t["f"], t["n"]) - F.get(t["f"], i) - F.get(t["f"], t["n"] - i) - t["n"] * F.log(F.lit(2.0)))))
-    return F.when(n > 0, F.least(F.lit(1.0), F.get(rows, F.lit(0))))
+    one = F.array(F.struct(k.cast("int").alias("k"), n.cast("int").alias("n")))
+
+    def tail(t: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+
+        def step(s: Column, i: Column) -> Column:
+            # the logarithm of n over i, from that of n over i - 1
+            log = s["log"] + F.when(i > 0, F.log((t["n"] - i + 1) / i)).otherwise(0.0)
+            return F.struct(log.alias("log"), (s["sum"] + F.when(i >= t["k"], F.exp(log - t["n"] * math.log(2))).otherwise(0.0)).alias("sum"))
+
+        return F.aggregate(F.sequence(F.lit(0), t["n"]), start, step, lambda s: s["sum"])
+
+    return F.when(n > 0, F.least(F.lit(1.0), F.get(F.transform(one, tail), F.lit(0))))
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -71,21 +83,51 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def signed_ranks(rows: DataFrame, difference: str, by: list[str]) -> DataFrame:
-    """Wilcoxon's sums of the ranks of positive and negative differences; zeros are left out, ties share their mean rank."""
-    rows = rows.where(F.col(difference) != 0).withColumn("_size", F.abs(difference))
-    order = Window.partitionBy(*by).orderBy("_size")
-    ties = F.count("*").over(Window.partitionBy(*by, "_size"))
-    rows = rows.withColumn("_rank", F.rank().over(order) + (ties - 1) / 2.0)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(difference) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"))
-
-
-def signed_rank_p(w_plus: Column | str, n: Column | str) -> Column:
-    """One-sided p-value of ``w_plus`` by the normal approximation with correction for continuity."""
-    w, n = (F.col(c) if isinstance(c, str) else c for c in (w_plus, n))
-    z = (w - n * (n + 1) / 4 - 0.5) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0)
+    """Wilcoxon's sums of the ranks of positive and negative differences; zeros are left out, ties share their mean rank.
+
+    Equal sizes are counted first, so what is ranked is one row for each size. Also the number of zeros, and the sum of t³ - t
+    over groups of t ties, which the p-value asks for.
+    """
+    d = F.col(difference)
+    sizes = rows.groupBy(*by, F.abs(d).alias("_size")).agg(F.count_if(d > 0).alias("_up"), F.count_if(d < 0).alias("_down"), F.count_if(d == 0).alias("_zero"))
+    sizes = sizes.withColumn("_n", F.col("_up") + F.col("_down"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_rank", F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0)
+    return sizes.groupBy(*by).agg(
+        F.sum("_n").alias("n"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum(F.col("_down") * F.col("_rank")).alias("w_minus"),
+        F.sum("_zero").alias("zeros"), F.sum(F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")).alias("tied"),
+    ).where("n > 0")
+
+
+#: Differences up to which the p-value is exact, if there are neither zeros nor ties.
+EXACT_N = 50
+
+
+def _exact_tail(w: Column, n: Column) -> Column:
+    """Chance that the ranks 1…n with random signs have positive ones that sum up to ``w`` or more."""
+    one = F.array(F.struct(w.cast("int").alias("w"), n.cast("int").alias("n")))
+    # how many subsets of the ranks so far have each sum, as doubles: they are whole numbers up to 2**50
+    start = lambda t: F.transform(F.sequence(F.lit(0), (t["n"] * (t["n"] + 1) / 2).cast("int")), lambda x: (x == 0).cast("double"))
+    more = lambda s, r: F.transform(s, lambda c, i: c + F.when(i >= r, F.get(s, i - r)).otherwise(0.0))
+    tail = lambda t: F.aggregate(F.sequence(F.lit(1), t["n"]), start(t), more, lambda s: F.aggregate(F.slice(s, t["w"] + 1, F.size(s)), F.lit(0.0), lambda x, c: x + c)) / F.pow(F.lit(2.0), t["n"])
+    return F.get(F.transform(one, tail), F.lit(0))
+
+
+def signed_rank_p(w_plus: Column | str, n: Column | str, tied: Column | str | None = None, zeros: Column | str | None = None) -> Column:
+    """One-sided p-value of ``w_plus``: exact for up to ``EXACT_N`` differences without zeros and ties, else by the normal
+    approximation with its variance lessened by ties. Null without differences."""
+    w, n, tied, zeros = (F.lit(0) if c is None else F.col(c) if isinstance(c, str) else c for c in (w_plus, n, tied, zeros))
+    z = (w - n * (n + 1) / 4) / F.sqrt((n * (n + 1) * (2 * n + 1) - tied / 2.0) / 24.0)
     t = 1 / (1 + 0.2316419 * F.abs(z))
     tail = F.exp(-z * z / 2) / F.sqrt(2 * F.pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.when(n > 0, F.when(z >= 0, tail).otherwise(1 - tail))
+    exact = (n <= EXACT_N) & (tied == 0) & (zeros == 0)
+    return F.when(n > 0, F.when(exact, _exact_tail(w, F.least(n, F.lit(EXACT_N)))).when(z >= 0, tail).otherwise(1 - tail))
+
+
+def compared_counts_p(rows: DataFrame, first: str = "claims_first", second: str = "claims_second") -> DataFrame:
+    """(n, p_value) of ``first`` being greater than ``second`` over all rows; null if no two differ."""
+    ranks = signed_ranks(rows.withColumn("_d", F.col(first) - F.col(second)).withColumn("_all", F.lit(1)), "_d", ["_all"])
+    return ranks.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max(signed_rank_p("w_plus", "n", "tied", "zeros")).alias("p_value"))
 
 
 def token_usage(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -72,6 +72,23 @@ def normal(name: str) -> Column:
     return F.lower(tx.stripped(name))
 
 
+def types_of(entities: DataFrame) -> DataFrame:
+    """(entity_type, n): how many extracted entities are of each type, the commonest first."""
+    return entities.groupBy("entity_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_type")
+
+
+def distinct_in_order(rows: DataFrame, key: Column, order: list, by: list[str]) -> DataFrame:
+    """The first row of each value of ``key`` in its group, in the order that the group had."""
+    rank = F.row_number().over(Window.partitionBy(*by, key).orderBy(*order))
+    return rows.withColumn("_first", rank).where("_first = 1").drop("_first")
+
+
+def batch_result(rows: DataFrame, seconds: float) -> DataFrame:
+    """``stats`` of a batch with its success rate (0 for an empty batch), its duration, and chunks a second."""
+    found = stats(rows).withColumn("success_rate", F.coalesce(F.try_divide("successful", "total"), F.lit(0.0)))
+    return found.withColumns({"elapsed_seconds": F.lit(float(seconds)), "chunks_per_second": F.col("total") / F.lit(seconds) if seconds > 0 else F.lit(0.0)})
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """Totals over extraction rows (chunk_id, entities, relationships, claims: counts; extraction_completed)."""
     per = lambda c: F.bround(F.try_divide(F.sum(F.when(F.col("extraction_completed"), F.col(c)).otherwise(0)), F.count_if("extraction_completed")), 1)

@@ -1,40 +1,62 @@
 """Entity graph: merges of mentions into nodes and of pairs into edges, degrees and statistics.
 
-First-seen order is a number, ``chunk_ord * 1000000 + pos``, so every tie has one answer whatever the partitioning.
+First-seen order is that of (chunk_ord, pos), whatever their types, so every tie has one answer whatever the partitioning.
+Where a name was seen is a table of pairs (``provenance``), as a name may be in every chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-ORD = "chunk_ord * 1000000 + pos"
+#: Characters of distinct descriptions that a node or edge keeps, in first-seen order; a row can't hold any number of them.
+TEXT_BUDGET = 1_000_000
 
 
-def _texts(rows: DataFrame, keys: list[str], text: str = "description") -> DataFrame:
-    """Distinct texts of each key that aren't empty, in first-seen order, joined by blanks."""
+def _ord() -> Column:
+    return F.struct("chunk_ord", "pos")
+
+
+def _texts(rows: DataFrame, keys: list[str], text: str = "description", budget: int = TEXT_BUDGET) -> DataFrame:
+    """Distinct texts of each key that aren't empty, in first-seen order, joined by blanks; as many as fit the budget."""
     first = rows.where(F.col(text) != "").groupBy(*keys, text).agg(F.min("ord").alias("ord"))
+    # the running sum reads a key's texts as a stream, in the shuffle that brings them together anyway
+    order = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(order), F.lit(0))).where(F.col("_before") + F.length(text) <= F.greatest(F.lit(budget), F.length(text)))
     return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text))), lambda x: x[text]), " ").alias(text))
 
 
+def provenance(rows: DataFrame, *names: str) -> DataFrame:
+    """The distinct (names…, chunk_ord) of mentions or pairs: names normalised, those of a pair in order."""
+    ids = [tx.node_id(n) for n in names]
+    if len(ids) == 2:
+        ids = [F.least(*ids), F.greatest(*ids)]
+    keys = ["node_id"] if len(ids) == 1 else ["src", "dst"]
+    found = rows.select(*(c.alias(k) for c, k in zip(ids, keys)), "chunk_ord").distinct()
+    return found.where(" and ".join(f"{k} <> ''" for k in keys) + (" and src <> dst" if len(keys) == 2 else ""))
+
+
 def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: int = 1) -> DataFrame:
-    """One row for each normalised name: longest name, commonest type, descriptions, chunks, mentions, claims."""
-    rows = entities.withColumn("node_id", tx.node_id("name")).where("node_id <> ''").withColumn("ord", F.expr(ORD))
+    """One row for each normalised name: longest name, commonest type, descriptions, number of chunks, mentions, claims."""
+    rows = entities.withColumn("node_id", tx.node_id("name")).where("node_id <> ''").withColumn("ord", _ord())
     kinds = rows.groupBy("node_id", "entity_type").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    kind = kinds.groupBy("node_id").agg(F.max_by("entity_type", F.struct("n", -F.col("ord"))).alias("entity_type"))
-    main = rows.groupBy("node_id").agg(
-        F.max_by("name", F.struct(F.length("name"), -F.col("ord"))).alias("name"), F.count("*").alias("mention_count"),
-        F.array_sort(F.collect_set("chunk_ord")).alias("chunks"), F.min("chunk_ord").alias("first_chunk"), F.min("ord").alias("first_ord"),
+    kind = kinds.groupBy("node_id").agg(F.min_by("entity_type", F.struct(-F.col("n"), "ord")).alias("entity_type"))
+    # a chunk's mentions of a name are one row of the second step
+    main = rows.groupBy("node_id", "chunk_ord").agg(F.min_by("name", F.struct(-F.length("name"), "ord")).alias("name"), F.min("ord").alias("ord"), F.count("*").alias("n"))
+    longest = F.struct(-F.length("name"), "ord")
+    main = main.groupBy("node_id").agg(
+        F.min_by("name", longest).alias("name"), F.sum("n").alias("mention_count"), F.count("*").alias("n_chunks"),
+        F.min("chunk_ord").alias("first_chunk"), F.min("ord").alias("first_ord"),
     )
     out = main.join(kind, "node_id").join(_texts(rows, ["node_id"]), "node_id", "left")
     out = out.withColumn("description", F.coalesce("description", F.concat(F.lit("Entity: "), "name")))
     if claims is not None:
-        found = claims.withColumn("node_id", tx.node_id("subject_entity")).withColumn("ord", F.expr(ORD))
+        found = claims.withColumn("node_id", tx.node_id("subject_entity")).withColumn("ord", _ord())
         found = found.join(main.select("node_id", "first_chunk"), "node_id").where("first_chunk <= chunk_ord")
-        found = found.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "claim_description"))), lambda x: x["claim_description"]).alias("claims"))
-        out = out.join(found, "node_id", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<string>")))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "claim_description"))), lambda x: x["claim_description"])
+        out = out.join(found.groupBy("node_id").agg(listed.alias("claims")), "node_id", "left").withColumn("claims", F.coalesce("claims", F.array().cast("array<string>")))
     return out.where(F.col("mention_count") >= min_mentions) if min_mentions > 1 else out
 
 
@@ -44,13 +66,19 @@ def node_ids(entities: DataFrame, min_mentions: int = 1) -> DataFrame:
     return rows.where(F.col("n") >= min_mentions).select("node_id")
 
 
-def edges(relationships: DataFrame, node_table: DataFrame) -> DataFrame:
-    """One row for each unordered pair of nodes: occurrences, mean strength, descriptions, chunks; no loops."""
+def edges(relationships: DataFrame, node_table: DataFrame | None = None) -> DataFrame:
+    """One row for each unordered pair of nodes: occurrences, mean strength, descriptions, number of chunks; no loops.
+
+    Without ``node_table`` all ends are taken for nodes, as they are when pairs come from the mentions themselves.
+    """
     rows = relationships.withColumn("a", tx.node_id("source_entity")).withColumn("b", tx.node_id("target_entity")).where("a <> b and a <> '' and b <> ''")
-    ids = node_table.select("node_id")
-    rows = rows.join(ids.withColumnRenamed("node_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("node_id", "b"), "b", "left_semi")
-    rows = rows.withColumn("src", F.least("a", "b")).withColumn("dst", F.greatest("a", "b")).withColumn("ord", F.expr(ORD))
-    main = rows.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"), F.round(F.avg("strength"), 2).alias("avg_strength"), F.array_sort(F.collect_set("chunk_ord")).alias("chunks"), F.min("ord").alias("first_ord"))
+    if node_table is not None:
+        ids = node_table.select("node_id")
+        rows = rows.join(ids.withColumnRenamed("node_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("node_id", "b"), "b", "left_semi")
+    rows = rows.withColumn("src", F.least("a", "b")).withColumn("dst", F.greatest("a", "b")).withColumn("ord", _ord())
+    main = rows.groupBy("src", "dst", "chunk_ord").agg(F.count("*").alias("n"), F.sum("strength").alias("strength"), F.min("ord").alias("ord"))
+    mean = F.round(F.sum("strength") / F.sum("n"), 2)
+    main = main.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("weight"), mean.alias("avg_strength"), F.count("*").alias("n_chunks"), F.min("ord").alias("first_ord"))
     return main.join(_texts(rows, ["src", "dst"]), ["src", "dst"], "left").withColumn("edge_id", F.concat_ws("__", "src", "dst"))
 
 

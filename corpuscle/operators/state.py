@@ -28,19 +28,35 @@ def progress(every: DataFrame, state: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("extracted") - F.col("failed"))).withColumn("percent", done)
 
 
-def next_stage(stages: DataFrame) -> DataFrame:
-    """(stage) of the first stage in order that isn't complete, or null; ``stages`` has stage and done."""
+def next_stage(stages: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(stage) of the first stage in order that isn't complete, or null; ``stages`` has stage and done, for each of ``by``."""
     order = F.create_map(*(x for i, s in enumerate(STAGES) for x in (F.lit(s), F.lit(i))))
-    return stages.agg(F.min_by("stage", F.when(~F.col("done"), F.try_element_at(order, F.col("stage")))).alias("stage"))
+    return stages.groupBy(*(by or [])).agg(F.min_by("stage", F.when(~F.col("done"), F.try_element_at(order, F.col("stage")))).alias("stage"))
 
 
-def ready(chunks: Column, graph: Column, communities: Column, reports: Column, vectors: Column) -> dict[str, Column]:
-    """Which kinds of questions stored artifacts can answer."""
-    return {"is_fully_indexed": chunks & graph & communities & reports & vectors, "global_ready": graph & communities & reports, "local_ready": chunks & vectors}
+def ready(done: dict[str, bool]) -> dict[str, bool]:
+    """Which kinds of questions the stages that are done let answer."""
+    graph = done["graph_construction"] and done["community_detection"] and done["summarization"]
+    return {"fully_indexed": all(done[s] for s in STAGES), "global_ready": graph, "local_ready": done["chunking"] and done["embedding"]}
+
+
+def newest(runs: DataFrame, at: str, limit: int = 20) -> DataFrame:
+    """The latest runs first, at most ``limit``."""
+    return runs.orderBy(F.desc(at)).limit(limit)
+
+
+def merged_runs(first: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Both lists of runs; a run in both counts as it is in ``first``."""
+    return first.unionByName(other.join(first.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def pages(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page, counted from 1, of at most 100 rows."""
+    """One page, counted from 1, of at most 100 rows; ``counted`` gives the number of all rows too."""
     if page < 1 or not 1 <= size <= 100:
         raise ValueError("pages are counted from 1 and have 1 to 100 rows")
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
+
+
+def counted(rows: DataFrame, order: list, page: int, size: int) -> tuple[int, DataFrame]:
+    """The number of all rows, and one page of them."""
+    return rows.count(), pages(rows, order, page, size)

@@ -72,9 +72,9 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cited_context(hits: DataFrame, budget: int, order: list) -> DataFrame:
+def cited_context(hits: DataFrame, budget: int, order: list, tokenizer: tx.Tokenizer = tx.WHITE_SPACE) -> DataFrame:
     """Hits in rank order that fit, by the tokens of their bare texts, each with its citation."""
-    kept = fill(hits, tx.count_tokens("text"), budget, order, spread=1)  # hits are the best k
+    kept = fill(hits, tokenizer.count("text"), budget, order, spread=False)  # hits are the best k
     return kept.withColumn("cited", F.concat(F.format_string("[Source: %s, Score: %.3f]\n", "source", "score"), "text"))
 
 

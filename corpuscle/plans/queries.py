@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,18 +107,27 @@ def context_pack(spark, sf):
     return chunking.pack(read(spark, sf, "documents"), 8000, "source", ["doc_id"])
 
 
-@query()
+@query(f"""
+with t as (select source, doc_id, text, len({TOK.format("text")}) as cost, row_number() over (partition by source order by md5('42:' || doc_id), doc_id) as rn from documents),
+u as (select *, sum(cost) over (partition by source order by rn) as used from t),
+k as (select source, string_agg(text, chr(10) || chr(10) order by rn) as context, count(*) as included, max(used)::bigint as used_tokens,
+  string_agg(doc_id::varchar, ',' order by rn) as doc_ids from u where used <= 8000 group by source)
+select a.source, coalesce(context, '') as context, coalesce(included, 0) as included, coalesce(used_tokens, 0) as used_tokens, coalesce(included, 0) < a.items as truncated,
+  coalesce(doc_ids, '') as doc_ids
+from (select source, count(*) as items from documents group by source) a left join k using (source)""")
 def context_pack_shuffled(spark, sf):
     """The same with items in a seeded order without position bias."""
-    return chunking.pack(read(spark, sf, "documents"), 8000, "source", [chunking.shuffled("doc_id"), "doc_id"])
+    rows = chunking.pack(read(spark, sf, "documents"), 8000, "source", [chunking.shuffled("doc_id"), "doc_id"], index=F.col("doc_id").cast("string"))
+    return rows.withColumn("doc_ids", F.coalesce(listed("indices", ","), F.lit(""))).drop("indices")
 
 
 @query("""
 with v as (select doc_id, case doc_id % 7 when 0 then to_json(text)::varchar when 1 then json_object('text', text, 'lang', lang, 'n', n_chars)::varchar
-  when 2 then json_object('text', '', 'content', 'c' || doc_id, 'metadata', json_object('lang', 'own'), 'lang', lang)::varchar when 3 then json_object('article', source, 'list', [1, 2])::varchar
+  when 2 then json_object('text', '', 'content', 'c' || doc_id, 'metadata', json_object('lang', 'own'), 'lang', lang)::varchar when 3 then json_object('article', source, 'list', [1, 2], 'note', '[draft] ' || lang, 'brace', '{x')::varchar
   when 4 then '[1, 2]' when 5 then '{broken' else text end as body from documents)
 select doc_id, case doc_id % 7 when 2 then 'c' || doc_id when 3 then (select source from documents d where d.doc_id = v.doc_id) when 4 then null when 5 then null else (select text from documents d where d.doc_id = v.doc_id) end as text,
-  case doc_id % 7 when 1 then 'lang=' || (select lang from documents d where d.doc_id = v.doc_id) || '|n=' || (select n_chars from documents d where d.doc_id = v.doc_id) when 2 then 'lang=own' else '' end as metadata, doc_id % 7 in (4, 5) as failed
+  case doc_id % 7 when 1 then 'lang=' || (select lang from documents d where d.doc_id = v.doc_id) || '|n=' || (select n_chars from documents d where d.doc_id = v.doc_id) when 2 then 'lang=own'
+  when 3 then 'brace={x|note=[draft] ' || (select lang from documents d where d.doc_id = v.doc_id) else '' end as metadata, doc_id % 7 in (4, 5) as failed
 from v""")
 def document_parse(spark, sf):
     d = read(spark, sf, "documents")
@@ -129,7 +137,7 @@ def document_parse(spark, sf):
     body = (
         F.when(kind == 0, quoted).when(kind == 1, js(text=F.col("text"), lang=F.col("lang"), n=F.col("n_chars")))
         .when(kind == 2, js(text=F.lit(""), content=F.concat(F.lit("c"), F.col("doc_id")), metadata=F.struct(F.lit("own").alias("lang")), lang=F.col("lang")))
-        .when(kind == 3, js(article=F.col("source"), list=F.array(F.lit(1), F.lit(2)))).when(kind == 4, "[1, 2]").when(kind == 5, "{broken").otherwise(F.col("text"))
+        .when(kind == 3, js(article=F.col("source"), list=F.array(F.lit(1), F.lit(2)), note=F.concat(F.lit("[draft] "), "lang"), brace=F.lit("{x"))).when(kind == 4, "[1, 2]").when(kind == 5, "{broken").otherwise(F.col("text"))
     )
     rows = tables.parsed_documents(d.select("doc_id", (kind != 6).alias("is_json"), body.alias("body")))
     pairs = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.concat(k, F.lit("="), F.try_element_at("metadata", k)))
@@ -176,11 +184,9 @@ def vector_normalize(spark, sf):
 with a as (select vec_id as index_id, label from embeddings where label % 2 = 0), b as (select row_number() over (order by vec_id) - 1 as i, label from embeddings where label % 2 = 1)
 select index_id, label from a union all select i + (select coalesce(max(index_id) + 1, 0) from a), label from b""")
 def vector_add(spark, sf):
-    from pyspark.sql import Window
-
     e = read(spark, sf, "embeddings")
     old = e.where("label % 2 = 0").select(F.col("vec_id").alias("index_id"), "label")
-    new = e.where("label % 2 = 1").select((F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("index_id"), "label")
+    new = tables.numbered(e.where("label % 2 = 1").select("vec_id", "label"), ["vec_id"], "index_id").select("index_id", "label")
     return vector.added(old, new)
 
 
@@ -212,7 +218,7 @@ u as (select *, cast(row_number() over (order by score desc, vec_id) as int) as
 select rank, vec_id, used::bigint as used from u where used <= 8000""")
 def search_fill_context(spark, sf):
     rows = _hits(spark, sf).withColumn("token_count", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(tx.count_tokens("text")))
-    return chunking.fill(rows, vector.stored_cost(), 8000, [F.desc("score"), "vec_id"], spread=1).select("rank", "vec_id", F.col("used").cast("long").alias("used"))
+    return chunking.fill(rows, vector.stored_cost(), 8000, [F.desc("score"), "vec_id"], spread=False).select("rank", "vec_id", F.col("used").cast("long").alias("used"))
 
 
 @query(f"""
@@ -294,12 +300,13 @@ ptexts as (select src, dst, string_agg(d, ' ' order by o) as description from (s
 edges as (select src, dst, count(*)::double as weight, round(avg(length(name) % 10 + 1), 2) as avg_strength, min(ord) as first_ord, any_value(t.description) as description from pairs join ptexts t using (src, dst) group by src, dst),
 deg as (select n.node_id, coalesce(d.degree, 0) as degree from nodes n left join (select node_id, count(*) as degree from (select src as node_id from edges union all select dst from edges) group by node_id) d using (node_id)),
 cedges as (select e.*, a.degree + b.degree as combined_degree from edges e join deg a on a.node_id = e.src join deg b on b.node_id = e.dst),
-strong as (select * from cedges where weight >= 3),
-links as (select src as a, dst as b from strong union select dst, src from strong),
-reach as (select a as node_id, a as found from links union select r.node_id, l.b from reach r join links l on l.a = r.found),
-comps as (select node_id, min(found) as component from reach group by node_id),
+links as (select src as a, dst as b from edges union select dst, src from edges),
+reach(node_id, component) using key (node_id) as (
+  select a, least(a, min(b)) from links group by a
+  union select l.b, min(r.component) from reach r join links l on l.a = r.node_id join recurring.reach known on known.node_id = l.b where r.component < known.component group by l.b),
+comps as (select node_id, component from reach),
 membership as (select node_id, 'c0' as level, 'comm_' || component as community_id from comps union all select node_id, 'c1', 'comm_' || component || '_' || length(node_id) % 3 from comps),
-internal as (select a.level, a.community_id, e.src, e.dst from strong e join membership a on a.node_id = e.src join membership b on b.node_id = e.dst and b.level = a.level and b.community_id = a.community_id),
+internal as (select a.level, a.community_id, e.src, e.dst from cedges e join membership a on a.node_id = e.src join membership b on b.node_id = e.dst and b.level = a.level and b.community_id = a.community_id),
 sizes as (select level, community_id, count(*) as n from membership group by all)
 """
 
@@ -316,23 +323,25 @@ def _nodes(found: DataFrame) -> DataFrame:
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     found = _mentions(spark, sf)
     nodes = _nodes(found)
-    return nodes, graph.edges(extract.adjacent(found), graph.node_ids(found))
+    return nodes, graph.edges(extract.adjacent(found))
+
 
+def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges with combined degrees, and two nested levels of groups of nodes, over the whole graph.
 
-def _strong(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges of weight 3 or more with combined degrees, and two levels of communities on those."""
+    The levels are components and parts of those, which SQL can say; ``leiden_communities`` has the levels of the clustering.
+    """
     nodes, edges = _graph(spark, sf)
-    edges = graph.combined_degrees(edges, graph.degrees(nodes, edges))
-    strong = tables.cut_lineage(edges.where("weight >= 3"))
-    comps = community.components(strong)
+    edges = tables.cut_lineage(graph.combined_degrees(edges, graph.degrees(graph.node_ids(_mentions(spark, sf)), edges)))
+    comps = tables.cut_lineage(community.components(edges))
     c0 = comps.select("node_id", F.lit("c0").alias("level"), F.concat(F.lit("comm_"), "component").alias("community_id"))
     c1 = comps.select("node_id", F.lit("c1").alias("level"), F.concat(F.lit("comm_"), "component", F.lit("_"), (F.length("node_id") % 3).cast("string")).alias("community_id"))
-    return nodes, strong, c0.unionByName(c1)
+    return nodes, edges, c0.unionByName(c1)
 
 
 @query(GRAPH + "select node_id, name, entity_type, description, mention_count, n_chunks, first_chunk, claims from nodes")
 def entity_nodes(spark, sf):
-    return _nodes(_mentions(spark, sf)).select("node_id", "name", "entity_type", "description", "mention_count", F.size("chunks").cast("long").alias("n_chunks"), "first_chunk", listed("claims").alias("claims"))
+    return _nodes(_mentions(spark, sf)).select("node_id", "name", "entity_type", "description", "mention_count", "n_chunks", "first_chunk", listed("claims").alias("claims"))
 
 
 @query(GRAPH + "select node_id, mention_count from nodes where mention_count >= 3")
@@ -349,14 +358,14 @@ def relationship_edges(spark, sf):
 def node_degree(spark, sf):
     found = _mentions(spark, sf)
     ids = graph.node_ids(found)
-    return graph.degrees(ids, graph.edges(extract.adjacent(found), ids))
+    return graph.degrees(ids, graph.edges(extract.adjacent(found)))
 
 
 @query(GRAPH + "select src, dst, combined_degree from cedges")
 def combined_degree(spark, sf):
     found = _mentions(spark, sf)
     ids = graph.node_ids(found)
-    edges = graph.edges(extract.adjacent(found), ids)
+    edges = graph.edges(extract.adjacent(found))
     return graph.combined_degrees(edges, graph.degrees(ids, edges)).select("src", "dst", "combined_degree")
 
 
@@ -364,7 +373,7 @@ def combined_degree(spark, sf):
 def graph_stats(spark, sf):
     found = _mentions(spark, sf)
     ids = graph.node_ids(found)
-    return graph.stats(ids, graph.edges(extract.adjacent(found), ids))
+    return graph.stats(ids, graph.edges(extract.adjacent(found)))
 
 
 @query(GRAPH + "select entity_type, count(*) as n from nodes group by entity_type")
@@ -388,33 +397,33 @@ def node_context(spark, sf):
 
 @query(GRAPH + "select * from comps")
 def components(spark, sf):
-    return community.components(_graph(spark, sf)[1].where("weight >= 3"))
+    return community.components(graph.edges(extract.adjacent(_mentions(spark, sf))))
 
 
 @query(GRAPH + "select * from internal")
 def community_internal_edges(spark, sf):
-    _, strong, membership = _strong(spark, sf)
-    return community.internal_edges(strong, membership).select("level", "community_id", "src", "dst")
+    _, edges, membership = _grouped(spark, sf)
+    return community.internal_edges(edges, membership).select("level", "community_id", "src", "dst")
 
 
 @query(GRAPH + "select b.community_id as child, max(a.community_id) as parent from membership a join membership b using (node_id) where a.level = 'c0' and b.level = 'c1' group by b.community_id")
 def community_parents(spark, sf):
-    return community.parents(_strong(spark, sf)[2])
+    return community.parents(_grouped(spark, sf)[2])
 
 
 @query(GRAPH + "select level, count(*) as communities, round(avg(n), 1) as avg_size, min(n) as min_size, max(n) as max_size from sizes group by grouping sets ((level), ())")
 def community_counts(spark, sf):
-    return community.stats(_strong(spark, sf)[2])
+    return community.stats(_grouped(spark, sf)[2])
 
 
 @query(GRAPH + "select level, count(distinct community_id) as communities from membership group by level")
 def level_counts(spark, sf):
-    return reports.level_counts(_strong(spark, sf)[2])
+    return reports.level_counts(_grouped(spark, sf)[2])
 
 
 @query(GRAPH + "select node_id, coalesce((select string_agg(level || '=' || community_id, '|' order by level) from membership m where m.node_id = n.node_id), '') as communities from nodes n")
 def node_communities(spark, sf):
-    nodes, _, membership = _strong(spark, sf)
+    nodes, _, membership = _grouped(spark, sf)
     rows = community.annotated(nodes.select("node_id"), membership)
     pairs = F.transform(F.map_entries("community_ids"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select("node_id", F.coalesce(listed(pairs), F.lit("")).alias("communities"))
@@ -424,7 +433,7 @@ def node_communities(spark, sf):
     || case when claims <> '' then chr(10) || 'Claims: ' || array_to_string(string_split(claims, '|')[1:3], ' ') else '' end, chr(10) || chr(10) order by node_id) as entities, count(*) as n
   from membership join nodes using (node_id) group by community_id),
 rel as (select community_id, string_agg('Relationship: ' || a.name || ' ↔ ' || b.name || chr(10) || 'Strength: ' || printf('%.1f', s.weight) || chr(10) || 'Description: ' || s.description, chr(10) || chr(10) order by s.combined_degree desc, s.first_ord, s.src, s.dst) as rels
-  from internal i join strong s on s.src = i.src and s.dst = i.dst join nodes a on a.node_id = s.src join nodes b on b.node_id = s.dst group by community_id),
+  from internal i join cedges s on s.src = i.src and s.dst = i.dst join nodes a on a.node_id = s.src join nodes b on b.node_id = s.dst group by community_id),
 raws as (select community_id, '## Entities' || chr(10) || entities || coalesce(chr(10) || chr(10) || '## Relationships' || chr(10) || rels, '') as raw from ent left join rel using (community_id)),
 kids as (select distinct b.community_id as child, a.community_id as parent from membership a join membership b using (node_id) where a.level = 'c0' and b.level = 'c1'),
 subs as (select parent as community_id, '## Sub-community Summaries for ' || parent || chr(10) || chr(10) || string_agg('### Report ' || child || chr(10) || 'Level: c1' || chr(10) || 'Summary: has ' || n || ' members' || chr(10) || 'Impact Rating: ' || printf('%.1f', (n % 10)::double), chr(10) || chr(10) order by child) as sub
@@ -433,8 +442,8 @@ both_ as (select r.community_id, raw, sub, {TOK.format("raw")} as rt, {TOK.forma
 select community_id, case when len(rt) <= 300 then raw when sub is not null then case when len(st) <= 300 then sub else array_to_string(st[1:300], ' ') end else array_to_string(rt[1:300], ' ') end as context,
   len(rt) > 300 and (sub is null or len(st) > 300) as was_truncated, len(rt) > 300 and sub is not null as used_sub from both_""")
 def community_context(spark, sf):
-    nodes, strong, membership = _strong(spark, sf)
-    raw = reports.raw_context(membership, nodes, strong, community.internal_edges(strong, membership))
+    nodes, edges, membership = _grouped(spark, sf)
+    raw = reports.raw_context(membership, nodes, edges, community.internal_edges(edges.select("src", "dst"), membership), 300)
     made = membership.groupBy("level", "community_id").agg(F.count("*").alias("n")).select("community_id", "level", F.concat(F.lit("Report "), "community_id").alias("title"), F.concat(F.lit("has "), F.col("n").cast("string"), F.lit(" members")).alias("summary"), (F.col("n") % 10).cast("double").alias("impact_rating"))
     sub = reports.sub_context(community.parents(membership), made)
     return reports.chosen_context(raw, sub, 300)
@@ -516,9 +525,9 @@ def _report_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(REPORTS + """
 select community_id, case community_id % 5 when 0 then 'T' || community_id when 1 then 'F' when 3 then 'Community ' || community_id else 'Community ' || community_id || ' (generation failed)' end as title,
-  case community_id % 5 when 0 then 'S' when 1 then '' when 3 then 'only' else 'Summary generation failed for community ' || community_id || '. Error: no JSON object' end as summary,
+  case community_id % 5 when 0 then 'S' when 1 then '' when 3 then 'only' else 'There is no report on ' || community_id || ' yet: the response held no JSON object.' end as summary,
   case community_id % 5 when 0 then least(10.0, community_id % 14 + 0.5) when 1 then 3.25 when 3 then 5.0 else 0.0 end::double as impact_rating,
-  case community_id % 5 when 0 then '0:a:b|2:c:' when 1 then '0:Community identified:Community ' || community_id || ' contains ' || node_count || ' entities.' when 3 then '0:Community identified:Community ' || community_id || ' contains ' || node_count || ' entities.' else '0:Generation failed:Failed to generate summary: no JSON object' end as findings from r""")
+  case community_id % 5 when 0 then '0:a:b|2:c:' when 1 then '0:Members:Community ' || community_id || ' contains ' || node_count || ' entities.' when 3 then '0:Members:Community ' || community_id || ' contains ' || node_count || ' entities.' else '0:No findings:The response held no JSON object.' end as findings from r""")
 def report_parse(spark, sf):
     rows = reports.parsed_reports(_report_responses(spark, sf))
     shown = F.transform("findings", lambda f: F.concat_ws(":", f["finding_id"].cast("string"), f["summary"], f["explanation"]))
@@ -607,7 +616,21 @@ r as (select *, rank() over (partition by source order by abs(diff)) + (count(*)
 select source, count(*) as n, sum(case when diff > 0 then rank else 0 end)::double as w_plus, sum(case when diff < 0 then rank else 0 end)::double as w_minus from r group by source""")
 def signed_rank(spark, sf):
     rows = read(spark, sf, "documents").select("source", ((F.col("doc_id") * 37) % 11 - 4).alias("diff"))
-    return evaluate.signed_ranks(rows, "diff", ["source"])
+    return evaluate.signed_ranks(rows, "diff", ["source"]).select("source", "n", "w_plus", "w_minus")
+
+
+@query("""
+with d as (select p_partkey % 400 as g, p_partkey as d from part), few as (select g, case when d % 2 = 0 then d else -d end as d from (select *, row_number() over (partition by g order by d) as k from d) where k <= 12),
+r as (select g, d, rank() over (partition by g order by abs(d)) as rank from few), s as (select g, count(*) as n, sum(case when d > 0 then rank else 0 end)::int as w from r group by g),
+signs as (select n, w from (select n, m, list_sum(list_transform(range(1, n + 1), lambda i: case when (m >> (i - 1)) % 2 = 1 then i else 0 end)) as w from (select n, unnest(range(0, (1::bigint << n))) as m from (select distinct n::int as n from s))))
+select g, s.n, s.w::double as w_plus, round((select count(*) from signs where signs.n = s.n and signs.w >= s.w) / (1::bigint << s.n)::double, 9) as p_value from s""")
+def signed_rank_exact(spark, sf):
+    """Exact p-values, against a count of all signs; up to twelve differences a group, of different sizes."""
+    rows = read(spark, sf, "part").select((F.col("p_partkey") % 400).alias("g"), F.col("p_partkey").alias("d"))
+    first = F.row_number().over(Window.partitionBy("g").orderBy("d"))
+    rows = rows.withColumn("k", first).where("k <= 12").select("g", F.when(F.col("d") % 2 == 0, F.col("d")).otherwise(-F.col("d")).alias("d"))
+    ranks = evaluate.signed_ranks(rows, "d", ["g"])
+    return ranks.select("g", "n", "w_plus", F.round(evaluate.signed_rank_p("w_plus", "n", "tied", "zeros"), 9).alias("p_value"))
 
 
 @query("select role, sum(length(text))::bigint as prompt_tokens, sum(turn)::bigint as completion_tokens, sum(case when role = 'system' then null else turn end)::bigint as cost from conversations group by role")
@@ -623,22 +646,11 @@ LCS = """(case when len({a}) = 0 or len({b}) = 0 then 0 else list_max(list_reduc
   lambda prev, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: case when m[i] = 1 then (case when i = 1 then 0 else prev[i - 1] end) + 1 else prev[i] end))))) end)"""
 
 
-@query(f"""
-with w as (select item_id, item_id % 5 as g, ({WORDS.format("text")})[1:12] as w from benchmark),
-p as (select a.item_id as a, b.item_id as b, a.w as aw, b.w as bw from w a join w b on a.g = b.g and a.item_id < b.item_id),
-l as (select a, b, {LCS.format(a="aw", b="bw")} as lcs, len(aw) + len(bw) as n from p)
-select a, b, lcs::int as lcs, round(2.0 * lcs / n, 4) as f1 from l""")
-def rouge_pairs(spark, sf):
-    rows = read(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 5).alias("g"), F.slice(tx.words("text"), 1, 12).alias("w"))
-    a, b = (rows.select("g", F.col("item_id").alias(c), F.col("w").alias(f"{c}_words")) for c in "ab")
-    return claims.pairs(a, b, ["g"]).where("a < b").select("a", "b", "lcs", F.round("f1", 4).alias("f1"))
-
-
 CLAIMS = f"""
-with c as (select item_id, unnest(string_split(text, '.')) as claim, unnest(range(0, len(string_split(text, '.')))) as pos from benchmark),
+with recursive c as (select item_id, unnest(string_split(text, '.')) as claim, unnest(range(0, len(string_split(text, '.')))) as pos from benchmark),
 cl as (select item_id as question_id, case when pos % 2 = 0 then 'global' else 'local' end as system, pos::int as pos, trim(regexp_replace(claim, '\\s+', ' ', 'g')) as claim from c where length(trim(regexp_replace(claim, '\\s+', ' ', 'g'))) > 10),
 w as (select *, {WORDS.format("claim")} as w from cl),
-p as (select a.question_id, a.system, a.pos, {LCS.format(a="a.w", b="b.w")} as lcs, len(a.w) + len(b.w) as n from w a join w b on a.question_id = b.question_id and a.system = b.system and b.pos < a.pos),
+p as (select a.question_id, a.system, a.pos, b.pos as earlier, {LCS.format(a="a.w", b="b.w")} as lcs, len(a.w) + len(b.w) as n from w a join w b on a.question_id = b.question_id and a.system = b.system and b.pos < a.pos),
 best as (select w.question_id, w.system, w.pos, max(2.0::double * lcs / n) as best from w left join p using (question_id, system, pos) group by all),
 counts as (select question_id, system, t.threshold::double as threshold, count(*) filter (best is null or best < 1.0::double - t.threshold::double) as clusters from best, (values (0.5), (0.6), (0.7), (0.8)) t(threshold) group by all)
 """
@@ -651,6 +663,14 @@ def _claims(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("question_id", F.when(F.col("pos") % 2 == 0, "global").otherwise("local").alias("system"), "pos", "claim")
 
 
+@query(CLAIMS + "select question_id, system, pos as a, earlier as b, lcs::int as lcs, round(2.0 * lcs / n, 4) as f1 from p")
+def rouge_pairs(spark, sf):
+    """Overlap of each claim, as a whole, with the earlier ones of its answer."""
+    rows = _claims(spark, sf).withColumn("words", tx.words("claim"))
+    a, b = (rows.select("question_id", "system", F.col("pos").alias(c), F.col("words").alias(f"{c}_words")) for c in "ab")
+    return claims.pairs(a, b, ["question_id", "system"]).where("b < a").select("question_id", "system", "a", "b", "lcs", F.round("f1", 4).alias("f1"))
+
+
 @query(CLAIMS + "select * from counts")
 def claim_clusters(spark, sf):
     return claims.cluster_counts(_claims(spark, sf), ["question_id", "system"])
@@ -663,7 +683,13 @@ def claim_cluster_fold(spark, sf):
     return rows.groupBy("question_id", "system").agg(F.count("*").alias("claims"), F.countDistinct("cluster").alias("clusters"))
 
 
-@query()
+@query(CLAIMS + """, o as (select question_id, system, pos, claim, row_number() over (partition by question_id, system order by pos) as k from w),
+like_ as (select question_id, system, pos, list(earlier) as before from p where 2.0::double * lcs / n > 0.85::double group by all),
+steps as (select o.*, coalesce(before, []) as before from o left join like_ using (question_id, system, pos)),
+fold as (select question_id, system, 0::bigint as k, []::int[] as kept, null::int as pos, false as stays from (select distinct question_id, system from w)
+  union all select f.question_id, f.system, s.k, case when list_has_any(s.before, f.kept) then f.kept else list_append(f.kept, s.pos) end, s.pos, not list_has_any(s.before, f.kept)
+  from fold f join steps s on s.question_id = f.question_id and s.system = f.system and s.k = f.k + 1)
+select question_id, system, pos, claim from fold join w using (question_id, system, pos) where stays""")
 def claim_dedup(spark, sf):
     return claims.deduplicated(_claims(spark, sf), ["question_id", "system"])
 
@@ -712,11 +738,14 @@ def state_log_latest(spark, sf):
     return state.latest(read(spark, sf, "events"), "user_id", "event_id", "event_type", "event_id").withColumnRenamed("event_type", "status")
 
 
-@query("select 'summarization' as stage")
+@query(f"""
+with s as (select c_custkey as run, i, {list(state.STAGES)}[i + 1] as stage, (c_custkey >> i) % 2 = 1 as done from customer, range(0, {len(state.STAGES)}) t(i))
+select run, first(stage order by i) filter (not done) as stage from s group by run""")
 def next_stage(spark, sf):
-    done = F.element_at(F.array(F.lit(True), F.lit(True), F.lit(True), F.lit(True), F.lit(False), F.lit(False)), F.col("r_regionkey") + 1)
-    names = F.element_at(F.array(*map(F.lit, state.STAGES)), F.col("r_regionkey") + 1)
-    return state.next_stage(read(spark, sf, "region").select(names.alias("stage"), done.alias("done")))
+    """The first stage of each run that isn't done; a run is a customer, and its stages the low bits of the key."""
+    runs = read(spark, sf, "customer").select(F.col("c_custkey").alias("run"), F.posexplode(F.array(*map(F.lit, state.STAGES))).alias("i", "stage"))
+    done = F.expr("shiftright(run, i) % 2 = 1")
+    return state.next_stage(runs.orderBy(F.desc("i")).select("run", "stage", done.alias("done")), ["run"])
 
 
 MODELS = ("gpt-4o", "gpt-4o-mini-2025-01-01", "gpt-4-turbo-preview", "gpt-4-0613", "unknown", "text-embedding-3-small", "gpt-4o-2024-05-13")
@@ -755,7 +784,12 @@ def pipeline_cost(spark, sf):
     return costs.pipeline_cost(params).select("id", "extraction_usd", "summarization_usd", "map_query_usd", "reduce_query_usd", "embeddings_usd")
 
 
-@query()
+@query("""
+with recursive e as (select user_id, event_id, ts, epoch_us(ts::timestamp) / 1e6 as at, row_number() over (partition by user_id order by ts, event_id) as k from events),
+fold as (select user_id, 0::bigint as k, []::double[] as kept, null::bigint as event_id, false as allowed, 0 as retry_after from (select distinct user_id from e)
+  union all select s.user_id, s.k, case when len(now) < 3 then list_append(now, s.at) else now end, s.event_id, len(now) < 3, case when len(now) < 3 then 0 else trunc(3600.0::double - (s.at - now[1]))::int end
+  from (select e.*, list_filter(f.kept, lambda t: t > e.at - 3600.0::double) as now from fold f join e on e.user_id = f.user_id and e.k = f.k + 1) s)
+select e.user_id, e.event_id, e.ts, f.allowed, f.retry_after::int as retry_after from fold f join e using (user_id, event_id, k)""")
 def rate_limit(spark, sf):
     return ingest.rate_limited(read(spark, sf, "events"), 3, 3600.0)
 
@@ -763,13 +797,7 @@ def rate_limit(spark, sf):
 @query(SQL["chunk_documents"])
 def stream_chunk_ingest(spark, sf):
     """Documents that arrive as files, chunked by a stream that ends when all are read."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="stream-")
-    work = f"{base}/stream-{uuid.uuid4().hex}"
+    work = tables.fresh_dir(spark, "stream")
     docs = read(spark, sf, "documents")
     # a table is one file among others, or a folder of its own
     source, pattern = (sf, "documents.parquet") if docs.inputFiles()[0].endswith("documents.parquet") else (f"{sf}/documents.parquet", None)

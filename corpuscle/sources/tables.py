@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, path)
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the numbers 0, 1, 2, … in ``order``: places inside ranges that are sorted apart, and the sizes of the ranges before."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(placed, "numbered").withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # as many rows as partitions
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at") - F.shiftleft(F.col("_range"), 33)
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_before", "_at")
+
+
+def by_id(rows: DataFrame, key: str, value) -> dict | None:
+    """The first row whose ``key`` is ``value``, or None; the filter reaches the files."""
+    found = rows.where(F.col(key) == F.lit(value)).limit(1).collect()
+    return found[0].asDict(recursive=True) if found else None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed now and kept in the folder that all executors share."""
     return stored(df, "cut")
@@ -90,15 +106,23 @@ def parsed_documents(rows: DataFrame) -> DataFrame:
     is_object = F.col("_kind").startswith("OBJECT")
     text = F.when(~F.col("is_json"), F.col("body")).when(F.col("_kind") == "STRING", F.try_variant_get("_v", "$", "string")).when(is_object, found)
     own = F.coalesce(F.from_json(F.try_variant_get("_v", "$.metadata", "string"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    top = F.coalesce(F.from_json(F.when(is_object, F.to_json("_v")), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    plain = F.map_filter(top, lambda k, x: ~k.isin("text", "content", "body", "article", "metadata") & ~F.coalesce(x.rlike(r"^\s*[\[{]"), F.lit(False)) & ~F.array_contains(F.map_keys(own), k))
+    top = F.coalesce(F.when(is_object, F.col("_v")).cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    nested = lambda x: F.coalesce(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    plain = F.map_filter(top, lambda k, x: ~k.isin("text", "content", "body", "article", "metadata") & ~nested(x) & ~F.array_contains(F.map_keys(own), k))
+    plain = F.transform_values(plain, lambda _, x: F.try_variant_get(x, "$", "string"))
     metadata = F.when(is_object, F.map_concat(own, plain)).otherwise(F.create_map().cast("map<string,string>"))
     error = F.when(F.col("is_json") & text.isNull(), F.lit("no JSON string or object"))
     return rows.withColumns({"text": text, "metadata": metadata, "error": error}).drop("_v", "_kind")
 
 
 def typed_array(spark: SparkSession, path: str, schema: T.StructType, valid: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows of a JSON array that have the schema and are ``valid``, and the rest, with the text of what could not be read."""
+    """Rows of a JSON array that have the schema and are ``valid``, and the rest, with the text of what could not be read.
+
+    A file that holds something else than an array is refused.
+    """
+    first = _first_character(spark, path)
+    if first is not None and first != "[":
+        raise ValueError(f"{path} holds no JSON array")
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     rows = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     good = F.col("_corrupt").isNull() & F.coalesce(valid, F.lit(False))
@@ -123,6 +147,21 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _first_character(spark: SparkSession, path: str) -> str | None:
+    """The first character of a file that isn't white space; None for a folder and an empty file."""
+    p, fs = _path(spark, path)
+    if not fs.getFileStatus(p).isFile():
+        return None
+    stream = fs.open(p)
+    try:
+        while (code := stream.read()) >= 0:
+            if code > 32 and code not in (0xEF, 0xBB, 0xBF):
+                return chr(code)
+    finally:
+        stream.close()
+    return None
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)

@@ -12,7 +12,7 @@ def test_entry(spark):
 
 def test_sql_is_for_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n in plans.QUERIES if n not in plans.SQL} == {"context_pack_shuffled", "leiden_communities", "claim_dedup", "rate_limit"}
+    assert {n for n in plans.QUERIES if n not in plans.SQL} == {"leiden_communities"}
 
 
 @pytest.mark.parametrize("name", ["chunk_documents", "document_parse", "vector_topk_batch", "reduce_context", "eval_summary", "claim_comparison", "cost_estimate"])

@@ -43,7 +43,7 @@ def test_fill_stops_at_first_overflow(spark):
     rng = random.Random(0)
     rows = [(g, k, rng.randint(0, 9)) for g in range(5) for k in range(20)]
     df = spark.createDataFrame(rows, "g int, k int, c int")
-    got, alone = ({(r.g, r.k) for r in chunking.fill(df, F.col("c"), 40, ["k"], ["g"], 1, spread).collect()} for spread in (3, 1))
+    got, alone = ({(r.g, r.k) for r in chunking.fill(df.repartition(7), F.col("c"), 40, ["k"], ["g"], 1, spread).collect()} for spread in (True, False))
     want = set()
     for g in range(5):
         used = 0
@@ -85,6 +85,26 @@ def test_lcs_and_rouge(spark):
     assert claims._lcs(list("abcde"), list("ace")) == 3
 
 
+def test_tokenizer_seam(spark):
+    letters = tx.Tokenizer(lambda c: F.filter(F.split(c, ""), lambda x: x != ""), "")
+    docs = spark.createDataFrame([(1, "abcdefg")], "doc_id long, text string")
+    rows = chunking.chunk(docs, F.lit("d"), 3, 1, tokenizer=letters).orderBy("chunk_index").collect()
+    assert [r.text for r in rows] == ["abc", "cde", "efg"] and all("abcdefg"[r.start_char : r.end_char] == r.text for r in rows)
+    items = spark.createDataFrame([("a", 1, "abc"), ("a", 2, "defg")], "g string, k int, text string")
+    assert chunking.pack(items, 3, "g", ["k"], tokenizer=letters).head().context == "abc"
+
+
+def test_numbers_and_batches(spark):
+    rows = spark.range(0, 100, 1, 7).selectExpr("99 - id as k")
+    got = chunking.batches(rows, ["k"], 30).collect()
+    assert {r.k: r.batch for r in got} == {k: k // 30 for k in range(100)}
+    with pytest.raises(ValueError):
+        chunking.batches(rows, ["k"], 0)
+    many = spark.range(5000).selectExpr("id as k", "'w w w w' as text", "'a' as g").repartition(9)
+    got = chunking.pack(many, 40, "g", ["k"], index=F.col("k")).head()
+    assert got.indices == list(range(10)) and got.included == 10 and got.truncated
+
+
 # ---- vectors ----
 
 
@@ -132,6 +152,16 @@ def test_rounds_merge(spark):
     assert sorted(map(tuple, got.collect())) == [rows[0], rows[1], rows[3], rows[5], rows[6]]
 
 
+def test_extraction_results(spark):
+    rows = spark.createDataFrame([(1, 4, 2, 0, True), (2, 2, 1, 1, True), (3, 9, 9, 9, False)], "chunk_id int, entities int, relationships int, claims int, extraction_completed boolean")
+    r = extract.batch_result(rows, 2.0).head()
+    assert (r.total, r.successful, r.entities, r.chunks_per_second) == (3, 2, 6, 1.5) and r.success_rate == pytest.approx(2 / 3)
+    assert extract.batch_result(rows.where("false"), 0.0).head().success_rate == 0.0
+    named = spark.createDataFrame([(1, 3, "b"), (1, 1, "A"), (1, 2, "a "), (2, 9, "a")], "g int, pos int, name string")
+    assert sorted((r.g, r.name) for r in extract.distinct_in_order(named, extract.normal("name"), ["pos"], ["g"]).collect()) == [(1, "A"), (1, "b"), (2, "a")]
+    assert [(r.entity_type, r.n) for r in extract.types_of(spark.createDataFrame([("X",), ("Y",), ("Y",)], "entity_type string")).collect()] == [("Y", 2), ("X", 1)]
+
+
 # ---- graph ----
 
 
@@ -151,7 +181,10 @@ def test_graph_merge(spark):
     n = {r.node_id: r for r in nodes.collect()}
     assert set(n) == {"alpha", "beta", "gamma", "lone"}
     a = n["alpha"]
-    assert (a.name, a.entity_type, a.description, a.mention_count, a.chunks, a.claims) == ("ALPHA ", "GEO", "d1 d2", 3, [0, 1], ["c"])
+    assert (a.name, a.entity_type, a.description, a.mention_count, a.n_chunks, a.claims) == ("ALPHA ", "GEO", "d1 d2", 3, 2, ["c"])
+    assert sorted((r.node_id, r.chunk_ord) for r in graph.provenance(ent, "name").collect()) == [("alpha", 0), ("alpha", 1), ("beta", 0), ("gamma", 2), ("lone", 3)]
+    assert {(r.src, r.dst, r.chunk_ord) for r in graph.provenance(rel, "source_entity", "target_entity").collect()} >= {("alpha", "beta", 0), ("alpha", "beta", 1), ("beta", "gamma", 2)}
+    assert graph._texts(ent.withColumn("ord", graph._ord()).withColumn("k", F.lit(1)), ["k"], budget=4).head().description == "d1 d2"[:2]
     assert n["beta"].description == "Entity: Beta" and n["gamma"].claims == ["late"]
     e = {(r.src, r.dst): r for r in edges.collect()}
     assert set(e) == {("alpha", "beta"), ("beta", "gamma")}
@@ -237,7 +270,24 @@ def test_statistics(spark):
     real = sorted((abs(d) for d in diffs if d))
     rank = lambda x: sum(i + 1 for i, y in enumerate(real) if y == x) / real.count(x)
     assert (r.n, r.w_plus, r.w_minus) == (7, sum(rank(abs(d)) for d in diffs if d > 0), sum(rank(abs(d)) for d in diffs if d < 0))
+    assert (r.zeros, r.tied) == (2, 24)
     assert one(spark, evaluate.signed_rank_p("w", "n"), w=300.0, n=25) < 0.001
+    for n in (1, 2, 7, 12):
+        sums = [sum(i + 1 for i in range(n) if m >> i & 1) for m in range(2**n)]
+        for w in (0, 1, n, n * (n + 1) // 2):
+            assert one(spark, evaluate.signed_rank_p("w", "n"), w=float(w), n=n) == pytest.approx(sum(x >= w for x in sums) / 2**n)
+    # beyond the exact range, and with ties, the normal approximation is near it
+    exact, near = (one(spark, evaluate.signed_rank_p("w", "n", "t"), w=800.0, n=50, t=t) for t in (0, 1))
+    assert exact == pytest.approx(near, abs=2e-3)
+    counts = spark.createDataFrame([(5, 1), (4, 2), (9, 9), (3, 0)], "claims_first int, claims_second int")
+    p = evaluate.compared_counts_p(counts).head()
+    assert p.n == 3 and 0 < p.p_value < 0.1 and evaluate.compared_counts_p(counts.where("claims_first = 9")).head().p_value is None
+
+
+def test_binomial_tail_takes_time_in_proportion(spark):
+    got = one(spark, evaluate.binomial_tail("k", "n"), k=500_500, n=1_000_000)
+    z = (500_500 - 0.5 - 500_000) / 500
+    assert got == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-3)
 
 
 # ---- claims ----
@@ -271,6 +321,18 @@ def test_state(spark):
         state.pages(log, ["k"], 0, 10)
 
 
+def test_runs_listed(spark):
+    a = spark.createDataFrame([("r1", 3, "running"), ("r2", 1, "done")], "id string, at int, status string")
+    b = spark.createDataFrame([("r2", 1, "old"), ("r3", 2, "done")], "id string, at int, status string")
+    both = state.merged_runs(a, b, "id")
+    assert [(r.id, r.status) for r in state.newest(both, "at").collect()] == [("r1", "running"), ("r3", "done"), ("r2", "done")]
+    total, page = state.counted(both, ["id"], 2, 2)
+    assert total == 3 and [r.id for r in page.collect()] == ["r3"]
+    done = dict.fromkeys(state.STAGES, True)
+    assert state.ready(done) == {"fully_indexed": True, "global_ready": True, "local_ready": True}
+    assert state.ready(done | {"embedding": False}) == {"fully_indexed": False, "global_ready": True, "local_ready": False}
+
+
 def test_prices(spark):
     calls = spark.createDataFrame([("gpt-4o", 1_000_000, 0), ("gpt-4o-mini-new", 1_000_000, 0), ("who", 1_000_000, 1_000_000)], "model string, prompt_tokens long, completion_tokens long")
     assert [r.cost_usd for r in costs.priced(calls).collect()] == [2.5, 0.15, 40.0]

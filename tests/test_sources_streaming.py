@@ -3,6 +3,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,9 @@ def test_raw_documents(spark, tmp_path):
     assert [r.stem for r in rows] == ["a", "b", "c", "d"]
     assert [r.text for r in rows] == ["from content", "plain é\ntext", "just a string", None]
     assert rows[0].metadata == {"k": "own", "n": "3"} and rows[3].error and not rows[0].error
+    (tmp_path / "a.json").write_text(json.dumps({"text": "t", "a": "[draft] hello", "b": "{x", "c": {"d": 1}, "e": [1], "f": None, "g": True}))
+    got = tables.raw_documents(spark, str(tmp_path)).where("stem = 'a'").head().metadata
+    assert {k: v for k, v in got.items() if v is not None} == {"a": "[draft] hello", "b": "{x", "g": "true"}
 
 
 def test_typed_array_and_questions(spark, tmp_path):
@@ -28,6 +32,10 @@ def test_typed_array_and_questions(spark, tmp_path):
     schema = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("token_count", T.IntegerType())])
     good, bad = tables.typed_array(spark, str(tmp_path / "x.json"), schema, F.col("token_count") >= 1)
     assert [r.chunk_id for r in good.collect()] == ["a"] and bad.count() == 2
+    (tmp_path / "y.json").write_text(' {"chunk_id": "a"}')
+    with pytest.raises(ValueError, match="no JSON array"):
+        tables.typed_array(spark, str(tmp_path / "y.json"), schema, F.lit(True))
+    assert tables.by_id(good, "chunk_id", "a")["token_count"] == 3 and tables.by_id(good, "chunk_id", "z") is None
     (tmp_path / "q.json").write_text(json.dumps(["one", {"question": "two"}, {"text": "three"}, {}]))
     assert [r.question for r in tables.questions(spark, str(tmp_path / "q.json")).orderBy("question_id").collect()] == ["one", "two", "three", ""]
 
