@@ -1,8 +1,14 @@
-"""Communities: components, modularity clustering with a hierarchy, links between levels, members and their edges.
+"""Communities: components, Leiden clustering with a hierarchy, links between levels, members and their edges.
 
-The clustering moves nodes in rounds over the whole graph, as DataFrame steps, and then splits communities that are too
-large one by one, each by itself in one task; what one such task gets is bounded by ``SPLIT_NODES``, beyond which a
-community is moved in rounds again. Every node is in one community of each level; level c0 is the coarsest.
+Leiden clustering repeats three steps: nodes move to the neighbouring community of most gain in modularity until none gains;
+each community is refined from single nodes into well-connected parts; parts become the nodes of a quotient graph, which
+starts from the communities found. A graph of more than ``TASK_EDGES`` edges is coarsened by these steps over
+DataFrames, nodes moving in turns; once its quotient is small enough, one task finishes it. Communities that aren't
+connected are cut into their components at the end.
+
+The hierarchy clusters again, by themselves, the communities of a level that have more than ``max_size`` members: each in
+one task, or over DataFrames where it has more than ``SPLIT_NODES`` members or ``TASK_EDGES`` edges. One that modularity
+doesn't cut, such as a star, stays whole. Every node is in one community of each level; level c0 is the coarsest.
 """
 
 from __future__ import annotations
@@ -16,8 +22,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut_lineage, numbered
 from . import connect
 
-#: Members of the largest community that one task splits.
-SPLIT_NODES = 50_000
+#: Members of the largest community, and edges of the largest graph, that one task clusters.
+SPLIT_NODES, TASK_EDGES = 50_000, 500_000
+#: Gain in modularity below which moving ends, and the share of edges that a coarsening step must do away with.
+LEAST_GAIN, SHRINK = 1e-6, 0.05
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,118 +33,295 @@ def components(edges: DataFrame) -> DataFrame:
     return connect.components(edges, "src", "dst").select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 
-def local_moving(edges: DataFrame, labels: DataFrame, rounds: int = 10, seed: int = 42, resolution: float = 1.0) -> DataFrame:
-    """(node_id, label) after rounds in which half of the nodes, in turns, go to the neighbouring label of most gain in modularity."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
-    total = both.agg(F.sum("weight")).head()[0]
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
+
+
+def strengths(edges: DataFrame) -> DataFrame:
+    """(node_id, k): the weight of each node's edges, a loop's twice."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"), "weight")
+    return ends.groupBy("node_id").agg(F.sum("weight").alias("k"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Share of weight inside communities, less what chance would put there."""
+    a, b = (labels.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
+    inside = edges.join(a, "src").join(b, "dst").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("_src") == F.col("_dst"), F.col("weight"))).alias("inside")).head()
+    if not inside["all"]:
+        return 0.0
+    volume = strengths(edges).join(labels, "node_id").groupBy("label").agg(F.sum("k").alias("v"))
+    squares = volume.agg(F.sum(F.col("v") * F.col("v"))).head()[0]
+    return (inside["inside"] or 0.0) / inside["all"] - resolution * squares / (2 * inside["all"]) ** 2
+
+
+def local_moving(edges: DataFrame, labels: DataFrame, seed: int = 42, resolution: float = 1.0) -> DataFrame:
+    """(node_id, label) after rounds in which half of the nodes, in turns, go to the neighbouring label of most gain in modularity.
+
+    Nodes that move at once may spoil each other's gain, so modularity is taken after each two rounds; moving ends, with
+    the best labels, when those bring less than ``LEAST_GAIN``. So it ends, however long nodes could go on.
+    """
+    both = _both(edges)
+    strength = cut_lineage(strengths(edges))
+    total = strength.agg(F.sum("k")).head()[0]
     if not total:
         return labels
-    strength = cut_lineage(both.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "node_id"))
-    still = 0
-    for r in range(rounds):
+    best, score, r = labels, modularity(edges, labels, resolution), 0
+    while True:
         volume = labels.join(strength, "node_id").groupBy("label").agg(F.sum("k").alias("volume"))
         pulls = both.join(labels.select(F.col("node_id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node_id"), "label").agg(F.sum("weight").alias("w"))
         own = labels.join(strength, "node_id")
         options = pulls.unionByName(own.select("node_id", "label", F.lit(0.0).alias("w"))).groupBy("node_id", "label").agg(F.sum("w").alias("w"))
         options = options.join(volume, "label").join(own.select("node_id", F.col("label").alias("mine"), "k"), "node_id")
-        rest = F.col("volume") - F.when(F.col("label") == F.col("mine"), F.col("k")).otherwise(0.0)
+        mine = F.col("label") == F.col("mine")
+        rest = F.col("volume") - F.when(mine, F.col("k")).otherwise(0.0)
         options = options.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / total, 9))
-        stay = (F.col("label") == F.col("mine")).cast("int")
-        best = options.groupBy("node_id").agg(F.max_by("label", F.struct("gain", stay)).alias("_label"), F.max("gain").alias("gain"), F.min(F.when(F.col("label") == F.col("mine"), F.col("gain"))).alias("now"))
-        # ties between other labels go to the smallest
-        top = options.join(best.select("node_id", F.col("gain").alias("top"), "now"), "node_id").where("gain = top").groupBy("node_id").agg(F.min("label").alias("to"), F.max("top").alias("top"), F.max("now").alias("now"))
-        turn = F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(2)) == r % 2
-        moved = labels.join(top, "node_id", "left").withColumn("go", turn & (F.col("top") > F.col("now")))
-        moved = cut_lineage(moved.select("node_id", F.when(F.col("go"), F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce("go", F.lit(False)).alias("go")))
-        still = 0 if moved.where("go").limit(1).count() else still + 1
-        labels = moved.drop("go")
-        if still == 2:
+        # most gain first; ties stay, or go to the smallest label
+        first = F.min_by("label", F.struct(-F.col("gain"), (~mine).cast("int"), "label")).alias("to")
+        top = options.groupBy("node_id").agg(first, F.max("gain").alias("top"), F.min(F.when(mine, F.col("gain"))).alias("now"))
+        go = (F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(2)) == r % 2) & (F.col("top") > F.col("now"))
+        labels = cut_lineage(labels.join(top, "node_id", "left").select("node_id", F.when(go, F.col("to")).otherwise(F.col("label")).alias("label")))
+        r += 1
+        if r % 2 == 0:
+            now = modularity(edges, labels, resolution)
+            if now <= score + LEAST_GAIN:
+                return labels if now > score else best
+            best, score = labels, now
+
+
+def _inside(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges with both ends in one community, with its label."""
+    a, b = (labels.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "weight", F.col("_src").alias("label"))
+
+
+def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Communities cut into their components; a part is named by its community and its smallest member."""
+    comps = components(_inside(edges, labels)).withColumnRenamed("component", "_part")
+    return labels.join(comps, "node_id", "left").select("node_id", F.concat_ws("\u0001", F.col("label").cast("string"), F.coalesce("_part", "node_id")).alias("label"))
+
+
+def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int | None = None) -> DataFrame:
+    """(node_id, label): communities of the whole graph (src, dst, weight) by Leiden clustering; isolated nodes are alone."""
+    most = TASK_EDGES if task_edges is None else task_edges
+    graph = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    place = cut_lineage(nodes.select("node_id", F.col("node_id").alias("at")))  # where each node is in the quotient graph
+    labels, size = place.select("node_id", F.col("at").alias("label")), graph.count()
+    while size > most:
+        labels = cut_lineage(local_moving(graph, labels, seed))
+        inside = cut_lineage(_inside(graph, labels).select("src", "dst", "weight"))
+        refined = local_moving(inside, labels.select("node_id", F.col("node_id").alias("label")), seed)
+        refined = cut_lineage(connected(inside, refined))
+        graph = cut_lineage(_quotient(graph, refined))
+        parts = labels.join(refined.withColumnRenamed("label", "part"), "node_id")
+        place = cut_lineage(place.join(refined.select(F.col("node_id").alias("at"), "label"), "at").select("node_id", F.col("label").alias("at")))
+        labels = cut_lineage(parts.groupBy(F.col("part").alias("node_id")).agg(F.min("label").alias("label")))
+        before, size = size, graph.count()
+        if size > (1 - SHRINK) * before:
             break
-    return labels
+    if size <= most:
+        labels = _finished(graph, labels)
+    found = place.join(labels.select(F.col("node_id").alias("at"), "label"), "at").select("node_id", "label")
+    return cut_lineage(connected(edges, found)) if size > most else found
 
 
-def _louvain(nodes: list[str], links: list[tuple[str, str, float]], rounds: int = 20) -> dict[str, int]:
-    """Local moving on one small graph, nodes in sorted order, then communities cut into connected parts."""
-    near: dict[str, dict[str, float]] = {n: defaultdict(float) for n in nodes}
-    for a, b, w in links:
-        near[a][b] += w
-        near[b][a] += w
-    label = {n: k for k, n in enumerate(nodes)}
-    strength = {n: sum(x.values()) for n, x in near.items()}
-    total = sum(strength.values()) or 1.0
-    volume = {label[n]: strength[n] for n in nodes}
-    for _ in range(rounds):
-        moved = False
-        for n in nodes:
-            pull = defaultdict(float)
-            for m, w in sorted(near[n].items()):
-                pull[label[m]] += w
-            volume[label[n]] -= strength[n]
-            gain = lambda c: round(pull.get(c, 0.0) - strength[n] * volume[c] / total, 9)  # noqa: B023, E731
-            best = max([label[n], *sorted(pull)], key=lambda c: (gain(c), c == label[n], -c))  # noqa: B023
-            moved |= best != label[n]
+def _quotient(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """The graph of parts: weights between two of them together, those inside one as a loop."""
+    a, b = (parts.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
+    rows = edges.join(a, "src").join(b, "dst").select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst"), "weight")
+    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def _finished(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels of a graph that fits one task, from those it has."""
+    rows = graph.unionByName(labels.select(F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).join(labels.select(F.col("node_id").alias("src"), "label"), "src"), allowMissingColumns=True)
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["dst"].isna()].sort_values("src")
+        names, links = own["src"].tolist(), pdf[pdf["dst"].notna()].sort_values(["src", "dst"])
+        got = clustered(names, list(zip(links["src"], links["dst"], links["weight"])), own["label"].tolist())
+        return pd.DataFrame({"node_id": names, "label": [f"{c:012d}" for c in got]})
+
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "node_id string, label string")
+
+
+class _Graph:
+    """A small graph: neighbours and loops by number."""
+
+    def __init__(self, n: int):
+        self.near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
+        self.loop = [0.0] * n
+
+    def add(self, a: int, b: int, w: float):
+        if a == b:
+            self.loop[a] += w
+        else:
+            self.near[a][b] += w
+            self.near[b][a] += w
+
+    def strength(self) -> list[float]:
+        return [sum(x.values()) + 2 * o for x, o in zip(self.near, self.loop)]
+
+
+def _moved(g: _Graph, k: list[float], total: float, label: list[int]) -> list[int]:
+    """Nodes, in order and again after a neighbour has moved, go to the neighbouring community of most gain."""
+    volume: dict[int, float] = defaultdict(float)
+    for n, c in enumerate(label):
+        volume[c] += k[n]
+    todo, waiting = list(range(len(label)))[::-1], [True] * len(label)
+    later: list[int] = []
+    while todo or later:
+        if not todo:
+            todo, later = later[::-1], []
+        n = todo.pop()
+        waiting[n] = False
+        pull: dict[int, float] = defaultdict(float)
+        for m, w in g.near[n].items():
+            pull[label[m]] += w
+        mine = label[n]
+        volume[mine] -= k[n]
+        gain = lambda c: round(pull.get(c, 0.0) - k[n] * volume[c] / total, 9)  # noqa: B023, E731
+        best = max([mine, *pull], key=lambda c: (gain(c), c == mine, -c))  # noqa: B023
+        volume[best] += k[n]
+        if best != mine:
             label[n] = best
-            volume[best] += strength[n]
-        if not moved:
-            break
-    out: dict[str, int] = {}
-    for n in nodes:
-        if n in out:
+            for m in g.near[n]:
+                if not waiting[m] and label[m] != best:
+                    waiting[m] = True
+                    later.append(m)
+    return label
+
+
+def _refined(g: _Graph, k: list[float], total: float, label: list[int]) -> list[int]:
+    """Parts of communities: a node that is alone joins the part of most gain in its community, if both are well connected to it."""
+    part, volume, members = list(range(len(label))), list(k), [1] * len(label)
+    whole: dict[int, float] = defaultdict(float)
+    for n, c in enumerate(label):
+        whole[c] += k[n]
+    inner = [sum(w for m, w in g.near[n].items() if label[m] == label[n]) for n in range(len(label))]
+    cut = list(inner)  # weight from each part to the rest of its community
+    for n in range(len(label)):
+        if part[n] != n or members[n] > 1 or inner[n] < k[n] * (whole[label[n]] - k[n]) / total - 1e-12:
+            continue
+        pull: dict[int, float] = defaultdict(float)
+        for m, w in g.near[n].items():
+            if label[m] == label[n]:
+                pull[part[m]] += w
+        fits = [p for p in pull if cut[p] >= volume[p] * (whole[label[n]] - volume[p]) / total - 1e-12]
+        best = max(fits, key=lambda p: (round(pull[p] - k[n] * volume[p] / total, 9), -p), default=None)  # noqa: B023
+        if best is not None and round(pull[best] - k[n] * volume[best] / total, 9) > 0:
+            part[n] = best
+            members[best] += 1
+            members[n] = 0
+            volume[best] += k[n]
+            cut[best] += inner[n] - 2 * pull[best]
+    return part
+
+
+def clustered(names: list, links: list[tuple], start: list | None = None) -> list[int]:
+    """Communities of one small graph by Leiden clustering, numbered in the order of their first members; ``names`` are in order.
+
+    It is run again from what it found, until that stays.
+    """
+    at = {n: i for i, n in enumerate(names)}
+    base = _Graph(len(names))
+    for a, b, w in links:
+        base.add(at[a], at[b], w)
+    total = sum(base.strength()) or 1.0
+    first: dict = {}
+    found = [first.setdefault(c, len(first)) for c in (names if start is None else start)]
+    while True:
+        again = _parts(base, _pass(base, total, list(found)))
+        if again == found:
+            return found
+        found = again
+
+
+def _pass(base: _Graph, total: float, label: list[int]) -> list[int]:
+    """Moving, refinement and aggregation until each community is one node of the quotient graph."""
+    g, where = base, list(range(len(label)))
+    while True:
+        k = g.strength()
+        label = _moved(g, k, total, label)
+        if len(set(label)) == len(label):
+            return [label[i] for i in where]
+        part = _refined(g, k, total, label)
+        if len(set(part)) == len(part):
+            part = label  # refinement keeps all nodes apart: communities are the next nodes
+        numbers: dict[int, int] = {}
+        part = [numbers.setdefault(p, len(numbers)) for p in part]
+        small, of = _Graph(len(numbers)), [0] * len(numbers)
+        for n, p in enumerate(part):
+            of[p] = label[n]
+            small.loop[p] += g.loop[n]
+            for m, w in g.near[n].items():
+                if n < m:
+                    small.add(p, part[m], w)
+        where = [part[i] for i in where]
+        g, label = small, of
+
+
+def _parts(g: _Graph, label: list[int]) -> list[int]:
+    """Communities cut into connected ones, numbered in the order of their first members."""
+    out, found = [-1] * len(label), 0
+    for n in range(len(label)):
+        if out[n] >= 0:
             continue
-        out[n], stack = len(set(out.values())), [n]
+        out[n], stack = found, [n]
         while stack:
-            at = stack.pop()
-            for m in near[at]:
-                if m not in out and label[m] == label[n]:
-                    out[m] = out[n]
+            i = stack.pop()
+            for m in g.near[i]:
+                if out[m] < 0 and label[m] == label[i]:
+                    out[m] = found
                     stack.append(m)
+        found += 1
     return out
 
 
-def _moved_again(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Communities of more than ``SPLIT_NODES`` members moved in rounds over their own edges, from single nodes; others as they are."""
-    huge = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_NODES).select("label")
-    members = cut_lineage(labels.join(huge, "label", "left_semi").select("node_id", "label"))
-    if members.isEmpty():
-        return labels
-    a, b = (members.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
-    inside = cut_lineage(edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "weight"))
-    moved = local_moving(inside, members.select("node_id", F.concat_ws("/", "label", "node_id").alias("label")))
-    return cut_lineage(labels.join(huge, "label", "left_anti").select("node_id", "label").unionByName(moved.select("node_id", "label")))
-
-
-def split(edges: DataFrame, labels: DataFrame, max_size: int) -> DataFrame:
-    """Communities of more than ``max_size`` members cut into smaller ones where their links allow; others as they are."""
-    labels = _moved_again(edges, labels)
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    large = labels.join(sizes.where((F.col("n") > max_size) & (F.col("n") <= SPLIT_NODES)), "label").drop("n")
-    rest = labels.join(sizes.where((F.col("n") <= max_size) | (F.col("n") > SPLIT_NODES)).select("label"), "label", "left_semi")
-    a, b = (large.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
-    inside = edges.join(a, "src").join(b, "dst").where("_src = _dst").select(F.col("_src").alias("label"), "src", "dst", "weight")
-    rows = inside.unionByName(large.select("label", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")))
+def split(edges: DataFrame, labels: DataFrame, max_size: int, seed: int = 42) -> DataFrame:
+    """Communities of more than ``max_size`` members clustered again by their own edges; others as they are."""
+    inside = cut_lineage(_inside(edges, labels))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).join(inside.groupBy("label").agg(F.count("*").alias("e")), "label", "left")
+    huge = (F.col("n") > SPLIT_NODES) | (F.coalesce("e", F.lit(0)) > TASK_EDGES)
+    kind = F.when(F.col("n") <= max_size, "rest").when(huge, "huge").otherwise("task")
+    rows = cut_lineage(labels.join(sizes.select("label", kind.alias("kind")), "label"))
+    task = inside.join(sizes.where(kind == "task").select("label"), "label", "left_semi")
+    task = task.unionByName(rows.where("kind = 'task'").select("label", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         members = sorted(pdf.loc[pdf["dst"].isna(), "src"])
         links = pdf[pdf["dst"].notna()].sort_values(["src", "dst"])
-        got = _louvain(members, list(zip(links["src"], links["dst"], links["weight"])))
-        return pd.DataFrame({"node_id": members, "label": [f"{pdf['label'].iloc[0]}/{got[n]:05d}" for n in members]})
+        got = clustered(members, list(zip(links["src"], links["dst"], links["weight"])))
+        return pd.DataFrame({"node_id": members, "label": [f"{pdf['label'].iloc[0]}/{c:06d}" for c in got]})
 
-    return rest.select("node_id", "label").unionByName(rows.groupBy("label").applyInPandas(cut, "node_id string, label string"))
+    out = rows.where("kind = 'rest'").select("node_id", "label").unionByName(task.groupBy("label").applyInPandas(cut, "node_id string, label string"))
+    large = rows.where("kind = 'huge'").select("node_id", "label")
+    if large.isEmpty():
+        return out
+    # all of them at once, as no edge leads from one to another
+    again = inside.join(large.select("label").distinct(), "label", "left_semi").select("src", "dst", "weight")
+    moved = leiden(again, large, seed).withColumnRenamed("label", "_to")
+    return out.unionByName(large.join(moved, "node_id").select("node_id", F.concat_ws("/", "label", "_to").alias("label")))
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, max_size: int = 10, max_levels: int = 3, seed: int = 42) -> DataFrame:
     """(node_id, level, community_id) for levels c0 (coarsest) to the finest; isolated nodes are alone."""
-    labels = cut_lineage(nodes.select("node_id", F.col("node_id").alias("label")))
-    labels = local_moving(edges, labels, seed=seed)
-    out = None
+    labels, out = cut_lineage(leiden(edges, nodes, seed)), None
     for level in range(max_levels):
         rows = _named(labels, f"c{level}")
         out = rows if out is None else out.unionByName(rows)
         if level + 1 < max_levels:
-            labels = cut_lineage(split(edges, labels, max_size))
+            labels = cut_lineage(split(edges, labels, max_size, seed))
     return out
 
 
+def one_level(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
+    """(node_id, level, community_id) of a single level, c1, without splitting; the largest communities come first."""
+    labels = cut_lineage(leiden(edges, nodes, seed))
+    sizes = labels.groupBy("label").agg((-F.count("*")).alias("size"), F.min("node_id").alias("first"))
+    index = numbered(sizes, ["size", "first"], "index")
+    return labels.join(index, "label").select("node_id", F.lit("c1").alias("level"), F.format_string("comm_c1_%04d", "index").alias("community_id"))
+
+
 def _named(labels: DataFrame, level: str) -> DataFrame:
     """Community ids in the order of their smallest members."""
     first = labels.groupBy("label").agg(F.min("node_id").alias("first"))

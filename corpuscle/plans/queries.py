@@ -456,6 +456,32 @@ def leiden_communities(spark, sf):
     return community.hierarchy(tables.cut_lineage(nodes.select("node_id")), tables.cut_lineage(edges.select("src", "dst", "weight")))
 
 
+@query(GRAPH + "select 'c' || i as level, (select count(*) from nodes) as nodes, 0::bigint as split_nodes, 0::bigint as unnested, 0::bigint as disconnected, true as clustered from range(0, 3) t(i)")
+def leiden_invariants(spark, sf):
+    """What must hold of each level: every node is in one community, of one of the level above, connected; modularity is high.
+
+    The last is that of c0: it reaches what components alone have, and half of the best there can be.
+    """
+    nodes, edges = _graph(spark, sf)
+    edges = tables.cut_lineage(edges.select("src", "dst", "weight"))
+    ids = tables.cut_lineage(nodes.select("node_id"))
+    membership = tables.cut_lineage(community.hierarchy(ids, edges))
+    per_node = membership.groupBy("level", "node_id").agg(F.count("*").alias("n"))
+    rows = per_node.groupBy("level").agg(F.count("*").alias("nodes"), F.count_if(F.col("n") > 1).alias("split_nodes"))
+    order = F.substr("level", F.lit(2)).cast("int")
+    child = membership.select("node_id", "level", "community_id", order.alias("i"))
+    above = membership.select("node_id", F.col("community_id").alias("parent"), (order + 1).alias("i"))
+    nested = child.join(above, ["node_id", "i"]).groupBy("level", "community_id").agg(F.countDistinct("parent").alias("parents")).groupBy("level").agg(F.count_if(F.col("parents") > 1).alias("unnested"))
+    inside = community.internal_edges(edges, membership).select(*(F.concat_ws("|", "level", c).alias(c) for c in ("src", "dst")))
+    comps = community.components(inside).select(F.split_part("node_id", F.lit("|"), F.lit(1)).alias("level"), F.split_part("node_id", F.lit("|"), F.lit(2)).alias("node_id"), "component")
+    parts = membership.join(comps, ["level", "node_id"], "left").groupBy("level", "community_id").agg(F.countDistinct(F.coalesce("component", "node_id")).alias("parts"))
+    torn = parts.groupBy("level").agg(F.count_if(F.col("parts") > 1).alias("disconnected"))
+    top = community.modularity(edges, membership.where("level = 'c0'").select("node_id", F.col("community_id").alias("label")))
+    comps = community.components(edges).withColumnRenamed("component", "label")
+    rows = rows.join(nested, "level", "left").join(torn, "level", "left").select("level", "nodes", "split_nodes", F.coalesce("unnested", F.lit(0)).alias("unnested"), "disconnected")
+    return rows.withColumn("clustered", F.lit(top >= max(0.5, community.modularity(edges, comps))))
+
+
 # ---- reports and global questions ------------------------------------------------------------------------------
 
 RESPONSES = """
@@ -620,13 +646,13 @@ def signed_rank(spark, sf):
 
 
 @query("""
-with d as (select p_partkey % 400 as g, p_partkey as d from part), few as (select g, case when d % 2 = 0 then d else -d end as d from (select *, row_number() over (partition by g order by d) as k from d) where k <= 12),
+with d as (select p_partkey % 400 as g, p_partkey + 1 as d from part), few as (select g, case when d % 2 = 0 then d else -d end as d from (select *, row_number() over (partition by g order by d) as k from d) where k <= 12),
 r as (select g, d, rank() over (partition by g order by abs(d)) as rank from few), s as (select g, count(*) as n, sum(case when d > 0 then rank else 0 end)::int as w from r group by g),
 signs as (select n, w from (select n, m, list_sum(list_transform(range(1, n + 1), lambda i: case when (m >> (i - 1)) % 2 = 1 then i else 0 end)) as w from (select n, unnest(range(0, (1::bigint << n))) as m from (select distinct n::int as n from s))))
 select g, s.n, s.w::double as w_plus, round((select count(*) from signs where signs.n = s.n and signs.w >= s.w) / (1::bigint << s.n)::double, 9) as p_value from s""")
 def signed_rank_exact(spark, sf):
     """Exact p-values, against a count of all signs; up to twelve differences a group, of different sizes."""
-    rows = read(spark, sf, "part").select((F.col("p_partkey") % 400).alias("g"), F.col("p_partkey").alias("d"))
+    rows = read(spark, sf, "part").select((F.col("p_partkey") % 400).alias("g"), (F.col("p_partkey") + 1).alias("d"))
     first = F.row_number().over(Window.partitionBy("g").orderBy("d"))
     rows = rows.withColumn("k", first).where("k <= 12").select("g", F.when(F.col("d") % 2 == 0, F.col("d")).otherwise(-F.col("d")).alias("d"))
     ranks = evaluate.signed_ranks(rows, "d", ["g"])

@@ -218,6 +218,77 @@ def test_hierarchy_of_cliques(spark):
     assert all(parent[c1[n]] == c0[n] for n in c0)
 
 
+def karate_like(seed, n=60, groups=4):
+    rng = random.Random(seed)
+    links = []
+    for a, b in itertools.combinations(range(n), 2):
+        if rng.random() < (0.4 if a % groups == b % groups else 0.03):
+            links.append((f"v{a:02d}", f"v{b:02d}", float(rng.randint(1, 3))))
+    return [f"v{k:02d}" for k in range(n)], links
+
+
+def plain_modularity(names, links, label):
+    k, total, inside = dict.fromkeys(names, 0.0), sum(w for *_, w in links), 0.0
+    for a, b, w in links:
+        k[a] += w
+        k[b] += w
+        inside += w * (label[a] == label[b])
+    volumes = {}
+    for n in names:
+        volumes[label[n]] = volumes.get(label[n], 0.0) + k[n]
+    return inside / total - sum(v * v for v in volumes.values()) / (2 * total) ** 2
+
+
+def is_connected(members, links):
+    seen, stack = set(), [min(members)]
+    while stack:
+        at = stack.pop()
+        if at not in seen:
+            seen.add(at)
+            stack += [b if a == at else a for a, b, _ in links if at in (a, b) and {a, b} <= members]
+    return seen == members
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_leiden_of_a_small_graph(seed):
+    names, links = karate_like(seed)
+    got = dict(zip(names, community.clustered(names, links)))
+    planted = {n: k % 4 for k, n in enumerate(names)}
+    q = plain_modularity(names, links, got)
+    assert q >= plain_modularity(names, links, planted) - 1e-9
+    for c in set(got.values()):
+        assert is_connected({n for n in names if got[n] == c}, links)
+    # no single node gains by moving, and no two communities by merging
+    for n in names:
+        for c in set(got.values()):
+            assert plain_modularity(names, links, got | {n: c}) <= q + 1e-6
+    for c, d in itertools.combinations(sorted(set(got.values())), 2):
+        assert plain_modularity(names, links, {n: d if x == c else x for n, x in got.items()}) <= q + 1e-6
+
+
+def test_leiden_over_dataframes(spark):
+    names, links = karate_like(1)
+    nodes, edges = spark.createDataFrame([(n,) for n in [*names, "alone"]], "node_id string"), spark.createDataFrame(links, "src string, dst string, weight double")
+    best = plain_modularity(names, links, dict(zip(names, community.clustered(names, links))))
+    for most in (0, 60):
+        got = {r.node_id: r.label for r in community.leiden(edges, nodes, task_edges=most).collect()}
+        assert set(got) == {*names, "alone"} and list(got.values()).count(got["alone"]) == 1
+        assert plain_modularity(names, links, got) >= (0.9 if most else 0.8) * best
+        assert all(is_connected({n for n in names if got[n] == c}, links) for c in set(got.values()) - {got["alone"]})
+        rows = spark.createDataFrame(list(got.items()), "node_id string, label string")
+        assert community.modularity(edges, rows) == pytest.approx(plain_modularity(names, links, got))
+
+
+def test_one_level(spark):
+    nodes, edges = cliques(spark)
+    rows = community.one_level(nodes, edges).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.community_id] = sizes.get(r.community_id, 0) + 1
+    assert {r.level for r in rows} == {"c1"} and [sizes[f"comm_c1_{k:04d}"] for k in range(4)] == [4, 4, 4, 1]
+    assert community.one_level(nodes.where("false"), edges.where("false")).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(f"a{k:02d}", f"a{k + 1:02d}") for k in range(30)] + [("x", "y"), ("z", "y"), ("q", "q")], "src string, dst string")
     got = {r.node_id: r.component for r in community.components(edges).collect()}
