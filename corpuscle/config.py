@@ -25,9 +25,10 @@ class EngineConfig:
     eval_runs: int = 5
     embedding_dim: int = 64
     attempts: int = 3
+    concurrency: int = 20
 
     def __post_init__(self):
-        ranges = {"chunk_size": (100, 2400), "chunk_overlap": (0, 300), "gleaning_rounds": (0, 5), "context_window": (1000, 128_000), "max_levels": (1, 5), "helpfulness_threshold": (0, 100), "top_k": (1, 100), "eval_runs": (1, 10)}
+        ranges = {"chunk_size": (100, 2400), "chunk_overlap": (0, 300), "gleaning_rounds": (0, 5), "context_window": (1000, 128_000), "max_levels": (1, 5), "helpfulness_threshold": (0, 100), "top_k": (1, 100), "eval_runs": (1, 10), "concurrency": (1, 1000)}
         for name, (low, high) in ranges.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be from {low} to {high}")

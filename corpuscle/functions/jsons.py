@@ -27,6 +27,11 @@ def parsed(text: Column | str) -> Column:
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(braces))
 
 
+def dumped(value: Column) -> Column:
+    """JSON of a struct or map, with times in ISO 8601."""
+    return F.to_json(value, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"})
+
+
 def is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 

@@ -6,22 +6,48 @@ chunks that have no result yet, so a run that was cut off goes on where it was.
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig, checked_criteria, checked_question
+from ..functions import jsons as js
 from ..functions import text as tx
 from ..operators import chunking, claims, community, evaluate, extract, graph, reports, state, vector
-from ..providers import CompletionProvider, Embedder, HashedEmbedder, RuleModel, completed, task
+from ..providers import MODES, TEXT, CompletionProvider, Embedder, HashedEmbedder, RuleModel, completed, task
 from ..sources import tables
 
 TABLES = {"chunking": "chunks", "extraction": "extractions", "graph_construction": "edges", "community_detection": "membership", "summarization": "reports", "embedding": "vectors"}
+RUNS = "run_id string, kind string, at timestamp, status string, questions long, criteria array<string>, details string"
 NO_DATA = "No community reports are available at this level."
 NOTHING_HELPFUL = "The corpus holds nothing that helps to answer this question."
 
 
+class Cancelled(Exception):
+    """The run was told to stop."""
+
+
+@dataclass
+class Hooks:
+    """What is called on the driver as a run goes on; any may be left out."""
+
+    #: A stage and how many per cent of all stages are done with it.
+    progress: Callable[[str, float], None] | None = None
+    #: The result of a batch of extracted chunks: counts, success rate, seconds, chunks a second.
+    chunks: Callable[[dict], None] | None = None
+    #: A level and the number of its reports.
+    reports: Callable[[str, int], None] | None = None
+
+    def call(self, name: str, *values) -> None:
+        if (hook := getattr(self, name)) is not None:
+            hook(*values)
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -29,9 +55,14 @@ class Engine:
     config: EngineConfig = field(default_factory=EngineConfig)
     provider: CompletionProvider = field(default_factory=RuleModel)
     embedder: Embedder | None = None
+    hooks: Hooks = field(default_factory=Hooks)
+    tokenizer: tx.Tokenizer = tx.WHITE_SPACE
+    #: Rows with text and a key to rows (key, pos, kind, parts) of records.
+    parse: Callable[[DataFrame, str], DataFrame] = extract.records
 
     def __post_init__(self):
         self.embedder = self.embedder or HashedEmbedder(self.config.embedding_dim)
+        self.tag, self.stopped, self.running = f"engine-{uuid.uuid4().hex}", False, {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,61 +73,108 @@ class Engine:
     def has(self, name: str) -> bool:
         return tables.exists(self.spark, f"{self.path(name)}/_SUCCESS")
 
-    def ask(self, rows: DataFrame) -> DataFrame:
-        return completed(rows, "prompt", self.provider, self.config.attempts)
+    def ask(self, rows: DataFrame, name: str) -> DataFrame:
+        """Adds the provider's responses to the prompts of a task."""
+        return completed(rows, "prompt", self.provider, self.config.attempts, mode=MODES.get(name, TEXT), most=self.config.concurrency)
+
+    def cancel(self) -> None:
+        """Stops a run from another thread: its Spark jobs, and what would come after them."""
+        self.stopped = True
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def stage(self, name: str, run: Callable[[], None]) -> None:
+        """One stage of ``index``, whose jobs ``cancel`` can stop."""
+        if self.stopped:
+            raise Cancelled(name)
+        self.spark.sparkContext.addJobTag(self.tag)
+        try:
+            run()
+        except Exception as e:
+            if self.stopped:
+                raise Cancelled(name) from e
+            raise
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+        self.hooks.call("progress", name, 100.0 * (state.STAGES.index(name) + 1) / len(state.STAGES))
 
     # ---- indexing ----
 
-    def index(self, docs: DataFrame, max_chunks: int | None = None) -> None:
-        """``docs`` has doc_id (any order) and text."""
+    def index(self, docs: DataFrame, max_chunks: int | None = None, retry_failed: bool = False) -> None:
+        """``docs`` has doc_id (any order) and text; ``retry_failed`` asks again for chunks that have failed."""
+        job = self.log("index", "running")
+        try:
+            self.stage("chunking", lambda: self.has("chunks") or self.chunk(docs, max_chunks))
+            self.stage("extraction", lambda: self.extract(retry_failed))
+            self.stage("graph_construction", lambda: self.has("edges") or self.build_graph())
+            self.stage("community_detection", lambda: self.has("membership") or self.cluster())
+            self.stage("summarization", lambda: self.has("reports") or self.report())
+            self.stage("embedding", lambda: self.has("vectors") or self.embed())
+        except Exception as e:
+            self.log("index", "cancelled" if isinstance(e, Cancelled) else "failed", job, details=str(e)[:500])
+            raise
+        self.log("index", "completed", job)
+
+    def chunk(self, docs: DataFrame, max_chunks: int | None = None) -> None:
         c = self.config
-        if not self.has("chunks"):
-            stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-            rows = chunking.chunk(docs, stem, c.chunk_size, c.chunk_overlap, limit=max_chunks)
-            order = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))
-            rows = rows.withColumn("chunk_ord", F.col("doc_id").cast("long") * 1000 + order - 1)
-            tables.save(rows, self.path("chunks"))
-        self.extract()
-        if not self.has("edges"):
-            self.build_graph()
-        if not self.has("membership"):
-            nodes, edges = self.read("nodes"), self.read("edges")
-            tables.save(community.hierarchy(nodes.select("node_id"), edges.select("src", "dst", "weight"), c.max_cluster_size, c.max_levels, c.seed), self.path("membership"), ("level",))
-        if not self.has("reports"):
-            self.report()
-        if not self.has("vectors"):
-            rows = self.embedder.embedded(self.read("chunks").select("chunk_ord", "chunk_id", "doc_id", "text", "token_count"), "text", "embedding")
-            tables.save(vector.checked(rows.withColumnRenamed("chunk_ord", "vec_id"), c.embedding_dim), self.path("vectors"))
-
-    def extract(self) -> None:
+        stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+        rows = chunking.chunk(docs, stem, c.chunk_size, c.chunk_overlap, limit=max_chunks, tokenizer=self.tokenizer)
+        # chunks are numbered in the order of documents, however many a document has
+        tables.save(tables.numbered(rows, ["doc_id", "chunk_index"], "chunk_ord"), self.path("chunks"))
+
+    def cluster(self) -> None:
+        c, nodes, edges = self.config, self.read("nodes"), self.read("edges")
+        tables.save(community.hierarchy(nodes.select("node_id"), edges.select("src", "dst", "weight"), c.max_cluster_size, c.max_levels, c.seed), self.path("membership"), ("level",))
+
+    def embed(self) -> None:
+        rows = self.embedder.embedded(self.read("chunks").select("chunk_ord", "chunk_id", "doc_id", "text", "token_count"), "text", "embedding")
+        tables.save(vector.checked(rows.withColumnRenamed("chunk_ord", "vec_id"), self.config.embedding_dim), self.path("vectors"))
+
+    def extract(self, retry_failed: bool = False) -> None:
         """Asks for the records of each chunk that has none yet, and for more in later rounds, while the model says so."""
+        began = time.perf_counter()
         chunks = self.read("chunks").select("chunk_id", "chunk_ord", "text")
-        done = self.read("extractions").select("chunk_id").distinct() if self.has("extractions") else None
-        todo = chunks if done is None else chunks.join(done, "chunk_id", "left_anti")
-        if done is not None and todo.isEmpty():
-            return
-        asked = tables.cut_lineage(self.ask(todo.withColumn("prompt", task("extract", text="text"))))
+        todo = chunks
+        if self.has("extractions"):
+            seen = self.read("extractions").where("round = 0").select("chunk_id", F.col("text").isNull().alias("failed")).groupBy("chunk_id").agg(F.min("failed").alias("failed"))
+            ids = state.pending(chunks, seen.where("not failed"), seen.where("failed"), "chunk_id", retry_failed)
+            todo = chunks.join(ids, "chunk_id", "left_semi")
+            if todo.isEmpty():
+                return
+        asked = tables.cut_lineage(self.ask(todo.withColumn("prompt", task("extract", text="text")), "extract"))
         rounds = [asked.select("chunk_id", "chunk_ord", F.lit(0).alias("round"), F.col("response").alias("text"), "error")]
         active = asked.where("response is not null").select("chunk_id", "chunk_ord", "text")
         for k in range(1, self.config.gleaning_rounds + 1):
-            more = self.ask(active.withColumn("prompt", task("more", text="text"))).where(F.upper(F.trim("response")).startswith("Y"))
-            found = tables.cut_lineage(self.ask(more.drop("response", "error").withColumn("prompt", task("continue", text="text"))))
+            more = self.ask(active.withColumn("prompt", task("more", text="text")), "more").where("response = 'YES'")
+            found = tables.cut_lineage(self.ask(more.drop("response", "error").withColumn("prompt", task("continue", text="text")), "continue"))
             rounds.append(found.select("chunk_id", "chunk_ord", F.lit(k).alias("round"), F.col("response").alias("text"), "error"))
             active = found.where("response is not null").select("chunk_id", "chunk_ord", "text")
         out = rounds[0]
         for r in rounds[1:]:
             out = out.unionByName(r)
+        out = tables.cut_lineage(out)
         tables.save(out, self.path("extractions"), append=True)
+        self.hooks.call("chunks", self.batch(out, time.perf_counter() - began))
+
+    def batch(self, extractions: DataFrame, seconds: float) -> dict:
+        """Counts, success rate and throughput of a batch of extractions."""
+        records = self.parse(extractions.where("text is not null"), "chunk_id").groupBy("chunk_id").pivot("kind", ["entity", "relationship", "claim"]).count()
+        rows = extractions.where("round = 0").select("chunk_id", F.col("text").isNotNull().alias("extraction_completed")).join(records, "chunk_id", "left").na.fill(0)
+        rows = rows.withColumnsRenamed({"entity": "entities", "relationship": "relationships", "claim": "claims"})
+        return extract.batch_result(rows, seconds).head().asDict()
+
+    def rounds_completed(self) -> DataFrame:
+        """(chunk_id, rounds_completed): the last round of each chunk that gave a response; null if none did."""
+        return self.read("extractions").groupBy("chunk_id").agg(F.max(F.when(F.col("text").isNotNull(), F.col("round"))).alias("rounds_completed"))
 
     def build_graph(self) -> None:
         raw = self.read("extractions").where("text is not null").withColumn("key", F.struct("chunk_ord", "round"))
-        rows = extract.records(raw, "key").select("*", "key.chunk_ord", "key.round")
+        rows = self.parse(raw, "key").select("*", "key.chunk_ord", "key.round")
         keep = lambda df: df.select("*", "key.chunk_ord", "key.round")
         entities = extract.merged_rounds(keep(extract.entities(rows, "key")), [extract.normal("name")], "chunk_ord")
         pairs = extract.merged_rounds(keep(extract.relationships(rows, "key")), [extract.normal("source_entity"), extract.normal("target_entity")], "chunk_ord")
         said = keep(extract.claims(rows, "key"))
         # later rounds come after earlier ones in a chunk
-        place = lambda df: df.withColumn("pos", F.col("round") * 100_000 + F.col("pos"))
+        place = lambda df: df.withColumn("pos", F.struct("round", "pos"))
         nodes = graph.nodes(place(entities), place(said), self.config.min_entity_mentions)
         tables.save(nodes, self.path("nodes"))
         nodes = self.read("nodes")
@@ -110,7 +188,7 @@ class Engine:
         levels, made = sorted(r["level"] for r in membership.select("level").distinct().collect()), None
         for level in reversed(levels):
             members = membership.where(F.col("level") == level)
-            raw = reports.raw_context(members, nodes, edges, community.internal_edges(edges.select("src", "dst"), members))
+            raw = reports.raw_context(members, nodes, edges, community.internal_edges(edges.select("src", "dst"), members), self.config.context_window)
             below = made if made is not None else None
             mine = links.join(members.select(F.col("community_id").alias("parent")).distinct(), "parent", "left_semi")
             if below is None:
@@ -119,18 +197,62 @@ class Engine:
                 sub = reports.sub_context(mine, below.select("community_id", "level", "title", "summary", "impact_rating"))
             rows = reports.chosen_context(raw, sub, self.config.context_window, below is not None)
             sizes = members.groupBy("community_id").agg(F.count("*").cast("int").alias("node_count"))
-            rows = self.ask(rows.join(sizes, "community_id").withColumn("prompt", task("report", context="context")))
+            rows = self.ask(rows.join(sizes, "community_id").withColumn("prompt", task("report", context="context")), "report")
             rows = tables.cut_lineage(rows)
             found = reports.parsed_reports(rows).join(rows.select("community_id", tx.count_tokens("context").alias("context_tokens"), "was_truncated", "used_sub"), "community_id").withColumn("level", F.lit(level))
             found = tables.cut_lineage(found)
             made = found if made is None else made.unionByName(found)
+            self.hooks.call("reports", level, found.count())
         tables.save(made, self.path("reports"), ("level",))
 
     def status(self) -> dict:
         """Which stages are done, the next one, and which kinds of questions can be answered."""
         done = {s: self.has(t) for s, t in TABLES.items()}
         following = next((s for s in state.STAGES if not done[s]), None)
-        return {"done": done, "next": following, "global_ready": done["summarization"], "local_ready": done["embedding"], "fully_indexed": all(done.values())}
+        return {"done": done, "next": following, **state.ready(done)}
+
+    def sizes(self) -> dict[str, dict[str, int] | None]:
+        """Rows and bytes of each stored table, None where there is none."""
+        names = (*TABLES.values(), "nodes")
+        return {n: {"rows": self.read(n).count(), "bytes": tables.size(self.spark, self.path(n))} if self.has(n) else None for n in names}
+
+    def report_by_id(self, community_id: str) -> dict | None:
+        return tables.by_id(self.read("reports"), "community_id", community_id)
+
+    def reports_page(self, level: str, page: int = 1, size: int = 20) -> tuple[int, DataFrame]:
+        """The number of a level's reports, and one page of them by community."""
+        return state.counted(self.read("reports").where(F.col("level") == level), ["community_id"], page, size)
+
+    # ---- runs ----
+
+    def log(self, kind: str, status: str, run: str | None = None, questions: int = 0, criteria: tuple[str, ...] = (), details: str = "") -> str:
+        """Adds a line to the log of runs, of which a run's last one counts; gives the run's id."""
+        run = run or tables.run_id("eval" if kind == "evaluation" else "job")
+        row = (run, kind, datetime.now(timezone.utc), status, questions, list(criteria), details)
+        self.running[run] = row
+        tables.save(self.spark.createDataFrame([row], RUNS), self.path("runs"), append=True)
+        return run
+
+    def runs(self, kind: str) -> DataFrame:
+        """Each run of a kind as it was last seen; those of this engine as they are in memory."""
+        columns = ["kind", "at", "status", "questions", "criteria", "details"]
+        here = self.spark.createDataFrame([r for r in self.running.values() if r[1] == kind], RUNS)
+        if not self.has("runs"):
+            return here
+        stored = state.latest(self.read("runs").where(F.col("kind") == kind), "run_id", "at", *columns)
+        return state.merged_runs(here, stored.select(*here.columns), "run_id")
+
+    def jobs(self, limit: int = 20) -> DataFrame:
+        """The latest indexing runs first."""
+        return state.newest(self.runs("index"), "at", limit)
+
+    def evaluations(self, page: int = 1, size: int = 20) -> tuple[int, DataFrame]:
+        """The number of all evaluations, and one page of them, the latest first."""
+        return state.counted(self.runs("evaluation"), [F.desc("at"), "run_id"], page, size)
+
+    def evaluation(self, run: str) -> DataFrame:
+        """A saved evaluation's summary by criterion."""
+        return self.read("evaluations").where(F.col("run_id") == run)
 
     # ---- questions ----
 
@@ -139,16 +261,16 @@ class Engine:
         question, level, c = checked_question(question), level or self.config.level, self.config
         found = self.read("reports").where(F.col("level") == level)
         if found.isEmpty():
-            return {"answer": NO_DATA, "communities": 0, "points": 0, "helpful": 0, "context": ""}
+            return {"answer": NO_DATA, "communities": 0, "points": 0, "helpful": 0, "context_tokens": 0, "context": ""}
         contexts = reports.map_context(found, c.context_window)
-        mapped = tables.cut_lineage(self.ask(contexts.withColumn("prompt", task("points", question=F.lit(question), context="context"))))
+        mapped = tables.cut_lineage(self.ask(contexts.withColumn("prompt", task("points", question=F.lit(question), context="context")), "points"))
         points = reports.map_points(mapped)
-        m = reports.map_metrics(mapped, points, c.helpfulness_threshold).agg(F.count("*").alias("n"), F.sum("points").alias("p"), F.sum("helpful").alias("h")).head()
+        m = reports.map_totals(reports.map_metrics(mapped, points, c.helpfulness_threshold), mapped).head()
         helpful = reports.helpful(points, c.helpfulness_threshold)
         lines = reports.reduce_context(helpful, c.context_window - len(question.split())).orderBy("rank")
         context = "\n".join(r["line"] for r in lines.select("line").collect())  # at most one context window
         answer = self.provider.complete([f"TASK: answer\n### question\n{question}\n### context\n{context}"])[0] if context else NOTHING_HELPFUL
-        return {"answer": answer, "communities": m["n"], "points": m["p"], "helpful": m["h"], "context": context}
+        return {"answer": answer, "communities": m["communities"], "points": m["points"], "helpful": m["helpful"], "context_tokens": m["context_tokens"], "context": context}
 
     def ask_local(self, question: str) -> dict:
         """The nearest chunks, as many as fit the window, with citations."""
@@ -157,7 +279,7 @@ class Engine:
         rows = self.read("vectors")
         best = vector.top_k(rows, list(asked), c.top_k)
         hits = best.drop("rank").join(rows.select("vec_id", F.col("doc_id").cast("string").alias("source"), "text"), "vec_id")
-        kept = vector.cited_context(hits, c.context_window, [F.desc("score"), "vec_id"]).orderBy("rank").collect()  # at most one context window
+        kept = vector.cited_context(hits, c.context_window, [F.desc("score"), "vec_id"], self.tokenizer).orderBy("rank").collect()  # at most one context window
         context = "\n\n---\n\n".join(r["cited"] for r in kept)
         answer = self.provider.complete([f"TASK: answer\n### question\n{question}\n### context\n{context}"])[0] if kept else NOTHING_HELPFUL
         return {"answer": answer, "chunks": [(r["rank"], r["vec_id"], r["score"]) for r in kept], "context": context}
@@ -165,22 +287,29 @@ class Engine:
     # ---- evaluation ----
 
     def judge(self, answers: DataFrame, criteria: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(question_id, question, global, local) to results by question and criterion, and by criterion."""
-        rows = evaluate.grid(answers, checked_criteria(criteria), self.config.eval_runs).withColumn("coin", evaluate.coin("question_id", "criterion", "run_index", seed=self.config.seed))
+        """(question_id, question, global, local) to results by question and criterion, and by criterion; the latter are saved."""
+        criteria, asked = checked_criteria(criteria), answers.count()
+        run = self.log("evaluation", "running", questions=asked, criteria=criteria)
+        rows = evaluate.grid(answers, criteria, self.config.eval_runs).withColumn("coin", evaluate.coin("question_id", "criterion", "run_index", seed=self.config.seed))
         shown = lambda c: tx.truncated(F.col(c), tx.tokens(c), 1500)
         first, second = shown("global"), shown("local")
         rows = rows.withColumn("prompt", task("judge", question="question", criterion="criterion", a=F.when(F.col("coin") == 1, first).otherwise(second), b=F.when(F.col("coin") == 1, second).otherwise(first)))
-        rows = tables.cut_lineage(evaluate.unswapped(evaluate.parsed_judgments(self.ask(rows))))
+        rows = tables.cut_lineage(evaluate.unswapped(evaluate.parsed_judgments(self.ask(rows, "judge"))))
         results = evaluate.criterion_results(rows)
-        return results, evaluate.summary(results)
+        summary = evaluate.summary(results)
+        tables.save(summary.withColumn("run_id", F.lit(run)), self.path("evaluations"), append=True)
+        rates = summary.agg(js.dumped(F.map_from_entries(F.collect_list(F.struct("criterion", "mean_win_rate"))))).head()[0]
+        self.log("evaluation", "completed", run, asked, criteria, rates)
+        return results, self.evaluation(run).drop("run_id")
 
     def compare_claims(self, answers: DataFrame, distance: float = 0.7) -> tuple[DataFrame, DataFrame]:
         """The same answers compared by their claims: a row for each question, and one over all."""
         long = answers.select("question_id", "question", F.explode(F.create_map(F.lit("global"), "global", F.lit("local"), "local")).alias("system", "answer"))
         long = long.withColumn("key", F.struct("question_id", "system")).withColumn("prompt", task("claims", question="question", answer=tx.truncated(F.col("answer"), tx.tokens("answer"), 3000)))
-        found = claims.parsed(self.ask(long), "key").select("key.question_id", "key.system", "pos", "claim")
+        found = claims.parsed(self.ask(long, "claims"), "key").select("key.question_id", "key.system", "pos", "claim")
         kept = tables.cut_lineage(claims.deduplicated(found, ["question_id", "system"]))
         counts = kept.groupBy("question_id", "system").agg(F.count("*").alias("claims"))
         clusters = claims.cluster_counts(kept, ["question_id", "system"], (distance,)).drop("threshold")
         rows = claims.comparison(counts.join(clusters, ["question_id", "system"]))
-        return rows, claims.batch(rows)
+        rows = tables.cut_lineage(rows)
+        return rows, claims.batch(rows).crossJoin(evaluate.compared_counts_p(rows).select("p_value"))  # one row each

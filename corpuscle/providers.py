@@ -26,6 +26,8 @@ class TransientError(Exception):
 
 
 class CompletionProvider(Protocol):
+    """A text model. ``complete_yes_no`` and ``complete_json`` may be left out: ``complete`` is asked then."""
+
     def complete(self, prompts: list[str]) -> list[str]: ...
 
 
@@ -33,14 +35,36 @@ class Embedder(Protocol):
     def embedded(self, rows: DataFrame, text: str, name: str) -> DataFrame: ...
 
 
+#: What each task asks for; a provider for a real model sends these words, the offline one goes by the task's name.
+PROMPTS = {
+    "extract": 'List all entities of the text as ("entity"<|>name<|>type<|>description), then how they are related as ("relationship"<|>source<|>target<|>description<|>strength from 1 to 10), then what is said of them as ("claim"<|>subject<|>type<|>description<|>status<|>start<|>end). Put ## between records and <|COMPLETE|> at the end.',
+    "more": "Has the text entities that a first reading is likely to miss? Answer YES or NO only.",
+    "continue": "List only those entities and relationships of the text that a first reading is likely to miss, in the same format.",
+    "report": "Write a report on this group of entities as a JSON object: title, summary, rating from 0 to 10, rating_explanation, and findings, each with a summary and an explanation.",
+    "points": "Which points of this report help to answer the question? Give a JSON object with a list points, each with a description and a score from 0 to 100.",
+    "answer": "Answer the question from the context alone.",
+    "judge": "Which of the answers a and b is better by this criterion? Give a JSON object: winner (A, B or TIE), score_a and score_b from 0 to 100, reasoning.",
+    "claims": "List what the answer claims as a JSON object with a list claims of full sentences.",
+}
+#: How an answer is asked for: as it comes, as a single YES or NO, or as a JSON object.
+TEXT, YES_NO, JSON = "text", "yes_no", "json"
+MODES = {"more": YES_NO, "report": JSON, "points": JSON, "judge": JSON, "claims": JSON}
+
+
 def task(name: str, **fields: Column | str) -> Column:
-    """A prompt: the task's name, then each field under its own."""
-    parts = [F.lit(f"TASK: {name}")]
+    """A prompt: the task's name, what it asks for, then each field under its own name."""
+    parts = [F.lit(f"TASK: {name}\n{PROMPTS.get(name, '')}")]
     for k, v in fields.items():
         parts += [F.lit(f"\n### {k}\n"), F.col(v) if isinstance(v, str) else v]
     return F.concat(*parts)
 
 
+def messages(prompt: str, system: str | None = None, history: list[tuple[str, str]] = ()) -> list[dict[str, str]]:
+    """A prompt as a chat API takes it: a system turn if there is one, earlier (role, text) turns, and the user's."""
+    turns = ([("system", system)] if system else []) + list(history) + [("user", prompt)]
+    return [{"role": role, "content": text} for role, text in turns]
+
+
 def _field(prompt: str, name: str) -> str:
     m = re.search(rf"(?s)\n### {name}\n(.*?)(?=\n### |\Z)", prompt)
     return m[1] if m else ""
@@ -101,14 +125,24 @@ class HashedEmbedder:
         return rows.withColumn(name, F.transform(vector.hashed(toks, self.dim), lambda x: x.cast("float"))).drop(toks)
 
 
-def completed(rows: DataFrame, prompt: str, provider: CompletionProvider, attempts: int = 3, wait: float = 0.5) -> DataFrame:
-    """Adds response and error (at most 500 characters). A batch that fails for a passing reason is tried again, with growing random waits; what fails for good leaves a null response."""
+def _yes_no(answer: str | None) -> str | None:
+    return None if answer is None else "YES" if answer.strip().upper().startswith("Y") else "NO"
+
+
+def completed(rows: DataFrame, prompt: str, provider: CompletionProvider, attempts: int = 3, wait: float = 0.5, mode: str = TEXT, most: int | None = None) -> DataFrame:
+    """Adds response and error (at most 500 characters).
+
+    A batch that fails for a passing reason is tried again, with growing random waits; what fails for good leaves a null
+    response. ``mode`` picks the provider's method for it, if it has one; with YES_NO the response is YES or NO in any
+    case. At most ``most`` calls are under way at a time: each partition makes one, and there are no more partitions.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string"
+    call = getattr(provider, f"complete_{mode}", provider.complete) if mode != TEXT else provider.complete
 
     def ask(batch: list[str]) -> tuple[list[str | None], list[str | None]]:
         for k in range(attempts):
             try:
-                return list(provider.complete(batch)), [None] * len(batch)
+                return list(call(batch)), [None] * len(batch)
             except TransientError as e:
                 last = e
                 if k + 1 < attempts:
@@ -124,6 +158,8 @@ def completed(rows: DataFrame, prompt: str, provider: CompletionProvider, attemp
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got, errors = ask(batch[prompt].tolist()) if len(batch) else ([], [])
+            if mode == YES_NO:
+                got = list(map(_yes_no, got))
             yield batch.assign(response=pd.Series(got, index=batch.index, dtype=object), error=pd.Series(errors, index=batch.index, dtype=object))
 
-    return rows.mapInPandas(run, schema)
+    return (rows.coalesce(most) if most else rows).mapInPandas(run, schema)

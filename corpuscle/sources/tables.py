@@ -177,5 +177,5 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
-def run_id() -> str:
-    return f"eval_{uuid.uuid4().hex[:8]}"
+def run_id(kind: str = "eval") -> str:
+    return f"{kind}_{uuid.uuid4().hex[:8]}"

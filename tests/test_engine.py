@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.config import EngineConfig, checked_criteria, checked_question, checked_questions
-from corpuscle.plans.engine import NO_DATA, Engine
-from corpuscle.providers import RuleModel, TransientError, completed
+from corpuscle.functions import jsons as js
+from corpuscle.operators import state
+from corpuscle.plans.engine import NO_DATA, Cancelled, Engine, Hooks
+from corpuscle.providers import RuleModel, TransientError, completed, messages
 
 TEXTS = ["Alice met Bob near London. Alice wrote to NASA about Paris and Bob.", "Bob works with Carol in Paris. Carol knows Alice from London.", "Dora lives alone in Quito.", ""]
 
@@ -84,3 +86,105 @@ def test_settings():
     with pytest.raises(ValueError):
         checked_criteria(["diversity", "Diversity"])
     assert len(checked_criteria(None)) == 4
+
+
+def small(spark, path, **more):
+    return Engine(spark, str(path), EngineConfig(max_levels=2, gleaning_rounds=1, eval_runs=2), **more)
+
+
+def test_hooks_jobs_and_sizes(spark, tmp_path):
+    seen = {"progress": [], "chunks": [], "reports": []}
+    hooks = Hooks(**{k: (lambda *v, k=k: seen[k].append(v)) for k in seen})
+    e = small(spark, tmp_path, hooks=hooks)
+    e.index(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    assert [s for s, _ in seen["progress"]] == list(state.STAGES) and seen["progress"][-1][1] == 100.0
+    (batch,) = seen["chunks"][0]
+    assert (batch["total"], batch["successful"], batch["success_rate"]) == (3, 3, 1.0) and batch["entities"] > 5 and batch["chunks_per_second"] > 0
+    assert sorted(level for level, _ in seen["reports"]) == ["c0", "c1"]
+    assert [(r.kind, r.status) for r in e.jobs().collect()] == [("index", "completed")]
+    again = small(spark, tmp_path)
+    assert [r.status for r in again.jobs().collect()] == ["completed"] and again.jobs().head().run_id.startswith("job_")
+    sizes = e.sizes()
+    assert sizes["chunks"]["rows"] == 3 and sizes["nodes"]["bytes"] > 0 and small(spark, tmp_path / "none").sizes()["chunks"] is None
+    total, page = e.reports_page("c0", 1, 1)
+    assert total == e.read("reports").where("level = 'c0'").count() and page.count() == 1
+    one = page.head().community_id
+    assert e.report_by_id(one)["community_id"] == one and e.report_by_id("no") is None
+    assert {r.rounds_completed for r in e.rounds_completed().collect()} <= {0, 1}
+
+
+def test_failed_chunks_are_asked_again(spark, tmp_path):
+    class Broken(RuleModel):
+        def _extract(self, prompt):
+            if "Quito" in prompt:
+                raise ValueError("refused")
+            return super()._extract(prompt)
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    e = small(spark, tmp_path, provider=Broken())
+    e.chunk(docs)
+    e.extract()
+    failed = lambda: e.read("extractions").where("text is null").count()
+    assert failed() == 1
+    e.provider = RuleModel()
+    before = e.read("extractions").count()
+    e.extract()
+    assert e.read("extractions").count() == before
+    e.extract(retry_failed=True)
+    done = e.read("extractions").where("round = 0 and text is not null")
+    assert done.select("chunk_id").distinct().count() == 3 and failed() == 1
+    e.extract(retry_failed=True)
+    assert e.read("extractions").where("round = 0").count() == 4
+
+
+def test_cancel(spark, tmp_path):
+    e = small(spark, tmp_path)
+    e.hooks = Hooks(progress=lambda stage, _: e.cancel() if stage == "chunking" else None)
+    with pytest.raises(Cancelled):
+        e.index(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    assert e.status()["done"]["chunking"] and not e.status()["done"]["extraction"]
+    assert e.jobs().head().status == "cancelled"
+    e.stopped = False
+    e.hooks = Hooks()
+    e.index(spark.createDataFrame([(0, "x")], "doc_id long, text string"))
+    assert e.status()["fully_indexed"]
+
+
+def test_evaluations_are_saved_and_listed(spark, tmp_path):
+    e = small(spark, tmp_path)
+    answers = spark.createDataFrame([(1, "q one", "a long answer with many words", "short"), (2, "q two", "x y z", "x")], "question_id int, question string, global string, local string")
+    e.judge(answers, ["Diversity"])
+    e.judge(answers, ["directness"])
+    open_run = e.log("evaluation", "running", questions=9)
+    total, page = e.evaluations(1, 2)
+    assert total == 3 and [r.run_id for r in page.collect()][0] == open_run and page.collect()[1].criteria == ["directness"]
+    other = small(spark, tmp_path)
+    total, page = other.evaluations()
+    assert total == 3 and sorted(r.status for r in page.collect()) == ["completed", "completed", "running"]
+    run = page.where("status = 'completed'").orderBy("at").head()
+    assert run.criteria == ["diversity"] and '"diversity":1.0' in run.details and other.evaluation(run.run_id).head().mean_win_rate == 1.0
+
+
+def test_many_chunks_of_one_document(spark, tmp_path):
+    docs = spark.createDataFrame([(7_000_000_000_000, " ".join(["Word"] * 160_000)), (7_000_000_000_001, "Other words")], "doc_id long, text string")
+    e = Engine(spark, str(tmp_path), EngineConfig(chunk_size=100, chunk_overlap=0))
+    e.chunk(docs)
+    rows = e.read("chunks").orderBy("chunk_ord").select("doc_id", "chunk_index", "chunk_ord").collect()
+    assert [r.chunk_ord for r in rows] == list(range(1601)) and [r.chunk_index for r in rows] == [*range(1600), 0]
+
+
+def test_provider_modes(spark):
+    class Model:
+        def complete(self, prompts):
+            return ["text"] * len(prompts)
+
+        def complete_json(self, prompts):
+            return ['{"a": 1}'] * len(prompts)
+
+    rows = spark.createDataFrame([("a",), ("b",)], "p string").repartition(8)
+    ask = lambda **more: [r.response for r in completed(rows, "p", Model(), **more).collect()]
+    assert ask() == ["text"] * 2 and ask(mode="json") == ['{"a": 1}'] * 2 and ask(mode="yes_no") == ["NO"] * 2
+    assert completed(rows, "p", Model(), most=3).rdd.getNumPartitions() == 3
+    assert messages("p", "s", [("assistant", "x")]) == [{"role": "system", "content": "s"}, {"role": "assistant", "content": "x"}, {"role": "user", "content": "p"}]
+    day = spark.sql("select timestamp'2024-03-01 12:30:00' as at").select(js.dumped(F.struct("at"))).head()[0]
+    assert day.startswith('{"at":"2024-03-01T12:30:00')
