@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.llm import packing, token_store
+from corpuscle.llm import packing, token_store, tokens
 from corpuscle.llm.tokens import default_path, encoder
 
 ODD = [None, "", "  \n ", "İstanbul ΣΑΣ don't it's 12a ² <|endoftext|>x éa a\x1cb", "the " * 9000, "Same. Text!", "Same. Text!"]
@@ -34,6 +34,15 @@ def test_memo_equals_library(sf):
     assert all(e.encode(t) == e.whole(t) for t in texts)
 
 
+def test_full_memos_change_no_id(sf, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 50)
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 40)
+    e = tokens.WordEncoder(default_path())
+    for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()[:40] + ODD[1:4]:
+        assert e.encode(t) == e.whole(t)
+        assert len(e.pieces) <= 51 and len(e.words) <= 45
+
+
 def test_store_round_trip(spark, docs):
     got = token_store.digests(spark, docs, default_path()).collect()
     rows = docs.select("doc_id", "text").collect()
