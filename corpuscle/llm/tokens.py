@@ -27,9 +27,8 @@ def _spelling() -> list[str]:
 
 SPELLING = _spelling()
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Memo entries that each Python worker keeps, and as many of before; a full memo takes the place of the one before,
-#: from which entries come back when they are asked for. That costs time and never changes an id.
-MEMO_PIECES, MEMO_WORDS = 200_000, 200_000
+#: Memo entries kept by each Python worker; a full memo is emptied, which costs time and never changes an id.
+MEMO_PIECES, MEMO_WORDS = 300_000, 300_000
 
 
 def default_path() -> str:
@@ -49,8 +48,6 @@ class WordEncoder:
         self.model = self.library.model
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.pieces_before: dict[str, bytes] = {}
-        self.words_before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -63,13 +60,9 @@ class WordEncoder:
     def learn(self, piece: str) -> bytes:
         """A piece that the memo lacks."""
         if len(self.pieces) > MEMO_PIECES:
-            self.pieces, self.pieces_before = {}, self.pieces
+            self.pieces.clear()
         if len(self.words) > MEMO_WORDS:
-            self.words, self.words_before = {}, self.words
-        ids = self.pieces_before.get(piece)
-        if ids is not None:
-            self.pieces[piece] = ids
-            return ids
+            self.words.clear()
         if piece.isalpha() and piece.isascii():
             parts = (piece, "")
         else:
@@ -81,7 +74,7 @@ class WordEncoder:
             word, tail = parts[0].lower(), parts[1]
             ids = self.words.get(word)
             if ids is None:
-                ids = self.words[word] = self.words_before.get(word) or self.word(word)
+                ids = self.words[word] = self.word(word)
             if tail:
                 end = self.words.get(tail)
                 if end is None:
@@ -97,8 +90,8 @@ class WordEncoder:
             return self.whole(text)
         got = list(map(self.pieces.get, cut := text.split()))
         if None in got:
-            learn = self.learn
-            got = [x if x is not None else self.pieces.get(w) or learn(w) for x, w in zip(got, cut)]
+            learn, pieces = self.learn, self.pieces
+            got = [x if x is not None else pieces.get(w) or learn(w) for x, w in zip(got, cut)]
         return b"".join(got)
 
 
