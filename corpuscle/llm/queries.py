@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, html_text, line_dedup, packing, simhash, sketches, token_store, toxicity, warc_zip
+from . import chat, common, decontaminate, filter_audit, html_text, line_dedup, packing, simhash, sketches, token_store, toxicity, url_filter, warc_zip, whitening
 from .tokens import default_path
 
 
@@ -63,6 +63,21 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(spark, common.read(spark, sf_dir, "pages"))
 
 
-OPERATORS = (op1_token_orc, op2_chat, op3_toxicity, op4_packing, op5_decontamination, op6_line_dedup, op7_html_text, op8_simhash, op9_sketches, op10_warc_zip)
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_filter.verdicts(common.read(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, by language."""
+    return filter_audit.interactions(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened."""
+    return whitening.whiten(common.read(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (op1_token_orc, op2_chat, op3_toxicity, op4_packing, op5_decontamination, op6_line_dedup, op7_html_text, op8_simhash, op9_sketches, op10_warc_zip, op11_url_filter, op12_filter_audit, op13_whitening)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
-SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL, "op11_url_filter": url_filter.SQL, "op12_filter_audit": filter_audit.SQL}
