@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +20,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Folders under the shared one into which ``fresh_dir`` puts new paths, the innermost last.
-_SCRATCH: list[str] = []
+#: Folders under the shared one into which ``fresh_dir`` puts new paths, the innermost last; each thread has its own.
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; whoever writes to it makes it."""
-    return "/".join([shared_dir(spark), *_SCRATCH, f"{name}-{uuid.uuid4().hex}"])
+    """A new path under the shared folder; whoever writes to it makes it.
+
+    All paths of an application are in one folder, which is deleted when its driver ends.
+    """
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        p, fs = _path(spark, own)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return "/".join([own, *_SCRATCH.get(), f"{name}-{uuid.uuid4().hex}"])
+
+
+#: Folders of applications that are to be deleted.
+_OWN: set[str] = set()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -52,13 +69,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is stored inside goes to one folder, which is deleted at the end; results must be written elsewhere before."""
-    base = shared_dir(spark)
-    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}")
-    path = "/".join([base, *_SCRATCH])
+    path = fresh_dir(spark, "scratch")
+    before = _SCRATCH.set((*_SCRATCH.get(), path.rsplit("/", 1)[1]))
     try:
         yield
     finally:
-        _SCRATCH.pop()
+        _SCRATCH.reset(before)
         delete(spark, path)
 
 
@@ -136,10 +152,161 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return body.select("question_id", text.alias("question"))
 
 
-def save(df: DataFrame, path: str, by: tuple[str, ...] = (), append: bool = False) -> None:
-    """Writes an artifact as a whole, or appends to it; readers never see part of a write."""
-    writer = df.write.mode("append" if append else "overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+# ---- artifacts: folders of immutable versions, and numbered manifests that say which of them count --------------
+
+MANIFEST = re.compile(r"_manifest-(\d{10})")
+#: A part of an artifact below so many bytes is small; an append rewrites small parts with its own once there are so many.
+SMALL, MANY_SMALL = 32 << 20, 16
+#: Seconds for which ``vacuum`` leaves what no manifest names, as a write under way may be about to.
+AGE = 86_400
+
+
+class Conflict(Exception):
+    """Another writer replaced what this one was about to build on."""
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """What was committed last, or as ``version``: version, parts, by, schema, key and inputs; None if nothing was."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return None
+    found = [int(m[1]) for s in fs.listStatus(p) if (m := MANIFEST.fullmatch(s.getPath().getName()))]
+    if version is None and not found:
+        return None
+    if version is not None and version not in found:
+        raise ValueError(f"{path} has no version {version}")
+    number = max(found) if version is None else version
+    stream = fs.open(_path(spark, f"{path}/_manifest-{number:010d}")[0])
+    try:
+        return {"version": number, **json.loads(bytes(stream.readAllBytes()))}
+    finally:
+        stream.close()
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """An artifact as it is now, or as it was in ``version``; later writes don't change what was loaded.
+
+    A folder that ``save`` hasn't written is read as plain Parquet.
+    """
+    found = manifest(spark, path, version)
+    return spark.read.parquet(path) if found is None else _parts(spark, path, found, found["parts"])
+
+
+def _parts(spark: SparkSession, path: str, found: dict, parts: list[dict]) -> DataFrame:
+    schema = T.StructType.fromJson(found["schema"])
+    if not parts:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/{x['folder']}" for x in parts]
+    if not any(x["by"] for x in parts):
+        return spark.read.schema(schema).parquet(*folders)
+    # each part has its own partition folders
+    frames = [spark.read.schema(schema).parquet(f).select(*schema.names) for f in folders]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def saved(spark: SparkSession, path: str) -> bool:
+    """Whether an artifact is there: something was committed, or written as plain Parquet, and not cleared since."""
+    found = manifest(spark, path)
+    return bool(found["parts"]) if found else exists(spark, f"{path}/_SUCCESS")
+
+
+def save(df: DataFrame, path: str, by: tuple[str, ...] = (), append: bool = False, key: str | None = None, inputs: dict | None = None) -> int:
+    """Writes an artifact as a whole, or appends to it, and gives its version.
+
+    Rows go to a new folder that nothing names yet; a rename that fails if its target exists then makes the next manifest,
+    in one step. So a write that fails or is cut off leaves what was there, readers see all of a write or nothing
+    of it, and of two writers at a time each gets a version of its own: appends keep both, and of two whole writes the
+    later one counts. ``key`` and ``inputs`` say what the artifact was made from.
+    """
+    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    before, merged = manifest(spark, path) if append else None, []
+    if append and before is None and saved(spark, path):
+        df = load(spark, path).unionByName(df, allowMissingColumns=True)
+    elif before is not None:
+        small = [x for x in before["parts"] if x["bytes"] < SMALL]
+        if len(small) >= MANY_SMALL:
+            merged = small
+            df = _parts(spark, path, before, small).unionByName(df, allowMissingColumns=True)
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(f"{path}/{name}")
+        part = {"folder": name, "bytes": size(spark, f"{path}/{name}"), "by": list(by)}
+        return _commit(spark, path, [part], df.schema, append, [x["folder"] for x in merged], key, inputs)
+    except Exception:
+        delete(spark, f"{path}/{name}")
+        raise
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Makes an artifact one without rows that isn't ``saved``; earlier versions stay as they are."""
+    if saved(spark, path):
+        _commit(spark, path, [], load(spark, path).schema, False, [], None, None)
+
+
+def _commit(spark: SparkSession, path: str, parts: list[dict], schema: T.StructType, append: bool, merged: list[str], key: str | None, inputs: dict | None) -> int:
+    while True:
+        now = manifest(spark, path)
+        kept, fields = [], list(schema.fields)
+        if append and now is not None:
+            if not set(merged) <= {x["folder"] for x in now["parts"]}:
+                raise Conflict(path)
+            kept = [x for x in now["parts"] if x["folder"] not in merged]
+            earlier = T.StructType.fromJson(now["schema"]).fields if now["parts"] else []
+            fields = [*earlier, *(f for f in fields if f.name not in {e.name for e in earlier})]
+        nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+        body = {"parts": [*kept, *parts], "schema": nullable.jsonValue(), "key": key, "inputs": inputs or {}, "at": time.time()}
+        number = now["version"] + 1 if now else 1
+        if _put(spark, f"{path}/_manifest-{number:010d}", json.dumps(body)):
+            return number
+
+
+def _put(spark: SparkSession, path: str, body: str) -> bool:
+    """Makes a file as a whole; False if there is one already."""
+    target, fs = _path(spark, path)
+    draft, _ = _path(spark, f"{path.rsplit('/', 1)[0]}/_draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft)
+    try:
+        stream.write(bytearray(body.encode()))
+    finally:
+        stream.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(target), no_options)
+    except Exception:
+        fs.delete(draft, False)
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1, age: float = AGE) -> int:
+    """Deletes all but the last ``keep`` versions and what only those had; gives the number of folders that went.
+
+    Who still reads an older version loses it, so this is never done by ``save``.
+    """
+    p, fs = _path(spark, path)
+    found = sorted(int(m[1]) for s in fs.listStatus(p) if (m := MANIFEST.fullmatch(s.getPath().getName())))
+    old, kept = found[: -max(1, keep)], found[-max(1, keep) :]
+    named = {x["folder"] for v in kept for x in manifest(spark, path, v)["parts"]}
+    for v in old:
+        delete(spark, f"{path}/_manifest-{v:010d}")
+    gone = 0
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if name.startswith(("v-", "_draft-")) and name not in named and s.getModificationTime() <= (time.time() - age) * 1000:
+            gone += fs.delete(s.getPath(), True)
+    return gone
+
+
+def artifact_size(spark: SparkSession, path: str) -> int:
+    """Bytes of an artifact's current version."""
+    found = manifest(spark, path)
+    return size(spark, path) if found is None else sum(x["bytes"] for x in found["parts"])
 
 
 def _path(spark: SparkSession, path: str):

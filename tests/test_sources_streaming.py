@@ -1,6 +1,9 @@
 """Readers, writers and streams."""
 
 import json
+import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
@@ -45,12 +48,72 @@ def test_save_append_delete(spark, tmp_path):
     assert not tables.exists(spark, path) and tables.size(spark, path) == 0
     tables.save(df, path, ("level",))
     tables.save(df, path, ("level",), append=True)
-    assert spark.read.parquet(path).where("level = 'c1'").count() == 6 and tables.size(spark, path) > 0
+    assert tables.load(spark, path).where("level = 'c1'").count() == 6 and tables.size(spark, path) > 0
     tables.save(df, path)
-    assert spark.read.parquet(path).count() == 3
+    assert tables.load(spark, path).count() == 3
     assert tables.delete(spark, path) and not tables.exists(spark, path)
 
 
+def test_failed_write_leaves_the_old_table(spark, tmp_path):
+    path, df = f"{tmp_path}/out", spark.range(5)
+    first = tables.save(df, path, key="a", inputs={"x": 1})
+    for append in (False, True):
+        with pytest.raises(Exception, match="broken"):
+            tables.save(df.select(F.when(F.col("id") == 4, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id")), path, append=append)
+        assert [r.id for r in tables.load(spark, path).orderBy("id").collect()] == list(range(5))
+    found = tables.manifest(spark, path)
+    assert (found["version"], found["key"], found["inputs"]) == (first, "a", {"x": 1})
+    assert sorted(x for x in os.listdir(path) if not x.startswith(".")) == [f"_manifest-{first:010d}", found["parts"][0]["folder"]]
+
+
+def test_readers_keep_the_version_they_opened(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    tables.save(spark.range(5), path)
+    opened = tables.load(spark, path)
+    tables.save(opened.selectExpr("id + 10 as id"), path)  # from the table itself
+    tables.save(spark.range(1), path, append=True)
+    assert opened.count() == 5 and sorted(r.id for r in tables.load(spark, path).collect()) == [0, *range(10, 15)]
+    assert tables.load(spark, path, 1).count() == 5 and tables.load(spark, path, 2).count() == 5
+    with pytest.raises(ValueError):
+        tables.load(spark, path, 9)
+    assert tables.vacuum(spark, path) == 0  # too young
+    assert tables.vacuum(spark, path, age=-1) == 1 and tables.load(spark, path).count() == 6 and tables.artifact_size(spark, path) > 0
+    tables.clear(spark, path)
+    assert not tables.saved(spark, path) and tables.load(spark, path).count() == 0 and tables.load(spark, path, 3).count() == 6
+
+
+def test_appends_at_a_time_all_count(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: tables.save(spark.range(k, k + 1), path, append=True), range(12)))
+    assert sorted(r.id for r in tables.load(spark, path).collect()) == list(range(12)) and tables.manifest(spark, path)["version"] == 12
+    for k in range(12, 20):
+        tables.save(spark.range(k, k + 1).withColumn("more", F.lit("x")), path, append=True)
+    # small parts are rewritten as one now and then
+    assert len(tables.manifest(spark, path)["parts"]) <= tables.MANY_SMALL
+    rows = tables.load(spark, path).collect()
+    assert sorted(r.id for r in rows) == list(range(20)) and {r.more for r in rows if r.id > 12} == {"x"}
+
+
+def test_plain_folders_are_read_and_taken_over(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    spark.range(3).write.parquet(path)
+    assert tables.saved(spark, path) and tables.load(spark, path).count() == 3
+    tables.save(spark.range(2), path, append=True)
+    assert tables.load(spark, path).count() == 5
+
+
+def test_threads_have_their_own_scratch(spark):
+    def run(k):
+        with tables.scratch(spark):
+            kept = tables.stored(spark.range(k), "x")
+            time.sleep(0.5)
+            return kept.count()
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(run, range(4))) == [0, 1, 2, 3]
+
+
 def slow_limit(rows, limit, window):
     kept, out = {}, {}
     for u, e, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
