@@ -5,9 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from .connect import lookup
+
+#: A line of a run's log: (at) orders a run's lines, each of which has its own. Chunk events name a chunk, stage events a stage.
+EVENTS = "run string, at long, event string, stage string, chunk_id string, detail string"
+EXTRACTED, FAILED, COMPLETE, RESET, RESET_ALL = "extracted", "failed", "stage_complete", "reset_stage", "reset_all"
 STAGES = ("chunking", "extraction", "graph_construction", "community_detection", "summarization", "embedding")
 
 
+def counting(log: DataFrame, run: str = "run", at: str = "at") -> DataFrame:
+    """The lines of a log that no later reset voids; resets themselves don't stay.
+
+    Resetting a stage voids what says that it is complete, resetting extraction also what is known of chunks, and resetting
+    all voids all. A run's resets are one row of a line for each stage, which is joined with the run's other lines; a
+    run of very many lines is looked up and not shuffled. A null run is a run like any other.
+    """
+    log = tables.stored(log.withColumn("_run", F.coalesce(F.col(run).cast("string"), F.lit("\0"))), "run-log")
+    last = {"_all": F.col("event") == RESET_ALL, **{f"_{s}": (F.col("event") == RESET) & (F.col("stage") == s) for s in STAGES}}
+    resets = log.groupBy("_run").agg(F.count("*").alias("_n"), *(F.max(F.when(c, F.col(at))).alias(k) for k, c in last.items()))
+    rows = lookup(log.where(F.col("event").isin(EXTRACTED, FAILED, COMPLETE)), tables.stored(resets, "resets"), "_run", "_n", log.count(), "inner")
+    of_stage = F.coalesce(*(F.when(F.when(F.col("event") == COMPLETE, F.col("stage")).otherwise("extraction") == s, F.col(f"_{s}")) for s in STAGES))
+    void = F.greatest("_all", of_stage)
+    return rows.where(void.isNull() | (F.col(at) > void)).drop("_run", *last)
+
+
+def chunk_states(log: DataFrame, run: str = "run", at: str = "at") -> DataFrame:
+    """(run, chunk_id, status, detail): what a log says last of each chunk; a success clears an earlier failure, and its error."""
+    rows = counting(log, run, at).where(F.col("event").isin(EXTRACTED, FAILED) & F.col("chunk_id").isNotNull())
+    last = rows.groupBy(run, "chunk_id").agg(F.max_by(F.struct("event", "detail"), at).alias("_last"))
+    return last.select(run, "chunk_id", F.col("_last.event").alias("status"), F.when(F.col("_last.event") == FAILED, F.col("_last.detail")).alias("detail"))
+
+
+def stage_states(log: DataFrame, run: str = "run", at: str = "at") -> DataFrame:
+    """(run, stage, done, completed_at) of each of a run's stages."""
+    rows = counting(log, run, at).where(F.col("event") == COMPLETE)
+    done = rows.groupBy(run, "stage").agg(F.max(at).alias("completed_at"))
+    every = log.select(run).distinct().select(run, F.explode(F.array(*map(F.lit, STAGES))).alias("stage"))
+    same = F.col(run).eqNullSafe(F.col("_run")) & (F.col("stage") == F.col("_stage"))
+    found = every.join(done.select(F.col(run).alias("_run"), F.col("stage").alias("_stage"), "completed_at"), same, "left")
+    return found.select(run, "stage", F.col("completed_at").isNotNull().alias("done"), "completed_at")
+
+
 def latest(log: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     """The last row of each key in a log: later entries win."""
     return log.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_last")).select(key, "_last.*")

@@ -1,14 +1,22 @@
 """The engine's entry points: index a corpus, ask it broad and narrow questions, and evaluate answers.
 
-Every stage's result is a table under one folder. A stage whose table is there is skipped, and extraction asks only for
-chunks that have no result yet, so a run that was cut off goes on where it was.
+Every stage's result is a table under one folder, committed as a whole with a key: a digest of the stage's parameters and of
+what it was made from. A stage whose table has the key that it would get now is skipped; any other is made anew, and with it
+what depends on it. Extraction asks only for chunks that have no result yet under the same parameters, by their texts,
+so a run that was cut off, a corpus that has grown and failures that are tried again cost only what is new.
+
+A log of events says which chunks and stages are done; resets void what they say, and clear the tables.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -19,11 +27,12 @@ from ..config import EngineConfig, checked_criteria, checked_question
 from ..functions import jsons as js
 from ..functions import text as tx
 from ..operators import chunking, claims, community, evaluate, extract, graph, reports, state, vector
-from ..providers import MODES, TEXT, CompletionProvider, Embedder, HashedEmbedder, RuleModel, completed, task
+from ..providers import MODES, PROMPTS, TEXT, CompletionProvider, Embedder, HashedEmbedder, RuleModel, completed, task
 from ..sources import tables
 
 TABLES = {"chunking": "chunks", "extraction": "extractions", "graph_construction": "edges", "community_detection": "membership", "summarization": "reports", "embedding": "vectors"}
 RUNS = "run_id string, kind string, at timestamp, status string, questions long, criteria array<string>, details string"
+REPORTS = "community_id string, title string, summary string, impact_rating double, rating_explanation string, findings array<struct<summary:string,explanation:string>>, level string"
 NO_DATA = "No community reports are available at this level."
 NOTHING_HELPFUL = "The corpus holds nothing that helps to answer this question."
 
@@ -40,6 +49,8 @@ class Hooks:
     progress: Callable[[str, float], None] | None = None
     #: The result of a batch of extracted chunks: counts, success rate, seconds, chunks a second.
     chunks: Callable[[dict], None] | None = None
+    #: While a stage runs: a task's name, and how many prompts were answered and have failed so far.
+    asked: Callable[[str, int, int], None] | None = None
     #: A level and the number of its reports.
     reports: Callable[[str, int], None] | None = None
 
@@ -48,6 +59,16 @@ class Hooks:
             hook(*values)
 
 
+def _digest(*parts) -> str:
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
+
+def _content(rows: DataFrame, *columns: str) -> str:
+    """Says whether rows are the same, in any order: their number, and the sums of two hashes of each."""
+    hashes = [F.sum(F.xxhash64(F.lit(k), *columns).cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k in range(2)]
+    return ":".join(map(str, rows.agg(F.count("*").alias("n"), *hashes).head()))
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -68,14 +89,54 @@ class Engine:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return tables.load(self.spark, self.path(name))
 
     def has(self, name: str) -> bool:
-        return tables.exists(self.spark, f"{self.path(name)}/_SUCCESS")
+        return tables.saved(self.spark, self.path(name))
+
+    def key(self, name: str) -> str | None:
+        """What a table was made from; None where there is none."""
+        found = tables.manifest(self.spark, self.path(name))
+        return found["key"] if found and found["parts"] else None
+
+    def made(self, name: str, key: str, run: Callable[[], None]) -> None:
+        """Makes a table unless it is there with this key."""
+        if self.key(name) != key:
+            run()
 
     def ask(self, rows: DataFrame, name: str) -> DataFrame:
-        """Adds the provider's responses to the prompts of a task."""
-        return completed(rows, "prompt", self.provider, self.config.attempts, mode=MODES.get(name, TEXT), most=self.config.concurrency)
+        """The provider's responses to the prompts of a task, stored; ``Hooks.asked`` hears of them as tasks end."""
+        answered, failed = (self.spark.sparkContext.accumulator(0) for _ in range(2))
+        out = completed(rows, "prompt", self.provider, self.config.attempts, mode=MODES.get(name, TEXT), most=self.config.concurrency, answered=answered, failed=failed)
+        with self.watched(name, lambda: (answered.value, failed.value)):
+            return tables.cut_lineage(out)
+
+    @contextmanager
+    def watched(self, name: str, counts: Callable[[], tuple[int, int]], every: float = 0.1) -> Iterator[None]:
+        """Calls ``Hooks.asked`` whenever counts have changed, from a thread of its own, and once more at the end."""
+        if self.hooks.asked is None:
+            yield
+            return
+        over, last = threading.Event(), [None]
+
+        def look():
+            now = counts()
+            if now != last[0]:
+                last[0] = now
+                self.hooks.call("asked", name, *now)
+
+        def run():
+            while not over.wait(every):
+                look()
+
+        watcher = threading.Thread(target=run, daemon=True)
+        watcher.start()
+        try:
+            yield
+        finally:
+            over.set()
+            watcher.join()
+            look()
 
     def cancel(self) -> None:
         """Stops a run from another thread: its Spark jobs, and what would come after them."""
@@ -99,35 +160,79 @@ class Engine:
 
     # ---- indexing ----
 
-    def index(self, docs: DataFrame, max_chunks: int | None = None, retry_failed: bool = False) -> None:
-        """``docs`` has doc_id (any order) and text; ``retry_failed`` asks again for chunks that have failed."""
+    def index(self, docs: DataFrame, max_chunks: int | None = None, retry_failed: bool = False, force: bool = False) -> None:
+        """``docs`` has doc_id (any order) and text, and is the whole corpus.
+
+        ``retry_failed`` asks again for chunks that have failed, ``force`` does all stages anew.
+        """
+        if force:
+            self.reset_all()
         job = self.log("index", "running")
         try:
-            self.stage("chunking", lambda: self.has("chunks") or self.chunk(docs, max_chunks))
+            self.stage("chunking", lambda: self.made("chunks", self.chunks_key(docs, max_chunks), lambda: self.chunk(docs, max_chunks)))
             self.stage("extraction", lambda: self.extract(retry_failed))
-            self.stage("graph_construction", lambda: self.has("edges") or self.build_graph())
-            self.stage("community_detection", lambda: self.has("membership") or self.cluster())
-            self.stage("summarization", lambda: self.has("reports") or self.report())
-            self.stage("embedding", lambda: self.has("vectors") or self.embed())
+            self.stage("graph_construction", lambda: self.made("edges", self.graph_key(), self.build_graph))
+            self.stage("community_detection", lambda: self.made("membership", self.membership_key(), self.cluster))
+            self.stage("summarization", lambda: self.made("reports", self.reports_key(), self.report))
+            self.stage("embedding", lambda: self.made("vectors", self.vectors_key(), self.embed))
         except Exception as e:
             self.log("index", "cancelled" if isinstance(e, Cancelled) else "failed", job, details=str(e)[:500])
             raise
         self.log("index", "completed", job)
 
+    # What a table's content follows from. Providers, embedders and tokenisers count by their ``key``, if they have one.
+
+    def chunks_key(self, docs: DataFrame, max_chunks: int | None = None) -> str:
+        c = self.config
+        return _digest("chunks", _content(docs, "doc_id", "text"), c.chunk_size, c.chunk_overlap, max_chunks or 0, getattr(self.tokenizer, "key", ""))
+
+    def asked_key(self) -> str:
+        """The parameters under which a chunk's extraction counts as done."""
+        return _digest("extract", self.config.gleaning_rounds, [PROMPTS[k] for k in ("extract", "more", "continue")], getattr(self.provider, "key", ""))
+
+    def graph_key(self) -> str:
+        """By the responses themselves, so that chunks which fail once more change nothing."""
+        found = self.extracted().where("text is not null")
+        return _digest("graph", _content(found, "chunk_id", "chunk_ord", "round", "text"), self.config.min_entity_mentions, getattr(self.parse, "__name__", ""))
+
+    def membership_key(self) -> str:
+        c = self.config
+        return _digest("membership", self.key("edges"), c.max_cluster_size, c.max_levels, c.seed)
+
+    def reports_key(self) -> str:
+        return _digest("reports", self.key("membership"), self.config.context_window, PROMPTS["report"], getattr(self.provider, "key", ""))
+
+    def vectors_key(self) -> str:
+        return _digest("vectors", self.key("chunks"), self.config.embedding_dim, getattr(self.embedder, "key", type(self.embedder).__name__))
+
     def chunk(self, docs: DataFrame, max_chunks: int | None = None) -> None:
         c = self.config
         stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
         rows = chunking.chunk(docs, stem, c.chunk_size, c.chunk_overlap, limit=max_chunks, tokenizer=self.tokenizer)
         # chunks are numbered in the order of documents, however many a document has
-        tables.save(tables.numbered(rows, ["doc_id", "chunk_index"], "chunk_ord"), self.path("chunks"))
+        tables.save(tables.numbered(rows, ["doc_id", "chunk_index"], "chunk_ord"), self.path("chunks"), key=self.chunks_key(docs, max_chunks))
+        self.note(state.COMPLETE, "chunking")
 
     def cluster(self) -> None:
         c, nodes, edges = self.config, self.read("nodes"), self.read("edges")
-        tables.save(community.hierarchy(nodes.select("node_id"), edges.select("src", "dst", "weight"), c.max_cluster_size, c.max_levels, c.seed), self.path("membership"), ("level",))
+        found = community.hierarchy(nodes.select("node_id"), edges.select("src", "dst", "weight"), c.max_cluster_size, c.max_levels, c.seed)
+        tables.save(found, self.path("membership"), ("level",), key=self.membership_key(), inputs={"edges": self.key("edges")})
+        self.note(state.COMPLETE, "community_detection")
 
     def embed(self) -> None:
         rows = self.embedder.embedded(self.read("chunks").select("chunk_ord", "chunk_id", "doc_id", "text", "token_count"), "text", "embedding")
-        tables.save(vector.checked(rows.withColumnRenamed("chunk_ord", "vec_id"), self.config.embedding_dim), self.path("vectors"))
+        rows = vector.checked(rows.withColumnRenamed("chunk_ord", "vec_id"), self.config.embedding_dim)
+        tables.save(rows, self.path("vectors"), key=self.vectors_key(), inputs={"chunks": self.key("chunks")})
+        self.note(state.COMPLETE, "embedding")
+
+    def extracted(self) -> DataFrame:
+        """(chunk_id, chunk_ord, round, text, error): what is known of today's chunks under today's parameters.
+
+        Results are found by a chunk's id and text, so those of chunks that have moved in the corpus still count.
+        """
+        chunks = self.read("chunks").select("chunk_id", "chunk_ord", F.md5("text").alias("content"))
+        found = self.read("extractions").where(F.col("asked") == self.asked_key()).drop("chunk_ord")
+        return found.join(chunks, ["chunk_id", "content"]).select("chunk_id", "chunk_ord", "round", "text", "error")
 
     def extract(self, retry_failed: bool = False) -> None:
         """Asks for the records of each chunk that has none yet, and for more in later rounds, while the model says so."""
@@ -135,24 +240,29 @@ class Engine:
         chunks = self.read("chunks").select("chunk_id", "chunk_ord", "text")
         todo = chunks
         if self.has("extractions"):
-            seen = self.read("extractions").where("round = 0").select("chunk_id", F.col("text").isNull().alias("failed")).groupBy("chunk_id").agg(F.min("failed").alias("failed"))
+            seen = self.extracted().where("round = 0").select("chunk_id", F.col("text").isNull().alias("failed")).groupBy("chunk_id").agg(F.min("failed").alias("failed"))
             ids = state.pending(chunks, seen.where("not failed"), seen.where("failed"), "chunk_id", retry_failed)
             todo = chunks.join(ids, "chunk_id", "left_semi")
             if todo.isEmpty():
+                self.note(state.COMPLETE, "extraction")
                 return
-        asked = tables.cut_lineage(self.ask(todo.withColumn("prompt", task("extract", text="text")), "extract"))
-        rounds = [asked.select("chunk_id", "chunk_ord", F.lit(0).alias("round"), F.col("response").alias("text"), "error")]
+        asked = self.ask(todo.withColumn("prompt", task("extract", text="text")), "extract")
+        content = F.md5("text").alias("content")
+        rounds = [asked.select("chunk_id", "chunk_ord", content, F.lit(0).alias("round"), F.col("response").alias("text"), "error")]
         active = asked.where("response is not null").select("chunk_id", "chunk_ord", "text")
         for k in range(1, self.config.gleaning_rounds + 1):
             more = self.ask(active.withColumn("prompt", task("more", text="text")), "more").where("response = 'YES'")
-            found = tables.cut_lineage(self.ask(more.drop("response", "error").withColumn("prompt", task("continue", text="text")), "continue"))
-            rounds.append(found.select("chunk_id", "chunk_ord", F.lit(k).alias("round"), F.col("response").alias("text"), "error"))
+            found = self.ask(more.drop("response", "error").withColumn("prompt", task("continue", text="text")), "continue")
+            rounds.append(found.select("chunk_id", "chunk_ord", content, F.lit(k).alias("round"), F.col("response").alias("text"), "error"))
             active = found.where("response is not null").select("chunk_id", "chunk_ord", "text")
         out = rounds[0]
         for r in rounds[1:]:
             out = out.unionByName(r)
-        out = tables.cut_lineage(out)
+        out = tables.cut_lineage(out.withColumn("asked", F.lit(self.asked_key())))
         tables.save(out, self.path("extractions"), append=True)
+        first = out.where("round = 0")
+        self.note_all(first.select("chunk_id", F.when(F.col("text").isNull(), state.FAILED).otherwise(state.EXTRACTED).alias("event"), F.col("error").alias("detail")))
+        self.note(state.COMPLETE, "extraction")
         self.hooks.call("chunks", self.batch(out, time.perf_counter() - began))
 
     def batch(self, extractions: DataFrame, seconds: float) -> dict:
@@ -164,10 +274,11 @@ class Engine:
 
     def rounds_completed(self) -> DataFrame:
         """(chunk_id, rounds_completed): the last round of each chunk that gave a response; null if none did."""
-        return self.read("extractions").groupBy("chunk_id").agg(F.max(F.when(F.col("text").isNotNull(), F.col("round"))).alias("rounds_completed"))
+        return self.extracted().groupBy("chunk_id").agg(F.max(F.when(F.col("text").isNotNull(), F.col("round"))).alias("rounds_completed"))
 
     def build_graph(self) -> None:
-        raw = self.read("extractions").where("text is not null").withColumn("key", F.struct("chunk_ord", "round"))
+        key = self.graph_key()
+        raw = self.extracted().where("text is not null").withColumn("key", F.struct("chunk_ord", "round"))
         rows = self.parse(raw, "key").select("*", "key.chunk_ord", "key.round")
         keep = lambda df: df.select("*", "key.chunk_ord", "key.round")
         entities = extract.merged_rounds(keep(extract.entities(rows, "key")), [extract.normal("name")], "chunk_ord")
@@ -176,10 +287,12 @@ class Engine:
         # later rounds come after earlier ones in a chunk
         place = lambda df: df.withColumn("pos", F.struct("round", "pos"))
         nodes = graph.nodes(place(entities), place(said), self.config.min_entity_mentions)
-        tables.save(nodes, self.path("nodes"))
+        tables.save(nodes, self.path("nodes"), key=key)
         nodes = self.read("nodes")
         edges = graph.edges(place(pairs), nodes)
-        tables.save(graph.combined_degrees(edges, graph.degrees(nodes, edges)), self.path("edges"))
+        inputs = {"chunks": self.key("chunks"), "extractions": tables.manifest(self.spark, self.path("extractions"))["version"]}
+        tables.save(graph.combined_degrees(edges, graph.degrees(nodes, edges)), self.path("edges"), key=key, inputs=inputs)
+        self.note(state.COMPLETE, "graph_construction")
 
     def report(self) -> None:
         """Reports level by level from the finest, so that a community's children have theirs when it needs them."""
@@ -198,23 +311,38 @@ class Engine:
             rows = reports.chosen_context(raw, sub, self.config.context_window, below is not None)
             sizes = members.groupBy("community_id").agg(F.count("*").cast("int").alias("node_count"))
             rows = self.ask(rows.join(sizes, "community_id").withColumn("prompt", task("report", context="context")), "report")
-            rows = tables.cut_lineage(rows)
             found = reports.parsed_reports(rows).join(rows.select("community_id", tx.count_tokens("context").alias("context_tokens"), "was_truncated", "used_sub"), "community_id").withColumn("level", F.lit(level))
             found = tables.cut_lineage(found)
             made = found if made is None else made.unionByName(found)
             self.hooks.call("reports", level, found.count())
-        tables.save(made, self.path("reports"), ("level",))
+        if made is None:  # no communities
+            made = self.spark.createDataFrame([], REPORTS)
+        tables.save(made, self.path("reports"), ("level",), key=self.reports_key(), inputs={"membership": self.key("membership")})
+        self.note(state.COMPLETE, "summarization")
+
+    def current(self, name: str) -> bool:
+        """Whether a table is there and was made from what its inputs are now."""
+        found = tables.manifest(self.spark, self.path(name))
+        if not found or not found["parts"]:
+            return False
+        for other, was in found["inputs"].items():
+            if other == "extractions":
+                if tables.manifest(self.spark, self.path(other))["version"] != was and found["key"] != self.graph_key():
+                    return False
+            elif self.key(other) != was or not self.current(other):
+                return False
+        return True
 
     def status(self) -> dict:
         """Which stages are done, the next one, and which kinds of questions can be answered."""
-        done = {s: self.has(t) for s, t in TABLES.items()}
+        done = {s: self.current(t) for s, t in TABLES.items()}
         following = next((s for s in state.STAGES if not done[s]), None)
         return {"done": done, "next": following, **state.ready(done)}
 
     def sizes(self) -> dict[str, dict[str, int] | None]:
         """Rows and bytes of each stored table, None where there is none."""
         names = (*TABLES.values(), "nodes")
-        return {n: {"rows": self.read(n).count(), "bytes": tables.size(self.spark, self.path(n))} if self.has(n) else None for n in names}
+        return {n: {"rows": self.read(n).count(), "bytes": tables.artifact_size(self.spark, self.path(n))} if self.has(n) else None for n in names}
 
     def report_by_id(self, community_id: str) -> dict | None:
         return tables.by_id(self.read("reports"), "community_id", community_id)
@@ -223,6 +351,52 @@ class Engine:
         """The number of a level's reports, and one page of them by community."""
         return state.counted(self.read("reports").where(F.col("level") == level), ["community_id"], page, size)
 
+    # ---- state ----
+
+    def note(self, event: str, stage: str | None = None) -> None:
+        """Adds a line to the log of the run's state."""
+        tables.save(self.spark.createDataFrame([(self.root, time.time_ns(), event, stage, None, None)], state.EVENTS), self.path("state"), append=True)
+
+    def note_all(self, chunks: DataFrame) -> None:
+        """Adds a line for each chunk: (chunk_id, event, detail)."""
+        rows = chunks.select(F.lit(self.root).alias("run"), F.lit(time.time_ns()).alias("at"), "event", F.lit("extraction").alias("stage"), "chunk_id", "detail")
+        tables.save(rows, self.path("state"), append=True)
+
+    def mark_extracted(self, chunk_ids: list[str]) -> None:
+        self.note_all(self.spark.createDataFrame([(c, state.EXTRACTED, None) for c in chunk_ids], "chunk_id string, event string, detail string"))
+
+    def mark_failed(self, chunk_ids: list[str], error: str) -> None:
+        self.note_all(self.spark.createDataFrame([(c, state.FAILED, error) for c in chunk_ids], "chunk_id string, event string, detail string"))
+
+    def reset_stage(self, stage: str) -> None:
+        """The stage is done anew in the next run; resetting extraction forgets what is known of chunks."""
+        for name in (TABLES[stage], *(["nodes"] if stage == "graph_construction" else [])):
+            tables.clear(self.spark, self.path(name))
+        self.note(state.RESET, stage)
+
+    def reset_all(self) -> None:
+        """All stages are done anew in the next run."""
+        for name in (*TABLES.values(), "nodes"):
+            tables.clear(self.spark, self.path(name))
+        self.note(state.RESET_ALL)
+
+    def chunk_states(self) -> DataFrame:
+        """(chunk_id, status, detail): extracted, or failed with its error, for chunks of today's corpus."""
+        return state.chunk_states(self.read("state")).drop("run").join(self.read("chunks").select("chunk_id"), "chunk_id", "left_semi")
+
+    def stage_states(self) -> DataFrame:
+        """(stage, done, completed_at) by the log."""
+        return state.stage_states(self.read("state")).drop("run")
+
+    def progress(self) -> dict:
+        """Chunks in all, extracted, failed and pending, and per cent done."""
+        return state.progress(self.read("chunks"), self.chunk_states(), "chunk_id").head().asDict()
+
+    def vacuum(self, keep: int = 1, age: float = tables.AGE) -> int:
+        """Deletes tables' versions but for the last ``keep``; gives the number of folders that went."""
+        names = (*TABLES.values(), "nodes", "runs", "evaluations", "state")
+        return sum(tables.vacuum(self.spark, self.path(n), keep, age) for n in names if tables.manifest(self.spark, self.path(n)))
+
     # ---- runs ----
 
     def log(self, kind: str, status: str, run: str | None = None, questions: int = 0, criteria: tuple[str, ...] = (), details: str = "") -> str:
@@ -263,7 +437,7 @@ class Engine:
         if found.isEmpty():
             return {"answer": NO_DATA, "communities": 0, "points": 0, "helpful": 0, "context_tokens": 0, "context": ""}
         contexts = reports.map_context(found, c.context_window)
-        mapped = tables.cut_lineage(self.ask(contexts.withColumn("prompt", task("points", question=F.lit(question), context="context")), "points"))
+        mapped = self.ask(contexts.withColumn("prompt", task("points", question=F.lit(question), context="context")), "points")
         points = reports.map_points(mapped)
         m = reports.map_totals(reports.map_metrics(mapped, points, c.helpfulness_threshold), mapped).head()
         helpful = reports.helpful(points, c.helpfulness_threshold)

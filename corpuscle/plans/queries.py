@@ -774,6 +774,59 @@ def next_stage(spark, sf):
     return state.next_stage(runs.orderBy(F.desc("i")).select("run", "stage", done.alias("done")), ["run"])
 
 
+RUN_LOG = f"""
+with log as (
+  select user_id as run, event_id as seq, case event_type when 'view' then 'extracted' when 'click' then 'failed' when 'signup' then 'stage_complete'
+           when 'purchase' then 'reset_stage' else case when event_id % 5 = 0 then 'reset_all' else 'extracted' end end as event,
+         {list(state.STAGES)}[event_id % 6 + 1] as stage, 'chunk_' || event_id % 5 as chunk_id, props as detail
+  from events
+), voided as (
+  select l.*, exists (
+      select 1 from log r where r.run = l.run and r.seq > l.seq and (r.event = 'reset_all'
+        or r.event = 'reset_stage' and r.stage = case l.event when 'stage_complete' then l.stage else 'extraction' end)) as void
+  from log l
+), counting as (select * from voided where not void)"""
+
+
+def _run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events as a run's log: chunks extracted or failed, stages completed, and resets of both."""
+    kinds = {"view": state.EXTRACTED, "click": state.FAILED, "signup": state.COMPLETE, "purchase": state.RESET}
+    at, event = F.col("event_id"), F.when(F.col("event_id") % 5 == 0, state.RESET_ALL).otherwise(state.EXTRACTED)
+    for k, v in kinds.items():
+        event = F.when(F.col("event_type") == k, v).otherwise(event)
+    stage = F.element_at(F.array(*map(F.lit, state.STAGES)), (at % 6 + 1).cast("int"))
+    chunk_id = F.concat(F.lit("chunk_"), (at % 5).cast("string"))
+    return read(spark, sf, "events").select(F.col("user_id").alias("run"), at.alias("at"), event.alias("event"), stage.alias("stage"), chunk_id.alias("chunk_id"), F.col("props").alias("detail"))
+
+
+@query(RUN_LOG + """
+select run, chunk_id, event as status, case when event = 'failed' then detail end as detail
+from (select *, row_number() over (partition by run, chunk_id order by seq desc) as k from counting where event in ('extracted', 'failed')) where k = 1""")
+def run_chunk_states(spark, sf):
+    return state.chunk_states(_run_log(spark, sf))
+
+
+@query(RUN_LOG + f""", stages as (select distinct run, unnest({list(state.STAGES)}) as stage from log)
+select run, stage, count(seq) > 0 as done, max(seq) as completed_at
+from stages left join (select * from counting where event = 'stage_complete') using (run, stage) group by run, stage""")
+def run_stage_states(spark, sf):
+    return state.stage_states(_run_log(spark, sf))
+
+
+@query(RUN_LOG + f""", stages as (select distinct run, unnest({list(state.STAGES)}) as stage, unnest(range(6)) as i from log),
+done as (select run, stage, i, count(seq) > 0 as done from stages left join (select * from counting where event = 'stage_complete') using (run, stage) group by all),
+following as (select run, first(stage order by i) filter (not done) as next from done group by run),
+chunks as (select run, chunk_id, arg_max(event, seq) as status from counting where event in ('extracted', 'failed') group by all)
+select run, next, count(chunk_id) filter (status = 'extracted') as extracted, count(chunk_id) filter (status = 'failed') as failed
+from following left join chunks using (run) group by run, next""")
+def run_resume(spark, sf):
+    """Where each run would go on: its next stage, and its chunks extracted and failed."""
+    log = tables.stored(_run_log(spark, sf), "log")
+    chunks = state.chunk_states(log).groupBy("run").agg(*(F.count_if(F.col("status") == s).alias(s) for s in (state.EXTRACTED, state.FAILED)))
+    following = state.next_stage(state.stage_states(log), ["run"]).withColumnRenamed("stage", "next")
+    return following.join(chunks, "run", "left").na.fill(0, [state.EXTRACTED, state.FAILED])
+
+
 MODELS = ("gpt-4o", "gpt-4o-mini-2025-01-01", "gpt-4-turbo-preview", "gpt-4-0613", "unknown", "text-embedding-3-small", "gpt-4o-2024-05-13")
 PRICED = f"""
 with p(ord, prefix, i, o) as (values {", ".join(f"({k}, '{m}', {a}::double, {b}::double)" for k, (m, a, b) in enumerate(costs.PRICES))}),

@@ -14,11 +14,13 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import vector
+from .permits import lender
 
 
 class TransientError(Exception):
@@ -129,20 +131,32 @@ def _yes_no(answer: str | None) -> str | None:
     return None if answer is None else "YES" if answer.strip().upper().startswith("Y") else "NO"
 
 
-def completed(rows: DataFrame, prompt: str, provider: CompletionProvider, attempts: int = 3, wait: float = 0.5, mode: str = TEXT, most: int | None = None) -> DataFrame:
+def completed(
+    rows: DataFrame, prompt: str, provider: CompletionProvider, attempts: int = 3, wait: float = 0.5, mode: str = TEXT, most: int | None = None,
+    answered: Accumulator | None = None, failed: Accumulator | None = None,
+) -> DataFrame:
     """Adds response and error (at most 500 characters).
 
     A batch that fails for a passing reason is tried again, with growing random waits; what fails for good leaves a null
     response. ``mode`` picks the provider's method for it, if it has one; with YES_NO the response is YES or NO in any
-    case. At most ``most`` calls are under way at a time: each partition makes one, and there are no more partitions.
+    case. At most ``most`` calls are under way at a time in all tasks of the application: each call holds one of as many
+    permits, and waits are slept without one. Rows stay in their partitions. ``answered`` and ``failed`` count prompts as
+    tasks end; a task that runs again counts again.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string"
-    call = getattr(provider, f"complete_{mode}", provider.complete) if mode != TEXT else provider.complete
+    method = getattr(provider, f"complete_{mode}", provider.complete) if mode != TEXT else provider.complete
+    permits = lender(rows.sparkSession, type(provider).__name__, most).permits if most else None
+
+    def call(batch: list[str]) -> list[str]:
+        if permits is None:
+            return list(method(batch))
+        with permits.one():
+            return list(method(batch))
 
     def ask(batch: list[str]) -> tuple[list[str | None], list[str | None]]:
         for k in range(attempts):
             try:
-                return list(call(batch)), [None] * len(batch)
+                return call(batch), [None] * len(batch)
             except TransientError as e:
                 last = e
                 if k + 1 < attempts:
@@ -158,8 +172,12 @@ def completed(rows: DataFrame, prompt: str, provider: CompletionProvider, attemp
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got, errors = ask(batch[prompt].tolist()) if len(batch) else ([], [])
+            if answered is not None:
+                answered.add(sum(e is None for e in errors))
+            if failed is not None:
+                failed.add(sum(e is not None for e in errors))
             if mode == YES_NO:
                 got = list(map(_yes_no, got))
             yield batch.assign(response=pd.Series(got, index=batch.index, dtype=object), error=pd.Series(errors, index=batch.index, dtype=object))
 
-    return (rows.coalesce(most) if most else rows).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)

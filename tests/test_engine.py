@@ -1,13 +1,19 @@
 """Index, questions and evaluation end to end with the offline providers."""
 
+import os
+import time
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscle import permits
 from corpuscle.config import EngineConfig, checked_criteria, checked_question, checked_questions
 from corpuscle.functions import jsons as js
 from corpuscle.operators import state
 from corpuscle.plans.engine import NO_DATA, Cancelled, Engine, Hooks
 from corpuscle.providers import RuleModel, TransientError, completed, messages
+from corpuscle.sources import tables
 
 TEXTS = ["Alice met Bob near London. Alice wrote to NASA about Paris and Bob.", "Bob works with Carol in Paris. Carol knows Alice from London.", "Dora lives alone in Quito.", ""]
 
@@ -33,10 +39,159 @@ def test_index(engine):
     assert all(0 <= r.impact_rating <= 10 and r.findings for r in reports)
 
 
+def versions(e):
+    return {n: (tables.manifest(e.spark, e.path(n)) or {"version": 0})["version"] for n in ("chunks", "extractions", "edges", "membership", "reports", "vectors")}
+
+
+def changed(e, run):
+    before = versions(e)
+    run()
+    return {n for n, v in versions(e).items() if v != before[n]}
+
+
+def corpus(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+
+
 def test_resume(engine, spark):
-    before = engine.read("extractions").count()
-    engine.index(spark.createDataFrame([(9, "other")], "doc_id long, text string"))
-    assert engine.read("extractions").count() == before and engine.read("chunks").count() == 3
+    """The same corpus, in whatever order of rows, changes nothing."""
+    assert changed(engine, lambda: engine.index(corpus(spark, TEXTS).orderBy("text"))) == set()
+    assert engine.status()["fully_indexed"]
+
+
+EVERY = {"chunks", "extractions", "edges", "membership", "reports", "vectors"}
+
+
+def test_what_depends_on_a_change_is_made_anew(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counting(RuleModel):
+        def _extract(self, prompt):
+            asked.add(1)
+            return super()._extract(prompt)
+
+    def extractions(run):
+        before = asked.value
+        return changed(e, run), asked.value - before
+
+    long = " ".join(f"Word{k} Alice Bob" for k in range(60))
+    e = small(spark, tmp_path, provider=Counting())
+    # part of the corpus first, then all of it
+    assert extractions(lambda: e.index(corpus(spark, [*TEXTS, long]), max_chunks=2)) == (EVERY, 2)
+    assert e.read("chunks").count() == 2 and e.status()["fully_indexed"]
+    assert extractions(lambda: e.index(corpus(spark, [*TEXTS, long]))) == (EVERY, 2)
+    assert e.read("chunks").select("doc_id").distinct().count() == 4 and e.status()["fully_indexed"]
+    # another size of chunks: only the text that is cut anew is asked for
+    e.config = EngineConfig(max_levels=2, gleaning_rounds=1, eval_runs=2, chunk_size=150, chunk_overlap=0)
+    assert extractions(lambda: e.index(corpus(spark, [*TEXTS, long]))) == (EVERY, 2)
+    # new documents before the others: chunks are numbered anew, and only the new ones are asked for
+    docs = corpus(spark, [*TEXTS, long]).union(spark.createDataFrame([(-1, "Zora knows Alice")], "doc_id long, text string"))
+    assert extractions(lambda: e.index(docs)) == (EVERY, 1)
+    assert e.read("nodes").where("node_id = 'zora'").count() == 1
+    assert e.read("vectors").count() == e.read("chunks").count() == 6
+    # a setting of one stage: that one, and what it feeds
+    e.config = replace(e.config, max_levels=1, level="c0")
+    assert extractions(lambda: e.index(docs)) == ({"membership", "reports"}, 0)
+    e.config = replace(e.config, min_entity_mentions=2)
+    assert extractions(lambda: e.index(docs)) == ({"edges", "membership", "reports"}, 0)
+    e.config = replace(e.config, gleaning_rounds=0)
+    assert extractions(lambda: e.index(docs)) == ({"extractions", *(["edges", "membership", "reports"])}, 6)
+    assert extractions(lambda: e.index(docs)) == (set(), 0)
+    # a document that is gone leaves the graph
+    assert extractions(lambda: e.index(corpus(spark, TEXTS)))[1] == 0 and e.read("nodes").where("node_id = 'zora'").count() == 0
+
+
+def test_what_is_tried_again_reaches_the_graph(spark, tmp_path):
+    class Refusing(RuleModel):
+        def _extract(self, prompt):
+            if "Quito" in prompt:
+                raise ValueError("refused")
+            return super()._extract(prompt)
+
+    e = small(spark, tmp_path, provider=Refusing())
+    e.index(corpus(spark, TEXTS))
+    ids = lambda: {r.node_id for r in e.read("nodes").collect()}
+    assert "quito" not in ids() and e.progress()["failed"] == 1 and e.progress()["extracted"] == 2
+    # it fails once more: nothing follows from that
+    assert changed(e, lambda: e.index(corpus(spark, TEXTS), retry_failed=True)) == {"extractions"} and e.status()["fully_indexed"]
+    e.provider = RuleModel()
+    assert changed(e, lambda: e.index(corpus(spark, TEXTS))) == set()
+    assert changed(e, lambda: e.index(corpus(spark, TEXTS), retry_failed=True)) == {"extractions", "edges", "membership", "reports"}
+    assert "quito" in ids() and e.progress()["failed"] == 0 and e.progress()["extracted"] == 3
+    # extraction by itself leaves what depends on it out of date
+    e.config = replace(e.config, gleaning_rounds=0)
+    e.extract()
+    assert e.status()["next"] == "graph_construction" and not e.status()["global_ready"]
+
+
+def test_marks_and_resets(spark, tmp_path):
+    e = small(spark, tmp_path)
+    docs = corpus(spark, TEXTS)
+    e.index(docs)
+    states = lambda: {r.chunk_id: (r.status, r.detail) for r in e.chunk_states().collect()}
+    done = lambda: {r.stage for r in e.stage_states().where("done").collect()}
+    one = sorted(states())[0]
+    assert {s for s, _ in states().values()} == {"extracted"} and done() == set(state.STAGES)
+    e.mark_failed([one], "by hand")
+    assert states()[one] == ("failed", "by hand")
+    e.mark_extracted([one])
+    assert states()[one] == ("extracted", None)
+    e.reset_stage("community_detection")
+    assert done() == set(state.STAGES) - {"community_detection"} and e.status()["next"] == "community_detection"
+    assert changed(e, lambda: e.index(docs)) == {"membership"} and done() == set(state.STAGES)
+    e.reset_stage("extraction")
+    assert states() == {} and e.status()["next"] == "extraction" and e.read("chunks").count() == 3
+    e.index(docs)
+    assert len(states()) == 3 and e.status()["fully_indexed"]
+    e.reset_all()
+    assert done() == set() and e.status()["next"] == "chunking" and not e.status()["local_ready"]
+    assert changed(e, lambda: e.index(docs, force=True)) == EVERY and done() == set(state.STAGES)
+    assert e.vacuum(age=-1) > 5 and e.ask_global("Who knows Alice and Bob?", "c0")["helpful"] > 0
+
+
+def test_hooks_hear_of_prompts_while_a_stage_runs(spark, tmp_path):
+    class Slow(RuleModel):
+        def _extract(self, prompt):
+            time.sleep(0.4)
+            if "Quito" in prompt:
+                raise ValueError("refused")
+            return super()._extract(prompt)
+
+    e = small(spark, tmp_path, provider=Slow())
+    heard, ended = [], []
+    e.hooks = Hooks(asked=lambda name, answered, failed: heard.append((name, answered, failed, bool(ended))), chunks=lambda batch: ended.append(batch))
+    e.chunk(corpus(spark, [*TEXTS, *(f"Text {k} of Ada" for k in range(9))]))
+    tables.save(e.read("chunks").repartition(12), e.path("chunks"), key=e.key("chunks"))
+    e.extract()
+    counts = [(a, f) for name, a, f, over in heard if name == "extract" and not over]
+    assert len(counts) >= 3 and counts == sorted(counts, key=sum) and counts[-1] == (11, 1) and any(0 < sum(c) < 12 for c in counts)
+
+
+def test_permits(spark, tmp_path):
+    """Two hundred partitions, three calls at a time at most, in any of them; what a task holds goes back when it ends."""
+
+    class Model:
+        def complete(self, prompts):
+            mine = tmp_path / f"{os.getpid()}-{time.time_ns()}"
+            mine.touch()
+            time.sleep(0.05)
+            (tmp_path / f"seen-{time.time_ns()}-{os.getpid()}").write_text(str(sum(not f.name.startswith("seen") for f in tmp_path.iterdir())))
+            mine.unlink()
+            return prompts
+
+    rows = spark.range(400).selectExpr("cast(id as string) as p").repartition(200)
+    out = completed(rows, "p", Model(), most=3)
+    assert out.rdd.getNumPartitions() == 200 and out.where("response = p").count() == 400
+    lent = permits.lender(spark, "Model", 3)
+    assert 1 < lent.peak <= 3 and max(int(f.read_text()) for f in tmp_path.glob("seen*")) <= 3
+    with pytest.raises(ValueError):
+        with lent.permits.one():
+            raise ValueError
+    with pytest.raises(ConnectionError):
+        with replace(lent.permits, token=b"x" * permits.TOKEN_BYTES).one():
+            pass
+    time.sleep(0.2)
+    assert lent.lent == 0
 
 
 def test_questions(engine):
@@ -184,7 +339,7 @@ def test_provider_modes(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "p string").repartition(8)
     ask = lambda **more: [r.response for r in completed(rows, "p", Model(), **more).collect()]
     assert ask() == ["text"] * 2 and ask(mode="json") == ['{"a": 1}'] * 2 and ask(mode="yes_no") == ["NO"] * 2
-    assert completed(rows, "p", Model(), most=3).rdd.getNumPartitions() == 3
+    assert completed(rows, "p", Model(), most=3).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
     assert messages("p", "s", [("assistant", "x")]) == [{"role": "system", "content": "s"}, {"role": "assistant", "content": "x"}, {"role": "user", "content": "p"}]
     day = spark.sql("select timestamp'2024-03-01 12:30:00' as at").select(js.dumped(F.struct("at"))).head()[0]
     assert day.startswith('{"at":"2024-03-01T12:30:00')
