@@ -2,20 +2,29 @@
 
 Whole texts are cut into words (letters, digits and underscores, in lower case). A test item's seeds are its 3-word
 grams; an item of one or two words is a seed as a whole. One pass over the documents, whatever the size of the benchmark,
-gives the places of grams that the benchmark has, and counts its words over all documents. A seed is rare if
-chance would give it less than ``RARE`` times a word by those counts (an item of one word, if less than ``RARE_WORD``
-of all words are that word). Rare seeds join documents to items by a shuffle; for the pairs that this finds, the
-items' other seeds are looked up in the same places. A passage in which an item has ``seeds`` different seeds close
-together, one of them rare, is cut out of its document and aligned with the item word by word (match 2, mismatch and
-gap -1); an item whose alignment reaches ``score`` of what a perfect copy has is found, be it copied, edited or shortened.
+gives the places of grams that the benchmark has, and counts its words over all documents. A gram is rare if chance would
+give it less than ``RARE`` times a word by those counts (an item of one word, if less than ``RARE_WORD`` of all words
+are that word); words of full copies of items of five words or more don't count, so that frequent copies don't hide themselves. Seeds
+that lead from documents to items are an item's rare grams, and the half of its grams (four at least) that has the fewest
+places in documents, rare or not: however small a corpus is, some of an item's grams are its rarest. Grams of over ``MANY``
+items, such as those of a common template, count for nothing, unless an item has no others.
+
+For the pairs that seeds find, the items' other grams are looked up in the same places. A passage in which an item
+has some of its grams close together, a seed among them, is cut out of its document: ``seeds`` different ones if one is rare
+(one rare one in items of up to ``SHORT`` words), else a quarter of the item's, three at least or all it has, in items of five
+words or more. It is aligned with the item word by word (match 2, mismatch and gap -1); an item whose alignment reaches
+``score`` of what a perfect copy has is found, be it copied, edited or shortened. Joins deal out hot grams and hot items,
+so a passage that a third of all documents have is no hot key.
 
 What is broadcast tells which words and grams are worth a row: all hashes as they are up to ``EXACT`` of them (16 MB),
-beyond that one bit for each in ``1 << BITS`` bits (16 MB); what chance lets through then falls out in the join. Items
-without rare seeds are never found, such as those of common words alone; items without words aren't either.
-
-Null and empty texts hold nothing. Null and repeated ids are documents like any other in the search; results name
-documents by id, so rows with one id (null among them) share their finds. So do test items: each row is an item of its
-own, and results name it by its id. Ties go to the first passage. Other columns are not read. Empty tables give no rows.
+beyond that one bit for each in ``1 << BITS`` bits (16 MB); what chance lets through then falls out in the join. An item
+whose grams are all common costs a row for each of their places; items of up to four common words are never found,
+and items without words aren't either.
+
+Null and empty texts hold nothing. Ids of both tables may be of any type. Null and repeated ids are documents like any other
+in the search; results name documents by id, so rows with one id (null among them) share their finds, whereas
+``keep_clean`` judges each row by its own text. Test items of the same words are one item; results name it by each
+of its ids, null included. Ties go to the first passage. Other columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,13 +37,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import lookup
 
 GRAM, SEEDS, SCORE, RARE, RARE_WORD = 3, 2, 0.5, 1e-6, 1e-4
+#: Grams of so many items lead nowhere, an item has so many seeds at least, and one rare seed finds items of so many words.
+MANY, FEWEST, SHORT = 100, 4, 12
 #: Hashes that are broadcast as they are, and the logarithm of the number of bits that stand for more.
 EXACT, BITS = 2_000_000, 27
 #: Words whose hashes, and words whose counts, a worker remembers; a full memo is emptied, which costs time only.
@@ -122,16 +132,19 @@ class Filter:
         return ((got & np.uint64(1)) == 1) & (codes != 0)
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_no, item_id, words): test items that have words, numbered."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_no, words): test items of different words, numbered; and (item_no, item_id), their ids."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["item_id", "words"])
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_or_empty(F.col("text")).alias("text"))
-    rows = rows.mapInArrow(cut, "item_id long, words array<string>").where("size(words) > 0")
-    return common.stored(rows.select(F.monotonically_increasing_id().alias("item_no"), "item_id", "words"), "items")
+    rows = benchmark.select("item_id", common.text_or_empty(F.col("text")).alias("text"))
+    rows = rows.mapInArrow(cut, f"item_id {kind}, words array<string>").where("size(words) > 0").distinct()
+    rows = common.stored(rows, "item-rows")
+    items = common.stored(rows.select("words").distinct().select(F.monotonically_increasing_id().alias("item_no"), "words"), "items")
+    return items, common.stored(rows.join(items, "words").select("item_no", "item_id"), "item-ids")
 
 
 def _seeds(items: DataFrame, gram: int) -> DataFrame:
@@ -209,92 +222,135 @@ def _hits(docs: DataFrame, vocabulary: Filter, grams: Filter, sizes: list[int])
     return common.stored(rows.mapInArrow(scan, f"doc_id {kind}, hash long, at long, code long, word long, n long"), "hits")
 
 
-def _rare(seeds: DataFrame, found: DataFrame, rare: float, rare_word: float) -> DataFrame:
-    """(code, rare) of each seed, by the counts of its words over all documents."""
-    counts = common.stored(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total = max(1, (counts.where("word = 0").head() or {"n": 1})["n"])
+def _chance(seeds: DataFrame, found: DataFrame, hits: DataFrame, rare: float, rare_word: float) -> DataFrame:
+    """(code, rare): whether chance makes a gram rare, by the counts of its words over all documents but for full copies."""
+    often = hits.groupBy("code").agg(F.count("*").alias("n"))
+    # an item has no more full copies than its rarest gram has places; shorter ones may be a turn of phrase
+    copies = seeds.where(F.col("size") >= GRAM + 2).join(often, "code", "left").groupBy("item_no").agg(F.min(F.coalesce("n", F.lit(0))).alias("copies")).where("copies > 0")
+    own = F.when(F.col("place") + F.size("words") == F.col("size"), F.col("words")).otherwise(F.slice("words", 1, 1))  # each of an item's words once
+    copied = seeds.join(copies, "item_no").select(F.explode(own).alias("word"), "copies").groupBy("word").agg(F.sum("copies").alias("copied"))
+    counts = found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).join(copied, "word", "left")
+    counts = common.stored(counts.select("word", "n", F.coalesce("copied", F.lit(0)).alias("copied")), "word-counts")
+    sums = counts.agg(F.max(F.when(F.col("word") == 0, F.col("n"))).alias("n"), F.sum("copied").alias("copied")).head()
+    total = max(1, (sums["n"] or 1) - (sums["copied"] or 0))
+    left = F.greatest(F.lit(1), F.coalesce(F.col("n") - F.col("copied"), F.lit(1)))
     distinct = seeds.select("code", "words").dropDuplicates(["code"])
     spread = distinct.select("code", F.posexplode("words").alias("k", "word")).join(counts, "word", "left")
-    chance = spread.groupBy("code").agg(F.sum(F.log(F.coalesce("n", F.lit(1)) / F.lit(total))).alias("chance"), F.count("*").alias("words"))
+    chance = spread.groupBy("code").agg(F.sum(F.log(left / F.lit(total))).alias("chance"), F.count("*").alias("words"))
     limit = F.when(F.col("words") == 1, math.log(rare_word)).otherwise(math.log(rare))
-    return common.stored(chance.select("code", (F.col("chance") <= limit).alias("rare")), "rare-seeds")
+    return chance.select("code", (F.col("chance") <= limit).alias("rare"))
 
 
-def _passages(found: DataFrame, seeds: DataFrame, rare: DataFrame, least: int) -> DataFrame:
-    """(doc_id, hash, item_no, first, last): places of words that may hold an item."""
-    hits = common.stored(found.where("code is not null").select("doc_id", "hash", "at", "code").distinct(), "places")
-    total = hits.count()
+def _grams(seeds: DataFrame, hits: DataFrame, chance: DataFrame, many: int) -> DataFrame:
+    """(item_no, code, first, last, size, of, rare, seed): grams that count, with their first and last places in their items.
+
+    An item's grams are ranked in a window of its own: a test item is a text, and holds its words in one row anyway.
+    """
     often = hits.groupBy("code").agg(F.count("*").alias("n"))
-    places = seeds.select("code", "item_no", "place", "size").join(rare, "code")
-    # a rare seed is in few items, but may be in very many documents
-    table = places.where("rare").groupBy("code").agg(F.collect_set("item_no").alias("items")).join(often, "code")
-    pairs = lookup(hits, table, "code", "n", total, "inner").select("doc_id", "hash", F.explode("items").alias("item_no")).distinct()
-    pairs = common.stored(pairs, "document-items")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    of = pairs.select(key, "hash", F.col("doc_id").alias("_doc"), "item_no")
-    rows = hits.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(of, ["_key", "hash"]).where(F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_key", "_doc")
-    rows = rows.join(places, ["item_no", "code"])
+    one = seeds.groupBy("item_no", "code").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("size").alias("size"))
+    shared = one.groupBy("code").agg((F.count("*") > many).alias("shared"))
+    of_item = Window.partitionBy("item_no")
+    rows = one.join(shared, "code").join(chance, "code").join(often, "code", "left")
+    rows = rows.withColumn("common", F.min("shared").over(of_item)).where(F.col("shared") == F.col("common"))
+    rows = rows.withColumn("of", F.count("*").over(of_item)).where("n is not null")  # grams that no document has lead nowhere
+    rank = F.row_number().over(of_item.orderBy("n", "first"))
+    half = F.greatest(F.lit(FEWEST), F.ceil(F.col("of") / 2))
+    rows = rows.withColumn("seed", (rank <= half) | (F.col("rare") & ~F.col("shared")))
+    return common.stored(rows.select("item_no", "code", "first", "last", "size", "of", "rare", "seed"), "grams")
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+
+
+def _passages(hits: DataFrame, grams: DataFrame, least: int) -> DataFrame:
+    """(doc_id, hash, item_no, first, last): places of words that may hold an item."""
     by = ["doc_id", "hash", "item_no"]
-    order = Window.partitionBy(*by).orderBy("at", "place")
+    pairs = common.dealt(hits, grams.where("seed").select("code", "item_no"), ["code"]).select(_key(), "hash", "item_no").distinct()
+    pairs = common.stored(pairs, "document-items")
+    near = hits.withColumn("_key", _key()).join(pairs.select("_key", "hash").distinct(), ["_key", "hash"], "left_semi")
+    near = common.stored(near, "near-places")
+    # a place has a row for each item of its gram, MANY at most; those of items that no seed leads to go
+    rows = common.dealt(near, grams, ["code"]).join(pairs, ["_key", "hash", "item_no"], "left_semi").drop("_key")
+    order = Window.partitionBy(*by).orderBy("at", "code")
     rows = rows.withColumn("opens", F.coalesce(F.col("at") - F.lag("at").over(order) > F.col("size"), F.lit(True)).cast("int"))
     rows = rows.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("at") - F.col("place")
-    parts = rows.groupBy(*by, "part").agg(F.countDistinct("code").alias("seeds"), F.max("rare").alias("rare"), F.min(start).alias("low"), F.max(start).alias("high"), F.first("size").alias("size"))
-    parts = parts.where(F.col("rare") & (F.col("seeds") >= F.least(F.lit(least), F.greatest(F.lit(1), F.col("size") - (GRAM - 1)))))
+    low, high = F.min(F.col("at") - F.col("last")).alias("low"), F.max(F.col("at") - F.col("first")).alias("high")
+    parts = rows.groupBy(*by, "part").agg(F.countDistinct("code").alias("seeds"), F.max("seed").alias("seed"), F.max("rare").alias("rare"), low, high, F.first("size").alias("size"), F.first("of").alias("of"))
+    some = (F.col("size") <= SHORT) | (F.col("seeds") >= F.least(F.lit(least), F.col("of")))
+    most = (F.col("size") >= GRAM + 2) & (F.col("seeds") >= F.least(F.col("of"), F.greatest(F.lit(GRAM), F.ceil(F.col("of") / 4))))
+    parts = parts.where(F.col("seed") & ((F.col("rare") & some) | most))
     room = F.floor(F.col("size") / 4) + 2
     return common.stored(parts.select(*by, F.greatest(F.lit(0), F.col("low") - room).cast("long").alias("first"), (F.col("high") + F.col("size") + room).cast("long").alias("last")), "passages")
 
 
 def _cut_out(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, item_no, first, passage): the passages' words, from one reading of the documents that have any."""
+    """(doc_id, hash, item_no, first, passage): the passages' words, from one reading of the documents that have any."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     one = F.struct("item_no", "first", "last")
-    wanted = passages.groupBy("doc_id", "hash").agg(F.collect_list(one).alias("wanted")).withColumnRenamed("doc_id", "_doc")
-    ids = wanted.select("_doc").distinct()
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").withColumn("hash", F.xxhash64("text"))
+    wanted = passages.groupBy(_key(), "hash").agg(F.collect_list(one).alias("wanted"))
+    rows = docs.select("doc_id", _key(), F.xxhash64("text").alias("hash"), "text").join(wanted.select("_key", "hash"), ["_key", "hash"], "left_semi")
     # rows of one id and one text are one document here
-    rows = rows.groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
-    rows = rows.join(wanted, (rows["doc_id"].eqNullSafe(F.col("_doc"))) & (rows["hash"] == wanted["hash"])).select("doc_id", "text", "wanted")
+    rows = rows.groupBy("doc_id", "_key", "hash").agg(F.first("text").alias("text")).join(wanted, ["_key", "hash"]).select("doc_id", "hash", "text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                ws = words(batch.column(1)[row].as_py())
-                got = [(w["item_no"], w["first"], " ".join(ws[w["first"] : w["last"]])) for w in batch.column(2)[row].as_py()]
+                ws = words(batch.column(2)[row].as_py())
+                got = [(w["item_no"], w["first"], " ".join(ws[w["first"] : w["last"]])) for w in batch.column(3)[row].as_py()]
                 columns = [pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * len(got))), *columns], ["doc_id", "item_no", "first", "passage"])
+                each = pa.array([row] * len(got))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), *columns], ["doc_id", "hash", "item_no", "first", "passage"])
 
-    return common.stored(rows.mapInArrow(cut, f"doc_id {kind}, item_no long, first long, passage string"), "cut-out")
+    return common.stored(rows.mapInArrow(cut, f"doc_id {kind}, hash long, item_no long, first long, passage string"), "cut-out")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, seeds: int = SEEDS, score: float = SCORE, rare: float = RARE, rare_word: float = RARE_WORD, exact: int = EXACT, bits: int = BITS) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word, passage): the best passage of each item in each document."""
+def aligned(docs: DataFrame, items: DataFrame, seeds: int = SEEDS, score: float = SCORE, rare: float = RARE, rare_word: float = RARE_WORD, exact: int = EXACT, bits: int = BITS, many: int = MANY) -> DataFrame:
+    """(doc_id, hash, item_no, score, first_word, last_word, passage) of all passages found; ``hash`` is that of the text."""
     docs = docs.select("doc_id", common.text_or_empty(F.col("text")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    items = _items(benchmark)
     seed_rows = _seeds(items, GRAM)
     vocabulary = Filter(seed_rows.select(F.explode("words").alias("code")).distinct(), exact, bits)
     sizes = sorted(r["n"] for r in seed_rows.select(F.size("words").alias("n")).distinct().collect())  # three at most
     found = _hits(docs, vocabulary, Filter(seed_rows.select("code").distinct(), exact, bits), sizes)
-    passages = _passages(found, seed_rows, _rare(seed_rows, found, rare, rare_word), seeds)
-    texts = _cut_out(docs, passages)
-    often = texts.groupBy("item_no").agg(F.count("*").alias("n")).join(items, "item_no")
-    rows = lookup(texts, often, "item_no", "n", texts.count(), "inner").select("doc_id", "item_id", "first", "passage", "words")
+    hits = common.stored(found.where("code is not null").select("doc_id", "hash", "at", "code").distinct(), "places")
+    passages = _passages(hits, _grams(seed_rows, hits, _chance(seed_rows, found, hits, rare, rare_word), many), seeds)
+    rows = common.dealt(_cut_out(docs, passages), items, ["item_no"]).select("doc_id", "hash", "item_no", "first", "passage", "words")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = {}  # copies of one passage are aligned once
         for batch in batches:
-            got = [align(list(w), p.split(" ")) for w, p in zip(batch["words"], batch["passage"])]
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "item_id": batch["item_id"], "score": [g[0] for g in got], "first_word": [f + g[1] for f, g in zip(batch["first"], got)], "last_word": [f + g[2] - 1 for f, g in zip(batch["first"], got)], "passage": [" ".join(p.split(" ")[g[1] : g[2]]) for p, g in zip(batch["passage"], got)]})
+            got = []
+            for item, w, p in zip(batch["item_no"], batch["words"], batch["passage"]):
+                if (item, p) not in memo:
+                    if len(memo) > 10_000:
+                        memo.clear()
+                    memo[item, p] = align(list(w), p.split(" "))
+                got.append(memo[item, p])
+            out = batch[["doc_id", "hash", "item_no"]].assign(
+                score=[g[0] for g in got], first_word=[f + g[1] for f, g in zip(batch["first"], got)], last_word=[f + g[2] - 1 for f, g in zip(batch["first"], got)],
+                passage=[" ".join(p.split(" ")[g[1] : g[2]]) for p, g in zip(batch["passage"], got)],
+            )
             yield out[out["score"] >= score]
 
-    spread = rows.repartition(F.xxhash64("doc_id", "item_id", "first"))
-    aligned = spread.mapInPandas(compare, f"doc_id {kind}, item_id long, score double, first_word long, last_word long, passage string")
+    # copies of a passage go to a few tasks, which remember it
+    spread = rows.repartition(F.xxhash64("item_no", "passage"), F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    return spread.mapInPandas(compare, f"doc_id {kind}, hash long, item_no long, score double, first_word long, last_word long, passage string")
+
+
+def search(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, item_id, score, first_word, last_word, passage): the best passage of each item in each document."""
+    items, ids = _items(benchmark)
     best = F.max_by(F.struct("score", "first_word", "last_word", "passage"), F.struct("score", -F.col("first_word"))).alias("best")
-    return aligned.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    rows = aligned(docs, items, **parameters).groupBy("doc_id", "item_no").agg(best)
+    rows = common.dealt(common.stored(rows, "best-passages"), ids, ["item_no"])
+    return rows.groupBy("doc_id", "item_id").agg(F.max_by("best", F.struct("best.score", -F.col("best.first_word"))).alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The documents in which no test item is found."""
-    name = common.free_name(docs, "found")
-    found = common.stored(search(docs, benchmark, **parameters).select("doc_id").distinct(), "contaminated").withColumnRenamed("doc_id", name)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    """The documents in whose own texts no test item is found, whatever other rows have their ids."""
+    found = aligned(docs, _items(benchmark)[0], **parameters).select(_key(), "hash").distinct()
+    key, code = common.free_name(docs, "_found"), common.free_name(docs, "_code")
+    found = common.stored(found, "contaminated").withColumnsRenamed({"_key": key, "hash": code})
+    text = F.xxhash64(common.text_or_empty(docs["text"]))
+    return docs.join(found, (F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == F.col(key)) & (text == F.col(code)), "left_anti")

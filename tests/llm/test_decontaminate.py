@@ -72,6 +72,60 @@ def test_keeps_clean_documents(planted):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id not in {d for d, _ in want})
 
 
+def test_rows_are_judged_by_their_own_texts(spark, planted):
+    _, items, _ = planted
+    copy = items.where("item_id = 0").head().text
+    rows = [(None, "a clean text"), (None, copy), (7, "another clean text"), (7, copy), (8, "clean"), (8, "clean")]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, hash int, _found string")
+    kept = dc.keep_clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.hash for r in kept.collect()) == [0, 2, 4, 5]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.3, 0.6, 0.9])
+def test_frequent_copies(spark, share):
+    """However many documents hold a copy, all of them are found."""
+    rng = random.Random(int(share * 100))
+    copy = "the quick answer depends upon seven green turtles"
+    docs = [" ".join(rng.choice(VOCABULARY) for _ in range(40)) + (" " + copy if rng.random() < share else "") for _ in range(2000)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = dc.search(frame, spark.createDataFrame([("mmlu-1", copy)], "item_id string, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in found} == {(d, "mmlu-1", 1.0) for d, t in enumerate(docs) if copy in t}
+
+
+def test_small_tables_and_text_ids(spark):
+    copy = "what is the capital of the largest country"
+    docs = spark.createDataFrame([("a", "some text"), ("b", f"see {copy}?"), ("c", copy), ("d", "the capital of it"), (None, None)], "doc_id string, text string")
+    items = spark.createDataFrame([("x-1", copy), ("x-1", copy), ("x-2", copy.upper() + "!"), (None, copy)], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.search(docs, items).collect()} == {(d, i) for d in "bc" for i in ("x-1", "x-2", None)}
+    assert sorted(str(r.doc_id) for r in dc.keep_clean(docs, items).collect()) == ["None", "a", "d"]
+
+
+def test_templates_make_no_pairs(spark, monkeypatch):
+    """Items and documents that have only a template in common don't meet."""
+    rng = random.Random(8)
+    text = lambda n, k: " ".join(f"w{rng.randrange(4000)}{k}" for _ in range(n))
+    items = [f"choose the correct {text(12, 'i')}" for _ in range(300)]
+    docs = [f"choose the correct {text(12, 'd')}" for _ in range(300)] + [f"we {items[5]} so", " ".join(items)]
+    rows, stored = [], dc.common.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name in ("document-items", "near-places"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(dc.common, "stored", counted)
+    frames = [spark.createDataFrame(list(enumerate(x)), f"{name} long, text string") for x, name in ((docs, "doc_id"), (items, "item_id"))]
+    found = {(r.doc_id, r.item_id) for r in dc.search(*frames).collect()}
+    assert found == {(300, 5), *((301, k) for k in range(300))} and max(rows) < 8000
+
+
+def test_repetitive_items(spark):
+    docs = spark.createDataFrame([(1, "so " * 20_000), (2, "a b c " * 3000), (3, "nothing else")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "so " * 500), (2, "a b c " * 200)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.search(docs, items).collect()} == {(1, 1), (2, 2)}
+
+
 @pytest.mark.parametrize("edits", [0.05, 0.15, 0.25])
 def test_recall_against_plain_alignment(spark, edits):
     """Every item aligned with every whole document finds hardly more than what the seeds lead to."""
@@ -90,7 +144,7 @@ def test_recall_against_plain_alignment(spark, edits):
     want = {(d, i) for d, ws in enumerate(docs) for i, x in enumerate(item) if dc.align(x, ws)[0] >= dc.SCORE}
     frames = [spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], f"{name} long, text string") for rows, name in ((docs, "doc_id"), (item, "item_id"))]
     got = {(r.doc_id, r.item_id) for r in dc.search(*frames).collect()}
-    assert got <= want and len(got) >= (0.9 if edits < 0.2 else 0.8) * len(want) and len(want) >= 40
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 40
 
 
 def test_short_and_repeated_items(spark):
