@@ -2,7 +2,7 @@
 
 Leiden clustering repeats three steps: nodes move to the neighbouring community of most gain in modularity until none gains;
 each community is refined from single nodes into well-connected parts; parts become the nodes of a quotient graph, which
-starts from the communities found. A graph of more than ``TASK_EDGES`` edges is coarsened by these steps over
+starts from the communities found. Nodes without edges are alone and take no part. A graph of more than ``TASK_EDGES`` edges is coarsened by these steps over
 DataFrames, nodes moving in turns; once its quotient is small enough, one task finishes it. Communities that aren't
 connected are cut into their components at the end.
 
@@ -104,6 +104,9 @@ def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int |
     """(node_id, label): communities of the whole graph (src, dst, weight) by Leiden clustering; isolated nodes are alone."""
     most = TASK_EDGES if task_edges is None else task_edges
     graph = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    linked = graph.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    alone = nodes.select("node_id").join(linked, "node_id", "left_anti").select("node_id", F.col("node_id").alias("label"))
+    nodes = nodes.select("node_id").join(linked, "node_id", "left_semi")
     place = cut_lineage(nodes.select("node_id", F.col("node_id").alias("at")))  # where each node is in the quotient graph
     labels, size = place.select("node_id", F.col("at").alias("label")), graph.count()
     while size > most:
@@ -121,7 +124,7 @@ def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int |
     if size <= most:
         labels = _finished(graph, labels)
     found = place.join(labels.select(F.col("node_id").alias("at"), "label"), "at").select("node_id", "label")
-    return cut_lineage(connected(edges, found)) if size > most else found
+    return (cut_lineage(connected(edges, found)) if size > most else found).unionByName(alone)
 
 
 def _quotient(edges: DataFrame, parts: DataFrame) -> DataFrame:

@@ -10,24 +10,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources import tables
 
-#: Characters of distinct descriptions that a node or edge keeps, in first-seen order; a row can't hold any number of them.
-TEXT_BUDGET = 1_000_000
+#: Characters of a part of ``description_parts``.
+PART = 1_000_000
 
 
 def _ord() -> Column:
     return F.struct("chunk_ord", "pos")
 
 
-def _texts(rows: DataFrame, keys: list[str], text: str = "description", budget: int = TEXT_BUDGET) -> DataFrame:
-    """Distinct texts of each key that aren't empty, in first-seen order, joined by blanks; as many as fit the budget."""
+def _texts(rows: DataFrame, keys: list[str], text: str = "description", budget: int | None = None) -> DataFrame:
+    """Distinct texts of each key that aren't empty, in first-seen order, joined by blanks: all, or as many as fit a budget."""
     first = rows.where(F.col(text) != "").groupBy(*keys, text).agg(F.min("ord").alias("ord"))
-    # the running sum reads a key's texts as a stream, in the shuffle that brings them together anyway
-    order = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(order), F.lit(0))).where(F.col("_before") + F.length(text) <= F.greatest(F.lit(budget), F.length(text)))
+    if budget is not None:
+        # the running sum reads a key's texts as a stream, in the shuffle that brings them together anyway
+        order = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        first = first.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(order), F.lit(0))).where(F.col("_before") + F.length(text) <= F.greatest(F.lit(budget), F.length(text)))
     return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text))), lambda x: x[text]), " ").alias(text))
 
 
+def description_parts(rows: DataFrame, keys: list[str], text: str = "description", part: int = PART) -> DataFrame:
+    """(keys…, part, text): distinct texts of each key in first-seen order, in parts that begin at multiples of ``part`` characters.
+
+    ``rows`` have (keys…, text, ord). Joined by blanks in the order of parts they are the whole description, however
+    long it is. Ranges of (key, ord) are summed apart, so a key that is in every chunk is in as many tasks; only keys that
+    go on from one range to the next, one a range, need what came before.
+    """
+    first = rows.where(F.col(text) != "").groupBy(*keys, text).agg(F.min("ord").alias("ord"))
+    placed = tables.stored(first.repartitionByRange(*keys, "ord").withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(*keys, "_range").agg(F.sum(F.length(text) + 1).alias("_size"))
+    of_key = Window.partitionBy(*keys).orderBy("_range")
+    sums = sums.withColumn("_before", F.sum("_size").over(of_key.rowsBetween(Window.unboundedPreceding, -1))).where("_before is not null")
+    inside = Window.partitionBy("_range", *keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length(text) + 1).over(inside), F.lit(0)) + F.coalesce("_before", F.lit(0))
+    rows = placed.join(F.broadcast(sums.drop("_size")), [*keys, "_range"], "left").withColumn("part", F.floor(at / part))
+    return rows.groupBy(*keys, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text))), lambda x: x[text]), " ").alias(text))
+
+
 def provenance(rows: DataFrame, *names: str) -> DataFrame:
     """The distinct (names…, chunk_ord) of mentions or pairs: names normalised, those of a pair in order."""
     ids = [tx.node_id(n) for n in names]
@@ -38,19 +58,29 @@ def provenance(rows: DataFrame, *names: str) -> DataFrame:
     return found.where(" and ".join(f"{k} <> ''" for k in keys) + (" and src <> dst" if len(keys) == 2 else ""))
 
 
-def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: int = 1) -> DataFrame:
-    """One row for each normalised name: longest name, commonest type, descriptions, number of chunks, mentions, claims."""
+def mentions(entities: DataFrame) -> DataFrame:
+    """(node_id, chunk_ord, name, entity_type, description, n, ord): equal mentions of a chunk as one row, with the first's place."""
     rows = entities.withColumn("node_id", tx.node_id("name")).where("node_id <> ''").withColumn("ord", _ord())
-    kinds = rows.groupBy("node_id", "entity_type").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    return rows.groupBy("node_id", "chunk_ord", "name", "entity_type", "description").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+
+
+def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: int = 1, text_budget: int | None = None) -> DataFrame:
+    """One row for each normalised name: longest name, commonest type, descriptions, number of chunks, mentions, claims.
+
+    ``text_budget`` bounds the characters of a description; with None it is whole, as long as a row can hold it.
+    ``description_parts`` of ``mentions`` has no such end. Mentions are read and extracted once, and their table stored.
+    """
+    rows = tables.stored(mentions(entities), "mentions")
+    kinds = rows.groupBy("node_id", "entity_type").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"))
     kind = kinds.groupBy("node_id").agg(F.min_by("entity_type", F.struct(-F.col("n"), "ord")).alias("entity_type"))
     # a chunk's mentions of a name are one row of the second step
-    main = rows.groupBy("node_id", "chunk_ord").agg(F.min_by("name", F.struct(-F.length("name"), "ord")).alias("name"), F.min("ord").alias("ord"), F.count("*").alias("n"))
+    main = rows.groupBy("node_id", "chunk_ord").agg(F.min_by("name", F.struct(-F.length("name"), "ord")).alias("name"), F.min("ord").alias("ord"), F.sum("n").alias("n"))
     longest = F.struct(-F.length("name"), "ord")
     main = main.groupBy("node_id").agg(
         F.min_by("name", longest).alias("name"), F.sum("n").alias("mention_count"), F.count("*").alias("n_chunks"),
         F.min("chunk_ord").alias("first_chunk"), F.min("ord").alias("first_ord"),
     )
-    out = main.join(kind, "node_id").join(_texts(rows, ["node_id"]), "node_id", "left")
+    out = main.join(kind, "node_id").join(_texts(rows, ["node_id"], budget=text_budget), "node_id", "left")
     out = out.withColumn("description", F.coalesce("description", F.concat(F.lit("Entity: "), "name")))
     if claims is not None:
         found = claims.withColumn("node_id", tx.node_id("subject_entity")).withColumn("ord", _ord())
@@ -66,20 +96,23 @@ def node_ids(entities: DataFrame, min_mentions: int = 1) -> DataFrame:
     return rows.where(F.col("n") >= min_mentions).select("node_id")
 
 
-def edges(relationships: DataFrame, node_table: DataFrame | None = None) -> DataFrame:
+def edges(relationships: DataFrame, node_table: DataFrame | None = None, text_budget: int | None = None) -> DataFrame:
     """One row for each unordered pair of nodes: occurrences, mean strength, descriptions, number of chunks; no loops.
 
     Without ``node_table`` all ends are taken for nodes, as they are when pairs come from the mentions themselves.
+    Pairs are read and extracted once: equal ones of a chunk become one row of a stored table, from which all else follows.
     """
     rows = relationships.withColumn("a", tx.node_id("source_entity")).withColumn("b", tx.node_id("target_entity")).where("a <> b and a <> '' and b <> ''")
     if node_table is not None:
         ids = node_table.select("node_id")
         rows = rows.join(ids.withColumnRenamed("node_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("node_id", "b"), "b", "left_semi")
     rows = rows.withColumn("src", F.least("a", "b")).withColumn("dst", F.greatest("a", "b")).withColumn("ord", _ord())
-    main = rows.groupBy("src", "dst", "chunk_ord").agg(F.count("*").alias("n"), F.sum("strength").alias("strength"), F.min("ord").alias("ord"))
+    rows = rows.groupBy("src", "dst", "chunk_ord", "description").agg(F.count("*").alias("n"), F.sum("strength").alias("strength"), F.min("ord").alias("ord"))
+    rows = tables.stored(rows, "pairs")
+    main = rows.groupBy("src", "dst", "chunk_ord").agg(F.sum("n").alias("n"), F.sum("strength").alias("strength"), F.min("ord").alias("ord"))
     mean = F.round(F.sum("strength") / F.sum("n"), 2)
     main = main.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("weight"), mean.alias("avg_strength"), F.count("*").alias("n_chunks"), F.min("ord").alias("first_ord"))
-    return main.join(_texts(rows, ["src", "dst"]), ["src", "dst"], "left").withColumn("edge_id", F.concat_ws("__", "src", "dst"))
+    return main.join(_texts(rows, ["src", "dst"], budget=text_budget), ["src", "dst"], "left").withColumn("edge_id", F.concat_ws("__", "src", "dst"))
 
 
 def degrees(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

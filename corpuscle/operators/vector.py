@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .chunking import fill
 
-#: Query vectors that are sent to the workers at a time.
-QUERY_BLOCK = 4096
+#: Query vectors and vectors of a block, and vectors that are multiplied at a time.
+QUERY_BLOCK, VECTOR_BLOCK, STRIP = 4096, 65_536, 2048
 
 
 def checked(vectors: DataFrame, dim: int) -> DataFrame:
@@ -36,40 +36,73 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "vec_i
     return ranked if threshold is None else ranked.where(F.col("score") >= threshold)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "query_id") -> DataFrame:
+class _Best:
+    """The best k rows so far for each of some queries."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+        self.ids, self.matrix, self.k = ids, matrix, k
+        self.keys, self.scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if not len(keys) or not len(self.ids):
+            return
+        score = np.hstack((self.scores, np.round(self.matrix @ values.T, 4)))
+        every = np.hstack((self.keys, np.broadcast_to(keys, (len(self.ids), len(keys)))))
+        order = np.lexsort((every, -score), axis=1)[:, : self.k]
+        self.keys, self.scores = np.take_along_axis(every, order, 1), np.take_along_axis(score, order, 1)
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(np.repeat(self.ids, self.keys.shape[1])), pa.array(self.keys.ravel()), pa.array(self.scores.ravel())]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(rows, -1).astype(np.float64)
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "query_id", block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """The nearest rows to each query: query, rank, key, score.
 
-    Queries go to the workers in blocks. A worker multiplies each batch of vectors with a block and sends on the best k
-    for each query; so what is shuffled is k rows a query and task, whatever the number of vectors.
+    Up to ``block`` queries go to the workers, which multiply each batch of vectors with them as it is read. More queries
+    and the vectors are cut into blocks by their keys' hashes, and a task gets a block of each: a grid in one plan that reads
+    both tables once, whatever the number of queries, and takes nothing to the driver. A task sends on the best k for each of
+    its queries, so what is ranked is k rows a query and block of vectors.
     """
-    spark, out = vectors.sparkSession, None
-    rows = queries.count()
-    blocks = max(1, -(-rows // QUERY_BLOCK))
-    for b in range(blocks):
-        block = queries.select(query_key, "embedding").where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b).toPandas()
-        ids = block[query_key].to_numpy(np.int64)
-        matrix = np.array(block["embedding"].tolist(), np.float64).reshape(len(ids), -1)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            held_keys, held = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                keys = batch.column(0).to_numpy()
-                if not len(keys) or not len(ids):
-                    continue
-                values = batch.column(1).flatten().to_numpy().reshape(len(keys), -1).astype(np.float64)
-                score = np.hstack((held, np.round(matrix @ values.T, 4)))
-                every = np.hstack((held_keys, np.broadcast_to(keys, (len(ids), len(keys)))))
-                order = np.lexsort((every, -score), axis=1)[:, :k]
-                held_keys, held = np.take_along_axis(every, order, 1), np.take_along_axis(score, order, 1)
-            if held.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.shape[1])), pa.array(held_keys.ravel()), pa.array(held.ravel())], [query_key, key, "score"])
-
-        found = vectors.select(F.col(key).cast("long").alias(key), "embedding").mapInArrow(best, f"{query_key} long, {key} long, score double")
-        out = found if out is None else out.unionByName(found)
+    found = _by_broadcast(vectors, queries, k, key, query_key) if queries.count() <= block else _by_grid(vectors, queries, k, key, query_key, block, vector_block)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str) -> DataFrame:
+    few = queries.select(query_key, "embedding").toPandas()
+    ids = few[query_key].to_numpy(np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array(few["embedding"].tolist(), np.float64).reshape(len(ids), -1)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Best(*shared.value, k)
+        for batch in batches:
+            held.add(batch.column(0).to_numpy(), _matrix(batch.column(1), len(batch)))
+        if held.keys.size:
+            yield pa.RecordBatch.from_arrays(held.columns(), [query_key, key, "score"])
+
+    return vectors.select(F.col(key).cast("long").alias(key), "embedding").mapInArrow(best, f"{query_key} long, {key} long, score double")
+
+
+def _by_grid(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, block: int, vector_block: int) -> DataFrame:
+    across, down = (max(1, -(-t.count() // n)) for t, n in ((queries, block), (vectors, vector_block)))
+    of = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = vectors.select(F.col(key).cast("long").alias(key), "embedding", of(key, down).alias("_v")).withColumn("_q", every(across))
+    right = queries.select(F.col(query_key).cast("long").alias(query_key), "embedding", of(query_key, across).alias("_q")).withColumn("_v", every(down))
+
+    def best(vs: pa.Table, qs: pa.Table) -> pa.Table:
+        held = _Best(qs.column(query_key).to_numpy(), _matrix(qs.column("embedding"), len(qs)), k)
+        for at in range(0, len(vs) if len(qs) else 0, STRIP):
+            strip = vs.slice(at, STRIP)
+            held.add(strip.column(key).to_numpy(), _matrix(strip.column("embedding"), len(strip)))
+        return pa.Table.from_arrays(held.columns(), [query_key, key, "score"])
+
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(best, f"{query_key} long, {key} long, score double")
 
 
 def cited_context(hits: DataFrame, budget: int, order: list, tokenizer: tx.Tokenizer = tx.WHITE_SPACE) -> DataFrame:

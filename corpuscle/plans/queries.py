@@ -172,6 +172,13 @@ def vector_topk_batch(spark, sf):
     return vector.top_k_batch(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
+@query(SQL["vector_topk_batch"])
+def vector_topk_grid(spark, sf):
+    """The same search by blocks of queries and of vectors."""
+    e = read(spark, sf, "embeddings")
+    return vector.top_k_batch(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10, block=4, vector_block=200)
+
+
 @query("""
 with n as (select vec_id, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings)
 select vec_id, round(list_sum(list_transform(e, lambda x: x / (case when n = 0 then 1 else n end))), 4) as total, round(e[1] / (case when n = 0 then 1 else n end), 4) as first, len(e)::int as dim from n""")
@@ -344,6 +351,14 @@ def entity_nodes(spark, sf):
     return _nodes(_mentions(spark, sf)).select("node_id", "name", "entity_type", "description", "mention_count", "n_chunks", "first_chunk", listed("claims").alias("claims"))
 
 
+@query(GRAPH + """, first as (select node_id, description, min(ord) as o from mentions group by all),
+placed as (select *, coalesce(sum(length(description) + 1) over (partition by node_id order by o rows between unbounded preceding and 1 preceding), 0) as at_char from first)
+select node_id, (at_char // 12)::bigint as part, string_agg(description, ' ' order by o) as description from placed group by all""")
+def entity_description_parts(spark, sf):
+    """Whole descriptions as a table of parts, however long; parts of a dozen characters, so that there are several."""
+    return graph.description_parts(graph.mentions(_mentions(spark, sf)), ["node_id"], part=12)
+
+
 @query(GRAPH + "select node_id, mention_count from nodes where mention_count >= 3")
 def frequent_entities(spark, sf):
     return graph.nodes(_mentions(spark, sf), min_mentions=3).select("node_id", "mention_count")
@@ -646,15 +661,19 @@ def signed_rank(spark, sf):
 
 
 @query("""
-with d as (select p_partkey % 400 as g, p_partkey + 1 as d from part), few as (select g, case when d % 2 = 0 then d else -d end as d from (select *, row_number() over (partition by g order by d) as k from d) where k <= 12),
-r as (select g, d, rank() over (partition by g order by abs(d)) as rank from few), s as (select g, count(*) as n, sum(case when d > 0 then rank else 0 end)::int as w from r group by g),
-signs as (select n, w from (select n, m, list_sum(list_transform(range(1, n + 1), lambda i: case when (m >> (i - 1)) % 2 = 1 then i else 0 end)) as w from (select n, unnest(range(0, (1::bigint << n))) as m from (select distinct n::int as n from s))))
-select g, s.n, s.w::double as w_plus, round((select count(*) from signs where signs.n = s.n and signs.w >= s.w) / (1::bigint << s.n)::double, 9) as p_value from s""")
+with recursive d as (select p_partkey % 400 as g, case when p_partkey % 2 = 1 then p_partkey + 1 else -p_partkey - 1 end as d from part),
+r as (select g, d, rank() over (partition by g order by abs(d)) as rank from d),
+s as (select g, count(*)::int as n, sum(case when d > 0 then rank else 0 end)::int as w from r group by g),
+signs as (
+  select 0 as n, [1.0::double] as c
+  union all select n + 1, list_transform(range(0, len(c) + n + 1), lambda w: (case when w < len(c) then c[w + 1] else 0 end) + (case when w > n then c[w - n] else 0 end))
+  from signs where n < (select max(n) from s)
+)
+select g, s.n::bigint as n, s.w::double as w_plus, round(list_sum(c[s.w + 1:]) / 2.0 ** s.n, 9) as p_value from s join signs using (n)""")
 def signed_rank_exact(spark, sf):
-    """Exact p-values, against a count of all signs; up to twelve differences a group, of different sizes."""
+    """Exact p-values of all differences, against a count of the ways to reach each sum; groups have 50 differences at most here."""
     rows = read(spark, sf, "part").select((F.col("p_partkey") % 400).alias("g"), (F.col("p_partkey") + 1).alias("d"))
-    first = F.row_number().over(Window.partitionBy("g").orderBy("d"))
-    rows = rows.withColumn("k", first).where("k <= 12").select("g", F.when(F.col("d") % 2 == 0, F.col("d")).otherwise(-F.col("d")).alias("d"))
+    rows = rows.select("g", F.when(F.col("d") % 2 == 0, F.col("d")).otherwise(-F.col("d")).alias("d"))
     ranks = evaluate.signed_ranks(rows, "d", ["g"])
     return ranks.select("g", "n", "w_plus", F.round(evaluate.signed_rank_p("w_plus", "n", "tied", "zeros"), 9).alias("p_value"))
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -420,3 +421,46 @@ def test_communities_beyond_one_task_are_moved_in_rounds(spark, monkeypatch):
     got = {r.node_id: r.label for r in community.split(edges, labels, 7).collect()}
     assert set(got) == {*names, "c0", "c1"} and got["c0"] == got["c1"] == "y"
     assert len({got[n] for n in names}) > 1 and all(got[n].startswith("x/") for n in names)
+
+
+def test_descriptions_are_whole(spark):
+    """Three million characters of different descriptions of one node, in its row and in parts."""
+    words = spark.range(31_000).selectExpr("'Hub' as name", "'CONCEPT' as entity_type", "concat('d', id, '-', repeat('x', 90)) as description", "id as chunk_ord", "0 as pos").repartition(7)
+    want = " ".join(f"d{k}-" + "x" * 90 for k in range(31_000))
+    assert graph.nodes(words).head().description == want
+    assert len(graph.nodes(words, text_budget=1000).head().description) <= 1000
+    pairs = words.selectExpr("'A' as source_entity", "'B' as target_entity", "description", "1.0 as strength", "chunk_ord", "pos")
+    assert graph.edges(pairs).head().description == want
+    for part in (1000, 1_000_000):
+        rows = graph.description_parts(graph.mentions(words), ["node_id"], part=part).orderBy("part").collect()
+        assert " ".join(r.description for r in rows) == want and len({r.part for r in rows}) == len(rows) > 2
+        assert all(len(r.description) <= part + 100 for r in rows)
+
+
+def test_batch_search_by_grid(spark):
+    """Twenty thousand queries: one scan of the vectors in the plan, and the same hits as by plain products."""
+    rng = np.random.default_rng(1)
+    vectors, queries = np.round(rng.normal(size=(700, 8)), 3), np.round(rng.normal(size=(20_000, 8)), 3)
+    vectors[100:120] = vectors[5]  # ties
+    v = spark.createDataFrame([(k * 3, x.tolist()) for k, x in enumerate(vectors)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(queries)], "query_id long, embedding array<float>")
+    found = vector.top_k_batch(v, q, 3, vector_block=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan and plan.count("Scan ExistingRDD") == 2
+    got = np.full((20_000, 3), -1)
+    rows = found.toPandas()
+    got[rows["query_id"], rows["rank"] - 1] = rows["vec_id"]
+    score = np.round(queries.astype(np.float32).astype(float) @ vectors.astype(np.float32).astype(float).T, 4)
+    want = np.lexsort((np.broadcast_to(np.arange(700), score.shape), -score), axis=1)[:, :3] * 3
+    assert (got == want).all()
+    few = vector.top_k_batch(v, q.limit(50), 3)
+    assert few.count() == 150 and vector.top_k_batch(v, q.where("false"), 3).count() == 0 and vector.top_k_batch(v.where("false"), q, 3).count() == 0
+
+
+def test_isolated_nodes_reach_no_task(spark):
+    nodes = spark.range(50_000).select(F.format_string("n%06d", "id").alias("node_id"))
+    edges = spark.createDataFrame([("n000001", "n000002", 1.0), ("n000002", "n000003", 1.0), ("n000007", "n000007", 1.0)], "src string, dst string, weight double")
+    labels = community.leiden(edges, nodes)
+    plan = labels._jdf.queryExecution().toString()
+    sizes = labels.groupBy("label").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    assert {(r["count"], r["n"]) for r in sizes} == {(1, 49_997), (3, 1)} and "FlatMapGroupsInPandas" in plan
