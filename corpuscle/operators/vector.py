@@ -56,6 +56,8 @@ class _Best:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    if not rows:
+        return np.zeros((0, 0))
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy().reshape(rows, -1).astype(np.float64)
 
@@ -76,7 +78,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
 def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str) -> DataFrame:
     few = queries.select(query_key, "embedding").toPandas()
     ids = few[query_key].to_numpy(np.int64)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array(few["embedding"].tolist(), np.float64).reshape(len(ids), -1)))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array(few["embedding"].tolist(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Best(*shared.value, k)
