@@ -1,18 +1,21 @@
 """Main text of web pages: parser events, text-to-tag ratio, smoothing, and threshold clusters.
 
 Each page runs once through the standard library's streaming parser. Its events are cut into lines at block elements;
-a line has text, tags, and the text inside links. The text-to-tag ratio of each line, smoothed by a Gaussian over
-neighbouring lines, is cut at a threshold. Lines that pass it by their own ratio and by the smoothed one are the cores of
-content clusters; the smallest container that holds all cores is the content region. Lines beside it that the smoothed
-ratio still counts to its cluster come along if they are a heading, a paragraph, or dense enough themselves. All lines in the
-region stay, short ones included, so that a short paragraph between long ones stays.
-
-Names of elements and of classes are evidence only. Lines inside navigation, headers, footers, sidebars, forms,
-adverts, notices, comments and the like (by element, role, class or id) have ratio zero and are left out; but a class or
-id that only has such a word among others ("search-history") counts for nothing on an element that holds half of
-the page's text outside links, or half of the article's, and on ``article`` and ``main`` themselves. A page without any
-other content is read as if elements and classes said nothing. ``article`` and ``main`` that hold half of the cores'
-text are the region as a whole; of several, those that hold less than a quarter of the largest one's are teasers and go.
+a line has text, tags, and the text inside links. The text-to-tag ratio of each line and that smoothed by a Gaussian over
+neighbouring lines are taken for all lines that are seen, whatever they are in. The threshold is the smoothed ratios'
+deviation, or half of their mean if that is less. Lines that pass it by their own ratio and by the smoothed one are the cores
+of content clusters; the smallest container that holds all cores is the content region. Lines beside it that the
+smoothed ratio still counts to its cluster come along if they are a heading, a paragraph, or dense enough themselves. All
+lines in the region stay, short ones included, so that a short paragraph between long ones stays.
+
+Names of elements and of classes are evidence: they lower a line's weight and delete nothing by themselves. A line in
+navigation, headers, footers, sidebars, forms, adverts, notices, comments and the like (by element, role, class or id) has a
+hundredth of its ratio, one in an element whose class only has such a word among others ("share-economy"), or which is part
+of a text (a quotation, a paragraph), half, and one outside of the page's ``article`` and ``main`` a quarter. Such an
+element in the region goes unless at least half of its text is in lines that pass the threshold with that weight. An ``article``
+with less than a quarter of the largest one's text is a teaser and has a hundredth. Where the whole page is so marked, all
+weights are alike and change nothing. Pages of fewer than ``SPARSE`` characters have no clusters to speak of: what isn't
+marked stays, and of a page with ``article`` or ``main`` what is in there; if nothing is, and there is none, all does.
 Scripts, styles, controls and hidden elements (``hidden``, ``display:none``, ``aria-hidden``) never count.
 
 White space inside a line becomes one space, lines are trimmed, empty ones dropped, the others joined by a line feed;
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 SIGMA, REACH, SHARE = 1.0, 2, 0.5
 #: Shares of text by which an element holds the page, a second article is none, and a neighbouring line is dense.
 HOLDS, TEASER, DENSE = 0.5, 0.25, 0.25
+#: Characters outside links below which a page has no clusters, and the weight of what is outside of an article.
+SPARSE, OUTSIDE = 200, 0.25
 #: Elements that stand in a line of text and don't end it (fixed values); br becomes white space.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +63,7 @@ ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "opt
 BOUNDS = tuple("ul ol dl table select article main section div body html".split())
 #: How much an element says of its text: nothing, a class's word among others, a class or an element's name, or that it isn't seen.
 NOTHING, WEAK, STRONG, HARD = range(4)
+WEIGHTS = (1.0, 0.5, 0.01, 0.0)
 
 
 def marking(value: str, inside_main: bool = False) -> int:
@@ -115,6 +121,7 @@ class Page(HTMLParser):
                 found, by_name = STRONG, True
             if value and name in ("class", "id") and tag not in ("html", "body"):
                 said = marking(value, inside or tag in INLINE)
+                said = WEAK if said == STRONG and tag in TEXTUAL and tag not in INLINE else said
                 found = max(found, NOTHING if said == WEAK and (tag in MAIN or tag in INLINE) else said)
         return found, by_name
 
@@ -232,7 +239,7 @@ class Page(HTMLParser):
 
 
 def ratios(lines, out: list[bool]) -> list[float]:
-    """Text outside links for each tag, nothing where a line is left out."""
+    """Text outside links for each tag, nothing where a line isn't seen."""
     return [0.0 if out[at] else max(0, len(text) - linked) / max(1, tags) for text, tags, linked, at in lines]
 
 
@@ -245,42 +252,48 @@ def smoothed(values: list[float], sigma: float = SIGMA, reach: int = REACH) -> l
     return out
 
 
-def left_out(page: Page) -> list[bool]:
-    """For each element whether it is marked as something else than content, once marks that hold the content are overruled."""
-    out = page.out(STRONG)
-    mass = page.mass(out)
-    mains = [m for m in page.outer_mains(out) if mass[m]]
-    wholes = [(m, page.last[m], mass[m]) for m in mains] or [(0, page.last[0], mass[0])]
-    weak = [k for k, m in enumerate(page.mark) if m == WEAK]
-    overruled = frozenset(k for a, b, whole in wholes for k in weak if a <= k <= b and mass[k] >= HOLDS * whole)
-    out = page.out(WEAK, overruled)
-    mains = page.outer_mains(out)
-    if len(mains) > 1:
-        mass = page.mass(out)
-        most = max(mass[m] for m in mains)
-        for m in mains:
-            if mass[m] < TEASER * most:
-                out[m : page.last[m] + 1] = [True] * (page.last[m] + 1 - m)
-    return out
+def marks(page: Page, unseen: list[bool]) -> list[int]:
+    """What each element says of itself; second articles with little text count as marked."""
+    mark = list(page.mark)
+    mass = page.mass(unseen)
+    mains = [m for m in page.outer_mains(unseen) if mass[m]]
+    for m in mains:
+        if mass[m] < TEASER * max(mass[x] for x in mains):
+            mark[m] = max(mark[m], STRONG)
+    return mark
+
+
+def weights(page: Page, mark: list[int], unseen: list[bool]) -> list[float]:
+    """How much of its ratio a line in each element keeps; what classes say outside of an ``article`` doesn't reach into it."""
+    found, named = [1.0] * len(mark), [1.0] * len(mark)
+    mass = page.mass(unseen)
+    inside = [m for m in page.outer_mains(unseen) if mass[m] and mark[m] < STRONG]
+    if inside:
+        found[0] = OUTSIDE
+    for k in range(1, len(mark)):
+        up, own = page.parent[k], WEIGHTS[mark[k]]
+        named[k] = min(named[up], own) if page.by_name[k] else named[up]
+        found[k] = min(named[up], own) if page.tag[k] in MAIN else min(found[up], own)
+    return found
 
 
-def region(page: Page, out: list[bool]) -> list[int]:
+def region(page: Page) -> list[int]:
     """Places of the lines that are the page's text."""
-    lines = page.lines
-    shown = [k for k, x in enumerate(lines) if not out[x[3]]]
-    ratio = ratios(lines, out)
-    smooth = smoothed(ratio)
-    mean = sum(smooth) / len(smooth)
-    threshold = min(math.sqrt(sum((r - mean) ** 2 for r in smooth) / len(smooth)), SHARE * mean)
-    cluster = [r > 0 and s >= threshold for r, s in zip(ratio, smooth)]
-    core = [k for k in shown if cluster[k] and ratio[k] >= threshold]
-    inside = lambda k, a: a <= lines[k][3] <= page.last[a]
-    mains = [m for m in page.outer_mains(out) if any(inside(k, m) for k in shown)]
+    lines, unseen = page.lines, page.out(HARD)
+    shown = [k for k, x in enumerate(lines) if not unseen[x[3]]]
+    mark = marks(page, unseen)
+    if sum(max(0, len(lines[k][0]) - lines[k][2]) for k in shown) < SPARSE:
+        return by_names(page, mark, shown)
+    weight, ratio = weights(page, mark, unseen), ratios(lines, unseen)
+    own = [r * weight[x[3]] for r, x in zip(ratio, lines)]
+    raw, smooth = smoothed(ratio), smoothed(own)
+    mean = sum(raw) / len(raw)
+    threshold = min(math.sqrt(sum((r - mean) ** 2 for r in raw) / len(raw)), SHARE * mean, SHARE * max(smooth))
+    cluster = [r > 0 and s >= threshold for r, s in zip(own, smooth)]
+    core = [k for k in shown if cluster[k] and own[k] >= threshold]
     if not core:
-        return [k for k in shown if any(inside(k, m) for m in mains)] or shown
-    mass = lambda ks: sum(len(lines[k][0]) - lines[k][2] for k in ks)
-    if mains and mass(k for k in core if any(inside(k, m) for m in mains)) >= HOLDS * mass(core):
-        return [k for k in shown if any(inside(k, m) for m in mains)]
+        return []
+    inside = lambda k, a: a <= lines[k][3] <= page.last[a]
     # elements are numbered as they open: what holds the first and the last one holds all between
     at, last = min(lines[k][3] for k in core), max(lines[k][3] for k in core)
     while at and (page.last[at] < last or page.tag[at] in TEXTUAL):
@@ -289,14 +302,40 @@ def region(page: Page, out: list[bool]) -> list[int]:
 
     def joins(k: int, above: bool) -> bool:
         kind = next_tag(page, lines[k][3])
-        return cluster[k] and (kind == "p" or above and kind in HEADINGS or ratio[k] >= DENSE * threshold)
+        return cluster[k] and (kind == "p" or above and kind in HEADINGS or own[k] >= DENSE * threshold)
 
     first, end = shown.index(held[0]), shown.index(held[-1])
     while first and joins(shown[first - 1], True):
         first -= 1
     while end + 1 < len(shown) and joins(shown[end + 1], False):
         end += 1
-    return shown[first : end + 1]
+    gone = left_out(page, mark, {k for k in core}, unseen)
+    return [k for k in shown[first : end + 1] if not gone[lines[k][3]]]
+
+
+def left_out(page: Page, mark: list[int], core: set[int], unseen: list[bool]) -> list[bool]:
+    """For each element whether it, or one that holds it, is marked and has less than half of its text in cores."""
+    every, dense = page.mass(unseen), [0] * len(mark)
+    for k in core:
+        text, _, linked, at = page.lines[k]
+        dense[at] += max(0, len(text) - linked)
+    for k in range(len(mark) - 1, 0, -1):
+        dense[page.parent[k]] += dense[k]
+    gone = [False] * len(mark)
+    for k in range(1, len(mark)):
+        gone[k] = gone[page.parent[k]] or mark[k] > NOTHING and (not every[k] or dense[k] < HOLDS * every[k])
+    return gone
+
+
+def by_names(page: Page, mark: list[int], shown: list[int]) -> list[int]:
+    """Lines of a page with little text that nothing marks: those in ``article`` and ``main``, or all where there is none."""
+    gone = [False] * len(mark)
+    for k in range(1, len(mark)):
+        gone[k] = gone[page.parent[k]] or mark[k] > NOTHING
+    mains = page.outer_mains(gone)
+    kept = [k for k in shown if not gone[page.lines[k][3]]]
+    found = [k for k in kept if any(m <= page.lines[k][3] <= page.last[m] for m in mains)] or kept
+    return found if found or any(t in MAIN for t in page.tag) else shown
 
 
 def next_tag(page: Page, at: int) -> str:
@@ -309,12 +348,7 @@ def next_tag(page: Page, at: int) -> str:
 def main_text(html: str | None) -> str:
     """The page's main text."""
     page = Page().run(html or "")
-    if not page.lines:
-        return ""
-    out = left_out(page)
-    if not any(not out[x[3]] for x in page.lines) and not any(t in MAIN for t in page.tag):
-        out = page.out(HARD)
-    return "\n".join(page.lines[k][0] for k in region(page, out))
+    return "\n".join(page.lines[k][0] for k in region(page)) if page.lines else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -118,3 +118,47 @@ def test_deep_pages_take_linear_time(page):
     began = time.perf_counter()
     assert main_text(page) == "deep text"
     assert time.perf_counter() - began < 3
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        (f"<div class='share-economy'>{BODY}</div>", PARAS),
+        (f"{BODY}<p class='legal-note'>A note on the law which belongs to the text of this article.</p>", [*PARAS, "A note on the law which belongs to the text of this article."]),
+        (f"{BODY}<div class='related-work'><h2>Related work</h2>{BODY}</div>", [*PARAS, "Related work", *PARAS]),
+        (f"{BODY}<blockquote class='comment'>Somebody said this at some length, and the article quotes it.</blockquote>", [*PARAS, "Somebody said this at some length, and the article quotes it."]),
+        (f"{BODY}<div class='share-buttons'>Send it on</div>", PARAS),
+    ],
+)
+def test_names_delete_no_main_text(inner, want):
+    junk = "<nav><a href=1>One of many</a><a href=2>Two of many</a></nav>"
+    assert main_text(f"<body>{junk}<article><h1>A title</h1>{inner}</article><footer>The foot of the page</footer></body>") == "\n".join(["A title", *want])
+
+
+def articles(rows):
+    out = {}
+    for r in rows:
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner))
+        out[r.page_id] = [b for b in blocks if b]
+    return out
+
+
+def test_clusters_find_articles_without_names(spark, sf, monkeypatch):
+    """On pages whose elements are all ``div`` and have no classes, and where names mean nothing, all blocks of articles stay."""
+    rows = spark.read.parquet(sf.replace("0.001", "0.01") + "/pages.parquet").collect()
+    want = articles(rows)
+    whole = lambda text, k: set(want[k]) <= set(text.split("\n"))
+    bare = {r.page_id: re.sub(r"<(article|nav|footer|h1|ul|li|div)\b[^>]*>", "<div>", re.sub(r"</(article|nav|footer|h1|ul|li)>", "</div>", r.html)) for r in rows}
+    assert sum(whole(main_text(h), k) for k, h in bare.items()) >= 0.98 * len(rows)
+    for name in ("MAIN", "ASIDE", "ROLES", "MARKS"):
+        monkeypatch.setattr(html_text, name, frozenset())
+    assert sum(whole(main_text(r.html), r.page_id) for r in rows) >= 0.98 * len(rows)
+
+
+@pytest.mark.parametrize("constant", [0.0, 1.0])
+def test_results_come_through_the_ratios(spark, sf, monkeypatch, constant):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    before = [main_text(r.html) for r in rows]
+    monkeypatch.setattr(html_text, "ratios", lambda lines, out: [constant] * len(lines))
+    assert sum(main_text(r.html) != b for r, b in zip(rows, before)) >= 0.9 * len(rows)
