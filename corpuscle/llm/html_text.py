@@ -4,7 +4,7 @@ Each page runs once through the standard library's streaming parser. Its events
 a line has text, tags, and the text inside links. The text-to-tag ratio of each line and that smoothed by a Gaussian over
 neighbouring lines are taken for all lines that are seen, whatever they are in. The threshold is the smoothed ratios'
 deviation, or half of their mean if that is less. Lines that pass it by their own ratio and by the smoothed one are the cores
-of content clusters; the smallest container that holds all cores is the content region. Lines beside it that the
+of content clusters; the smallest container that holds all cores, or an ``article`` or ``main`` that does, is the content region. Lines beside it that the
 smoothed ratio still counts to its cluster come along if they are a heading, a paragraph, or dense enough themselves. All
 lines in the region stay, short ones included, so that a short paragraph between long ones stays.
 
@@ -298,6 +298,8 @@ def region(page: Page) -> list[int]:
     at, last = min(lines[k][3] for k in core), max(lines[k][3] for k in core)
     while at and (page.last[at] < last or page.tag[at] in TEXTUAL):
         at = page.parent[at]
+    # an article that holds all cores is their container, short as its other lines may be
+    at = next((m for m in page.outer_mains(unseen) if m <= at and page.last[at] <= page.last[m]), at)
     held = [k for k in shown if inside(k, at)]
 
     def joins(k: int, above: bool) -> bool:
