@@ -21,7 +21,8 @@ def fenced(text: Column) -> Column:
 def parsed(text: Column | str) -> Column:
     """The object in ``text`` as a variant: of a fenced block if there is one, else the whole, else its outermost braces; null without any."""
     raw = F.trim(F.col(text) if isinstance(text, str) else text)
-    body = F.coalesce(F.nullif(fenced(raw), F.lit("")), raw)
+    # most texts have no block and are looked at once; braces are sought only where the whole can't be read
+    body = F.when(F.contains(raw, F.lit(FENCE)), F.coalesce(F.nullif(fenced(raw), F.lit("")), raw)).otherwise(raw)
     braces = F.regexp_extract(body, r"(?s)\{.*\}", 0)
     # an empty string is no JSON, so a text without braces gives null
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(braces))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,19 +29,53 @@ def _words(text: str) -> list[str]:
     return re.sub(r"[^\w\s]", " ", text.lower()).split()
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = corner = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            left = corner + 1 if x == y else max(above, left)
-            corner, row[j] = above, left
-    return row[-1]
+def _places(words: list[str]) -> dict[str, int]:
+    """For each word the bits of its places."""
+    found: dict[str, int] = {}
+    for i, w in enumerate(words):
+        found[w] = found.get(w, 0) | 1 << i
+    return found
 
 
-def rouge_l(a: list[str], b: list[str]) -> float:
-    return 2 * _lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
+def _lcs(places: dict[str, int], n: int, other: list[str]) -> int:
+    """Length of the longest common subsequence of ``n`` words, by their places, and others: a step of bits for each of those."""
+    free = (1 << n) - 1
+    for w in other:
+        if hit := free & places.get(w, 0):
+            free = (free + hit) | (free - hit)
+    return n - (free & (1 << n) - 1).bit_count()
+
+
+class _Kept:
+    """Claims so far, by their words, for which bounds on the overlap with another are had without comparing them.
+
+    No subsequence is longer than the words that two claims have in common, so most pairs are ruled out by counts.
+    """
+
+    def __init__(self):
+        self.words: list[list[str]] = []
+        self.holders: dict[str, tuple[list[int], list[int]]] = {}
+        self.sizes: list[int] = []
+
+    def add(self, words: list[str]) -> None:
+        for w, n in Counter(words).items():
+            at, times = self.holders.setdefault(w, ([], []))
+            at.append(len(self.words))
+            times.append(n)
+        self.words.append(words)
+        self.sizes.append(len(words))
+
+    def bounds(self, words: list[str]) -> np.ndarray:
+        """For each claim kept the most that its overlap may be."""
+        shared = np.zeros(len(self.words))
+        for w, n in Counter(words).items():
+            if w in self.holders:
+                at, times = self.holders[w]
+                shared[at] += np.minimum(times, n)
+        return np.divide(2 * shared, np.array(self.sizes) + len(words), out=np.zeros(len(shared)), where=shared > 0)
+
+    def overlap(self, places: dict[str, int], n: int, k: int) -> float:
+        return 2 * _lcs(places, n, self.words[k]) / (n + self.sizes[k])
 
 
 def _by_group(claims: DataFrame, by: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], extra: str) -> DataFrame:
@@ -51,12 +87,14 @@ def deduplicated(claims: DataFrame, by: list[str], threshold: float = DUPLICATE)
     """Claims that overlap no kept earlier one by more than ``threshold``; a fold over each answer's claims in order."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, keep = [], []
+        kept, keep = _Kept(), []
         for text in pdf["claim"]:
             words = _words(text)
-            keep.append(not any(rouge_l(words, k) > threshold for k in kept))
+            places = _places(words)
+            near = np.flatnonzero(kept.bounds(words) > threshold)
+            keep.append(not any(kept.overlap(places, len(words), k) > threshold for k in near))
             if keep[-1]:
-                kept.append(words)
+                kept.add(words)
         return pdf[keep]
 
     return _by_group(claims, by, fold, "")
@@ -66,21 +104,22 @@ def clustered(claims: DataFrame, by: list[str], distance: float = 0.7) -> DataFr
     """Adds ``cluster``: that of the most similar earlier claim, if it is at least ``1 - distance`` similar, else a new one."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        members, labels = [], []
+        kept, labels, clusters = _Kept(), [], 0
         for text in pdf["claim"]:
             words = _words(text)
-            best, of = -1.0, -1
-            for c, group in enumerate(members):
-                for other in group:
-                    score = rouge_l(words, other)
-                    if score > best:
-                        best, of = score, c
-            if of >= 0 and best >= 1 - distance:
-                members[of].append(words)
-            else:
-                of = len(members)
-                members.append([words])
+            places, bounds = _places(words), kept.bounds(words)
+            # the most similar one, of several that of the first cluster; without any word in common all are alike
+            best, of = (0.0, 0) if labels else (-1.0, -1)
+            for k in np.argsort(-bounds, kind="stable"):
+                if bounds[k] < max(best, 1 - distance) or not bounds[k]:
+                    break
+                score = kept.overlap(places, len(words), k)
+                if score > best or score == best and labels[k] < of:
+                    best, of = score, labels[k]
+            if of < 0 or best < 1 - distance:
+                of, clusters = clusters, clusters + 1
             labels.append(of)
+            kept.add(words)
         return pdf.assign(cluster=labels)
 
     return _by_group(claims, by, fold, ", cluster int")

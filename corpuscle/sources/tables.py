@@ -102,14 +102,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(path, stem, text, metadata, error) of the .json, .txt and .md files right in ``folder``, in order of paths.
 
+    The stem, from which ids are made, is a file's name without its ending; of files that have one in common it is the
+    whole name, so that their ids differ.
     JSON strings are texts; JSON objects have theirs in text, content, body or article, the first that isn't empty, and
     metadata in the object of that name and all other plain values. Other files are whole texts. Files that start with a
     dot or an underscore are left out, as Spark does. A file that can't be read as JSON has an error and no text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     files = files.where(F.lower("path").rlike(r"\.(json|txt|md)$"))
-    name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    rows = files.select("path", name.alias("stem"), F.lower("path").endswith(".json").alias("is_json"), F.decode("content", "UTF-8").alias("body"))
+    name, whole = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
+    # names alone are read for this, and at most as many rows as clashes are joined
+    several = files.select(name.alias("_stem")).groupBy("_stem").agg(F.count("*").alias("_n")).where("_n > 1")
+    files = files.join(several, name == F.col("_stem"), "left")
+    rows = files.select("path", F.when(F.col("_n") > 1, whole).otherwise(name).alias("stem"), F.lower("path").endswith(".json").alias("is_json"), F.decode("content", "UTF-8").alias("body"))
     return parsed_documents(rows).orderBy("path")
 
 

@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -464,3 +465,54 @@ def test_isolated_nodes_reach_no_task(spark):
     plan = labels._jdf.queryExecution().toString()
     sizes = labels.groupBy("label").count().groupBy("count").agg(F.count("*").alias("n")).collect()
     assert {(r["count"], r["n"]) for r in sizes} == {(1, 49_997), (3, 1)} and "FlatMapGroupsInPandas" in plan
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_folds(texts, threshold, distance):
+    kept, keep, members, labels = [], [], [], []
+    score = lambda a, b: 2 * plain_lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
+    for t in texts:
+        w = t.split()
+        keep.append(all(score(w, k) <= threshold for k in kept))
+        kept += [w] * keep[-1]
+        best, of = -1.0, -1
+        for c, group in enumerate(members):
+            for other in group:
+                if score(w, other) > best:
+                    best, of = score(w, other), c
+        if of < 0 or best < 1 - distance:
+            of = len(members)
+            members.append([])
+        members[of].append(w)
+        labels.append(of)
+    return keep, labels
+
+
+@pytest.mark.parametrize("threshold, distance", [(0.85, 0.7), (0.5, 0.3), (0.0, 1.0), (1.0, 0.0)])
+def test_claim_folds_are_exact(spark, threshold, distance):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(120)] + ["", "", "!"]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "q int, pos int, claim string")
+    keep, labels = plain_folds([t.replace("!", "") for t in texts], threshold, distance)
+    assert sorted(r.pos for r in claims.deduplicated(rows, ["q"], threshold).collect()) == [k for k, x in enumerate(keep) if x]
+    assert {r.pos: r.cluster for r in claims.clustered(rows, ["q"], distance).collect()} == dict(enumerate(labels))
+
+
+def test_five_thousand_claims_of_one_answer(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5)) % 3000}" for _ in range(rng.randint(5, 25))) for _ in range(5000)]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "q int, pos int, claim string").coalesce(1)
+    began = time.perf_counter()
+    assert 0 < claims.deduplicated(rows, ["q"]).count() <= 5000
+    assert time.perf_counter() - began < 10
+    began = time.perf_counter()
+    assert claims.clustered(rows, ["q"], 0.5).select("cluster").distinct().count() > 1
+    assert time.perf_counter() - began < 20

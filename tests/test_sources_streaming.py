@@ -43,6 +43,13 @@ def test_typed_array_and_questions(spark, tmp_path):
     assert [r.question for r in tables.questions(spark, str(tmp_path / "q.json")).orderBy("question_id").collect()] == ["one", "two", "three", ""]
 
 
+def test_files_of_one_stem_have_ids_of_their_own(spark, tmp_path):
+    for name in ("a.json", "a.txt", "b.v1.txt", "b.v2.txt", "c.md"):
+        (tmp_path / name).write_text('"text"')
+    rows = tables.raw_documents(spark, str(tmp_path)).collect()
+    assert [r.stem for r in rows] == ["a.json", "a.txt", "b.v1", "b.v2", "c"]
+
+
 def test_save_append_delete(spark, tmp_path):
     path, df = f"{tmp_path}/out", spark.range(3).selectExpr("id", "'c1' as level")
     assert not tables.exists(spark, path) and tables.size(spark, path) == 0
