@@ -68,13 +68,13 @@ def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: in
     """One row for each normalised name: longest name, commonest type, descriptions, number of chunks, mentions, claims.
 
     ``text_budget`` bounds the characters of a description; with None it is whole, as long as a row can hold it.
-    ``description_parts`` of ``mentions`` has no such end. Mentions are read and extracted once, and their table stored.
+    ``description_parts`` of ``mentions`` has no such end.
     """
-    rows = tables.stored(mentions(entities), "mentions")
-    kinds = rows.groupBy("node_id", "entity_type").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"))
+    rows = entities.withColumn("node_id", tx.node_id("name")).where("node_id <> ''").withColumn("ord", _ord())
+    kinds = rows.groupBy("node_id", "entity_type").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     kind = kinds.groupBy("node_id").agg(F.min_by("entity_type", F.struct(-F.col("n"), "ord")).alias("entity_type"))
     # a chunk's mentions of a name are one row of the second step
-    main = rows.groupBy("node_id", "chunk_ord").agg(F.min_by("name", F.struct(-F.length("name"), "ord")).alias("name"), F.min("ord").alias("ord"), F.sum("n").alias("n"))
+    main = rows.groupBy("node_id", "chunk_ord").agg(F.min_by("name", F.struct(-F.length("name"), "ord")).alias("name"), F.min("ord").alias("ord"), F.count("*").alias("n"))
     longest = F.struct(-F.length("name"), "ord")
     main = main.groupBy("node_id").agg(
         F.min_by("name", longest).alias("name"), F.sum("n").alias("mention_count"), F.count("*").alias("n_chunks"),
@@ -96,23 +96,30 @@ def node_ids(entities: DataFrame, min_mentions: int = 1) -> DataFrame:
     return rows.where(F.col("n") >= min_mentions).select("node_id")
 
 
-def edges(relationships: DataFrame, node_table: DataFrame | None = None, text_budget: int | None = None) -> DataFrame:
+def edges(relationships: DataFrame, node_table: DataFrame | None = None, text_budget: int | None = None, texts: bool = True, chunks: bool = True) -> DataFrame:
     """One row for each unordered pair of nodes: occurrences, mean strength, descriptions, number of chunks; no loops.
 
     Without ``node_table`` all ends are taken for nodes, as they are when pairs come from the mentions themselves.
-    Pairs are read and extracted once: equal ones of a chunk become one row of a stored table, from which all else follows.
+    Equal descriptions of a pair become one row that carries counts, sums and first places, from which the pair's own follow;
+    so pairs are extracted and shuffled once. ``texts`` and ``chunks`` leave out descriptions and the number of chunks,
+    which takes a second pass over the pairs.
     """
     rows = relationships.withColumn("a", tx.node_id("source_entity")).withColumn("b", tx.node_id("target_entity")).where("a <> b and a <> '' and b <> ''")
     if node_table is not None:
         ids = node_table.select("node_id")
         rows = rows.join(ids.withColumnRenamed("node_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("node_id", "b"), "b", "left_semi")
     rows = rows.withColumn("src", F.least("a", "b")).withColumn("dst", F.greatest("a", "b")).withColumn("ord", _ord())
-    rows = rows.groupBy("src", "dst", "chunk_ord", "description").agg(F.count("*").alias("n"), F.sum("strength").alias("strength"), F.min("ord").alias("ord"))
-    rows = tables.stored(rows, "pairs")
-    main = rows.groupBy("src", "dst", "chunk_ord").agg(F.sum("n").alias("n"), F.sum("strength").alias("strength"), F.min("ord").alias("ord"))
-    mean = F.round(F.sum("strength") / F.sum("n"), 2)
-    main = main.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("weight"), mean.alias("avg_strength"), F.count("*").alias("n_chunks"), F.min("ord").alias("first_ord"))
-    return main.join(_texts(rows, ["src", "dst"], budget=text_budget), ["src", "dst"], "left").withColumn("edge_id", F.concat_ws("__", "src", "dst"))
+    keys, parts = ["src", "dst"], [F.sum("n").cast("double").alias("weight"), F.round(F.sum("strength") / F.sum("n"), 2).alias("avg_strength"), F.min("ord").alias("first_ord")]
+    main = rows.groupBy(*keys, *(["description"] if texts else [])).agg(F.count("*").alias("n"), F.sum("strength").alias("strength"), F.min("ord").alias("ord"))
+    if texts and text_budget is None:
+        said = F.array_sort(F.collect_list(F.when(F.col("description") != "", F.struct("ord", "description"))))
+        parts.append(F.nullif(F.array_join(F.transform(said, lambda x: x["description"]), " "), F.lit("")).alias("description"))
+    out = main.groupBy(*keys).agg(*parts)
+    if texts and text_budget is not None:
+        out = out.join(_texts(rows, keys, budget=text_budget), keys, "left")
+    if chunks:
+        out = out.join(rows.select(*keys, "chunk_ord").distinct().groupBy(*keys).agg(F.count("*").alias("n_chunks")), keys)
+    return out.withColumn("edge_id", F.concat_ws("__", *keys))
 
 
 def degrees(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

@@ -330,7 +330,7 @@ def _nodes(found: DataFrame) -> DataFrame:
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     found = _mentions(spark, sf)
     nodes = _nodes(found)
-    return nodes, graph.edges(extract.adjacent(found))
+    return nodes, graph.edges(extract.adjacent(found), chunks=False)
 
 
 def _grouped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -388,7 +388,7 @@ def combined_degree(spark, sf):
 def graph_stats(spark, sf):
     found = _mentions(spark, sf)
     ids = graph.node_ids(found)
-    return graph.stats(ids, graph.edges(extract.adjacent(found)))
+    return graph.stats(ids, graph.edges(extract.adjacent(found), texts=False, chunks=False))
 
 
 @query(GRAPH + "select entity_type, count(*) as n from nodes group by entity_type")
