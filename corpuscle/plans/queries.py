@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..operators import chunking, claims, community, costs, evaluate, extract, graph, reports, state, vector
 from ..sources import tables
-from ..streaming import ingest
+from ..streaming import ingest, limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -892,6 +892,24 @@ def rate_limit(spark, sf):
     return ingest.rate_limited(read(spark, sf, "events"), 3, 3600.0)
 
 
+@query(SQL["rate_limit"])
+def rate_limit_unordered(spark, sf):
+    """The same by a stream of five batches, each of which brings half of an earlier stretch of time after its other half."""
+    events, work = read(spark, sf, "events"), tables.fresh_dir(spark, "limits")
+    kind, stretches = events.schema["ts"].dataType, 4
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    first, last, end = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.max("ts")).head()
+    if end is None:
+        return ingest.rate_limited(events, 3, 3600.0)
+    width = (last - first) // stretches + 1
+    batch = F.floor((F.unix_micros("ts") - first) / width) + F.col("event_id") % 2
+    delay = f"{-(-width // 1_000_000) + 1} seconds"
+    for part in [rows.where(batch == k) for k in range(stretches + 1)] + [limits.closing(spark, end, delay, 3600.0)]:
+        part.write.mode("append").parquet(f"{work}/events")
+        limits.decide(spark, f"{work}/events", f"{work}/decided", f"{work}/checkpoint", 3, 3600.0, delay)
+    return spark.read.schema(limits.DECIDED).parquet(f"{work}/decided").withColumn("ts", F.col("ts").cast(kind))
+
+
 @query(SQL["chunk_documents"])
 def stream_chunk_ingest(spark, sf):
     """Documents that arrive as files, chunked by a stream that ends when all are read."""

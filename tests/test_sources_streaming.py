@@ -2,8 +2,10 @@
 
 import json
 import os
+import random
 import time
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscle.sources import tables
-from corpuscle.streaming import ingest
+from corpuscle.streaming import ingest, limits
 
 
 def test_raw_documents(spark, tmp_path):
@@ -148,6 +150,38 @@ def test_rate_limit_stream(spark, tmp_path):
     assert got == slow_limit(rows, 3, 20.0)
 
 
+START = datetime(2024, 1, 1)
+
+
+def test_rate_limit_of_unordered_batches(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), k, START + timedelta(seconds=rng.randrange(3000) / 10)) for k in range(400)] + [(9, 1000, None), (9, 1001, START)]
+    df = spark.createDataFrame(rows, limits.EVENT)
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    batch = F.coalesce(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(START))) / 150_000_000) + F.col("event_id") % 2, F.lit(0))
+    parts = [df.where(batch == k) for k in range(3)] + [limits.closing(spark, START + timedelta(seconds=300), "151 seconds", 20.0)]
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        done = limits.decide(spark, source, out, check, 4, 20.0, "151 seconds")
+    got, want = spark.read.schema(limits.DECIDED).parquet(out), ingest.rate_limited(df.where("ts is not null"), 4, 20.0)
+    assert got.count() == 401 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # nothing waits, and times out of the window are forgotten
+    assert done.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    assert spark.conf.get(limits.STORE) != limits.ROCKS
+
+
+def test_late_events_get_no_decision(spark, tmp_path):
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    at = lambda s: START + timedelta(seconds=s)
+    dropped = 0
+    for rows in ([(1, 1, at(0)), (1, 2, at(1)), (1, 3, at(100))], [(1, 4, at(2)), (1, 5, at(95))], [(1, 6, at(300))]):
+        spark.createDataFrame(rows, limits.EVENT).write.mode("append").parquet(source)
+        done = limits.decide(spark, source, out, check, 2, 10.0, "10 seconds")
+        dropped += sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in done.recentProgress if p["stateOperators"])
+    got = {r.event_id: r.allowed for r in spark.read.schema(limits.DECIDED).parquet(out).collect()}
+    assert got == {1: True, 2: True, 5: True, 3: True} and dropped == 1
+
+
 def test_chunk_stream_resumes(spark, tmp_path):
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
