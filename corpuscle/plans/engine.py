@@ -22,6 +22,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import EngineConfig, checked_criteria, checked_question
 from ..functions import jsons as js
@@ -246,6 +247,14 @@ class Engine:
             if todo.isEmpty():
                 self.note(state.COMPLETE, "extraction")
                 return
+        out = self.answers(todo)
+        tables.save(out, self.path("extractions"), append=True)
+        self.note_extracted(out)
+        self.note(state.COMPLETE, "extraction")
+        self.hooks.call("chunks", self.batch(out, time.perf_counter() - began))
+
+    def answers(self, todo: DataFrame) -> DataFrame:
+        """(chunk_id, chunk_ord, content, round, text, error, asked): the responses of all rounds on chunks, stored."""
         asked = self.ask(todo.withColumn("prompt", task("extract", text="text")), "extract")
         content = F.md5("text").alias("content")
         rounds = [asked.select("chunk_id", "chunk_ord", content, F.lit(0).alias("round"), F.col("response").alias("text"), "error")]
@@ -258,12 +267,44 @@ class Engine:
         out = rounds[0]
         for r in rounds[1:]:
             out = out.unionByName(r)
-        out = tables.cut_lineage(out.withColumn("asked", F.lit(self.asked_key())))
-        tables.save(out, self.path("extractions"), append=True)
-        first = out.where("round = 0")
-        self.note_all(first.select("chunk_id", F.when(F.col("text").isNull(), state.FAILED).otherwise(state.EXTRACTED).alias("event"), F.col("error").alias("detail")))
-        self.note(state.COMPLETE, "extraction")
-        self.hooks.call("chunks", self.batch(out, time.perf_counter() - began))
+        return tables.cut_lineage(out.withColumn("asked", F.lit(self.asked_key())))
+
+    def note_extracted(self, extractions: DataFrame, once: tuple[str, int] | None = None) -> None:
+        first = extractions.where("round = 0")
+        self.note_all(first.select("chunk_id", F.when(F.col("text").isNull(), state.FAILED).otherwise(state.EXTRACTED).alias("event"), F.col("error").alias("detail")), once)
+
+    def extract_arriving(self, docs: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Chunks and extracts documents of a stream, (doc_id, text), as they arrive, up to what is there now.
+
+        ``index`` finds their results when it comes to the same chunks, and asks for none of them. The checkpoint is where
+        the stream goes on; the id that Spark keeps in it and a batch's number say which batches are in the tables.
+        """
+
+        def take(rows: DataFrame, number: int) -> None:
+            self.extract_batch(rows, (self.spark.sparkContext.getLocalProperty("sql.streaming.queryId"), number))
+
+        query = docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+    def extract_batch(self, docs: DataFrame, once: tuple[str, int]) -> None:
+        """Extracts a batch of documents; one that is replayed after it was cut off, at any place, adds what is missing.
+
+        A chunk that has a result under today's parameters, failed ones included, isn't asked again. Calls of a batch that
+        was cut off before its results were written are made again.
+        """
+        c, began = self.config, time.perf_counter()
+        stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+        rows = chunking.chunk(docs, stem, c.chunk_size, c.chunk_overlap, tokenizer=self.tokenizer)
+        rows = rows.select("chunk_id", F.lit(None).cast("long").alias("chunk_ord"), "text", F.md5("text").alias("content")).dropDuplicates(["chunk_id", "content"])
+        mine = lambda: self.read("extractions").where(F.col("asked") == self.asked_key())
+        if not tables.written(self.spark, self.path("extractions"), once):
+            todo = rows.join(mine().select("chunk_id", "content"), ["chunk_id", "content"], "left_anti") if self.has("extractions") else rows
+            out = self.answers(todo.select("chunk_id", "chunk_ord", "text"))
+            tables.save(out, self.path("extractions"), append=True, once=once)
+            self.hooks.call("chunks", self.batch(out, time.perf_counter() - began))
+        if not tables.written(self.spark, self.path("state"), once):
+            self.note_extracted(mine().join(rows.select("chunk_id", "content"), ["chunk_id", "content"], "left_semi"), once)
 
     def batch(self, extractions: DataFrame, seconds: float) -> dict:
         """Counts, success rate and throughput of a batch of extractions."""
@@ -357,10 +398,10 @@ class Engine:
         """Adds a line to the log of the run's state."""
         tables.save(self.spark.createDataFrame([(self.root, time.time_ns(), event, stage, None, None)], state.EVENTS), self.path("state"), append=True)
 
-    def note_all(self, chunks: DataFrame) -> None:
+    def note_all(self, chunks: DataFrame, once: tuple[str, int] | None = None) -> None:
         """Adds a line for each chunk: (chunk_id, event, detail)."""
         rows = chunks.select(F.lit(self.root).alias("run"), F.lit(time.time_ns()).alias("at"), "event", F.lit("extraction").alias("stage"), "chunk_id", "detail")
-        tables.save(rows, self.path("state"), append=True)
+        tables.save(rows, self.path("state"), append=True, once=once)
 
     def mark_extracted(self, chunk_ids: list[str]) -> None:
         self.note_all(self.spark.createDataFrame([(c, state.EXTRACTED, None) for c in chunk_ids], "chunk_id string, event string, detail string"))

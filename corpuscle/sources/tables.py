@@ -218,14 +218,19 @@ def saved(spark: SparkSession, path: str) -> bool:
     return bool(found["parts"]) if found else exists(spark, f"{path}/_SUCCESS")
 
 
-def save(df: DataFrame, path: str, by: tuple[str, ...] = (), append: bool = False, key: str | None = None, inputs: dict | None = None) -> int:
+def save(df: DataFrame, path: str, by: tuple[str, ...] = (), append: bool = False, key: str | None = None, inputs: dict | None = None, once: tuple[str, int] | None = None) -> int:
     """Writes an artifact as a whole, or appends to it, and gives its version.
 
     Rows go to a new folder that nothing names yet; a rename that fails if its target exists then makes the next manifest,
     in one step. So a write that fails or is cut off leaves what was there, readers see all of a write or nothing
     of it, and of two writers at a time each gets a version of its own: appends keep both, and of two whole writes the
     later one counts. ``key`` and ``inputs`` say what the artifact was made from.
+
+    ``once`` is a writer's name and the number of its write, which rises: a write whose number the writer has reached
+    already adds nothing, so a stream's batch may be replayed.
     """
+    if once and (now := manifest(df.sparkSession, path)) and _reached(now, once):
+        return now["version"]
     spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
     before, merged = manifest(spark, path) if append else None, []
     if append and before is None and saved(spark, path):
@@ -238,10 +243,23 @@ def save(df: DataFrame, path: str, by: tuple[str, ...] = (), append: bool = Fals
     try:
         (df.write.partitionBy(*by) if by else df.write).parquet(f"{path}/{name}")
         part = {"folder": name, "bytes": size(spark, f"{path}/{name}"), "by": list(by)}
-        return _commit(spark, path, [part], df.schema, append, [x["folder"] for x in merged], key, inputs)
+        version = _commit(spark, path, [part], df.schema, append, [x["folder"] for x in merged], key, inputs, once)
     except Exception:
         delete(spark, f"{path}/{name}")
         raise
+    if version is None:  # another run of the same write came first
+        delete(spark, f"{path}/{name}")
+        return manifest(spark, path)["version"]
+    return version
+
+
+def written(spark: SparkSession, path: str, once: tuple[str, int]) -> bool:
+    """Whether a writer has come to this number of its writes; see ``save``."""
+    return _reached(manifest(spark, path), once)
+
+
+def _reached(found: dict | None, once: tuple[str, int]) -> bool:
+    return found is not None and found.get("writers", {}).get(once[0], -1) >= once[1]
 
 
 def clear(spark: SparkSession, path: str) -> None:
@@ -250,9 +268,13 @@ def clear(spark: SparkSession, path: str) -> None:
         _commit(spark, path, [], load(spark, path).schema, False, [], None, None)
 
 
-def _commit(spark: SparkSession, path: str, parts: list[dict], schema: T.StructType, append: bool, merged: list[str], key: str | None, inputs: dict | None) -> int:
+def _commit(spark: SparkSession, path: str, parts: list[dict], schema: T.StructType, append: bool, merged: list[str], key: str | None, inputs: dict | None, once: tuple[str, int] | None = None) -> int | None:
+    """The new version; None if ``once`` was reached meanwhile."""
     while True:
         now = manifest(spark, path)
+        if once and _reached(now, once):
+            return None
+        writers = {**(now or {}).get("writers", {}), **(dict([once]) if once else {})}
         kept, fields = [], list(schema.fields)
         if append and now is not None:
             if not set(merged) <= {x["folder"] for x in now["parts"]}:
@@ -261,7 +283,7 @@ def _commit(spark: SparkSession, path: str, parts: list[dict], schema: T.StructT
             earlier = T.StructType.fromJson(now["schema"]).fields if now["parts"] else []
             fields = [*earlier, *(f for f in fields if f.name not in {e.name for e in earlier})]
         nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-        body = {"parts": [*kept, *parts], "schema": nullable.jsonValue(), "key": key, "inputs": inputs or {}, "at": time.time()}
+        body = {"parts": [*kept, *parts], "schema": nullable.jsonValue(), "key": key, "inputs": inputs or {}, "writers": writers, "at": time.time()}
         number = now["version"] + 1 if now else 1
         if _put(spark, f"{path}/_manifest-{number:010d}", json.dumps(body)):
             return number

@@ -167,6 +167,37 @@ def test_hooks_hear_of_prompts_while_a_stage_runs(spark, tmp_path):
     assert len(counts) >= 3 and counts == sorted(counts, key=sum) and counts[-1] == (11, 1) and any(0 < sum(c) < 12 for c in counts)
 
 
+def test_extraction_of_arriving_documents(spark, tmp_path, monkeypatch):
+    asked = []
+    e = Engine(spark, str(tmp_path / "e"), EngineConfig(max_levels=2, gleaning_rounds=0), hooks=Hooks(asked=lambda name, ok, bad: asked.append((name, ok))))
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(1)
+    prompts = lambda: max((n for name, n in asked if name == "extract"), default=0)
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    stream = lambda: spark.readStream.schema(docs.schema).parquet(source)
+    docs.where("doc_id < 2").write.parquet(source)
+    # the run ends between its two writes; the batch is replayed
+    with monkeypatch.context() as m:
+        m.setattr(Engine, "note_extracted", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            e.extract_arriving(stream(), check)
+    assert e.read("extractions").count() == prompts() == 2 and not e.has("state")
+    asked.clear()
+    query = e.extract_arriving(stream(), check)
+    assert e.read("extractions").count() == e.read("state").where("event = 'extracted'").count() == 2 and prompts() == 0
+    # a batch that was taken in as a whole
+    e.extract_batch(docs.where("doc_id < 2"), (query.id, 0))
+    assert tables.written(spark, e.path("extractions"), (query.id, 0))
+    assert e.read("extractions").count() == e.read("state").count() == 2 and prompts() == 0
+    # repeated rows, and rows that are known
+    docs.where("doc_id > 0").union(docs.where("doc_id = 2")).write.mode("append").parquet(source)
+    e.extract_arriving(stream(), check)
+    assert sorted(r.chunk_id for r in e.read("extractions").collect()) == ["doc_0_0000", "doc_1_0000", "doc_2_0000"] and prompts() == 1
+    asked.clear()
+    e.index(docs)
+    assert prompts() == 0 and e.status()["fully_indexed"] and "quito" in {r.node_id for r in e.read("nodes").collect()}
+    assert e.progress()["extracted"] == 3
+
+
 def test_permits(spark, tmp_path):
     """Two hundred partitions, three calls at a time at most, in any of them; what a task holds goes back when it ends."""
 

@@ -104,6 +104,20 @@ def test_appends_at_a_time_all_count(spark, tmp_path):
     assert sorted(r.id for r in rows) == list(range(20)) and {r.more for r in rows if r.id > 12} == {"x"}
 
 
+def test_a_write_counts_once(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    for k in (0, 0, 1, 0):
+        tables.save(spark.range(k, k + 1), path, append=True, once=("a", k))
+    tables.save(spark.range(5, 6), path, append=True, once=("b", 0))
+    assert sorted(r.id for r in tables.load(spark, path).collect()) == [0, 1, 5]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: tables.save(spark.range(7, 8), path, append=True, once=("a", 2)), range(4)))
+    tables.save(spark.range(8, 9), path, append=True)
+    assert sorted(r.id for r in tables.load(spark, path).collect()) == [0, 1, 5, 7, 8]
+    assert tables.written(spark, path, ("a", 2)) and not tables.written(spark, path, ("a", 3)) and not tables.written(spark, path, ("c", 0))
+    assert len([x for x in os.listdir(path) if x.startswith("v-")]) == len(tables.manifest(spark, path)["parts"]) == 5
+
+
 def test_plain_folders_are_read_and_taken_over(spark, tmp_path):
     path = f"{tmp_path}/out"
     spark.range(3).write.parquet(path)
