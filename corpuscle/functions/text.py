@@ -35,6 +35,10 @@ class Tokenizer:
     def count(self, text: Column | str) -> Column:
         return F.coalesce(F.size(self.tokens(text)), F.lit(0))
 
+    def windows(self, text: Column | str, size: int, overlap: int) -> Column | None:
+        """Arrays of (start_char, end_char, token_count, text), where windows aren't made by joining tokens."""
+        return None
+
 
 def tokens(text: Column | str) -> Column:
     return F.filter(F.split(_col(text), r"\s+"), lambda x: x != "")

@@ -18,6 +18,12 @@ def chunk(docs: DataFrame, stem: Column, size: int = SIZE, overlap: int = OVERLA
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap smaller than size")
+    if (windows := tokenizer.windows("text", size, overlap)) is not None:
+        rows = docs.select(*keep, stem.alias("stem"), windows.alias("windows"))
+        rows = rows.select(*keep, "stem", F.size("windows").alias("total_chunks"), F.posexplode("windows").alias("chunk_index", "w"))
+        name = F.format_string("%s_%04d", "stem", "chunk_index").alias("chunk_id")
+        rows = rows.select(*keep, name, "chunk_index", "total_chunks", "w.token_count", "w.start_char", "w.text", "w.end_char")
+        return rows.orderBy(*keep, "chunk_index").limit(limit) if limit else rows
     step, between = size - overlap, len(tokenizer.joiner)
     rows = docs.select(*keep, stem.alias("stem"), tokenizer.tokens("text").alias("toks")).where(F.size("toks") > 0)
     rows = rows.withColumn("starts", F.expr(f"sequence(0, greatest(size(toks) - {overlap + 1}, 0), {step})"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import subwords
 from ..functions import text as tx
 from ..operators import chunking, claims, community, costs, evaluate, extract, graph, reports, state, vector
 from ..sources import tables
@@ -892,6 +893,27 @@ def rate_limit(spark, sf):
     return ingest.rate_limited(read(spark, sf, "events"), 3, 3600.0)
 
 
+@query(r"""
+select doc_id, length(text)::int as n_chars, md5(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as visible_md5
+from documents where regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') <> ''""")
+def chunk_subwords(spark, sf):
+    """Documents in windows of 600 sub-words, and put together from their windows again: what is seen of each text.
+
+    Each window adds what it has beyond the one before, by their places in the text.
+    """
+    import public_tokenizers
+
+    docs = read(spark, sf, "documents").select("doc_id", "text", F.length("text").alias("n_chars"))
+    tokenizer = subwords.Subwords(public_tokenizers.path("word_bpe_49k.json"))
+    chunks = chunking.chunk(docs, stem(), keep=("doc_id", "n_chars"), tokenizer=tokenizer)
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "start_char", "end_char", "text")))
+    rows = chunks.groupBy("doc_id", "n_chars").agg(parts.alias("parts"))
+    before = lambda i: F.when(i == 0, 0).otherwise(F.greatest(F.get(F.col("parts"), i - 1)["end_char"], F.lit(0)))
+    added = F.transform("parts", lambda p, i: F.substr(p["text"], F.greatest(before(i) - p["start_char"], F.lit(0)) + 1))
+    visible = F.regexp_replace(F.array_join(added, ""), r"[\x20\x09-\x0D]+", "")
+    return rows.select("doc_id", "n_chars", F.md5(visible).alias("visible_md5"))
+
+
 @query(SQL["rate_limit"])
 def rate_limit_unordered(spark, sf):
     """The same by a stream of five batches, each of which brings half of an earlier stretch of time after its other half."""

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscle.functions import subwords
 from corpuscle.functions import text as tx
 from corpuscle.operators import chunking, claims, community, costs, evaluate, extract, graph, reports, state, vector
 
@@ -96,6 +97,33 @@ def test_tokenizer_seam(spark):
     assert chunking.pack(items, 3, "g", ["k"], tokenizer=letters).head().context == "abc"
 
 
+def test_subwords(spark):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    tokenizer = subwords.Subwords(path)
+    rng = random.Random(5)
+    texts = [None, "", "  \n", "one", " Straße,  naïve\t漢字かな \U0001f600\U0001f680 end "] + ["".join(rng.choice(["ab", " ", "xyz-", "é", "漢", "\n", "\U0001f600"]) for _ in range(rng.randint(1, 200))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in chunking.chunk(docs, F.lit("d"), 7, 2, tokenizer=tokenizer).orderBy("doc_id", "chunk_index").collect():
+        assert texts[r.doc_id][r.start_char : r.end_char] == r.text and r.chunk_id == f"d_{r.chunk_index:04d}"
+        got.setdefault(r.doc_id, []).append((r.start_char, r.end_char, r.token_count))
+    counts = {r.doc_id: r.n for r in docs.select("doc_id", tokenizer.count("text").alias("n")).collect()}
+    for k, text in enumerate(texts):
+        spans = library.encode(text or "", add_special_tokens=False).offsets
+        want, start = [], 0
+        while spans and (start == 0 or start + 2 < len(spans)):
+            held = spans[start : start + 7]
+            want.append((held[0][0], held[-1][1], len(held)))
+            start += 5
+        assert got.get(k, []) == want and counts[k] == len(spans), k
+    items = spark.createDataFrame([("a", 1, "abc"), ("a", 2, "漢字 " * 50)], "g string, k int, text string")
+    assert chunking.pack(items, 20, "g", ["k"], tokenizer=tokenizer).head().context == "abc"
+    assert tokenizer.key == "subwords:word_bpe_49k.json"
+    with pytest.raises(ValueError):
+        chunking.chunk(docs, F.lit("d"), 3, 3, tokenizer=tokenizer)
+
+
 def test_numbers_and_batches(spark):
     rows = spark.range(0, 100, 1, 7).selectExpr("99 - id as k")
     got = chunking.batches(rows, ["k"], 30).collect()
