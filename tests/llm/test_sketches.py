@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from decimal import Decimal
 
 import pytest
 import xxhash
@@ -76,6 +77,39 @@ def test_large_ids(spark, monkeypatch, low):
     check(spark, [(low + k, f"text number {k} of the table and more words") for k in range(60)])
 
 
+@pytest.mark.parametrize(("kind", "make"), [("string", lambda k: f'mmlu "{k % 7}", é-{k}'), ("decimal(20,1)", lambda k: Decimal(k) / 2)])
+def test_ids_of_other_types(spark, monkeypatch, kind, make):
+    monkeypatch.setattr(sketches, "BUCKET_ROWS", 5)
+    rows = [(make(k), f"text number {k} of the table and more words") for k in range(90)] + [(None, "no id"), (None, "no id either")]
+    got = sketches.compare_with_edits(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)).collect()
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    # the two rows without an id stand first, in the order of their texts' hashes
+    after = dict(zip([r[0] for r in order], [t for _, t in order[1:]]))
+    found = {r.doc_id: r.edited_sha256 for r in got}
+    assert len(got) == len(rows) and set(found) == {None, *(r[0] for r in order)}
+    for d, t in order[:-1]:
+        assert found[d] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[d][: len(t) // 2]).encode()).hexdigest()
+    half = len(order[-1][1]) // 2
+    kept = order[-1][1][: len(order[-1][1]) - half]
+    assert found[order[-1][0]] in {hashlib.sha256((kept + t[:half]).encode()).hexdigest() for t in ("no id", "no id either")}
+
+
+def test_stand_ins_are_compared_by_all_shingles(spark):
+    """Short passages that stand whole in the long text after them: contained, whatever their sketches say."""
+    long = " ".join(f"w{k}" for k in range(2000))
+    rows = [x for k in range(60) for x in ((2 * k, " ".join(f"w{10 * k + j}" for j in range(10))), (2 * k + 1, long))]
+    got = {r.doc_id: r for r in sketches.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    short = [d for d, t in rows if t != long]
+    assert all(got[d].contained_next == 1.0 for d in short)
+    stood_in = [d for d in short if slow_sketch(rows[d][1])[0] >= (1 << 48) // 8]
+    assert stood_in and any(got[d].near_next == 0.0 for d in stood_in)
+    full = lambda t: set(slow_sketch(t, scale=1))
+    for d in stood_in:
+        t, after = rows[d][1], rows[d + 1][1]
+        a, b = full(t), full(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        assert got[d].contained_edited == pytest.approx(len(a & b) / min(len(a), len(b)))
+
+
 def test_columns_of_the_caller(spark):
     docs = spark.createDataFrame([(k, f"t{k}", k, k, k) for k in range(9)], "doc_id long, text string, edges int, own_key int, place int")
     got = sketches.with_next(docs, ["doc_id", "edges", "own_key", "place"], {"edges": "e", "place": "p"})
