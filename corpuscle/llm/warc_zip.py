@@ -8,8 +8,8 @@ offsets found there. Nothing is unpacked to disk, and no file is read as a whole
 
 Of pages with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the smallest id is a response and the
 others revisit it. A null page is an empty payload. Rows that share the smallest id are all responses; rows with a null id
-revisit a page that has one, and are responses among themselves. Other columns are not read. Empty tables give no
-records.
+revisit a page that has one, and are responses among themselves. Ids may be of any type that has an order. Other columns
+are not read. Empty tables give no records.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
-from .components import lookup
+from .components import HOT_SHARE
 
 REVISIT_BYTES = 100
 #: Bytes of records after which a package's WARC file is ended, and the records of one.
@@ -37,6 +39,8 @@ MEMBER_BYTES = 64 << 20
 #: Bytes of records that one task reads, roughly.
 READ_BYTES = 64 << 20
 INDEX, ARCHIVE = "indexes/", "archive/"
+#: How records name pages; ids stand percent-encoded after it.
+PAGE, NO_PAGE = "urn:page:", "urn:no-page"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -155,10 +159,11 @@ def _lines(file, member: Member, block: int = 1 << 20) -> Iterator[list[bytes]]:
         yield [rest]
 
 
-def records(places: DataFrame) -> DataFrame:
+def records(places: DataFrame, kind: str = "bigint") -> DataFrame:
     """page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload for each (package, offset, length).
 
-    A revisit has no payload of its own; digest and length are those that it states for the page it revisits.
+    A revisit has no payload of its own; digest and length are those that it states for the page it revisits, and
+    ``unfounded`` compares them with that page's. ``kind`` is the type of page ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,39 +177,57 @@ def records(places: DataFrame) -> DataFrame:
                         file, opened = files.open_input_file(path), uri
                     file.seek(offset)
                     warc, http, payload = parse(file.read(length))
-                    kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha256:")
-                    if kind == "response":
+                    what, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha256:")
+                    if what == "response":
                         if hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"payload of {warc['warc-record-id']} doesn't have its digest")
                         size = len(payload)
                     else:
                         size = int(http["content-length"])
-                    rows.append((_number(warc["warc-record-id"]), warc["warc-target-uri"], kind, digest, size, _number(warc.get("warc-refers-to")), payload if kind == "response" else None))
-                types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((_page(warc["warc-record-id"]), warc["warc-target-uri"], what, digest, size, _page(warc.get("warc-refers-to")), payload if what == "response" else None))
+                types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"])
 
-    return places.select("package", "offset", "length").mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    found = places.select("package", "offset", "length").mapInArrow(run, "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary")
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
-def _number(urn: str | None) -> int | None:
-    last = (urn or "").strip("<>").rpartition(":")[2]
-    return int(last) if last.lstrip("-").isdigit() else None
+def unfounded(found: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, payload_bytes) of revisits which no response with that id, digest and length answers.
+
+    Revisits are brought down to the pages that they name before they are joined, so a page that very many revisit is
+    one row.
+    """
+    stated = ["payload_digest", "payload_bytes"]
+    named = found.where("record_type = 'revisit'").select("refers_to", *stated).distinct()
+    there = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *stated)
+    return named.join(there, ["refers_to", *stated], "left_anti")
+
+
+def _named(page) -> str:
+    return f"<{NO_PAGE}>" if page is None else f"<{PAGE}{quote(str(page), safe='')}>"
+
+
+def _page(urn: str | None) -> str | None:
+    """The page that a record's id names."""
+    urn = (urn or "").strip("<>")
+    return unquote(urn.removeprefix(PAGE)) if urn.startswith(PAGE) else None
 
 
 # ---- writing -------------------------------------------------------------------------------------------------
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page, url: str | None, payload: bytes, refers_to) -> bytes:
     """One record as a gzip member of its own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{'none' if page is None else page}>",
+        "WARC-Record-ID": _named(page),
         "WARC-Target-URI": " ".join((url or "").split()),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Payload-Digest": "sha256:" + hashlib.sha256(payload).hexdigest(),
-        **({} if refers_to is None else {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": PROFILE}),
+        **({} if refers_to is None else {"WARC-Refers-To": _named(refers_to), "WARC-Profile": PROFILE}),
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
@@ -248,16 +271,32 @@ class Package:
 
 
 def marked(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload (bytes), refers_to: pages with the page that each revisits."""
-    spark = pages.sparkSession
+    """page_id, url, payload (bytes), refers_to: pages with the page that each revisits.
+
+    Payloads that very many pages have are looked up where the pages lie, and so few that they can be broadcast; pages
+    with short payloads stay as they are. Only the rest go through a shuffle, by digests of which none is frequent.
+    """
     payload = F.encode(common.text_or_empty(F.col("html")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    narrow = common.stored(rows.where(F.octet_length("payload") >= least).select("page_id", "digest"), "digests")
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    found = lookup(narrow, first, "digest", "n", narrow.count(), "inner").where("page_id is null or page_id <> first").distinct()
-    found = common.stored(found.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")), "revisits")
-    rows = rows.repartition("page_id")
-    return rows.join(found, rows["page_id"].eqNullSafe(found["_id"]) & (rows["digest"] == found["_digest"]), "left").select("page_id", "url", "payload", "refers_to")
+    rows = pages.select(F.col("page_id").cast(_kind(pages)).alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.col("digest")))
+    digests = common.stored(rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "digests")
+    heavy = max(100, (digests.agg(F.sum("n")).head()[0] or 0) // HOT_SHARE)
+    first = digests.where("n > 1 and first is not null")
+    hot, cold = (first.where(c).select("digest", "first") for c in (F.col("n") >= heavy, F.col("n") < heavy))
+    # a digest without a first page may be frequent too
+    known = F.broadcast(digests.where(F.col("n") >= heavy).select("digest"))
+    here = rows.where("digest is null").withColumn("first", F.lit(None).cast(_kind(pages)))
+    here = here.unionByName(rows.join(known, "digest", "left_semi").join(F.broadcast(hot), "digest", "left"))
+    rest = rows.where("digest is not null").join(known, "digest", "left_anti")
+    every = here.unionByName(rest.repartition("digest").join(cold, "digest", "left"))
+    other = F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))
+    return every.select("page_id", "url", "payload", F.when(other, F.col("first")).alias("refers_to"))
+
+
+def _kind(pages: DataFrame) -> str:
+    """The type of page ids: long for integers, else the table's own."""
+    kind = pages.schema["page_id"].dataType
+    return "bigint" if isinstance(kind, IntegralType) else kind.simpleString()
 
 
 def write(pages: DataFrame, path: str) -> DataFrame:
@@ -289,16 +328,23 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     return common.stored(marked(pages).mapInArrow(run, "package string, records long"), "packages")
 
 
-def read(packages: DataFrame) -> DataFrame:
+def read(packages: DataFrame, kind: str = "bigint") -> DataFrame:
     """All records of the packages; the places of records are dealt out evenly before they are read."""
     places = common.stored(index(packages), "places")
     size = places.agg(F.sum("length")).head()[0] or 0
     # by the bytes that will be read, not by those of the places
     tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
-    return records(places.repartitionByRange(tasks, "package", "offset").sortWithinPartitions("package", "offset"))
+    return records(places.repartitionByRange(tasks, "package", "offset").sortWithinPartitions("package", "offset"), kind)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes the pages in the shared folder and returns what is read back, without the payloads."""
+    """Writes the pages in the shared folder and returns what is read back, without the payloads.
+
+    A revisit whose digest or length isn't that of the page it names is an error.
+    """
     packages = write(pages, common.fresh_dir(spark, "warc"))
-    return read(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    found = read(packages, _kind(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    found = common.stored(found, "records")
+    if wrong := unfounded(found).head():
+        raise ValueError(f"no response of page {wrong['refers_to']} has the payload that its revisits state")
+    return found

@@ -49,6 +49,30 @@ def test_round_trip_of_table(spark, sf):
     assert all(r.payload is None if r.record_type == "revisit" else r.payload.decode() == html[r.page_id] for r in got)
 
 
+def test_ids_of_text(spark):
+    names = ["none", "a:b", "<x> é", "10", "9", "", "a%3Ab", "new\nline", None]
+    rows = [(n, f"u{k}", LONG if k % 2 else f"{LONG} {k}") for k, n in enumerate(names)] + [("10", "again", LONG)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    assert shown(warc_zip.round_trip(spark, pages).collect()) == expected(pages.collect())
+
+
+@pytest.mark.parametrize("share", [1, 10_000])
+def test_hot_payloads_and_repeated_ids(spark, monkeypatch, share):
+    """Payloads that very many pages share, with and without ids, beside empty ones and others."""
+    monkeypatch.setattr(warc_zip, "HOT_SHARE", share)
+    rows = [(k if k % 3 else None, f"u{k % 5}", LONG) for k in range(300)] + [(None, "v", LONG + "!") for _ in range(200)]
+    rows += [(7, "w", "") for _ in range(300)] + [(500 + k // 2, "x", f"{LONG} {k // 4}") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(6)
+    assert shown(warc_zip.round_trip(spark, pages).collect()) == expected(pages.collect())
+
+
+def test_revisits_of_what_is_not_there(spark):
+    kinds = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long"
+    rows = [(1, "response", "d", 200, None), (2, "revisit", "d", 200, 1), (3, "revisit", "e", 200, 1), (4, "revisit", "d", 201, 1), (5, "revisit", "d", 200, 9), (6, "revisit", "d", 200, 9)]
+    wrong = warc_zip.unfounded(spark.createDataFrame(rows, kinds)).collect()
+    assert sorted((r.refers_to, r.payload_digest, r.payload_bytes) for r in wrong) == [(1, "d", 201), (1, "e", 200), (9, "d", 200)]
+
+
 def test_many_members(spark, pages, monkeypatch):
     monkeypatch.setattr(warc_zip, "MEMBER_BYTES", 300)
     out = io.BytesIO()
