@@ -27,12 +27,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import EngineConfig, checked_criteria, checked_question
 from ..functions import jsons as js
 from ..functions import text as tx
-from ..operators import chunking, claims, community, evaluate, extract, graph, reports, state, vector
-from ..providers import MODES, PROMPTS, TEXT, CompletionProvider, Embedder, HashedEmbedder, RuleModel, completed, task
+from ..operators import chunking, claims, community, costs, evaluate, extract, graph, reports, state, vector
+from ..providers import MODES, PROMPTS, TEXT, CompletionProvider, Embedder, HashedEmbedder, RuleModel, completed, task, used
 from ..sources import tables
 
 TABLES = {"chunking": "chunks", "extraction": "extractions", "graph_construction": "edges", "community_detection": "membership", "summarization": "reports", "embedding": "vectors"}
 RUNS = "run_id string, kind string, at timestamp, status string, questions long, criteria array<string>, details string"
+USAGE = "at timestamp, task string, model string, calls long, prompt_tokens long, completion_tokens long"
 REPORTS = "community_id string, title string, summary string, impact_rating double, rating_explanation string, findings array<struct<summary:string,explanation:string>>, level string"
 NO_DATA = "No community reports are available at this level."
 NOTHING_HELPFUL = "The corpus holds nothing that helps to answer this question."
@@ -84,7 +85,7 @@ class Engine:
 
     def __post_init__(self):
         self.embedder = self.embedder or HashedEmbedder(self.config.embedding_dim)
-        self.tag, self.stopped, self.running = f"engine-{uuid.uuid4().hex}", False, {}
+        self.tag, self.stopped, self.running, self.warmed = f"engine-{uuid.uuid4().hex}", False, {}, {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -106,11 +107,52 @@ class Engine:
             run()
 
     def ask(self, rows: DataFrame, name: str) -> DataFrame:
-        """The provider's responses to the prompts of a task, stored; ``Hooks.asked`` hears of them as tasks end."""
+        """The provider's responses to the prompts of a task, stored; ``Hooks.asked`` hears of them as tasks end.
+
+        What they took goes to the table of usage, from the stored rows, so that no call counts twice.
+        """
         answered, failed = (self.spark.sparkContext.accumulator(0) for _ in range(2))
-        out = completed(rows, "prompt", self.provider, self.config.attempts, mode=MODES.get(name, TEXT), most=self.config.concurrency, answered=answered, failed=failed)
+        out = completed(rows, "prompt", self.provider, self.config.attempts, mode=MODES.get(name, TEXT), most=self.config.concurrency, answered=answered, failed=failed, usage=True)
         with self.watched(name, lambda: (answered.value, failed.value)):
-            return tables.cut_lineage(out)
+            out = tables.cut_lineage(out)
+        sums = (F.coalesce(F.sum(c), F.lit(0)) for c in ("prompt_tokens", "completion_tokens"))
+        self.note_usage(name, *out.agg(F.count("prompt_tokens"), *sums).head())
+        return out.drop("prompt_tokens", "completion_tokens")
+
+    def ask_once(self, name: str, prompt: str) -> str:
+        """The provider's response to one prompt, on the driver."""
+        answer = self.provider.complete([prompt])[0]
+        self.note_usage(name, 1, *used(prompt, answer))
+        return str(answer)
+
+    def note_usage(self, name: str, calls: int, prompt_tokens: int, completion_tokens: int) -> None:
+        """Adds a line for the calls of a task; a provider without the name of a model has no cost."""
+        if calls:
+            model = getattr(self.provider, "model", None)
+            row = self.spark.createDataFrame([(datetime.now(timezone.utc), name, model, calls, prompt_tokens, completion_tokens)], USAGE)
+            cost = F.when(F.col("model").isNotNull(), F.col("cost_usd")).alias("cost")
+            tables.save(costs.priced(row).select(*row.columns, cost), self.path("usage"), append=True)
+
+    def usage(self, by: tuple[str, ...] = ("task",)) -> DataFrame:
+        """Tokens and cost of all calls so far, by task or model."""
+        rows = self.read("usage") if self.has("usage") else self.spark.createDataFrame([], USAGE + ", cost double")
+        return evaluate.token_usage(rows, list(by))
+
+    def warm(self, *names: str) -> None:
+        """Keeps tables in the executors' memory (what doesn't fit on their disks): the reports, if none is named.
+
+        Spark knows what it keeps by the files read, so a table that has been written anew is read anew.
+        """
+        for name in names or ("reports",):
+            self.invalidate(name)
+            self.warmed[name] = self.read(name).persist()
+            self.warmed[name].count()
+
+    def invalidate(self, *names: str) -> None:
+        """Lets go of what ``warm`` keeps: all tables, if none is named."""
+        for name in names or tuple(self.warmed):
+            if (kept := self.warmed.pop(name, None)) is not None:
+                kept.unpersist()
 
     @contextmanager
     def watched(self, name: str, counts: Callable[[], tuple[int, int]], every: float = 0.1) -> Iterator[None]:
@@ -435,7 +477,7 @@ class Engine:
 
     def vacuum(self, keep: int = 1, age: float = tables.AGE) -> int:
         """Deletes tables' versions but for the last ``keep``; gives the number of folders that went."""
-        names = (*TABLES.values(), "nodes", "runs", "evaluations", "state")
+        names = (*TABLES.values(), "nodes", "runs", "evaluations", "state", "usage")
         return sum(tables.vacuum(self.spark, self.path(n), keep, age) for n in names if tables.manifest(self.spark, self.path(n)))
 
     # ---- runs ----
@@ -484,7 +526,7 @@ class Engine:
         helpful = reports.helpful(points, c.helpfulness_threshold)
         lines = reports.reduce_context(helpful, c.context_window - len(question.split())).orderBy("rank")
         context = "\n".join(r["line"] for r in lines.select("line").collect())  # at most one context window
-        answer = self.provider.complete([f"TASK: answer\n### question\n{question}\n### context\n{context}"])[0] if context else NOTHING_HELPFUL
+        answer = self.ask_once("answer", f"TASK: answer\n### question\n{question}\n### context\n{context}") if context else NOTHING_HELPFUL
         return {"answer": answer, "communities": m["communities"], "points": m["points"], "helpful": m["helpful"], "context_tokens": m["context_tokens"], "context": context}
 
     def ask_local(self, question: str) -> dict:
@@ -496,7 +538,7 @@ class Engine:
         hits = best.drop("rank").join(rows.select("vec_id", F.col("doc_id").cast("string").alias("source"), "text"), "vec_id")
         kept = vector.cited_context(hits, c.context_window, [F.desc("score"), "vec_id"], self.tokenizer).orderBy("rank").collect()  # at most one context window
         context = "\n\n---\n\n".join(r["cited"] for r in kept)
-        answer = self.provider.complete([f"TASK: answer\n### question\n{question}\n### context\n{context}"])[0] if kept else NOTHING_HELPFUL
+        answer = self.ask_once("answer", f"TASK: answer\n### question\n{question}\n### context\n{context}") if kept else NOTHING_HELPFUL
         return {"answer": answer, "chunks": [(r["rank"], r["vec_id"], r["score"]) for r in kept], "context": context}
 
     # ---- evaluation ----

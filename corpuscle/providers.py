@@ -27,8 +27,33 @@ class TransientError(Exception):
     """A failure that may pass: it is tried again."""
 
 
+class Answer(str):
+    """A response with the numbers of tokens that its call was billed for. Plain strings are counted by white space."""
+
+    prompt_tokens: int
+    completion_tokens: int
+
+    def __new__(cls, text: str, prompt_tokens: int, completion_tokens: int) -> Answer:
+        self = super().__new__(cls, text)
+        self.prompt_tokens, self.completion_tokens = prompt_tokens, completion_tokens
+        return self
+
+
+def used(prompt: str | None, answer: str | None) -> tuple[int | None, int | None]:
+    """Tokens in and out of one call; null if it gave no answer."""
+    if answer is None:
+        return None, None
+    if isinstance(answer, Answer):
+        return answer.prompt_tokens, answer.completion_tokens
+    return len((prompt or "").split()), len(answer.split())
+
+
 class CompletionProvider(Protocol):
-    """A text model. ``complete_yes_no`` and ``complete_json`` may be left out: ``complete`` is asked then."""
+    """A text model. ``complete_yes_no`` and ``complete_json`` may be left out: ``complete`` is asked then.
+
+    Responses may be ``Answer`` objects, which carry their tokens. A provider with an attribute ``model`` has its calls
+    priced by that name.
+    """
 
     def complete(self, prompts: list[str]) -> list[str]: ...
 
@@ -133,17 +158,19 @@ def _yes_no(answer: str | None) -> str | None:
 
 def completed(
     rows: DataFrame, prompt: str, provider: CompletionProvider, attempts: int = 3, wait: float = 0.5, mode: str = TEXT, most: int | None = None,
-    answered: Accumulator | None = None, failed: Accumulator | None = None,
+    answered: Accumulator | None = None, failed: Accumulator | None = None, usage: bool = False,
 ) -> DataFrame:
-    """Adds response and error (at most 500 characters).
+    """Adds response and error (at most 500 characters), and with ``usage`` prompt_tokens and completion_tokens.
 
     A batch that fails for a passing reason is tried again, with growing random waits; what fails for good leaves a null
     response. ``mode`` picks the provider's method for it, if it has one; with YES_NO the response is YES or NO in any
     case. At most ``most`` calls are under way at a time in all tasks of the application: each call holds one of as many
     permits, and waits are slept without one. Rows stay in their partitions. ``answered`` and ``failed`` count prompts as
-    tasks end; a task that runs again counts again.
+    tasks end; a task that runs again counts again. Tokens are those of the call that answered; a prompt without a response
+    has none.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string"
+    schema += ", prompt_tokens long, completion_tokens long" * usage
     method = getattr(provider, f"complete_{mode}", provider.complete) if mode != TEXT else provider.complete
     permits = lender(rows.sparkSession, type(provider).__name__, most).permits if most else None
 
@@ -176,8 +203,12 @@ def completed(
                 answered.add(sum(e is None for e in errors))
             if failed is not None:
                 failed.add(sum(e is not None for e in errors))
-            if mode == YES_NO:
-                got = list(map(_yes_no, got))
-            yield batch.assign(response=pd.Series(got, index=batch.index, dtype=object), error=pd.Series(errors, index=batch.index, dtype=object))
+            tokens = list(map(used, batch[prompt], got)) if usage else []
+            got = [_yes_no(x) if mode == YES_NO else None if x is None else str(x) for x in got]
+            batch = batch.assign(response=pd.Series(got, index=batch.index, dtype=object), error=pd.Series(errors, index=batch.index, dtype=object))
+            if usage:
+                counts = {name: pd.Series([t[k] for t in tokens], index=batch.index, dtype="Int64") for k, name in enumerate(("prompt_tokens", "completion_tokens"))}
+                batch = batch.assign(**counts)
+            yield batch
 
     return rows.mapInPandas(run, schema)

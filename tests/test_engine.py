@@ -12,7 +12,7 @@ from corpuscle.config import EngineConfig, checked_criteria, checked_question, c
 from corpuscle.functions import jsons as js
 from corpuscle.operators import state
 from corpuscle.plans.engine import NO_DATA, Cancelled, Engine, Hooks
-from corpuscle.providers import RuleModel, TransientError, completed, messages
+from corpuscle.providers import Answer, RuleModel, TransientError, completed, messages
 from corpuscle.sources import tables
 
 TEXTS = ["Alice met Bob near London. Alice wrote to NASA about Paris and Bob.", "Bob works with Carol in Paris. Carol knows Alice from London.", "Dora lives alone in Quito.", ""]
@@ -243,6 +243,72 @@ def test_evaluation(engine, spark):
     assert {x.question_id: x.winner for x in rows.collect()}[1] == "global" and batch.head().questions == 1
 
 
+def test_usage(spark, tmp_path):
+    """Tokens of each call once: those a provider states, else by white space; no call, no tokens; retries don't add up."""
+
+    class Billed:
+        model = "gpt-4o-mini-tuned"
+
+        def __init__(self):
+            self.calls = 0
+
+        def complete(self, prompts):
+            self.calls += 1
+            if self.calls == 1:
+                raise TransientError("busy")
+            if any("bad" in p for p in prompts):
+                raise ValueError("no")
+            return [Answer("yes indeed", 1_000_000 * len(p), 2_000_000) for p in prompts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bb bb"), (3, "bad")], "id int, p string").coalesce(1)
+    got = {r.id: r for r in completed(rows, "p", Billed(), wait=0.0, usage=True).collect()}
+    assert [(got[k].prompt_tokens, got[k].completion_tokens) for k in (1, 2, 3)] == [(1_000_000, 2_000_000), (5_000_000, 2_000_000), (None, None)]
+    answers = completed(rows.where("id < 3"), "p", Billed(), wait=0.0, usage=True, mode="yes_no").collect()
+    assert {r.response for r in answers} == {"YES"} and {r.completion_tokens for r in answers} == {2_000_000}
+    plain = completed(spark.createDataFrame([("TASK: more\n### text\nabc",)], "p string"), "p", RuleModel(), usage=True).head()
+    assert (plain.prompt_tokens, plain.completion_tokens) == (5, 1)
+
+    e = Engine(spark, str(tmp_path / "usage"), provider=Billed())
+    assert e.usage().count() == 0
+    e.ask(rows.withColumnRenamed("p", "prompt"), "extract")
+    e.ask(rows.where("false").withColumnRenamed("p", "prompt"), "report")
+    assert e.provider.calls == 0  # tasks have copies of it
+    e.provider.calls = 1
+    assert e.ask_once("answer", "one two") == "yes indeed"
+    used = {r.task: r for r in e.usage().collect()}
+    assert set(used) == {"extract", "answer"}
+    assert (used["extract"].prompt_tokens, used["extract"].completion_tokens) == (6_000_000, 4_000_000)
+    assert used["extract"].cost == pytest.approx(6 * 0.15 + 4 * 0.60) and used["answer"].cost == pytest.approx(7 * 0.15 + 2 * 0.60)
+    assert e.usage(("model",)).head().cost == pytest.approx(13 * 0.15 + 6 * 0.60)
+
+
+def test_usage_of_an_index(engine, spark):
+    """All chunks were asked once, however often the corpus was indexed since; the offline model costs nothing."""
+    by = {r.task: r for r in engine.usage().collect()}
+    assert {"extract", "more", "report"} <= set(by) and all(r.cost is None for r in by.values())
+    before = engine.usage().agg(F.sum("prompt_tokens")).head()[0]
+    engine.index(corpus(spark, TEXTS))
+    assert engine.usage().agg(F.sum("prompt_tokens")).head()[0] == before
+
+
+def test_warm(engine, spark):
+    plan = lambda name: engine.read(name)._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(str, engine.read("reports").collect()))
+    engine.warm()
+    engine.warm("reports", "nodes")
+    assert all("InMemoryTableScan" in plan(n) for n in ("reports", "nodes")) and "InMemoryTableScan" not in plan("edges")
+    assert sorted(map(str, engine.read("reports").collect())) == rows
+    # written anew: what is kept is not what is read
+    tables.save(engine.read("nodes").limit(1), engine.path("copy"))
+    copy = Engine(spark, engine.root)
+    copy.warm("copy")
+    tables.save(engine.read("nodes"), engine.path("copy"))
+    assert copy.read("copy").count() == engine.read("nodes").count() > 1
+    engine.invalidate()
+    copy.invalidate("copy")
+    assert not any("InMemoryTableScan" in plan(n) for n in ("reports", "nodes"))
+
+
 def test_provider_failures(spark):
     class Flaky:
         def __init__(self):
