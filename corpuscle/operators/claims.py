@@ -37,7 +37,7 @@ def _places(words: list[str]) -> dict[str, int]:
     return found
 
 
-def _lcs(places: dict[str, int], n: int, other: list[str]) -> int:
+def _common(places: dict[str, int], n: int, other: list[str]) -> int:
     """Length of the longest common subsequence of ``n`` words, by their places, and others: a step of bits for each of those."""
     free = (1 << n) - 1
     for w in other:
@@ -46,6 +46,15 @@ def _lcs(places: dict[str, int], n: int, other: list[str]) -> int:
     return n - (free & (1 << n) - 1).bit_count()
 
 
+def _lcs(a: list[str], b: list[str]) -> int:
+    return _common(_places(a), len(a), b)
+
+
+def rouge_l(a: list[str], b: list[str]) -> float:
+    """The overlap of two lists of words; 0 where there is nothing in common."""
+    return 2 * _lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
 class _Kept:
     """Claims so far, by their words, for which bounds on the overlap with another are had without comparing them.
 
@@ -75,7 +84,7 @@ class _Kept:
         return np.divide(2 * shared, np.array(self.sizes) + len(words), out=np.zeros(len(shared)), where=shared > 0)
 
     def overlap(self, places: dict[str, int], n: int, k: int) -> float:
-        return 2 * _lcs(places, n, self.words[k]) / (n + self.sizes[k])
+        return 2 * _common(places, n, self.words[k]) / (n + self.sizes[k])
 
 
 def _by_group(claims: DataFrame, by: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], extra: str) -> DataFrame:
