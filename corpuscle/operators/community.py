@@ -58,34 +58,38 @@ def local_moving(edges: DataFrame, labels: DataFrame, seed: int = 42, resolution
     """(node_id, label) after rounds in which half of the nodes, in turns, go to the neighbouring label of most gain in modularity.
 
     Nodes that move at once may spoil each other's gain, so modularity is taken after each two rounds; moving ends, with
-    the best labels, when those bring less than ``LEAST_GAIN``. So it ends, however long nodes could go on.
+    the best labels, when those bring less than ``LEAST_GAIN``. So it ends, however long nodes could go on. A round is one
+    job: a neighbour brings its label's volume along, and the weights that a node has inside its own label, which
+    modularity is made of, are kept beside the label it goes to.
     """
-    both = _both(edges)
-    strength = cut_lineage(strengths(edges))
-    total = strength.agg(F.sum("k")).head()[0]
+    both = cut_lineage(_both(edges))
+    loops = edges.where("src = dst").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).head()[0]
+    now = cut_lineage(labels.join(strengths(edges), "node_id", "left").select("node_id", "label", F.coalesce("k", F.lit(0.0)).alias("k")))
+    total = now.agg(F.sum("k")).head()[0]
     if not total:
         return labels
-    best, score, r = labels, modularity(edges, labels, resolution), 0
+    best, score, r = None, None, 0
     while True:
-        volume = labels.join(strength, "node_id").groupBy("label").agg(F.sum("k").alias("volume"))
-        pulls = both.join(labels.select(F.col("node_id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node_id"), "label").agg(F.sum("weight").alias("w"))
-        own = labels.join(strength, "node_id")
-        options = pulls.unionByName(own.select("node_id", "label", F.lit(0.0).alias("w"))).groupBy("node_id", "label").agg(F.sum("w").alias("w"))
-        options = options.join(volume, "label").join(own.select("node_id", F.col("label").alias("mine"), "k"), "node_id")
+        placed = now.join(now.groupBy("label").agg(F.sum("k").alias("volume")), "label")
+        pulls = both.join(placed.select(F.col("node_id").alias("dst"), "label", "volume"), "dst").select(F.col("src").alias("node_id"), "label", "volume", "weight").repartition("node_id")
+        pulls = pulls.groupBy("node_id", "label").agg(F.sum("weight").alias("w"), F.max("volume").alias("volume"))
+        own = placed.select("node_id", F.col("label").alias("mine"), "k", F.col("volume").alias("_own"))
         mine = F.col("label") == F.col("mine")
-        rest = F.col("volume") - F.when(mine, F.col("k")).otherwise(0.0)
-        options = options.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / total, 9))
+        gain = lambda w, rest: F.round(w - resolution * F.col("k") * rest / total, 9)
+        options = pulls.join(own, "node_id").withColumn("gain", gain(F.col("w"), F.col("volume") - F.when(mine, F.col("k")).otherwise(0.0)))
         # most gain first; ties stay, or go to the smallest label
         first = F.min_by("label", F.struct(-F.col("gain"), (~mine).cast("int"), "label")).alias("to")
-        top = options.groupBy("node_id").agg(first, F.max("gain").alias("top"), F.min(F.when(mine, F.col("gain"))).alias("now"))
-        go = (F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(2)) == r % 2) & (F.col("top") > F.col("now"))
-        labels = cut_lineage(labels.join(top, "node_id", "left").select("node_id", F.when(go, F.col("to")).otherwise(F.col("label")).alias("label")))
-        r += 1
+        top = options.groupBy("node_id").agg(first, F.max("gain").alias("top"), F.sum(F.when(mine, F.col("w"))).alias("w"))
+        stay = gain(F.coalesce("w", F.lit(0.0)), F.col("_own") - F.col("k"))
+        go = (F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(2)) == r % 2) & (F.col("top") > stay)
+        moved = cut_lineage(own.join(top, "node_id", "left").select("node_id", "mine", "k", "w", F.when(go, F.col("to")).otherwise(F.col("mine")).alias("label")))
         if r % 2 == 0:
-            now = modularity(edges, labels, resolution)
-            if now <= score + LEAST_GAIN:
-                return labels if now > score else best
-            best, score = labels, now
+            sums = moved.groupBy("mine").agg(F.sum("k").alias("v"), F.sum("w").alias("w")).agg(F.sum("w"), F.sum(F.col("v") * F.col("v"))).head()
+            reached = ((sums[0] or 0.0) + 2 * loops) / total - resolution * sums[1] / total**2
+            if score is not None and reached <= score + LEAST_GAIN:
+                return (now if reached > score else best).select("node_id", "label")
+            best, score = now, reached
+        now, r = moved.select("node_id", "label", "k"), r + 1
 
 
 def _inside(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,19 +99,24 @@ def _inside(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Communities cut into their components; a part is named by its community and its smallest member."""
+    """Communities cut into their components; a part is named by its smallest member, which is in no other."""
     comps = components(_inside(edges, labels)).withColumnRenamed("component", "_part")
-    return labels.join(comps, "node_id", "left").select("node_id", F.concat_ws("\u0001", F.col("label").cast("string"), F.coalesce("_part", "node_id")).alias("label"))
+    return labels.join(comps, "node_id", "left").select("node_id", F.coalesce("_part", "node_id").alias("label"))
 
 
 def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int | None = None) -> DataFrame:
-    """(node_id, label): communities of the whole graph (src, dst, weight) by Leiden clustering; isolated nodes are alone."""
+    """(node_id, label): communities of the whole graph (src, dst, weight) by Leiden clustering; isolated nodes are alone.
+
+    Nodes go by their numbers in the order of their names, and labels by those of a member.
+    """
     most = TASK_EDGES if task_edges is None else task_edges
-    graph = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    linked = graph.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    given = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    linked = given.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     alone = nodes.select("node_id").join(linked, "node_id", "left_anti").select("node_id", F.col("node_id").alias("label"))
-    nodes = nodes.select("node_id").join(linked, "node_id", "left_semi")
-    place = cut_lineage(nodes.select("node_id", F.col("node_id").alias("at")))  # where each node is in the quotient graph
+    names = cut_lineage(numbered(nodes.select("node_id").join(linked, "node_id", "left_semi"), ["node_id"], "at"))
+    a, b = (names.select(F.col("node_id").alias(c), F.col("at").alias("_" + c)) for c in ("src", "dst"))
+    graph = first = cut_lineage(given.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight"))
+    place = names.select(F.col("at").alias("node_id"), "at")  # where each node is in the quotient graph
     labels, size = place.select("node_id", F.col("at").alias("label")), graph.count()
     while size > most:
         labels = cut_lineage(local_moving(graph, labels, seed))
@@ -124,7 +133,9 @@ def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int |
     if size <= most:
         labels = _finished(graph, labels)
     found = place.join(labels.select(F.col("node_id").alias("at"), "label"), "at").select("node_id", "label")
-    return (cut_lineage(connected(edges, found)) if size > most else found).unionByName(alone)
+    found = cut_lineage(connected(first, found)) if size > most else found
+    found = names.join(found.withColumnRenamed("node_id", "at"), "at").select("node_id", F.format_string("%012d", "label").alias("label"))
+    return found.unionByName(alone)
 
 
 def _quotient(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -135,16 +146,16 @@ def _quotient(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _finished(graph: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of a graph that fits one task, from those it has."""
-    rows = graph.unionByName(labels.select(F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")).join(labels.select(F.col("node_id").alias("src"), "label"), "src"), allowMissingColumns=True)
+    """Labels of a graph that fits one task, from those it has; nodes are numbers."""
+    rows = graph.withColumn("label", F.lit(-1).cast("long")).unionByName(labels.select(F.col("node_id").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "label"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["dst"].isna()].sort_values("src")
-        names, links = own["src"].tolist(), pdf[pdf["dst"].notna()].sort_values(["src", "dst"])
-        got = clustered(names, list(zip(links["src"], links["dst"], links["weight"])), own["label"].tolist())
-        return pd.DataFrame({"node_id": names, "label": [f"{c:012d}" for c in got]})
+        own = pdf[pdf["dst"] < 0].sort_values("src")
+        names, links = own["src"].tolist(), pdf[pdf["dst"] >= 0].sort_values(["src", "dst"])
+        got = clustered(names, list(zip(links["src"].tolist(), links["dst"].tolist(), links["weight"].tolist())), own["label"].tolist())
+        return pd.DataFrame({"node_id": names, "label": got})
 
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "node_id string, label string")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "node_id long, label long")
 
 
 class _Graph:

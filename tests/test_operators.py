@@ -309,6 +309,23 @@ def test_leiden_over_dataframes(spark):
         assert community.modularity(edges, rows) == pytest.approx(plain_modularity(names, links, got))
 
 
+def test_moving_takes_one_stored_table_a_round(spark, monkeypatch):
+    """Modularity comes from the round's own table; labels are numbers of nodes, however often the graph is coarsened."""
+    names, links = karate_like(2)
+    number = {n: k for k, n in enumerate(names)}
+    edges = spark.createDataFrame([(number[a], number[b], w) for a, b, w in links], "src long, dst long, weight double")
+    labels = spark.createDataFrame([(k, k) for k in range(len(names))], "node_id long, label long")
+    kept, cut = [], community.cut_lineage
+    monkeypatch.setattr(community, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    with monkeypatch.context() as m:
+        m.setattr(community, "modularity", None)
+        got = {r.node_id: r.label for r in community.local_moving(edges, labels).collect()}
+    assert set(got) == set(range(len(names))) and set(got.values()) <= set(got)
+    assert len(kept) > 4 and all("mine" in c for c in kept[2:])
+    rows = [(number[a], number[b], w) for a, b, w in links]
+    assert plain_modularity(list(got), rows, got) > plain_modularity(list(got), rows, {k: k for k in got}) + 0.1
+
+
 def test_one_level(spark):
     nodes, edges = cliques(spark)
     rows = community.one_level(nodes, edges).collect()
