@@ -22,7 +22,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-copies: SimHash links as in op8, and 5-word shingles with a Jaccard similarity of 0.8 or more."""
     return near_copies.keep_first(docs)
 
 

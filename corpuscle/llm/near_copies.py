@@ -1,4 +1,7 @@
-"""Near-copies by exact set similarity: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-copies by SimHash and by exact set similarity: fingerprints that link as in ``simhash`` (op8), and sets of 5-word shingles with a Jaccard similarity of 0.8 or more.
+
+Fingerprints come first: what links at two or fewer differing bits is one component. Exact similarity follows for what two
+bits don't reach, and links of both kinds chain.
 
 Every whole text is a set of shingle hashes (64 bits; words as op8 cuts them, a shorter text is one shingle). Equal sets
 are one. Two sets of at least the similarity share a shingle among the first ``n - ceil(similarity * n) + 1`` of each in
@@ -9,7 +12,8 @@ of them: two sets differ in at least as many shingles as their parities do, so w
 are verified by the whole sets.
 
 The shingles before the first one that two sets share are in one of both only, so pairs with more of them than alike
-sets may differ in aren't candidates. A place with up to ``BUCKET`` sets sends all
+sets may differ in aren't candidates. Two sets that had the same shingle just before have met there, so a pair is sent once
+for each run of shingles that both have, not for each shingle. A place with up to ``BUCKET`` sets sends all
 pairs left. A larger one first sends chains and the pairs with its hubs, the sets that crowd most, which connect it where
 its sets are alike; then the pairs follow that these left in different components, so links are whole there too.
 
@@ -29,11 +33,12 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components, lookup
-from .simhash import first_of
+from .simhash import fingerprint, first_of
+from .simhash import links as bit_links
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-#: Sets of one meeting place that are paired at once.
-BUCKET = 64
+#: Sets of one meeting place that are paired at once; a set of a larger place is a row and two pairs at most.
+BUCKET = 16
 #: Sets of a larger place that all others there are paired with.
 HUBS = 4
 #: Shingles that a worker holds at a time.
@@ -123,28 +128,31 @@ def _frequent(docs: DataFrame, sample: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, key, size, prefix, sign, short) of each document's set."""
+    """(doc_id, key, size, prefix, sign, short, fp) of each document's set; ``fp`` is the text's fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in _sets(batches):
-            columns = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, shared.value, similarity) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary()), pa.array([short_parities(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", "key", "size", "prefix", "sign", "short"])
+        for batch in batches:
+            prints, at = fingerprint(batch.column(1).to_pylist()).view(np.int64), 0
+            for keys, sets in _sets(iter([batch])):
+                columns = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, shared.value, similarity) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary()), pa.array([short_parities(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([keys, *columns, pa.array(prints[at : at + len(sets)])], ["doc_id", "key", "size", "prefix", "sign", "short", "fp"])
+                at += len(sets)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, key long, size long, prefix array<long>, sign binary, short array<long>")
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, key long, size long, prefix array<long>, sign binary, short array<long>, fp long")
 
 
 def _meet(similarity: float, bucket: int):
-    """Over rows (s, size, key, at) sorted by all: pairs (a, b), and (a, null, size, s, at) for the sets of a crowded place."""
+    """Over rows (s, size, key, at, prev) sorted by the first three: pairs (a, b), and (a, null, size, s, at) for the sets of a crowded place."""
     share = (1 - similarity) / (1 + similarity)
 
     def placed(rows):
-        s, sizes, keys, at = rows
+        s, sizes, keys, at, prev = rows
         n = len(keys)
         if n <= bucket:
             i, k = np.triu_indices(n, 1)
-            near = at[i] + at[k] <= share * (sizes[i] + sizes[k]) + 1e-6
+            near = (at[i] + at[k] <= share * (sizes[i] + sizes[k]) + 1e-6) & ~((prev[i] == prev[k]) & (at[i] > 0) & (at[k] > 0))
         else:
             # each with the next and with the first that may still be alike
             first = np.searchsorted(sizes, similarity * sizes - 1e-9)
@@ -158,7 +166,7 @@ def _meet(similarity: float, bucket: int):
         yield np.stack((np.minimum(a, b), np.maximum(a, b), nothing, nothing, nothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
 
         def sent(rows, ends):
             out = [p for k in ends for p in placed(rows[:, k[0] : k[1]])]
@@ -252,15 +260,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame, similarity
     return common.stored(both.where(alike).select("a", "b"), "alike")
 
 
+def _by_bits(found: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets (key, fp) whose fingerprints op8 puts into one component: each with the component's smallest."""
+    prints = common.stored(found.select("key", "fp").distinct(), "prints")
+    roots = components(bit_links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    named = common.stored(prints.join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("root")).distinct(), "print-roots")
+    least = named.groupBy("root").agg(F.min("key").alias("a"), F.count("*").alias("n"))
+    linked = lookup(named, least, "root", "n", named.count(), "inner").where("a <> key")
+    return common.stored(linked.select("a", F.col("key").alias("b")), "bit-links")
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, key, component_id): the text's key, and component_id is the smallest id that near-copies reach from the document, itself included."""
-    found = common.stored(_prefixes(docs, similarity, _frequent(docs, sample)), "prefixes")
-    rows = found.select("doc_id", "key")
+    path = common.fresh_dir(docs.sparkSession, "prefixes")
+    _prefixes(docs, similarity, _frequent(docs, sample)).write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
+    rows = common.stored(found.select("doc_id", "key", "fp"), "keys")
     distinct = common.stored(found.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sign").alias("sign"), F.first("short").alias("short")), "distinct")
-    places = distinct.select(F.posexplode("prefix").alias("at", "s"), "size", "key").select("s", "size", "key", F.col("at").cast("long").alias("at"))
+    common.delete(docs.sparkSession, path)
+    by_bits = _by_bits(rows)
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0))))
+    places = distinct.where(F.size("prefix") > 0).select(F.posexplode(F.arrays_zip(F.col("prefix").alias("s"), before.alias("prev"))).alias("at", "_x"), "size", "key")
+    places = places.select("_x.s", "size", "key", F.col("at").cast("long").alias("at"), "_x.prev")
     places = places.repartition("s").sortWithinPartitions("s", "size", "key")
     met = common.stored(places.mapInArrow(_meet(similarity, bucket), "a long, b long, size long, s long, at long"), "met")
-    links = _verified(docs, met.where("b is not null").select("a", "b"), distinct, similarity)
+    links = by_bits.unionByName(_verified(docs, met.where("b is not null").select("a", "b"), distinct, similarity))
     crowd = met.where("b is null").select("s", F.col("a").alias("key"), "size", "at")
     if not crowd.isEmpty():
         links = common.stored(links.unionByName(_verified(docs, _by_hubs(crowd, similarity), distinct, similarity)), "links")
@@ -274,7 +298,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET
     table = common.stored(distinct.select("key", "least", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots")
     least = table.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     named = lookup(table.select("key", "root", "copies"), least, "root", "members", distinct.count()).select("key", "component_id", "copies")
-    return lookup(rows, named, "key", "copies", rows.count()).select("doc_id", "key", "component_id")
+    return lookup(rows.drop("fp"), named, "key", "copies", rows.count()).select("doc_id", "key", "component_id")
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from corpuscle.llm import near_copies
+from corpuscle.llm import near_copies, simhash
 
 
 def slow_set(text):
@@ -55,6 +57,33 @@ def test_groups_equal_brute_force(spark, texts, bucket, sample):
     assert len(set(want)) < len(want) and got == dict(enumerate(want))
 
 
+def test_stage_links_what_simhash_links(spark):
+    """Two texts of Jaccard similarity 0.79 whose fingerprints differ in two bits at most are one group, as in op8."""
+    rng, found = random.Random(3), None
+    while found is None:
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        other = list(words)
+        for k in (20, 50, 80):
+            other[k] = "edited"
+        pair = [" ".join(words), " ".join(other)]
+        a, b = (int(x) for x in simhash.fingerprint(pair))
+        x, y = map(slow_set, pair)
+        if (a ^ b).bit_count() <= 2 and len(x & y) / len(x | y) < 0.8:
+            found = pair
+    docs = spark.createDataFrame([(1, found[0]), (2, found[1]), (3, "quite another text of some words")], "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in simhash.groups(docs).collect()}
+    assert linked == {1: 1, 2: 1, 3: 3} == {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
+def test_pairs_are_sent_once_a_run():
+    """Three copies but for one word share all shingles of a prefix; their places send three pairs, not three for each shingle."""
+    rows = np.array([[s, 100, k, at, 50 + at - 1 if at else 0] for at, s in enumerate(range(50, 60)) for k in (1, 2, 3)]).T
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["s", "size", "key", "at", "prev"])
+    sent = [(a, b) for part in near_copies._meet(0.8, 64)(iter([batch])) for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+    assert sorted(sent) == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_signatures_bound_the_difference(texts):
     sets = [near_copies.shingles(t) for t in texts]
     for a in sets:
