@@ -14,6 +14,8 @@ from .chunking import fill
 
 #: Query vectors and vectors of a block, and vectors that are multiplied at a time.
 QUERY_BLOCK, VECTOR_BLOCK, STRIP = 4096, 65_536, 2048
+#: Scores that a worker holds at a time, and blocks of queries and of vectors into which smaller blocks are gathered.
+CELLS, ACROSS, DOWN = 1 << 20, 8, 64
 
 
 def checked(vectors: DataFrame, dim: int) -> DataFrame:
@@ -46,6 +48,11 @@ class _Best:
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         if not len(keys) or not len(self.ids):
             return
+        step = max(64, CELLS // len(self.ids))
+        for at in range(0, len(keys), step):
+            self._add(keys[at : at + step], values[at : at + step])
+
+    def _add(self, keys: np.ndarray, values: np.ndarray) -> None:
         score = np.hstack((self.scores, np.round(self.matrix @ values.T, 4)))
         every = np.hstack((self.keys, np.broadcast_to(keys, (len(self.ids), len(keys)))))
         order = np.lexsort((every, -score), axis=1)[:, : self.k]
@@ -67,7 +74,9 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
 
     Up to ``block`` queries go to the workers, which multiply each batch of vectors with them as it is read. More queries
     and the vectors are cut into blocks by their keys' hashes, and a task gets a block of each: a grid in one plan that reads
-    both tables once, whatever the number of queries, and takes nothing to the driver. A task sends on the best k for each of
+    both tables once, whatever the number of queries, and takes nothing to the driver. Blocks smaller than ``QUERY_BLOCK`` and
+    ``VECTOR_BLOCK`` are as large as asked for while there are up to ``ACROSS`` and ``DOWN`` of them, and grow beyond, so each
+    vector is sent to ``ACROSS`` tasks at most until blocks are full. A task sends on the best k for each of
     its queries, so what is ranked is k rows a query and block of vectors.
     """
     found = _by_broadcast(vectors, queries, k, key, query_key) if queries.count() <= block else _by_grid(vectors, queries, k, key, query_key, block, vector_block)
@@ -90,8 +99,14 @@ def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int, key: str, quer
     return vectors.select(F.col(key).cast("long").alias(key), "embedding").mapInArrow(best, f"{query_key} long, {key} long, score double")
 
 
+def blocks(rows: int, size: int, most: int, few: int) -> int:
+    """The number of blocks of ``size`` rows; more than ``few`` of them grow to ``most`` rows each."""
+    wanted = max(1, -(-rows // size))
+    return max(min(wanted, few), min(wanted, -(-rows // most)))
+
+
 def _by_grid(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, block: int, vector_block: int) -> DataFrame:
-    across, down = (max(1, -(-t.count() // n)) for t, n in ((queries, block), (vectors, vector_block)))
+    across, down = blocks(queries.count(), block, QUERY_BLOCK, ACROSS), blocks(vectors.count(), vector_block, VECTOR_BLOCK, DOWN)
     of = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = vectors.select(F.col(key).cast("long").alias(key), "embedding", of(key, down).alias("_v")).withColumn("_q", every(across))
