@@ -48,9 +48,12 @@ def claims(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     return rows.select(key, "pos", _part(1).alias("subject_entity"), _part(2).alias("claim_type"), _part(3).alias("claim_description"), _part(4).alias("status"), date(_part(5)).alias("start_date"), date(_part(6)).alias("end_date"))
 
 
+NAMES = r"regexp_extract_all(text, '\\p{Lu}\\p{Ll}{3,}', 0)"
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """(chunk_ord, pos, name, entity_type, description): capitalised words as entities, the offline rule."""
-    rows = docs.select(F.col("doc_id").alias("chunk_ord"), "source", F.posexplode(F.expr(r"regexp_extract_all(text, '\\p{Lu}\\p{Ll}{3,}', 0)")).alias("pos", "name"))
+    rows = docs.select(F.col("doc_id").alias("chunk_ord"), "source", F.posexplode(F.expr(NAMES)).alias("pos", "name"))
     kind = F.element_at(F.array(*map(F.lit, ("ORGANIZATION", "PERSON", "LOCATION", "CONCEPT"))), F.length("name") % 4 + 1)
     return rows.select("chunk_ord", "pos", "name", kind.alias("entity_type"), F.concat(F.lit("seen in "), "source").alias("description"))
 
@@ -58,8 +61,23 @@ def mentions(docs: DataFrame) -> DataFrame:
 def adjacent(found: DataFrame) -> DataFrame:
     """(chunk_ord, pos, source_entity, target_entity, description, strength): neighbours in a chunk, the offline rule."""
     after = F.lead("name").over(Window.partitionBy("chunk_ord").orderBy("pos"))
-    rows = found.withColumn("target_entity", after).where("target_entity is not null")
-    return rows.select("chunk_ord", "pos", F.col("name").alias("source_entity"), "target_entity", F.concat("name", F.lit(" before "), "target_entity").alias("description"), (F.length("name") % 10 + 1).alias("strength"))
+    return _said(found.withColumn("target_entity", after).where("target_entity is not null"))
+
+
+def _said(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("chunk_ord", "pos", F.col("name").alias("source_entity"), "target_entity", F.concat("name", F.lit(" before "), "target_entity").alias("description"), (F.length("name") % 10 + 1).alias("strength"), *more)
+
+
+def adjacent_in(docs: DataFrame) -> DataFrame:
+    """``adjacent`` of the ``mentions`` of whole documents, whose ids differ, with the node ids ``a`` and ``b`` of both ends.
+
+    A document's neighbours lie in its own row, so nothing is shuffled or sorted, and a name is normalised once.
+    """
+    both = F.transform(F.expr(NAMES), lambda x: F.struct(x.alias("name"), tx.node_id(x).alias("id")))
+    names = docs.select(F.col("doc_id").alias("chunk_ord"), F.explode(F.array(both)).alias("_n")).where("size(_n) > 1")
+    pairs = F.arrays_zip(F.slice("_n", 1, F.size("_n") - 1).alias("x"), F.slice("_n", 2, F.size("_n") - 1).alias("y"))
+    rows = names.select("chunk_ord", F.posexplode(pairs).alias("pos", "_p"))
+    return _said(rows.select("chunk_ord", "pos", "_p.x.name", F.col("_p.y.name").alias("target_entity"), F.col("_p.x.id").alias("a"), F.col("_p.y.id").alias("b")), "a", "b")
 
 
 def merged_rounds(rows: DataFrame, keys: list[Column], by: str = "chunk_id") -> DataFrame:

@@ -101,10 +101,13 @@ def edges(relationships: DataFrame, node_table: DataFrame | None = None, text_bu
 
     Without ``node_table`` all ends are taken for nodes, as they are when pairs come from the mentions themselves.
     Equal descriptions of a pair become one row that carries counts, sums and first places, from which the pair's own follow;
-    so pairs are extracted and shuffled once. ``texts`` and ``chunks`` leave out descriptions and the number of chunks,
+    so pairs are extracted and shuffled once. Pairs may bring the node ids ``a`` and ``b`` of their ends. ``texts`` and ``chunks`` leave out descriptions and the number of chunks,
     which takes a second pass over the pairs.
     """
-    rows = relationships.withColumn("a", tx.node_id("source_entity")).withColumn("b", tx.node_id("target_entity")).where("a <> b and a <> '' and b <> ''")
+    rows = relationships
+    if not {"a", "b"} <= set(rows.columns):
+        rows = rows.withColumn("a", tx.node_id("source_entity")).withColumn("b", tx.node_id("target_entity"))
+    rows = rows.where("a <> b and a <> '' and b <> ''")
     if node_table is not None:
         ids = node_table.select("node_id")
         rows = rows.join(ids.withColumnRenamed("node_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("node_id", "b"), "b", "left_semi")
@@ -122,9 +125,11 @@ def edges(relationships: DataFrame, node_table: DataFrame | None = None, text_bu
     return out.withColumn("edge_id", F.concat_ws("__", *keys))
 
 
-def degrees(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """(node_id, degree), 0 for isolated nodes."""
+def degrees(node_table: DataFrame | None, edge_table: DataFrame) -> DataFrame:
+    """(node_id, degree), 0 for isolated nodes; without ``node_table`` those of the edges' ends alone."""
     ends = edge_table.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("degree"))
+    if node_table is None:
+        return ends
     return node_table.select("node_id").join(ends, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 

@@ -503,6 +503,32 @@ def test_batch_search_by_grid(spark):
     assert few.count() == 150 and vector.top_k_batch(v, q.where("false"), 3).count() == 0 and vector.top_k_batch(v.where("false"), q, 3).count() == 0
 
 
+def test_small_blocks_grow_and_scores_are_bounded(monkeypatch):
+    """Each vector goes to a bounded number of tasks; a worker multiplies a bounded number of scores at a time."""
+    assert [vector.blocks(n, 4, 4096, 8) for n in (0, 3, 9, 32, 100, 32_768, 40_960)] == [1, 1, 3, 8, 8, 8, 10]
+    assert vector.blocks(1_000_000, 65_536, 65_536, 64) == 16 and vector.blocks(20_000, 10_000, 4096, 8) == 2
+    rng = np.random.default_rng(2)
+    queries, vectors = rng.normal(size=(50, 8)), rng.normal(size=(1000, 8))
+    monkeypatch.setattr(vector, "CELLS", 50 * 64)
+    held, sizes = vector._Best(np.arange(50), queries, 5), []
+    add = held._add
+    held._add = lambda k, v: sizes.append(len(k)) or add(k, v)
+    held.add(np.arange(1000), vectors)
+    score = np.round(queries @ vectors.T, 4)
+    assert max(sizes) == 64 and (held.keys == np.lexsort((np.broadcast_to(np.arange(1000), score.shape), -score), axis=1)[:, :5]).all()
+
+
+def test_pairs_of_whole_documents(spark, sf):
+    """The same pairs as from mentions in order, without a shuffle, and edges from them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = extract.adjacent_in(docs)
+    columns = ["chunk_ord", "pos", "source_entity", "target_entity", "description", "strength"]
+    want = extract.adjacent(extract.mentions(docs))
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, graph.edges(found).collect())) == sorted(map(tuple, graph.edges(want).collect()))
+
+
 def test_isolated_nodes_reach_no_task(spark):
     nodes = spark.range(50_000).select(F.format_string("n%06d", "id").alias("node_id"))
     edges = spark.createDataFrame([("n000001", "n000002", 1.0), ("n000002", "n000003", 1.0), ("n000007", "n000007", 1.0)], "src string, dst string, weight double")
