@@ -124,6 +124,23 @@ def test_subwords(spark):
         chunking.chunk(docs, F.lit("d"), 3, 3, tokenizer=tokenizer)
 
 
+def test_subwords_are_looked_up_once(spark, monkeypatch):
+    """Windows are evaluated once a row, and a piece that was seen isn't encoded again; both give what the whole text gives."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    plan = chunking.chunk(docs, F.lit("d"), 7, 2, tokenizer=subwords.Subwords(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    rng = random.Random(9)
+    signs = [*"aAbé'sSßİΣσ́ \t\n  \u0085\x1c\x1f᠎​1２㍿ﬁ漢字한!?<|>_", "<|startoftext|>", "'ll", "'S", "E\u0301", "x" * 70]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["strength, " * 3000]
+    whole = [subwords.offsets(path, t) for t in texts]
+    assert [subwords.windows_of(path, t, 7, 2) for t in texts] == [subwords.cut(t, spans, 7, 2) for t, spans in zip(texts, whole)]
+    assert [subwords.count_of(path, t) for t in texts] == list(map(len, whole))
+    seen = []
+    monkeypatch.setattr(subwords, "offsets", lambda p, t, f=subwords.offsets: seen.append(len(t)) or f(p, t))
+    assert subwords.windows_of(path, texts[-1], 600, 100) and max(seen) < 20
+
+
 def test_numbers_and_batches(spark):
     rows = spark.range(0, 100, 1, 7).selectExpr("99 - id as k")
     got = chunking.batches(rows, ["k"], 30).collect()
