@@ -33,6 +33,20 @@ def components(edges: DataFrame) -> DataFrame:
     return connect.components(edges, "src", "dst").select(F.col("node").alias("node_id"), F.col("root").alias("component"))
 
 
+def linked(members: DataFrame) -> DataFrame:
+    """(node_id, component) as ``components`` gives, of groups (node_id, least) in which each node comes with its group's smallest one.
+
+    Nodes are first put under the smallest that any of their groups has; only those smallest ones are then connected.
+    """
+    members = cut_lineage(members)
+    first = cut_lineage(members.groupBy("node_id").agg(F.min("least").alias("m"), F.count("*").alias("n")))
+    moved = connect.lookup(members, first, "node_id", "n", members.count(), "inner").where("least <> m")
+    roots = components(moved.select(F.col("least").alias("src"), F.col("m").alias("dst")).distinct())
+    sizes = first.groupBy("m").agg(F.count("*").alias("n"))
+    table = sizes.join(roots.withColumnRenamed("node_id", "m"), "m", "left").select("m", F.coalesce("component", "m").alias("component"), "n")
+    return connect.lookup(first.select("node_id", "m"), table, "m", "n", first.count(), "inner").select("node_id", "component")
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
 

@@ -80,6 +80,17 @@ def adjacent_in(docs: DataFrame) -> DataFrame:
     return _said(rows.select("chunk_ord", "pos", "_p.x.name", F.col("_p.y.name").alias("target_entity"), F.col("_p.x.id").alias("a"), F.col("_p.y.id").alias("b")), "a", "b")
 
 
+def linked_in(docs: DataFrame) -> DataFrame:
+    """(node_id, least): the node ids of each document that has several, with the smallest of them.
+
+    All names of a document are linked through their neighbours, so ``community.linked`` of these are the components of
+    ``adjacent_in``; they have a row for each name and not for each pair.
+    """
+    ids = F.array_distinct(F.transform(F.array_distinct(F.expr(NAMES)), tx.node_id))
+    rows = docs.select(F.explode(F.array(F.filter(ids, lambda x: x != ""))).alias("_ids")).where("size(_ids) > 1")
+    return rows.select(F.explode("_ids").alias("node_id"), F.array_min("_ids").alias("least")).distinct()
+
+
 def merged_rounds(rows: DataFrame, keys: list[Column], by: str = "chunk_id") -> DataFrame:
     """Later rounds add only keys that no round before had; the base round 0 keeps all."""
     first = F.row_number().over(Window.partitionBy(by, *keys).orderBy("round", "pos"))

@@ -90,6 +90,14 @@ def nodes(entities: DataFrame, claims: DataFrame | None = None, min_mentions: in
     return out.where(F.col("mention_count") >= min_mentions) if min_mentions > 1 else out
 
 
+def heads(entities: DataFrame) -> DataFrame:
+    """(node_id, name, entity_type) of ``nodes``, in one pass over the mentions; a spelling is normalised once."""
+    rows = entities.groupBy("name", "entity_type").agg(F.count("*").alias("n"), F.min(_ord()).alias("ord"))
+    rows = rows.withColumn("node_id", tx.node_id("name")).where("node_id <> ''").withColumn("longest", F.struct((-F.length("name")).alias("size"), "ord", "name"))
+    kinds = rows.groupBy("node_id", "entity_type").agg(F.sum("n").alias("n"), F.min("ord").alias("ord"), F.min("longest").alias("longest"))
+    return kinds.groupBy("node_id").agg(F.min("longest")["name"].alias("name"), F.min_by("entity_type", F.struct(-F.col("n"), "ord")).alias("entity_type"))
+
+
 def node_ids(entities: DataFrame, min_mentions: int = 1) -> DataFrame:
     """(node_id) of the nodes alone, for what only asks whether they exist."""
     rows = entities.select(tx.node_id("name").alias("node_id")).where("node_id <> ''").groupBy("node_id").agg(F.count("*").alias("n"))

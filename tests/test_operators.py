@@ -604,3 +604,28 @@ def test_five_thousand_claims_of_one_answer(spark):
     began = time.perf_counter()
     assert claims.clustered(rows, ["q"], 0.5).select("cluster").distinct().count() > 1
     assert time.perf_counter() - began < 20
+
+
+def test_groups_are_linked_without_pairs(spark, sf):
+    """Components from each document's names as a group, and heads in one pass, are those of all edges and nodes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    members = extract.linked_in(docs)
+    edges = graph.edges(extract.adjacent_in(docs), texts=False, chunks=False).select("src", "dst").localCheckpoint()
+    assert sorted(map(tuple, community.linked(members).collect())) == sorted(map(tuple, community.components(edges).collect()))
+    heads = graph.heads(extract.mentions(docs))
+    assert sorted(map(tuple, heads.collect())) == sorted(map(tuple, graph.nodes(extract.mentions(docs)).select("node_id", "name", "entity_type").collect()))
+    rng, rows = random.Random(3), []
+    for _ in range(60):
+        group = rng.sample(range(150), rng.randint(2, 4))
+        rows += [(f"{k:03d}", f"{min(group):03d}") for k in group]
+    got = {r.node_id: r.component for r in community.linked(spark.createDataFrame(rows, "node_id string, least string").distinct()).collect()}
+    want = {r.node_id: r.component for r in community.components(spark.createDataFrame([(b, a) for a, b in rows], "src string, dst string")).collect()}
+    assert got == want and len(set(got.values())) > 3
+    assert community.linked(members.where("false")).count() == 0
+
+
+def test_one_pass_for_heads_and_members(spark, sf):
+    """The texts are read once for the heads of nodes, and once for what components are made from."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for df in (graph.heads(extract.mentions(docs)), extract.linked_in(docs)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
