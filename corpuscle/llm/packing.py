@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import encoder, forget
 
 SEQUENCE, END_ID, SEED = 2048, 1, 20
 #: Leftovers packed together: enough for a tight fit, and 32 MB of ids at most.
 GROUP_PIECES = 4096
 #: Pieces that are taken from a batch at a time.
 SLICE = 1024
-#: Groups that a task packs one after the other, roughly, and tasks at most.
-TASK_GROUPS, TASKS = 4, 100_000
+#: Groups that a task packs one after the other, roughly, and tasks at most. A task's Arrow batches grow with its groups.
+TASK_GROUPS, TASKS = 1, 100_000
 PIECE_TYPE = "doc_id {kind}, start long, length long, doc_tokens long, ids array<int>, ids_crc32 long"
 
 
@@ -123,6 +123,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     out = ["doc_id", "start", "length", "doc_tokens", "ids_crc32" if digest else "ids", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # all texts are encoded by now
         group, used, held = None, 0, []
 
         def packed():

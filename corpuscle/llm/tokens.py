@@ -103,3 +103,10 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Empties the memos of the worker's encoders, whose room tasks that encode nothing have better use for."""
+    for model in _ENCODERS.values():
+        model.pieces.clear()
+        model.words.clear()
