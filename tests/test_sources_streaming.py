@@ -184,6 +184,28 @@ def test_rate_limit_of_unordered_batches(spark, tmp_path):
     assert spark.conf.get(limits.STORE) != limits.ROCKS
 
 
+def test_state_of_a_rate_limit_grows_with_shards_not_clients(spark, tmp_path):
+    rng, far = random.Random(5), datetime(3000, 1, 1)
+    # many clients, one of very many events, large ids, no client, and events of one time of which some have no id
+    rows = [(u, 2 * u + k, START + timedelta(seconds=rng.randrange(300))) for u in range(2000) for k in range(2)]
+    rows += [(5000, 10_000 + k, START + timedelta(seconds=rng.randrange(300))) for k in range(limits.PART + 500)]
+    rows += [(2**62 + 1, 2**62 + 3, START), (None, 60_000, START)]
+    unnamed = [(6000 + k % 3, 50_000 - k if k % 4 else None, START + timedelta(seconds=k // 12)) for k in range(60)]
+    df, others = spark.createDataFrame(rows, limits.EVENT), spark.createDataFrame(unnamed, limits.EVENT)
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    states = []
+    for part in (df.union(others).union(spark.createDataFrame([(7, 60_001, far)], limits.EVENT)), limits.closing(spark, far, "301 seconds", 20.0)):
+        part.write.mode("append").parquet(source)
+        done = limits.decide(spark, source, out, check, 4, 20.0, "301 seconds")
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress if p["stateOperators"]]
+    assert 500 < max(states) <= limits.SHARDS + 2 and states[-1] == 0
+    got = spark.read.schema(limits.DECIDED).parquet(out)
+    assert [tuple(r) for r in got.where(F.year("ts") == 3000).collect()] == [(7, 60_001, far, True, 0)]
+    got = got.where(F.year("ts") < 3000)
+    want = ingest.rate_limited(df.where("user_id is not null"), 4, 20.0).union(ingest.rate_limited(others, 4, 20.0))
+    assert got.count() == len(rows) - 1 + len(unnamed) and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_late_events_get_no_decision(spark, tmp_path):
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     at = lambda s: START + timedelta(seconds=s)
