@@ -2,9 +2,10 @@
 
 Leiden clustering repeats three steps: nodes move to the neighbouring community of most gain in modularity until none gains;
 each community is refined from single nodes into well-connected parts; parts become the nodes of a quotient graph, which
-starts from the communities found. Nodes without edges are alone and take no part. A graph of more than ``TASK_EDGES`` edges is coarsened by these steps over
-DataFrames, nodes moving in turns; once its quotient is small enough, one task finishes it. Communities that aren't
-connected are cut into their components at the end.
+starts from the communities found. Nodes without edges are alone and take no part. A graph of more than ``TASK_EDGES`` edges
+is coarsened by these steps over DataFrames: nodes move in blocks, each of which is a task, and communities are refined apart;
+once its quotient is small enough, one task finishes it. Where it isn't to the end, communities that aren't connected are cut
+into their components.
 
 The hierarchy clusters again, by themselves, the communities of a level that have more than ``max_size`` members: each in
 one task, or over DataFrames where it has more than ``SPLIT_NODES`` members or ``TASK_EDGES`` edges. One that modularity
@@ -13,19 +14,28 @@ doesn't cut, such as a star, stays whole. Every node is in one community of each
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut_lineage, numbered
-from . import connect
+from . import connect, moving
 
 #: Members of the largest community, and edges of the largest graph, that one task clusters.
 SPLIT_NODES, TASK_EDGES = 50_000, 500_000
 #: Gain in modularity below which moving ends, and the share of edges that a coarsening step must do away with.
 LEAST_GAIN, SHRINK = 1e-6, 0.05
+#: Share of a coarsening step's gain below which two more rounds are left to the next step, which moves on from its labels.
+COARSE = 0.005
+#: Ends of edges of a block of nodes that move in one task, and edges of a cell in which one task refines a community.
+BLOCK_ENDS, CELL_EDGES = 125_000, 250_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -68,44 +78,57 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return (inside["inside"] or 0.0) / inside["all"] - resolution * squares / (2 * inside["all"]) ** 2
 
 
-def local_moving(edges: DataFrame, labels: DataFrame, seed: int = 42, resolution: float = 1.0) -> DataFrame:
-    """(node_id, label) after rounds in which half of the nodes, in turns, go to the neighbouring label of most gain in modularity.
+def local_moving(edges: DataFrame, labels: DataFrame, seed: int = 42, resolution: float = 1.0, least: float = 0.0) -> DataFrame:
+    """(node_id, label, k, w, d) after rounds in which nodes go to the neighbouring label of most gain in modularity.
 
-    Nodes that move at once may spoil each other's gain, so modularity is taken after each two rounds; moving ends, with
-    the best labels, when those bring less than ``LEAST_GAIN``. So it ends, however long nodes could go on. A round is one
-    job: a neighbour brings its label's volume along, and the weights that a node has inside its own label, which
-    modularity is made of, are kept beside the label it goes to.
+    A block of nodes, with all their edges, is one task: there they move one after the other until none gains, each seeing
+    those of its own block that moved before. Of other blocks they know the labels and volumes at the round's start, so
+    nodes that move at once may spoil each other's gain. In a round nodes only go up in an order of labels, which each
+    second round turns around and each two rounds draw anew; so no two nodes swap places. Modularity is taken before each
+    two rounds; moving ends, with the best labels, when those bring less than ``LEAST_GAIN``, or than the share ``least``
+    of all that moving has brought. So it ends, however long nodes could go on.
+
+    ``labels`` may bring ``k``, strengths over the root of their sum; gains are then those of the graph that it is the sum
+    of. ``w`` and ``d`` are the weight and number of a node's edges inside its label.
     """
-    both = cut_lineage(_both(edges))
-    loops = edges.where("src = dst").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).head()[0]
-    now = cut_lineage(labels.join(strengths(edges), "node_id", "left").select("node_id", "label", F.coalesce("k", F.lit(0.0)).alias("k")))
-    total = now.agg(F.sum("k")).head()[0]
+    given = edges.agg(F.sum("weight"), F.count("*")).head()
+    total = 2 * (given[0] or 0.0)
     if not total:
         return labels
-    best, score, r = None, None, 0
+    if "k" not in labels.columns:
+        labels = labels.join(strengths(edges), "node_id", "left").select("node_id", "label", (F.coalesce("k", F.lit(0.0)) * math.sqrt(resolution / total)).alias("k"))
+    n = math.ceil((2 * given[1] + 1) / BLOCK_ENDS)
+    # an end of no weight to itself brings a node without neighbours
+    ends = _both(edges).unionByName(labels.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("weight")))
+    ends = ends.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(n)).cast("int"))
+    blocks = cut_lineage(gathered(ends, "block", n, ends=["src", "dst", "weight"]).mapInArrow(moving.packed, moving.BLOCK))
+    near = blocks.select("block", F.explode("nodes").alias("node_id"))
+    now, best, first, score, r = cut_lineage(labels.select("node_id", "label", "k")), None, None, None, 0
     while True:
         placed = now.join(now.groupBy("label").agg(F.sum("k").alias("volume")), "label")
-        pulls = both.join(placed.select(F.col("node_id").alias("dst"), "label", "volume"), "dst").select(F.col("src").alias("node_id"), "label", "volume", "weight").repartition("node_id")
-        pulls = pulls.groupBy("node_id", "label").agg(F.sum("weight").alias("w"), F.max("volume").alias("volume"))
-        own = placed.select("node_id", F.col("label").alias("mine"), "k", F.col("volume").alias("_own"))
-        mine = F.col("label") == F.col("mine")
-        gain = lambda w, rest: F.round(w - resolution * F.col("k") * rest / total, 9)
-        options = pulls.join(own, "node_id").withColumn("gain", gain(F.col("w"), F.col("volume") - F.when(mine, F.col("k")).otherwise(0.0)))
-        # most gain first; ties stay, or go to the smallest label
-        first = F.min_by("label", F.struct(-F.col("gain"), (~mine).cast("int"), "label")).alias("to")
-        top = options.groupBy("node_id").agg(first, F.max("gain").alias("top"), F.sum(F.when(mine, F.col("w"))).alias("w"))
-        stay = gain(F.coalesce("w", F.lit(0.0)), F.col("_own") - F.col("k"))
-        go = (F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(2)) == r % 2) & (F.col("top") > stay)
-        moved = cut_lineage(own.join(top, "node_id", "left").select("node_id", "mine", "k", "w", F.when(go, F.col("to")).otherwise(F.col("mine")).alias("label")))
+        rows = near.join(placed, "node_id").unionByName(blocks, allowMissingColumns=True)
+        rows = gathered(rows, "block", n, seen=["node_id", "label", "k", "volume"], edges=["nodes", "own", "start", "near", "weight"])
+        moved = cut_lineage(rows.mapInArrow(partial(moving.moved, r, seed), moving.MOVED))
         if r % 2 == 0:
             sums = moved.groupBy("mine").agg(F.sum("k").alias("v"), F.sum("w").alias("w")).agg(F.sum("w"), F.sum(F.col("v") * F.col("v"))).head()
-            reached = ((sums[0] or 0.0) + 2 * loops) / total - resolution * sums[1] / total**2
-            if score is not None and reached <= score + LEAST_GAIN:
-                return (now if reached > score else best).select("node_id", "label")
-            best, score = now, reached
+            reached = (sums[0] - sums[1]) / total
+            better = score is None or reached > score
+            if score is not None and reached <= score + max(LEAST_GAIN, least * (reached - first)):
+                return (moved if better else best).select("node_id", F.col("mine").alias("label"), "k", "w", "d")
+            first = reached if first is None else first
+            best, score = moved, reached
         now, r = moved.select("node_id", "label", "k"), r + 1
 
 
+def gathered(rows: DataFrame, key: str, n: int, **lists: list[str]) -> DataFrame:
+    """One row for each ``key``, a number below ``n`` and of its partition: lists of structs of the columns named, of rows in which the first isn't null.
+
+    Few wide rows go to Python much faster than many.
+    """
+    found = (F.collect_list(F.when(F.col(c[0]).isNotNull(), F.struct(*c))).alias(name) for name, c in lists.items())
+    return rows.repartitionById(n, F.col(key)).groupBy(key).agg(*found)
+
+
 def _inside(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges with both ends in one community, with its label."""
     a, b = (labels.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
@@ -118,30 +141,66 @@ def connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(comps, "node_id", "left").select("node_id", F.coalesce("_part", "node_id").alias("label"))
 
 
-def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int | None = None) -> DataFrame:
+def refined(edges: DataFrame, moved: DataFrame, seed: int = 42) -> DataFrame:
+    """(node_id, label, k, part): labels as ``local_moving`` gives them, cut into well-connected parts that are named by a member.
+
+    A label's nodes are refined in one task, or where they have more than ``CELL_EDGES`` edges, dealt out by chance to as
+    many cells as those take: parts then grow inside cells.
+    """
+    sizes = moved.groupBy("label").agg(F.sum("k").alias("whole"), F.ceil(F.greatest(F.sum("d") / (2 * CELL_EDGES), F.lit(1))).alias("cells"), F.sum("d").alias("_d"))
+    sizes = cut_lineage(sizes)
+    n = math.ceil(((sizes.agg(F.sum("_d")).head()[0] or 0) + 1) / BLOCK_ENDS)
+    cell = F.xxhash64("label", F.pmod(F.xxhash64(F.lit(seed), "node_id"), "cells"))
+    rows = cut_lineage(moved.join(sizes, "label").select("node_id", "label", "k", "w", "whole", cell.alias("cell")))
+    a, b = (rows.select(F.col("node_id").alias(c), F.col("cell").alias("_" + c)) for c in ("src", "dst"))
+    links = edges.where("src <> dst").join(a, "src").join(b, "dst").where("_src = _dst").select(F.col("_src").alias("cell"), "src", "dst", "weight")
+    both = rows.unionByName(links, allowMissingColumns=True).withColumn("cell", F.pmod("cell", F.lit(n)).cast("int"))
+    rows = gathered(both, "cell", n, own=["node_id", "label", "k", "w", "whole"], links=["src", "dst", "weight"])
+    return rows.mapInArrow(_refine, "node_id long, label long, k double, part long")
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of nodes, own (node_id, label, k, w, whole), by those edges, links (src, dst, weight), that lie inside cells."""
+    for own, links in ([moving.columns(b, c, i) for c in ("own", "links")] for b in batches for i in range(b.num_rows)):
+        at = np.argsort(own["node_id"])
+        names, labels, k, inner, whole = (own[c][at] for c in ("node_id", "label", "k", "w", "whole"))
+        _, label = np.unique(labels, return_inverse=True)
+        g, order = _Graph(len(names)), np.lexsort((links["dst"], links["src"]))
+        a, b = (np.searchsorted(names, links[c][order]).tolist() for c in ("src", "dst"))
+        for x, y, w in zip(a, b, links["weight"][order].tolist()):
+            g.add(x, y, w)
+        part = _refined(g, k.tolist(), 1.0, label.tolist(), inner.tolist(), dict(zip(label.tolist(), whole.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, labels, k, names[np.array(part)])], names=["node_id", "label", "k", "part"])
+
+
+def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(node_id, label): communities of the whole graph (src, dst, weight) by Leiden clustering; isolated nodes are alone.
 
-    Nodes go by their numbers in the order of their names, and labels by those of a member.
+    Nodes go by their numbers in the order of their names, or by their names if those are numbers, and labels by those of a
+    member. With ``groups`` (node_id, group), between which no edge leads, each group is clustered as a graph of its own.
     """
     most = TASK_EDGES if task_edges is None else task_edges
     given = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    linked = given.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    alone = nodes.select("node_id").join(linked, "node_id", "left_anti").select("node_id", F.col("node_id").alias("label"))
-    names = cut_lineage(numbered(nodes.select("node_id").join(linked, "node_id", "left_semi"), ["node_id"], "at"))
-    a, b = (names.select(F.col("node_id").alias(c), F.col("at").alias("_" + c)) for c in ("src", "dst"))
-    graph = first = cut_lineage(given.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight"))
-    place = names.select(F.col("at").alias("node_id"), "at")  # where each node is in the quotient graph
-    labels, size = place.select("node_id", F.col("at").alias("label")), graph.count()
+    linked = cut_lineage(given.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct())
+    alone = nodes.select("node_id").join(linked, "node_id", "left_anti").select("node_id", F.col("node_id").cast("string").alias("label"))
+    names, graph = numbered_graph(nodes.select("node_id").join(linked, "node_id", "left_semi"), given)
+    first = graph
+    groups = names.select("at", F.lit(0).alias("group")) if groups is None else names.join(groups, "node_id").select("at", "group")
+    ks = strengths(graph).withColumnRenamed("node_id", "at").join(groups, "at")
+    ks = ks.join(ks.groupBy("group").agg(F.sum("k").alias("_all")), "group")
+    k = F.when(F.col("_all") > 0, F.col("k") / F.sqrt("_all")).otherwise(F.lit(0.0))
+    labels = cut_lineage(ks.select(F.col("at").alias("node_id"), F.col("at").alias("label"), k.alias("k"), "group"))
+    place = labels.select("node_id", F.col("node_id").alias("at"))  # where each node is in the quotient graph
+    size, r = _largest(graph, labels), 0
     while size > most:
-        labels = cut_lineage(local_moving(graph, labels, seed))
-        inside = cut_lineage(_inside(graph, labels).select("src", "dst", "weight"))
-        refined = local_moving(inside, labels.select("node_id", F.col("node_id").alias("label")), seed)
-        refined = cut_lineage(connected(inside, refined))
-        graph = cut_lineage(_quotient(graph, refined))
-        parts = labels.join(refined.withColumnRenamed("label", "part"), "node_id")
-        place = cut_lineage(place.join(refined.select(F.col("node_id").alias("at"), "label"), "at").select("node_id", F.col("label").alias("at")))
-        labels = cut_lineage(parts.groupBy(F.col("part").alias("node_id")).agg(F.min("label").alias("label")))
-        before, size = size, graph.count()
+        moved = local_moving(graph, labels.select("node_id", "label", "k"), seed + r, least=COARSE)
+        if "w" not in moved.columns:
+            break
+        parts = cut_lineage(refined(graph, moved, seed + r).join(labels.select("node_id", "group"), "node_id"))
+        graph = cut_lineage(_quotient(graph, parts.select("node_id", F.col("part").alias("label"))))
+        place = cut_lineage(place.join(parts.select(F.col("node_id").alias("at"), "part"), "at").select("node_id", F.col("part").alias("at")))
+        labels = cut_lineage(parts.groupBy(F.col("part").alias("node_id")).agg(F.min("label").alias("label"), F.sum("k").alias("k"), F.min("group").alias("group")))
+        before, size, r = size, _largest(graph, labels), r + 1
         if size > (1 - SHRINK) * before:
             break
     if size <= most:
@@ -152,6 +211,20 @@ def leiden(edges: DataFrame, nodes: DataFrame, seed: int = 42, task_edges: int |
     return found.unionByName(alone)
 
 
+def numbered_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, at) with numbers in the order of their names, and edges by those; names that are numbers stay."""
+    if dict(nodes.dtypes)["node_id"] == "bigint":
+        return nodes.select("node_id", F.col("node_id").alias("at")), edges
+    names = cut_lineage(numbered(nodes.select("node_id"), ["node_id"], "at"))
+    a, b = (names.select(F.col("node_id").alias(c), F.col("at").alias("_" + c)) for c in ("src", "dst"))
+    return names, cut_lineage(edges.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "weight"))
+
+
+def _largest(graph: DataFrame, labels: DataFrame) -> int:
+    """Edges of the group that has most."""
+    return graph.join(labels.select(F.col("node_id").alias("src"), "group"), "src").groupBy("group").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]
+
+
 def _quotient(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """The graph of parts: weights between two of them together, those inside one as a loop."""
     a, b = (parts.select(F.col("node_id").alias(c), F.col("label").alias("_" + c)) for c in ("src", "dst"))
@@ -160,8 +233,10 @@ def _quotient(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _finished(graph: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of a graph that fits one task, from those it has; nodes are numbers."""
-    rows = graph.withColumn("label", F.lit(-1).cast("long")).unionByName(labels.select(F.col("node_id").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "label"))
+    """Labels of groups that each fit one task, from those they have; nodes are numbers."""
+    none = F.lit(-1).cast("long")
+    rows = graph.join(labels.select(F.col("node_id").alias("src"), "group"), "src").select("group", "src", "dst", "weight", none.alias("label"))
+    rows = rows.unionByName(labels.select("group", F.col("node_id").alias("src"), none.alias("dst"), F.lit(0.0).alias("weight"), "label"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["dst"] < 0].sort_values("src")
@@ -169,7 +244,13 @@ def _finished(graph: DataFrame, labels: DataFrame) -> DataFrame:
         got = clustered(names, list(zip(links["src"].tolist(), links["dst"].tolist(), links["weight"].tolist())), own["label"].tolist())
         return pd.DataFrame({"node_id": names, "label": got})
 
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "node_id long, label long")
+    return _dealt(rows, "group").groupBy("group").applyInPandas(cluster, "node_id long, label long")
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by ``key`` in partitions that stay apart, however few bytes they have: tasks take long for them."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
 
 
 class _Graph:
@@ -205,10 +286,14 @@ def _moved(g: _Graph, k: list[float], total: float, label: list[int]) -> list[in
         pull: dict[int, float] = defaultdict(float)
         for m, w in g.near[n].items():
             pull[label[m]] += w
-        mine = label[n]
-        volume[mine] -= k[n]
-        gain = lambda c: round(pull.get(c, 0.0) - k[n] * volume[c] / total, 9)  # noqa: B023, E731
-        best = max([mine, *pull], key=lambda c: (gain(c), c == mine, -c))  # noqa: B023
+        mine, own = label[n], k[n]
+        volume[mine] -= own
+        best, top = mine, round(pull.get(mine, 0.0) - own * volume[mine] / total, 9)
+        for c, w in pull.items():
+            gain = round(w - own * volume[c] / total, 9)
+            # ties stay, or go to the smallest label
+            if gain > top or gain == top and best != mine and c < best:
+                best, top = c, gain
         volume[best] += k[n]
         if best != mine:
             label[n] = best
@@ -219,13 +304,18 @@ def _moved(g: _Graph, k: list[float], total: float, label: list[int]) -> list[in
     return label
 
 
-def _refined(g: _Graph, k: list[float], total: float, label: list[int]) -> list[int]:
-    """Parts of communities: a node that is alone joins the part of most gain in its community, if both are well connected to it."""
+def _refined(g: _Graph, k: list[float], total: float, label: list[int], inner: list[float] | None = None, whole: dict[int, float] | None = None) -> list[int]:
+    """Parts of communities: a node that is alone joins the part of most gain in its community, if both are well connected to it.
+
+    ``inner`` and ``whole`` are each node's weight into its community and that one's volume, where the graph has not all of it.
+    """
     part, volume, members = list(range(len(label))), list(k), [1] * len(label)
-    whole: dict[int, float] = defaultdict(float)
-    for n, c in enumerate(label):
-        whole[c] += k[n]
-    inner = [sum(w for m, w in g.near[n].items() if label[m] == label[n]) for n in range(len(label))]
+    if whole is None:
+        whole = defaultdict(float)
+        for n, c in enumerate(label):
+            whole[c] += k[n]
+    if inner is None:
+        inner = [sum(w for m, w in g.near[n].items() if label[m] == label[n]) for n in range(len(label))]
     cut = list(inner)  # weight from each part to the rest of its community
     for n in range(len(label)):
         if part[n] != n or members[n] > 1 or inner[n] < k[n] * (whole[label[n]] - k[n]) / total - 1e-12:
@@ -307,13 +397,13 @@ def _parts(g: _Graph, label: list[int]) -> list[int]:
 
 def split(edges: DataFrame, labels: DataFrame, max_size: int, seed: int = 42) -> DataFrame:
     """Communities of more than ``max_size`` members clustered again by their own edges; others as they are."""
-    inside = cut_lineage(_inside(edges, labels))
+    kinds, inside = dict(labels.dtypes), cut_lineage(_inside(edges, labels))
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).join(inside.groupBy("label").agg(F.count("*").alias("e")), "label", "left")
     huge = (F.col("n") > SPLIT_NODES) | (F.coalesce("e", F.lit(0)) > TASK_EDGES)
     kind = F.when(F.col("n") <= max_size, "rest").when(huge, "huge").otherwise("task")
     rows = cut_lineage(labels.join(sizes.select("label", kind.alias("kind")), "label"))
     task = inside.join(sizes.where(kind == "task").select("label"), "label", "left_semi")
-    task = task.unionByName(rows.where("kind = 'task'").select("label", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("weight")))
+    task = task.unionByName(rows.where("kind = 'task'").select("label", F.col("node_id").alias("src"), F.lit(None).cast(kinds["node_id"]).alias("dst"), F.lit(0.0).alias("weight")))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         members = sorted(pdf.loc[pdf["dst"].isna(), "src"])
@@ -321,25 +411,26 @@ def split(edges: DataFrame, labels: DataFrame, max_size: int, seed: int = 42) ->
         got = clustered(members, list(zip(links["src"], links["dst"], links["weight"])))
         return pd.DataFrame({"node_id": members, "label": [f"{pdf['label'].iloc[0]}/{c:06d}" for c in got]})
 
-    out = rows.where("kind = 'rest'").select("node_id", "label").unionByName(task.groupBy("label").applyInPandas(cut, "node_id string, label string"))
+    out = rows.where("kind = 'rest'").select("node_id", "label").unionByName(_dealt(task, "label").groupBy("label").applyInPandas(cut, f"node_id {kinds['node_id']}, label string"))
     large = rows.where("kind = 'huge'").select("node_id", "label")
     if large.isEmpty():
         return out
-    # all of them at once, as no edge leads from one to another
+    # all of them at once, each as a graph of its own
     again = inside.join(large.select("label").distinct(), "label", "left_semi").select("src", "dst", "weight")
-    moved = leiden(again, large, seed).withColumnRenamed("label", "_to")
+    moved = leiden(again, large, seed, groups=large.select("node_id", F.col("label").alias("group"))).withColumnRenamed("label", "_to")
     return out.unionByName(large.join(moved, "node_id").select("node_id", F.concat_ws("/", "label", "_to").alias("label")))
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, max_size: int = 10, max_levels: int = 3, seed: int = 42) -> DataFrame:
     """(node_id, level, community_id) for levels c0 (coarsest) to the finest; isolated nodes are alone."""
-    labels, out = cut_lineage(leiden(edges, nodes, seed)), None
+    names, graph = numbered_graph(nodes, edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    labels, out = cut_lineage(leiden(graph, names.select(F.col("at").alias("node_id")), seed)), None
     for level in range(max_levels):
         rows = _named(labels, f"c{level}")
         out = rows if out is None else out.unionByName(rows)
         if level + 1 < max_levels:
-            labels = cut_lineage(split(edges, labels, max_size, seed))
-    return out
+            labels = cut_lineage(split(graph, labels, max_size, seed))
+    return names.join(out.withColumnRenamed("node_id", "at"), "at").select("node_id", "level", "community_id")
 
 
 def one_level(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
@@ -364,6 +455,21 @@ def internal_edges(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, ["dst", "level", "community_id"])
 
 
+def parts(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """(node_id, level, community_id, part): the connected part of its community in which each node is, by the part's smallest node.
+
+    Nodes and levels are numbers. Tasks first keep a tree of each community's edges that they have, then one of those trees;
+    what is left to connect grows with nodes and not with edges.
+    """
+    trees = internal_edges(edges.select("src", "dst"), membership).select("level", "community_id", "src", "dst")
+    trees = trees.mapInArrow(moving.trees, moving.TREES).repartition("level", "community_id").mapInArrow(moving.trees, moving.TREES)
+    levels = membership.agg(F.coalesce(F.max("level"), F.lit(0))).head()[0] + 1
+    # a node is another one at each level
+    roots = components(trees.select(*((F.col(c) * levels + F.col("level")).alias(c) for c in ("src", "dst"))))
+    roots = roots.select(F.floor(F.col("node_id") / levels).alias("node_id"), (F.col("node_id") % levels).cast("int").alias("level"), F.floor(F.col("component") / levels).alias("part"))
+    return membership.join(roots, ["node_id", "level"], "left").withColumn("part", F.coalesce("part", "node_id"))
+
+
 def parents(membership: DataFrame) -> DataFrame:
     """(child, parent) between each level and the next coarser one that is present; of several parents the last one."""
     order = membership.select("level").distinct().withColumn("i", F.row_number().over(Window.orderBy("level")))

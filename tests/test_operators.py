@@ -629,3 +629,36 @@ def test_one_pass_for_heads_and_members(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for df in (graph.heads(extract.mentions(docs)), extract.linked_in(docs)):
         assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_blocks_that_move_at_once(spark, monkeypatch):
+    """Forty cliques over many blocks: moving finds them, in rounds of a few, with each node's edges inside its label."""
+    monkeypatch.setattr(community, "BLOCK_ENDS", 100)
+    links = [(5 * c + i, 5 * c + k, 1.0) for c in range(40) for i in range(5) for k in range(i)] + [(5 * c, (5 * c + 5) % 200, 0.1) for c in range(40)]
+    edges, labels = spark.createDataFrame(links, "src long, dst long, weight double"), spark.range(201).select(F.col("id").alias("node_id"), F.col("id").alias("label"))
+    kept, cut = [], community.cut_lineage
+    monkeypatch.setattr(community, "cut_lineage", lambda df: kept.append(df.columns) or cut(df))
+    rows = community.local_moving(edges, labels)
+    got = {r.node_id: r for r in rows.collect()}
+    assert len(got) == 201 and len(kept) <= 22
+    assert len({got[n].label for n in range(200)}) <= 40 and all(len({got[5 * c + i].label for i in range(5)}) == 1 for c in range(40))
+    assert got[7].d == 4 and got[7].w == 4.0 and got[200].label == 200 and got[200].w == 0.0
+    parts = community.refined(edges, rows, 1).collect()
+    assert {r.node_id: r.label for r in parts} == {n: got[n].label for n in got}
+    assert all(is_connected({r.node_id for r in parts if r.part == p}, links) for p in {r.part for r in parts})
+
+
+def test_groups_are_clustered_as_graphs_of_their_own(spark):
+    """Two cliques with a link between them stay apart in their group, however heavy another group is."""
+    pair = [(f"{c}{i}", f"{c}{k}", 1.0) for c in "ab" for i in range(4) for k in range(i)] + [("a0", "b0", 1.0)]
+    edges = spark.createDataFrame([*pair, ("x", "y", 1000.0)], "src string, dst string, weight double")
+    groups = spark.createDataFrame([(f"{c}{i}", "g") for c in "ab" for i in range(4)] + [("x", "h"), ("y", "h")], "node_id string, `group` string")
+    got = {r.node_id: r.label for r in community.leiden(edges, groups.select("node_id"), task_edges=12, groups=groups).collect()}
+    assert len({got[f"{c}{i}"] for c in "ab" for i in range(4)}) == 2 and got["a1"] != got["b1"]
+
+
+def test_parts_of_communities(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (3, 5), (8, 9)], "src long, dst long").repartition(3)
+    rows = [(n, 0, 0) for n in (1, 2, 3, 5, 6)] + [(n, 0, 1) for n in (8, 9)] + [(n, 1, 0) for n in (1, 2, 5, 6)] + [(3, 1, 1), (8, 1, 2), (9, 1, 3)]
+    got = {(r.node_id, r.level): r.part for r in community.parts(edges, spark.createDataFrame(rows, "node_id long, level int, community_id long")).collect()}
+    assert got == {**{(n, 0): 1 for n in (1, 2, 3, 5, 6)}, (8, 0): 8, (9, 0): 8, (1, 1): 1, (2, 1): 1, (5, 1): 5, (6, 1): 5, (3, 1): 3, (8, 1): 8, (9, 1): 9}
