@@ -653,7 +653,7 @@ def test_groups_are_clustered_as_graphs_of_their_own(spark):
     pair = [(f"{c}{i}", f"{c}{k}", 1.0) for c in "ab" for i in range(4) for k in range(i)] + [("a0", "b0", 1.0)]
     edges = spark.createDataFrame([*pair, ("x", "y", 1000.0)], "src string, dst string, weight double")
     groups = spark.createDataFrame([(f"{c}{i}", "g") for c in "ab" for i in range(4)] + [("x", "h"), ("y", "h")], "node_id string, `group` string")
-    got = {r.node_id: r.label for r in community.leiden(edges, groups.select("node_id"), task_edges=12, groups=groups).collect()}
+    got = {r.node_id: r.label for r in community.leiden(edges, groups.select("node_id"), groups=groups).collect()}
     assert len({got[f"{c}{i}"] for c in "ab" for i in range(4)}) == 2 and got["a1"] != got["b1"]
 
 
